@@ -29,6 +29,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pairloom.plans.runtime import ship
+
 #: White space of the vocabulary's own splitting, beyond the six ASCII separators (fixed values of the Unicode standard).
 WIDE_SPACE = "\x85\xa0  -     　"
 #: Fixed pattern of the vocabulary's pieces.
@@ -262,6 +264,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
     Returns ``id_col``, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256; with
     ``keep`` also ids (array of int) and decoded (string).
     """
+    ship(docs.sparkSession)
     spec: Broadcast = docs.sparkSession.sparkContext.broadcast(vocabulary_text(vocabulary))
     kind = docs.schema[id_col].dataType
     schema = T.StructType([

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from pairloom.llm import bpe
 from pairloom.llm.common import saved, shared_dir
+from pairloom.plans.runtime import ship
 
 LIMIT = 16  # bits of the longest code
 BLOCK = 1 << 18  # ids after which a block ends; a longer document is one block
@@ -146,6 +147,7 @@ _words: dict[str, bpe.WordIds] = {}
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (ids with the end id), ids (binary, little-endian unsigned 32-bit)."""
+    ship(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(bpe.vocabulary_text(vocabulary))
     tail = struct.pack("<I", end_id)
     schema = "doc_id long, n long, ids binary"
@@ -235,6 +237,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
+    ship(spark)
     book = spark.read.parquet(f"{path}/codebook").first()
     table = spark.sparkContext.broadcast(np.frombuffer(bytes(book["lengths"]), np.uint8))
     blocks = spark.read.schema("shard long, number long, n long, block binary").parquet(f"{path}/blocks")
