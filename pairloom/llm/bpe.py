@@ -36,7 +36,7 @@ WIDE_SPACE = "\x85\xa0  -     　"
 #: Fixed pattern of the vocabulary's pieces.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^\t-\r {WIDE_SPACE}\p{{L}}\p{{N}}]+"
 END = "\n"  # stands for the end-of-word mark inside this module; the byte alphabet has no line feed
-MOST_CACHED = 600_000  # entries of a worker's word cache, and half as many of its piece cache, before they start anew
+MOST_CACHED = 400_000  # entries of a worker's word cache, and half as many of its piece cache, before they start anew
 MOST_CACHED_BYTES = 64  # longer words are encoded each time
 
 
@@ -157,11 +157,16 @@ class PieceEncoder:
 
 
 class WordIds(dict):
-    """Ids of a word (bytes without ASCII white space) as little-endian unsigned 32-bit integers; fills itself."""
+    """Ids of a word (bytes without ASCII white space) as little-endian unsigned integers; fills itself.
 
-    def __init__(self, text: str, pieces_of=None):
+    ``pieces_of`` gives the ids of a piece in byte letters instead of the encoder above; ``code`` is I (32 bits) or H (16).
+    """
+
+    def __init__(self, text: str, pieces_of=None, code: str = "I"):
         import regex
 
+        self.code = code
+
         self.v = Vocabulary(text)
         self.find = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.v.special)) + ")").split if self.v.special else None
@@ -180,11 +185,9 @@ class WordIds(dict):
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if self.pieces_of:
-                found = self.pieces_of(piece)
-            else:
-                found = self.encoder.encode(piece.encode().decode("latin-1").translate(self.alphabet) + END)
-            ids = struct.pack(f"<{len(found)}I", *found)
+            letters = piece.encode().decode("latin-1").translate(self.alphabet)
+            found = self.pieces_of(letters) if self.pieces_of else self.encoder.encode(letters + END)
+            ids = struct.pack(f"<{len(found)}{self.code}", *found)
             if len(piece) <= MOST_CACHED_BYTES:
                 if len(self.pieces) >= MOST_CACHED // 2:
                     self.pieces.clear()
@@ -207,7 +210,7 @@ class WordIds(dict):
         out = []
         for k, part in enumerate(parts):
             if k % 2:
-                out.append(struct.pack("<I", self.v.special[part]))
+                out.append(struct.pack("<" + self.code, self.v.special[part]))
             else:
                 out += map(self.piece, self.find(self.normal(part)))
         ids = b"".join(out)

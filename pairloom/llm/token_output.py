@@ -1,6 +1,6 @@
 """Token ids as compact files: canonical, length-limited Huffman codes in independent blocks.
 
-Writing. (1) Every text is encoded once; ids go to the shared folder as 16- or 32-bit integers. (2) Each task counts its
+Writing. (1) Every text is encoded once; ids go to the shared folder as 16-bit integers (32-bit for vocabularies over 65,536). (2) Each task counts its
 ids, Spark adds the counts, and the driver turns the counts (one row per vocabulary entry, a fixed bound) into code
 lengths by package-merge. (3) Documents are range-partitioned by id and cut into blocks of about ``BLOCK`` ids. A block is
 self-contained but for the code lengths: a header, one entry per document (id, count), a bit offset every ``STEP`` ids
@@ -129,51 +129,55 @@ def read_block(block: bytes, symbol: np.ndarray, bits: np.ndarray) -> tuple[np.n
 
 
 class LibraryPieces:
-    """Ids of one piece by the tokenizers library; whole texts are cut at white space first, and words are cached."""
+    """Ids of one piece by the tokenizers library; texts are cut into words and pieces first, and words are cached."""
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.model = Tokenizer.from_str(text).model
 
-    def __call__(self, piece: str) -> list[int]:
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+    def __call__(self, letters: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(letters)]
+
+
+def width(size: int) -> str:
+    """Struct code of ids below ``size``."""
+    return "H" if size <= 1 << 16 else "I"
+
+
+def numbers(raw: bytes, code: str) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if code == "H" else "<u4")
 
 
 _words: dict[str, bpe.WordIds] = {}
 
 
-def token_table(docs: DataFrame, vocabulary: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (ids with the end id), ids (binary, little-endian unsigned 32-bit)."""
+def token_table(docs: DataFrame, vocabulary: str, end_id: int, code: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned; the end id last)."""
     ship(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(bpe.vocabulary_text(vocabulary))
-    tail = struct.pack("<I", end_id)
-    schema = "doc_id long, n long, ids binary"
+    tail = struct.pack("<" + code, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if spec.value not in _words:
             _words.clear()
-            _words[spec.value] = bpe.WordIds(spec.value, LibraryPieces(spec.value))
+            _words[spec.value] = bpe.WordIds(spec.value, LibraryPieces(spec.value), code)
         words = _words[spec.value]
         for batch in batches:
             ids = [words.text(v.as_py() or b"") + tail for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
+def count_ids(tokens: DataFrame, size: int, code: str) -> np.ndarray:
     """How often each id occurs in the whole table; each task sends one row per id it has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
             for v in batch.column(0):
-                counts += np.bincount(np.frombuffer(v.as_py(), "<u4"), minlength=size)
+                counts += np.bincount(numbers(v.as_py(), code), minlength=size)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["id", "c"])
 
@@ -186,22 +190,24 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
 def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` and write ``path/blocks`` and ``path/codebook``, in ascending order of document id."""
     spark = docs.sparkSession
-    tokens = saved(token_table(docs, vocabulary, end_id, id_col=id_col, text_col=text_col), "tokens")
     size = max(end_id + 1, len(bpe.Vocabulary(bpe.vocabulary_text(vocabulary)).strings))
-    lengths = code_lengths(count_ids(tokens, size))
+    width_code = width(size)
+    tokens = saved(token_table(docs, vocabulary, end_id, width_code, id_col=id_col, text_col=text_col), "tokens")
+    lengths = code_lengths(count_ids(tokens, size, width_code))
     spark.createDataFrame([(LIMIT, bytearray(lengths.tobytes()))], "code_limit int, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     table = spark.sparkContext.broadcast(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = table.value
         codes = canonical(code)[0]
+        step = struct.calcsize(width_code)
         names: list[int] = []
         parts: list[bytes] = []
         held, number = 0, 0
 
         def close():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            row = pack_block(np.array(names, np.int64), np.array([len(p) // 4 for p in parts]), ids, codes, code)
+            ids = numbers(b"".join(parts), width_code)
+            row = pack_block(np.array(names, np.int64), np.array([len(p) // step for p in parts]), ids, codes, code)
             return pa.RecordBatch.from_arrays(
                 [*(pa.array([x], pa.int64()) for x in (shard, number, len(ids))), pa.array([row], pa.binary())],
                 names=["shard", "number", "n", "block"],
@@ -213,7 +219,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, id_
                 shard = at
                 names.append(NO_ID if name is None else name)
                 parts.append(value.as_py())
-                held += len(parts[-1]) // 4
+                held += len(parts[-1]) // step
                 if held >= BLOCK:
                     yield close()
                     names, parts, held, number = [], [], 0, number + 1
