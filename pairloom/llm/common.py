@@ -40,31 +40,31 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``links`` (a, b: long): one row ``(node, component)`` per linked node, component = smallest node.
 
-    Large-star / small-star rounds over the edge list; every round is an aggregation with map-side minimum and one
-    join, written to the shared folder. Stops when a round changes nothing. An empty input gives an empty result.
+    Alternating large-star and small-star rounds over the edge list (u > v), each written to the shared folder: every node's
+    larger neighbours move to its smallest neighbour, then every node and its smaller neighbours do. Minima combine
+    map-side, so a node with very many links is no hot spot. Ends when a round changes nothing. No links: no rows.
     """
-    edges = saved(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
-    )
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = mark(edges)
     for _ in range(most_rounds):
+        if not before[0]:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # large-star keeps each edge's meaning: every larger neighbour of u now points at u's smallest neighbour
-        large = large.unionByName(both.join(low, "u").where("v < u and u <> m").select("u", F.col("m").alias("v"))).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(down, "u")
-        nxt = saved(
-            star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(star.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
-            "edges",
-        )
-        same = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        now = nxt.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        edges = nxt
-        if tuple(same) == tuple(now):
+        moved = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
+        edges = saved(moved.where("u <> v").distinct(), "edges")
+        now = mark(edges)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    ends = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(ends)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat_format, decontamination, line_dedup, quality_classifier, quality_rules, token_output
+from pairloom.llm import bpe, chat_format, decontamination, line_dedup, ngram_join, quality_classifier, quality_rules, token_output
 
 END_ID = 2  # appended to each document in token files
 
@@ -55,6 +55,10 @@ def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, labels))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(
@@ -128,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_quality_rules": op2_quality_rules,
         "op4_quality_mil": op4_quality_mil,
+        "op5_ngram_join": op5_ngram_join,
         "op6_line_dedup": op6_line_dedup,
         "op7_chat_format": op7_chat_format,
         "op8_decontamination": op8_decontamination,
