@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat_format, decontamination, line_dedup, ngram_join, quality_classifier, quality_rules, token_output
+from pairloom.llm import bpe, chat_format, decontamination, line_dedup, ngram_join, pii, quality_classifier, quality_rules, token_output
 
 END_ID = 2  # appended to each document in token files
 
@@ -123,6 +123,10 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
 
@@ -136,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_chat_format": op7_chat_format,
         "op8_decontamination": op8_decontamination,
+        "op9_pii": op9_pii,
         "op10_token_files": op10_token_files,
     }
 
