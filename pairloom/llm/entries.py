@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat_format, decontamination, line_dedup, ngram_join, pii, quality_classifier, quality_rules, token_output
+from pairloom.llm import bpe, chat_format, decontamination, line_dedup, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_output
 
 END_ID = 2  # appended to each document in token files
 
@@ -50,6 +50,10 @@ SELECT *, failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept FROM f
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_classifier.score(docs, quality_classifier.fit(docs, labels))
@@ -135,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_quality_rules": op2_quality_rules,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_mil": op4_quality_mil,
         "op5_ngram_join": op5_ngram_join,
         "op6_line_dedup": op6_line_dedup,
