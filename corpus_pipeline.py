@@ -5,18 +5,45 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm import bpe
+from pairloom.llm import bpe, decontamination, line_dedup, ngram_join, quality_classifier
 from pairloom.llm.common import shared_dir
 from pairloom.llm.entries import vocabulary
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, doesn't reject."""
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    return quality_classifier.score(docs, model, keep=rest).where("predicted = 1").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated three-line windows removed from texts; a text that loses all its lines goes."""
+    out = line_dedup.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each component at similarity 0.8 of five-word shingles."""
+    of = ngram_join.join_components(docs, n=5, percent=80)
+    others = of.where("component_id <> doc_id").select("doc_id").distinct()
+    left = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of ten benchmark words."""
+    return decontamination.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the remaining texts; the last stage returns the digests instead of the columns of documents."""
     return bpe.encode_decode(docs, vocabulary())
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("tokens", tokens)]
 
 #: SQL can't express the trained classifier nor the encoder; tests hold the stages against brute force.
 ORACLE_SQL = None
