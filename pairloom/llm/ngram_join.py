@@ -12,7 +12,7 @@ A text is the set of its distinct word n-grams (64-bit hashes). Two texts link i
    leader only (the class with the fewest rarer shingles); links found so join classes into components.
 4. *The rest, exactly.* What is left are pairs in one posting list whose components differ. In a list, only members
    outside its largest component are joined with the others, so a list of one component costs nothing; the pairs pass
-   the match count and the position filter, are verified, and the components are joined again. No pair that could
+   the position filter at their first common shingle and the match count, are verified, and the components are joined again. No pair that could
    still join two components is left out, so components are those of the full join.
 
 Posting lists are never gathered: leaders are minima with map-side combine, and lists meet them in equi-joins that
@@ -231,20 +231,18 @@ def join_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     parts = tagged.groupBy("key", "c").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("most")).where("parts > 1").select("key", F.col("most.c").alias("main"))
     members = saved(tagged.join(mixed, "key"), "members")
-    one = members.where("c <> main").select("key", *[F.col(v).alias(f"{v}1") for v in ("x", "n", "l", "p", "r", "c")])
-    two = members.select("key", "main", *[F.col(v).alias(f"{v}2") for v in ("x", "n", "l", "p", "r", "c")])
+    one = members.where("c <> main").select("key", *[F.col(v).alias(f"{v}1") for v in ("x", "n", "p", "c")])
+    two = members.select("key", "main", *[F.col(v).alias(f"{v}2") for v in ("x", "n", "p", "c")])
     n1, n2 = F.col("n1"), F.col("n2")
+    # a linked pair's first common shingle is one of its rows here, and nothing before it counts: all overlap lies from there on
     room = F.least(n1 - F.col("p1"), n2 - F.col("p2"))
     cross = one.join(two, "key").where(
-        (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("x1") < F.col("x2"))) & fits(n1, n2, percent)
-        & enough(F.least("r1", "r2") + room, n1, n2, percent)
+        (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("x1") < F.col("x2"))) & fits(n1, n2, percent) & enough(room, n1, n2, percent)
     )
-    pairs = cross.groupBy(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).agg(
-        F.count("*").alias("matches"), F.first(F.least("l1", "l2")).alias("l"), F.min(F.struct(F.col("p1"), room.alias("room"))).alias("at"),
-        F.first(n1 + n2).alias("both"),
-    )
-    # common shingles ahead of the first shared key: none
-    pairs = pairs.where((F.col("matches") >= F.col("l")) & (F.col("at.room") * (100 + percent) >= F.col("both") * percent)).select("a", "b")
+    met = cross.select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct()
+    keys = members.groupBy("x").agg(F.collect_list("key").alias("ks"), F.first("l").alias("l"))
+    both = met.join(keys.toDF("a", "ka", "la"), "a").join(keys.toDF("b", "kb", "lb"), "b")
+    pairs = both.where(F.size(F.array_intersect("ka", "kb")) >= F.least("la", "lb")).select("a", "b")
     pairs = saved(pairs, "pairs")
     more = verified(texts, pairs, n, percent)
     final = components(links.unionByName(more))
