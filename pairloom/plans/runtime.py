@@ -1,13 +1,14 @@
-"""Getting this package to the executors' Python workers."""
+"""The shared folder, saved tables, and getting this package to the executors' Python workers."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +26,26 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent).as_posix())
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset (tests), a folder of our own."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        return conf.rstrip("/")
+    own = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: the lineage ends here and lost executors cost nothing."""
+    path = fresh_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
