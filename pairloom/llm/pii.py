@@ -107,8 +107,11 @@ def revealing_terms(docs: DataFrame, spotted: DataFrame, *, near: int = 5, suppo
     """term, entity, p, information: the terms over the disclosure thresholds. ``docs``: d, x, t."""
     spark = docs.sparkSession
     said = mentions(spotted, near)
-    pairs = said.select("entity", "context", F.explode_outer("terms").alias("term")).where("term is not null").distinct()
-    pairs = saved(pairs.groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= support), "pairs")
+    each = said.select("d", "x", "entity", "context", F.explode_outer("terms").alias("term")).where("term is not null")
+    pairs = each.groupBy("entity", "term").agg(F.countDistinct("context").alias("n")).where(F.col("n") >= support)
+    # a term stands in at least the documents where it stands near any entity: those that can't reach the threshold go now
+    least = each.groupBy("term").agg(F.countDistinct("d", "x").alias("least"))
+    pairs = saved(pairs.join(least, "term").where(F.col("n") >= F.col("least") * threshold).drop("least"), "pairs")
     if pairs.isEmpty():
         return spark.createDataFrame([], "term string, entity string, p double, information double")
     terms = saved(pairs.select("term").distinct(), "terms")
@@ -131,7 +134,8 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
         return spotted.withColumn("term", F.array().cast(SPANS))
     words_of = rows.select("d", "x", F.explode_outer(F.array_distinct(words(F.col("t")))).alias("term"))
     having = words_of.join(small(terms.select("term"), MOST_BROADCAST), "term").groupBy("d", "x").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    joined = spotted.join(having.withColumnsRenamed({"d": "hd", "x": "hx"}), F.col("d").eqNullSafe(F.col("hd")) & (F.col("x") == F.col("hx")), "left")
+    having = small(saved(having.withColumnsRenamed({"d": "hd", "x": "hx"}), "having"), MOST_BROADCAST)
+    joined = spotted.join(having, F.col("d").eqNullSafe(F.col("hd")) & (F.col("x") == F.col("hx")), "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     spans = F.when(F.col("terms").isNotNull(), found(F.col("t"), pattern)).otherwise(F.array().cast(SPANS))
     return joined.withColumn("term", spans).drop("hd", "hx", "terms")
