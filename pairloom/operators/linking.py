@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,7 +22,6 @@ BLOCK = 1024  # vectors of a block
 def nfkc(col: Column, spark) -> Column:
     """Compatibility-composed, case-folded text, in Arrow batches."""
     ship(spark)
-    import pandas as pd
 
     @pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
@@ -128,7 +128,6 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool = False
 
     def run(batches):
         import numpy as np
-        import pandas as pd
 
         for pdf in batches:
             out = []
@@ -160,10 +159,12 @@ def hash_embed(docs: DataFrame, key: str, col: str, dim: int) -> DataFrame:
     An empty text has the one feature "".
     """
     norm = X.normalize_label(F.coalesce(F.col(col), F.lit("")))
+    docs = docs.select(F.col(key).alias("k"), norm.alias("t"))  # named first, so that the lambda below doesn't normalise anew each time
+    norm = F.col("t")
     words = F.filter(F.split(norm, " "), lambda v: v != "")
     grams = F.when(F.length(norm) >= 3, F.transform(F.sequence(F.lit(1), F.length(norm) - 2), lambda k: F.concat(F.lit("#"), F.substring(norm, k, F.lit(3))))).otherwise(F.array().cast("array<string>"))
     features = F.when(norm == "", F.array(F.lit(""))).otherwise(F.concat(words, grams))
-    each = docs.select(F.col(key).alias("k"), F.explode_outer(features).alias("f")).groupBy("k", "f").agg(F.count("*").alias("n"))
+    each = docs.select("k", F.explode_outer(features).alias("f")).groupBy("k", "f").agg(F.count("*").alias("n"))
     h = F.md5(F.encode("f", "UTF-8"))
     cell = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).alias("cell")
     sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
