@@ -162,7 +162,8 @@ def hash_embed(docs: DataFrame, key: str, col: str, dim: int) -> DataFrame:
     docs = docs.select(F.col(key).alias("k"), norm.alias("t"))  # named first, so that the lambda below doesn't normalise anew each time
     norm = F.col("t")
     words = F.filter(F.split(norm, " "), lambda v: v != "")
-    grams = F.when(F.length(norm) >= 3, F.transform(F.sequence(F.lit(1), F.length(norm) - 2), lambda k: F.concat(F.lit("#"), F.substring(norm, k, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    docs = docs.select("k", "t", F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0)).alias("cs"))  # letters by position, for slices of constant cost
+    grams = F.when(F.size("cs") >= 3, F.transform(F.sequence(F.lit(1), F.size("cs") - 2), lambda k: F.concat(F.lit("#"), F.array_join(F.slice("cs", k, 3), "")))).otherwise(F.array().cast("array<string>"))
     features = F.when(norm == "", F.array(F.lit(""))).otherwise(F.concat(words, grams))
     each = docs.select("k", F.explode_outer(features).alias("f")).groupBy("k", "f").agg(F.count("*").alias("n"))
     h = F.md5(F.encode("f", "UTF-8"))
