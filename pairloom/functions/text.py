@@ -216,5 +216,5 @@ def location_line(text: Column) -> Column:
 
 def title_line(text: Column) -> Column:
     """The first line that isn't blank and doesn't start with "location", up to a dash or bar between blanks."""
-    lines = F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda v: (v != "") & ~F.startswith(F.lower(v), F.lit("location")))
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda v: F.trim(v)), lambda v: (v != "") & ~F.startswith(F.lower(v), F.lit("location")))
     return F.trim(F.get(F.split(F.get(lines, F.lit(0)), r" [—–|-] ", 2), F.lit(0)))
