@@ -153,3 +153,53 @@ def date_in_source(claim: Column, tokens: Column) -> Column:
     year = F.regexp_extract(claim, r"\b((?:19|20)\d{2})\b", 1)
     parts = F.filter(F.split(text, r"\s*[–—\-to]+\s*", -1), lambda v: v != "")
     return F.array_contains(tokens, text) | ((year != "") & F.array_contains(tokens, year)) | F.forall(parts, lambda v: F.array_contains(tokens, v))
+
+
+def profile_doc(profiles: DataFrame, most_chars: int = 4 * 2048) -> DataFrame:
+    """user_id, doc: header, then roles oldest first, within ``most_chars``: bullets of the oldest role go from the end, then
+    the role, and the newest role's heading stays. profiles: user_id, header, roles (array of heading, bullets), oldest first.
+
+    Every line costs its length and a line end; lines are dropped in one fixed order, so those kept are a suffix of it.
+    """
+    n = F.size("roles")
+
+    def lines(r: Column, i: Column) -> Column:
+        heading = F.struct(i.alias("i"), F.lit(-1).alias("j"), r["heading"].alias("line"))
+        return F.concat(F.array(heading), F.transform(r["bullets"], lambda b, j: F.struct(i.alias("i"), j.alias("j"), F.concat(F.lit("- "), b).alias("line"))))
+
+    every = F.flatten(F.transform("roles", lines))
+    room = F.lit(most_chars) - F.length("header") - F.length(F.lit("\n\nExperience:\n\n"))
+    # newest role first, within a role the heading, then bullets in order: keep while the running length fits
+    ranked = F.array_sort(F.transform(every, lambda v: F.struct((-v["i"]).alias("a"), v["j"].alias("j"), v["i"].alias("i"), v["line"].alias("line"))))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(True).alias("open"), F.array().cast("array<struct<i:int,j:int,line:string>>").alias("out"))
+
+    def step(acc: Column, v: Column) -> Column:
+        used = acc["used"] + F.length(v["line"]) + 1
+        first = (v["i"] == n - 1) & (v["j"] == -1)
+        ok = first | (acc["open"] & (used <= room))
+        out = F.concat(acc["out"], F.array(F.struct(v["i"].alias("i"), v["j"].alias("j"), v["line"].alias("line"))))
+        return F.struct(F.when(ok, used).otherwise(acc["used"]).cast("long").alias("used"), ok.alias("open"), F.when(ok, out).otherwise(acc["out"]).alias("out"))
+
+    kept = F.array_sort(F.aggregate(ranked, start, step)["out"])
+    body = F.array_join(F.transform(kept, lambda v: v["line"]), "\n")
+    return profiles.select("user_id", F.concat("header", F.lit("\n\nExperience:\n"), body, F.lit("\n")).alias("doc"))
+
+
+def flatten_history(roles: Column) -> Column:
+    """One text of a work history: employer, title and bullet texts of each role. roles as made by assign_span_ids."""
+    return F.array_join(F.transform(roles, lambda r: F.concat_ws("\n", r["employer"], r["title"], F.array_join(F.transform(r["bullets"], lambda b: b["text"]), "\n"))), "\n")
+
+
+def generation_context(roles: Column, matched: Column, adjacent: Column, missing: Column, job: Column) -> Column:
+    """The context of a generated document: history with span ids, the three skill lists, the job."""
+
+    def block(r: Column) -> Column:
+        return F.concat_ws("\n", F.concat(r["title"], F.lit(" at "), r["employer"]), F.array_join(F.transform(r["bullets"], lambda b: F.concat(F.lit("["), b["span_id"], F.lit("] "), b["text"])), "\n"))
+
+    lists = [F.concat(F.lit(f"{name}: "), F.array_join(c, ", ")) for name, c in (("Matched", matched), ("Adjacent", adjacent), ("Missing", missing))]
+    return F.concat_ws("\n", F.array_join(F.transform(roles, block), "\n"), *lists, F.concat(F.lit("Job: "), job))
+
+
+def prepare_history(bullets: Column, source: Column) -> Column:
+    """Edited bullets get ids by place; a missing source is the user's own word."""
+    return F.struct(F.coalesce(source, F.lit("user_asserted")).alias("source"), F.transform(bullets, lambda b, j: F.struct(F.concat(F.lit("wh:0:b:"), j.cast("string")).alias("span_id"), b.alias("text"))).alias("bullets"))

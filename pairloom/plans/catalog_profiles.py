@@ -88,3 +88,62 @@ def u3(t):
 
     rows = t.documents.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("!"), "text")).otherwise(F.col("text")))
     return op.extract(rows, "doc_id", "text", model, T.StructType([T.StructField("n", T.LongType())]))
+
+
+@query("p11_profile_doc", f"""SELECT l_orderkey AS user_id, 'Title: x' || chr(10) || chr(10) || 'Experience:' || chr(10) || string_agg(title || ' at ' || employer || chr(10) || '-  did a ' || chr(10) || '-  ' || chr(10) || '- made ' || l_partkey, chr(10) ORDER BY coalesce(start, ''), start NULLS FIRST, employer, title, is_current, 'made ' || l_partkey) || chr(10) AS doc FROM {_ROLES} r GROUP BY l_orderkey""")
+def p11(t):
+    roles = F.transform("roles", lambda r: F.struct(F.concat(r["title"], F.lit(" at "), r["employer"]).alias("heading"), r["bullets"].alias("bullets")))
+    by = F.transform(F.array_sort(F.transform("roles", lambda r: F.struct(F.coalesce(r["start"], F.lit("")).alias("a"), r.alias("r")))), lambda k: k["r"])
+    rows = _roles(t).withColumn("roles", by).select(F.col("l_orderkey").alias("user_id"), F.lit("Title: x").alias("header"), roles.alias("roles"))
+    return op.profile_doc(rows)
+
+
+@query("p13_history_text")
+def p13(t):
+    return _roles(t).withColumn("r", op.assign_span_ids(F.col("roles"))).select("l_orderkey", op.flatten_history(F.col("r")).alias("text"))
+
+
+@query("p28_generation_context")
+def p28(t):
+    roles = _roles(t).select(F.col("l_orderkey").alias("match_id"), op.assign_span_ids(F.col("roles")).alias("r"))
+    rows = t.v_matches.join(roles, "match_id").join(t.v_job_skills, "job_id").join(t.v_jobs.select("job_id", "title"), "job_id")
+    half = F.floor(F.size("skill_ids") / 2).cast("int")
+    context = op.generation_context(F.col("r"), F.slice("skill_ids", F.lit(1), half), F.array().cast("array<string>"), F.slice("skill_ids", half + 1, F.size("skill_ids")), F.col("title"))
+    return rows.select("match_id", context.alias("context"))
+
+
+@query("t8_prepare_history", "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN 'parsed' ELSE 'user_asserted' END AS source, 'wh:0:b:0=' || c_name || '|wh:0:b:1=' || c_mktsegment AS bullets FROM customer")
+def t8(t):
+    made = op.prepare_history(F.array("c_name", "c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, "parsed"))
+    bullets = F.array_join(F.transform(made["bullets"], lambda b: F.concat(b["span_id"], F.lit("="), b["text"])), "|")
+    return t.customer.select(F.col("c_custkey").alias("user_id"), made["source"].alias("source"), bullets.alias("bullets"))
+
+
+_FIELDS = "(SELECT doc_id, lang AS a, CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lang END AS b, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE n_chars END AS c, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END AS d FROM documents)"
+
+
+@query("e6_field_accuracy", f"""SELECT 'lang' AS field, count(*) AS n, round(avg((a = b)::INT), 6) AS accuracy FROM {_FIELDS} x UNION ALL
+SELECT 'size', count(*), round(avg((c IS NOT DISTINCT FROM d)::INT), 6) FROM {_FIELDS} x WHERE c IS NOT NULL OR d IS NOT NULL""")
+def e6(t):
+    rows = t.sql(_FIELDS[1:-1].replace("documents", "{documents}"))
+    long = rows.select(F.explode(F.array(
+        F.struct(F.lit("lang").alias("field"), F.lit(True).alias("counts"), (F.col("a") == F.col("b")).alias("hit")),
+        F.struct(F.lit("size").alias("field"), (F.col("c").isNotNull() | F.col("d").isNotNull()).alias("counts"), F.col("c").eqNullSafe(F.col("d")).alias("hit")),
+    )).alias("f")).select("f.*").where("counts")
+    return long.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("accuracy"))
+
+
+@query("k8_planted_claims", "SELECT doc_id, true AS caught, CAST(990000000 + doc_id AS VARCHAR) AS planted FROM documents")
+def k8(t):
+    planted = (F.lit(990000000) + F.col("doc_id")).cast("string")
+    claims = F.array_except(X.numbers(F.concat("text", F.lit(" led "), planted, F.lit(" people"))), X.numbers(F.col("text")))
+    return t.documents.select("doc_id", F.array_contains(claims, planted).alias("caught"), planted.alias("planted"))
+
+
+@query("e10_fabrication_suite", "SELECT lang, count(*) AS pairs, count(*) FILTER (WHERE doc_id % 4 > 0) AS hit, false AS passed FROM documents GROUP BY lang HAVING count(*) FILTER (WHERE doc_id % 4 > 0) > 0 UNION ALL SELECT lang, count(*), 0, true FROM documents GROUP BY lang HAVING count(*) FILTER (WHERE doc_id % 4 > 0) = 0")
+def e10(t):
+    extra = (F.lit(990000000) + F.col("doc_id")).cast("string")
+    claimed = F.when(F.col("doc_id") % 4 > 0, F.concat("text", F.lit(" led "), extra, F.lit(" people"))).otherwise(F.col("text"))
+    found = F.size(F.array_except(X.numbers(claimed), X.numbers(F.col("text"))))
+    sums = t.documents.withColumn("n", found).groupBy("lang").agg(F.count("*").alias("pairs"), F.count(F.when(F.col("n") > 0, 1)).alias("hit"))
+    return sums.withColumn("passed", F.col("hit") == 0)
