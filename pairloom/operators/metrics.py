@@ -57,3 +57,12 @@ def distribution(rows: DataFrame, col: str, values: tuple[str, ...]) -> DataFram
 def share(a: Column, b: Column) -> Column:
     """Ratio to four decimals, null on nothing."""
     return F.when(b > 0, F.round(a / b, 4))
+
+
+def stage_recall(gold: DataFrame, passed: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+    """Per query: relevant, kept by the filters, among the first ``k``; and the two recalls. gold, passed: q, d; ranked: q, d, rank."""
+    one = F.lit(1)
+    rows = gold.select("q", "d").distinct().join(passed.select("q", "d", one.alias("p")).distinct(), ["q", "d"], "left")
+    rows = rows.join(ranked.where(F.col("rank") <= k).select("q", "d", one.alias("r")), ["q", "d"], "left")
+    out = rows.groupBy("q").agg(F.count("*").alias("relevant"), F.count("p").alias("kept"), F.count("r").alias("found"))
+    return out.withColumns({"kept_recall": share(F.col("kept"), F.col("relevant")), "found_recall": share(F.col("found"), F.col("relevant"))})

@@ -203,3 +203,35 @@ def generation_context(roles: Column, matched: Column, adjacent: Column, missing
 def prepare_history(bullets: Column, source: Column) -> Column:
     """Edited bullets get ids by place; a missing source is the user's own word."""
     return F.struct(F.coalesce(source, F.lit("user_asserted")).alias("source"), F.transform(bullets, lambda b, j: F.struct(F.concat(F.lit("wh:0:b:"), j.cast("string")).alias("span_id"), b.alias("text"))).alias("bullets"))
+
+
+RESUME_SECTION = r"(?i)^(?:#{1,3}\s*)?(experience|work history|employment|skills|education|summary|about)\s*:?\s*$"
+ROLE_HEAD = r"(?i)^(?:#{1,4}\s*|\*\*)?(.+?)\s+(?:—|--|-|at|,)\s+(.+?)(?:\*\*)?\s*$"
+DATES = r"(?i)((?:[A-Za-z]{3,9}\.?\s+)?\d{4}(?:[-/]\d{1,2})?)\s*[–—-]\s*(present|current|now|today|(?:[A-Za-z]{3,9}\.?\s+)?\d{4}(?:[-/]\d{1,2})?)"
+
+
+def segment_resume(docs: DataFrame, key: str, col: str) -> DataFrame:
+    """Roles of line text: key, role (running number), title, employer, start, end, bullets.
+
+    Headings carry forward; within experience a line that isn't a bullet or dates and reads "title - employer" opens a role,
+    the first date line after it gives its months, bullets follow. Windows run within one document.
+    """
+    from pyspark.sql import Window as W
+
+    lines = docs.select(key, F.posexplode_outer(F.split(col, "\n", -1)).alias("k", "raw")).withColumn("line", F.trim("raw")).where("line <> ''")
+    w = W.partitionBy(key).orderBy("k")
+    head = F.lower(F.regexp_extract("line", RESUME_SECTION, 1))
+    lines = lines.withColumn("section", F.last(F.nullif(head, F.lit("")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).where(head == "")
+    inside = F.col("section").isin("experience", "work history", "employment")
+    bullet, dated = F.col("line").rlike(BULLET), F.col("line").rlike(DATES)
+    opens = inside & ~bullet & ~dated & F.col("line").rlike(ROLE_HEAD)
+    lines = lines.withColumns({"opens": opens, "bullet": inside & bullet, "dated": inside & dated & ~bullet})
+    lines = lines.withColumn("role", F.sum(F.col("opens").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).where("role > 0")
+    first = F.min(F.when(F.col("dated"), F.struct("k", "line")))
+    title = F.min(F.when(F.col("opens"), F.struct("k", "line")))["line"]
+    bullets = F.array_sort(F.collect_list(F.when(F.col("bullet"), F.struct("k", F.regexp_extract("line", BULLET, 1).alias("v")))))
+    out = lines.groupBy(key, "role").agg(title.alias("head"), first.alias("dates"), bullets.alias("b"))
+    return out.select(
+        key, "role", F.regexp_extract("head", ROLE_HEAD, 1).alias("title"), F.regexp_extract("head", ROLE_HEAD, 2).alias("employer"),
+        X.norm_month(F.regexp_extract("dates.line", DATES, 1)).alias("start"), X.norm_month(F.regexp_extract("dates.line", DATES, 2)).alias("end"), F.transform("b", lambda v: v["v"]).alias("bullets"),
+    )

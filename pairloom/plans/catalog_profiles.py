@@ -147,3 +147,31 @@ def e10(t):
     found = F.size(F.array_except(X.numbers(claimed), X.numbers(F.col("text"))))
     sums = t.documents.withColumn("n", found).groupBy("lang").agg(F.count("*").alias("pairs"), F.count(F.when(F.col("n") > 0, 1)).alias("hit"))
     return sums.withColumn("passed", F.col("hit") == 0)
+
+
+@query("w15_segment_resume", """SELECT c_custkey, 1 AS role, 'Engineer' AS title, c_name AS employer, '2020-03' AS start, CAST(NULL AS VARCHAR) AS "end", 'did a|did b' AS bullets FROM customer
+UNION ALL SELECT c_custkey, 2, 'Clerk', 'Firm ' || c_nationkey, '2018-01', '2019-02', '' FROM customer WHERE c_custkey % 2 = 0""")
+def w15(t):
+    more = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Clerk at Firm "), F.col("c_nationkey").cast("string"), F.lit("\n2018 - 2019-2\n"))).otherwise("")
+    text = F.concat(F.lit("Name\n## Experience\n### Engineer — "), "c_name", F.lit("\nMar 2020 – Present | Town\n- did a\n\n* did b\n"), more, F.lit("Skills:\n- Python, SQL\n"))
+    return op.segment_resume(t.customer.withColumn("text", text), "c_custkey", "text").withColumn("bullets", F.array_join("bullets", "|"))
+
+
+_PASSED = "(SELECT a.vec_id AS q, b.vec_id AS d, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND (b.vec_id % 2 = 0 OR a.vec_id % 5 = b.vec_id % 5) WHERE a.vec_id % 10 = 0)"
+
+
+@query("e3_stage_recall", f"""SELECT v.q, count(*) AS relevant, count(p.d) AS kept, count(r.d) AS found, round(count(p.d) / count(*), 4) AS kept_recall, round(count(r.d) / count(*), 4) AS found_recall FROM {{v_relevance}} v
+LEFT JOIN {_PASSED} p ON p.q = v.q AND p.d = v.d LEFT JOIN (SELECT * FROM (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, d) AS rk FROM {_PASSED} x) WHERE rk <= 5) r ON r.q = v.q AND r.d = v.d GROUP BY v.q""")
+def e3(t):
+    from pyspark.sql import Window as W
+
+    from pairloom.functions import match as M
+    from pairloom.operators import metrics
+
+    q = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.array(F.concat(F.lit("town "), (F.col("vec_id") % 5).cast("string"))).alias("places"))
+    d = t.embeddings.select(F.col("vec_id").alias("d"), F.col("embedding").alias("de"), F.when(F.col("vec_id") % 2 > 0, F.concat(F.lit("Town "), (F.col("vec_id") % 5).cast("string"))).alias("location"))
+    kinds = q.select("places").distinct().crossJoin(d.select("location").distinct()).where(M.p_location(F.col("places"), F.col("location")))
+    passed = q.join(kinds, "places").withColumnRenamed("location", "l").join(d, F.col("l").eqNullSafe(F.col("location"))).where("q <> d").withColumn("s", F.round(M.dot(F.col("qe"), F.col("de")), 6))
+    ranked = passed.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "d")))
+    gold = t.embeddings.select(F.col("vec_id").alias("d"), "label").join(t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "label"), "label").where("q <> d")
+    return metrics.stage_recall(gold, passed, ranked, 5)
