@@ -8,8 +8,10 @@ NAMES = ("j1_filter_pairs", "w4_top_per_user", "x3_skill_buckets", "t1_increment
 
 
 def rows(frame, columns):
+    import pandas as pd
+
     def one(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         if isinstance(v, bool):
             return str(v)
