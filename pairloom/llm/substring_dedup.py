@@ -6,11 +6,14 @@ and they all have c's hash as min-hash. Only nodes at least as wide as the short
 per function, instead of n squared passages.
 
 1. Windows of all texts, one row per text, are written to the shared folder.
-2. A key (function, min-hash) that occurs once finds nothing. Of the others, the smallest document is the leader; the
-   windows meet it in an equi-join, so a passage that many documents share costs a row per window, never pairs.
-3. Interval join: a document and a leader are candidates if windows of at least two functions hold a common passage on
-   both sides. (Of four functions, two or more agree with probability 0.97 at similarity 0.8, and always on equal passages.)
-4. Verification: shingles of the candidate texts only are read again; windows of the document and their counterparts in
+2. A key (function, min-hash) that only one document holds finds nothing. Of the others, each pair of windows of two
+   functions that hold a common passage gives a combined key: two documents are candidates if they share one.
+   (Of four functions, two or more agree with probability 0.97 at similarity 0.8, and always on equal passages.)
+3. In rounds, the smallest document of each combined key is its leader and meets the other members in an equi-join. Members
+   whose roots lie in a passage shared with the leader are set aside, so a passage that many documents share costs a row per
+   member, never pairs; the rest elect the next leaders (1, 4, 16, ... to a key) until none is left. New leaders meet
+   all members, so two members stay untested only if both hold a verified passage of the same leader at the key's roots.
+4. Verification: shingles of the candidate texts only are read again, whole; windows of the document and their counterparts in
    the leader stand if their Jaccard similarity (of shingles with their counts) reaches ``percent``. Spans, links and components follow.
 
 Everything but the windows and the verification of a pair (numpy on Arrow batches) is DataFrame work.
@@ -140,12 +143,37 @@ def _two(a: str, b: str) -> Column:
     return F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long"))
 
 
-def _high(c: str) -> Column:
-    return F.shiftright(c, 32).cast("int")
+def combined(met: DataFrame, width: int) -> DataFrame:
+    """ck, d, lo, hi: pairs of a document's windows of two functions that hold a common passage; lo and hi are their roots."""
 
-
-def _low(c: str) -> Column:
-    return F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = (1 << 32) - 1
+        for batch in batches:
+            ws = batch.column(1)
+            ends = ws.offsets.to_numpy()
+            flat = ws.values
+            key, ac, hb = (flat.field(k).to_numpy() for k in range(3))
+            key, wa, wc, wh, wb = key.view(np.uint64), ac >> 32, ac & low, hb >> 32, hb & low
+            for d, i, j in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
+                k, a, c, h, b = (x[i:j] for x in (key, wa, wc, wh, wb))
+                step = max(1, (1 << 22) // max(1, j - i))
+                for at in range(0, j - i, step):
+                    part = slice(at, at + step)
+                    u_a, u_c, u_h, u_b = (x[part, None] for x in (a, c, h, b))
+                    first, last = np.maximum(u_a, a), np.minimum(u_b, b)
+                    fits = (u_h < h) & (first <= np.minimum(u_c, c)) & (np.maximum(u_c, c) <= last) & (last - first + 1 >= width)
+                    u, v = np.nonzero(fits)
+                    if not len(u):
+                        continue
+                    u += at
+                    mixed = k[u] * _FACTORS[0] ^ (k[v] * _FACTORS[1] >> np.uint64(7)) ^ k[v] * _FACTORS[2]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mixed.view(np.int64)), pa.array(np.full(len(u), d, np.int64)), pa.array(np.minimum(c[u], c[v]).astype(np.int32)), pa.array(np.maximum(c[u], c[v]).astype(np.int32))],
+                        names=["ck", "d", "lo", "hi"],
+                    )
+
+    per = met.groupBy("d").agg(F.collect_list(F.struct("key", "ac", "hb")).alias("ws"))
+    return per.mapInArrow(run, "ck long, d long, lo int, hi int")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, words: int = WORDS, hashes: int = HASHES, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,52 +189,45 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, words: int = WOR
     each = rows.where("d is not null").select("d", F.inline_outer("w")).where("key is not null")
     # two numbers to a column: these rows are the bulk of what is shuffled
     each = each.select("key", "d", _two("a", "c").alias("ac"), _two("h", "b").alias("hb"))
-    keys = each.groupBy("key").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead < last").drop("last")
-    met = saved(each.join(keys, "key"), "met")
-    lead = met.where("d = lead").groupBy("key").agg(F.min(F.struct("ac", "hb")).alias("y"))
-    parts = [_high("hb").alias("h"), _high("ac").alias("a"), _low("ac").alias("c"), _low("hb").alias("b"), _high("y.ac").alias("a2"), _low("y.ac").alias("c2"), _low("y.hb").alias("b2")]
-    joined = met.where("d <> lead").join(lead, "key").select("d", "lead", F.struct(*parts).alias("w"))
-
-    def together(u, v):
-        def side(a, c, b):
-            return (F.greatest(u[a], v[a]) <= F.least(u[c], v[c])) & (F.greatest(u[c], v[c]) <= F.least(u[b], v[b])) & (F.least(u[b], v[b]) - F.greatest(u[a], v[a]) + 1 >= width)
-
-        return (u["h"] < v["h"]) & side("a", "c", "b") & side("a2", "c2", "b2")
-
-    near = joined.groupBy("d", "lead").agg(F.collect_list("w").alias("ws"))
-    near = near.where(F.exists("ws", lambda u: F.exists("ws", lambda v: together(u, v))))
-
-    def reach(c: str, low: bool):
-        """Every passage of the width has a root of each function, so nothing shared lies a width beyond the roots met (repeated tokens: two)."""
-        roots = F.transform("ws", lambda w: w[c])
-        return F.greatest(F.array_min(roots) - 2 * width, F.lit(0)) if low else F.array_max(roots) + 2 * width + 1
-
-    pairs = saved(near.select("d", "lead", reach("c", True).alias("s"), reach("c", False).alias("e"), reach("c2", True).alias("s2"), reach("c2", False).alias("e2")), "pairs")
-
-    ids = saved(pairs.select(F.explode(F.array("d", "lead")).alias("d")).distinct(), "ids")
+    keys = each.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key")
+    twos = saved(combined(each.join(keys, "key"), width), "twos")
+    common = twos.groupBy("ck").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("ck")
+    lists = saved(twos.join(common, "ck"), "lists")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [(shingle_sequence(v.as_py() or b"", shingle) >> np.uint64(32)).astype("<u4").tobytes() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["d", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["d", "t"])
 
-    read = saved(texts.join(small(ids, MOST_BROADCAST), "d", "left_semi").mapInArrow(tokens, "d long, s binary"), "tokens")
+    ids = saved(lists.select("d").distinct(), "ids")
+    read = saved(texts.join(small(ids, MOST_BROADCAST), "d", "left_semi").mapInArrow(tokens, "d long, t binary"), "tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, lead, at, at2, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = passages(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), width, percent)
-                out += [(d, lead, s + at, e + at, s2 + at2, e2 + at2) for s, e, s2, e2 in found]
+            for d, lead, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(d, lead, *v) for v in passages(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), width, percent)]
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(columns)], names=["d", "lead", "s", "e", "s2", "e2"])
 
-    def cut(col: str, s: str, e: str):
-        return F.substring(col, F.col(s) * 4 + 1, (F.col(e) - F.col(s)) * 4)
-
-    both = pairs.join(read.withColumnRenamed("s", "t"), "d").select("d", "lead", "s", "s2", "e2", cut("t", "s", "e").alias("x"))
-    both = both.join(read.select(F.col("d").alias("lead"), F.col("s").alias("t")), "lead").select("d", "lead", "s", "s2", "x", cut("t", "s2", "e2").alias("y"))
-    found = saved(both.mapInArrow(verify, "d long, lead long, s int, e int, s2 int, e2 int"), "found")
+    active, tested, found, buckets = lists, None, None, 1
+    while True:
+        leaders = saved(active.groupBy("ck", F.pmod(F.xxhash64("d"), F.lit(buckets)).alias("bucket")).agg(F.min("d").alias("lead")).drop("bucket"), "leaders")
+        if found is not None and leaders.isEmpty():
+            break
+        # a new leader meets all members of its key, also those set aside
+        pairs = lists.join(leaders, "ck").where("d <> lead").select(F.greatest("d", "lead").alias("d"), F.least("d", "lead").alias("lead")).distinct()
+        pairs = saved(pairs if tested is None else pairs.join(tested, ["d", "lead"], "left_anti"), "pairs")
+        both = pairs.join(read.withColumnRenamed("t", "x"), "d").join(read.select(F.col("d").alias("lead"), F.col("t").alias("y")), "lead").select("d", "lead", "x", "y")
+        met = saved(both.mapInArrow(verify, "d long, lead long, s int, e int, s2 int, e2 int"), "found")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = met if found is None else found.unionByName(met)
+        # set aside: leaders, and members whose roots lie in a passage shared with a leader of the key
+        stays = active.join(leaders.withColumnRenamed("lead", "d"), ["ck", "d"], "left_anti")
+        spans = found.select("d", "lead", "s", "e").unionByName(found.select(F.col("lead").alias("d"), F.col("d").alias("lead"), F.col("s2").alias("s"), F.col("e2").alias("e")))
+        held = stays.join(leaders, "ck").join(spans, ["d", "lead"]).where("s <= lo and hi < e").select("ck", "d", "lo", "hi").distinct()
+        active = saved(stays.join(held, ["ck", "d", "lo", "hi"], "left_anti"), "active")
+        buckets *= 4
 
     linked = components(found.select(F.col("d").alias("a"), F.col("lead").alias("b")))
     sides = found.select("d", F.col("lead").alias("partner"), "s", "e").unionByName(found.select(F.col("lead").alias("d"), F.col("d").alias("partner"), F.col("s2").alias("s"), F.col("e2").alias("e")))
