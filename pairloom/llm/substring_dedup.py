@@ -129,13 +129,37 @@ def aligned(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> list[tupl
     return [(int(f[0]), int(z.max()) + 1, int(other[f].min()), int(other[z].max()) + 1) for f, z in zip(np.split(first, cuts), np.split(last, cuts), strict=True)]
 
 
+def repeated(tokens: np.ndarray) -> np.ndarray:
+    _, at, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    return counts[at] > 1
+
+
 def passages(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int]]:
     """(s, e, s2, e2): token spans of x with their counterparts in y, made of windows that reach the similarity."""
     if len(x) < width or len(y) < width:
         return []
     found = aligned(x, y, width, percent)
-    if len(np.unique(x)) < len(x) or len(np.unique(y)) < len(y):  # repeated tokens: also match the k-th with the k-th
+    twice, again = repeated(x), repeated(y)
+    if twice.any() or again.any():  # repeated tokens: also match the k-th with the k-th
         found += aligned(numbered(x), numbered(y), width, percent)
+    again &= np.isin(y, x)
+    if not again.any():
+        return found
+    # tokens with several places in y: every place, by stretches one of which holds any counterpart whole
+    far = 100 * width // percent
+    twice &= np.isin(x, y)
+    for at in range(0, len(y), far):
+        part = y[at : at + 2 * far]
+        if not again[at : at + 2 * far].any():
+            continue
+        found += [(s, e, s2 + at, e2 + at) for s, e, s2, e2 in aligned(x, part, width, percent)]
+        if not (twice.any() and repeated(part).any()):
+            continue
+        for on in range(0, len(x), far):
+            end, end2 = min(on + 2 * far, len(x)), min(at + 2 * far, len(y))
+            if not twice[on:end].any() or any(s <= on and end <= e and s2 <= at and end2 <= e2 for s, e, s2, e2 in found):
+                continue
+            found += [(s + on, e + on, s2 + at, e2 + at) for s, e, s2, e2 in aligned(numbered(x[on:end]), numbered(part), width, percent)]
     return found
 
 

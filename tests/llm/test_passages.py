@@ -60,3 +60,22 @@ def test_second_passage_far_from_the_roots_met(spark):
     for k in range(10):
         assert covered(got[100 + k]) >= {*range(60), *range(460, 510)}
         assert covered(got[200 + k]) >= {*range(7, 67), *range(367, 417)}
+
+
+def test_passage_whose_start_also_stands_earlier():
+    import numpy as np
+
+    from pairloom.llm import substring_dedup as s
+
+    r = np.random.default_rng(4)
+
+    def some(n):
+        return r.integers(0, 1 << 32, n, dtype=np.uint64).astype("<u4")
+
+    licence, more = some(36), some(10)
+    x = np.concatenate([some(30), licence, more])
+    y = np.concatenate([licence, some(500), licence, more, some(20)])
+    assert any(a <= 30 and b >= 76 and c <= 536 and d >= 582 for a, b, c, d in s.passages(x, y, 46, 80))
+    y = np.concatenate([x, some(700), x])  # both places count
+    places = {k for *_, c, d in s.passages(x, y, 46, 80) for k in range(c, d)}
+    assert places >= {*range(76), *range(776, 852)}
