@@ -6,8 +6,8 @@ characters skip its pattern; the patterns are possessive, so long runs of digits
 
 *Disclosure.* An entity is a normalised value. Words (runs of letters) within ``near`` words of its mentions co-occur
 with it; copies of a mention (equal context) count once. For a term t that supports an entity e in at least
-``support`` contexts, the corpus gives p(e | t) = contexts of e with t / documents with t, and the information
-log2(p(e | t) / p(e)). Terms with p >= ``threshold`` and at least ``bits`` bits of information reveal the entity wherever they stand: all
+``support`` contexts, the corpus gives p(e | t) = documents with t near e / documents with t, and the information
+log2(p(e | t) / p(e)). All of these count documents (distinct pairs of id and text), copies on both sides. Terms with p >= ``threshold`` and at least ``bits`` bits of information reveal the entity wherever they stand: all
 their occurrences become spans of kind ``term``, to be generalised or removed like the rest.
 
 Only mentions, their context words and per-term counts are shuffled; the corpus is scanned again for the document
@@ -106,20 +106,21 @@ def mentions(spotted: DataFrame, near: int) -> DataFrame:
 def revealing_terms(docs: DataFrame, spotted: DataFrame, *, near: int = 5, support: int = 3, threshold: float = 0.5, bits: float = 3.0) -> DataFrame:
     """term, entity, p, information: the terms over the disclosure thresholds. ``docs``: d, x, t."""
     spark = docs.sparkSession
+    one = F.struct("d", "x")  # never null, so documents without an id count too
     said = mentions(spotted, near)
     each = said.select("d", "x", "entity", "context", F.explode_outer("terms").alias("term")).where("term is not null")
-    pairs = each.groupBy("entity", "term").agg(F.countDistinct("context").alias("n")).where(F.col("n") >= support)
+    pairs = each.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct(one).alias("n")).where(F.col("contexts") >= support).drop("contexts")
     # a term stands in at least the documents where it stands near any entity: those that can't reach the threshold go now
-    least = each.groupBy("term").agg(F.countDistinct("d", "x").alias("least"))
+    least = each.groupBy("term").agg(F.countDistinct(one).alias("least"))
     pairs = saved(pairs.join(least, "term").where(F.col("n") >= F.col("least") * threshold).drop("least"), "pairs")
     if pairs.isEmpty():
         return spark.createDataFrame([], "term string, entity string, p double, information double")
     terms = saved(pairs.select("term").distinct(), "terms")
-    seen = docs.select(F.explode_outer(F.array_distinct(words(F.col("t")))).alias("term"))
-    counts = seen.join(small(terms, MOST_BROADCAST), "term").groupBy("term").agg(F.count("*").alias("df"))
-    mentioned = said.groupBy("entity").agg(F.countDistinct("d", "x").alias("ne"))
-    total = docs.count()
-    p = F.least(F.col("n") / F.col("df"), F.lit(1.0))
+    seen = docs.select("d", "x", F.explode_outer(F.array_distinct(words(F.col("t")))).alias("term"))
+    counts = seen.join(small(terms, MOST_BROADCAST), "term").groupBy("term").agg(F.countDistinct(one).alias("df"))
+    mentioned = said.groupBy("entity").agg(F.countDistinct(one).alias("ne"))
+    total = docs.agg(F.countDistinct(one)).first()[0]
+    p = F.col("n") / F.col("df")
     scored = pairs.join(counts, "term").join(mentioned, "entity").select("term", "entity", p.alias("p"), F.log2(p * total / F.col("ne")).alias("information"))
     return scored.where((F.col("p") >= threshold) & (F.col("information") >= bits))
 
