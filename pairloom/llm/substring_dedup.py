@@ -12,7 +12,7 @@ per function, instead of n squared passages.
 3. In rounds, the smallest document of each combined key is its leader and meets the other members in an equi-join. Members
    whose roots lie in a passage shared with the leader are set aside, so a passage that many documents share costs a row per
    member, never pairs; the rest elect the next leaders (1, 4, 16, ... to a key) until none is left. New leaders meet
-   all members, so two members stay untested only if both hold a verified passage of the same leader at the key's roots.
+   all members, so two members stay untested only if each holds a verified passage of a leader (not always the same) at the key's roots.
 4. Verification: shingles of the candidate texts only are read again, whole; windows of the document and their counterparts in
    the leader stand if their Jaccard similarity (of shingles with their counts) reaches ``percent``. Spans, links and components follow.
 
