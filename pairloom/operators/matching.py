@@ -2,64 +2,193 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pairloom.functions import match as M
+from pairloom.plans.runtime import ship
+
+BLOCK = 1024  # rows of a block
+BLOCKS_A_TASK = 4  # blocks of either side that one task gets
+
+
+def _blocks(rows: DataFrame, ident: str, name: str) -> DataFrame:
+    """Rows as arrays of about ``BLOCK``, dealt by hash of the id, so that no filter value makes a block large."""
+    n = max(1, math.ceil(rows.count() / BLOCK))
+    dealt = rows.select(F.pmod(F.xxhash64(ident), F.lit(n)).alias("b"), F.struct(*rows.columns).alias("r")).repartition(math.ceil(n / BLOCKS_A_TASK), "b")
+    return dealt.groupBy("b").agg(F.collect_list("r").alias(name)).select(name)
+
+
+def _fits(tokens: list[str], texts: list[str], like: bool):
+    """tokens x texts: the token stands in the text, or (without ``like``) the text in the token; all in lower case."""
+    import numpy as np
+
+    out = np.zeros((len(tokens), len(texts)), bool)
+    for k, token in enumerate(tokens):
+        if like and any(c in token for c in "%_\\"):
+            steps = re.findall(r"\\?.", token, re.S)
+            find = re.compile("".join({"%": ".*", "_": "."}.get(c) or re.escape(c[-1]) for c in steps), re.S).search
+            out[k] = [bool(find(t)) for t in texts]
+        else:
+            out[k] = [token in t or (not like and t in token) for t in texts]
+    return out
+
+
+def _sets(lists: list[list[str] | None]):
+    """Distinct values of lists of strings; one multi-hot row per list; which lists are null or empty."""
+    import numpy as np
+
+    values = {v: k for k, v in enumerate(sorted({v for x in lists for v in x or () if v is not None}))}
+    hot = np.zeros((len(lists), len(values)), np.float32)
+    for row, x in enumerate(lists):
+        hot[row, [values[v] for v in x or () if v is not None]] = 1
+    return list(values), hot, np.array([not x for x in lists], bool)
+
+
+def _codes(values: list[str | None]):
+    """Distinct values, one code per value, and which are null."""
+    import numpy as np
+
+    known = {v: k for k, v in enumerate(sorted({v for v in values if v is not None}))}
+    return list(known), np.array([known.get(v, 0) for v in values], np.int64), np.array([v is None for v in values], bool)
+
+
+def _passes(users, jobs):
+    """users x jobs: the pair passes all filters. Strings are compared once per distinct value of the two blocks."""
+    import numpy as np
+
+    def any_of(wanted: str, given: str, fits):
+        values, hot, free = _sets(users.field(wanted).to_pylist())
+        texts, code, null = _codes(jobs.field(given).to_pylist())
+        if not values or not texts:
+            return free[:, None] | null
+        return free[:, None] | null | ((hot @ fits(values, texts).astype(np.float32)) > 0)[:, code]
+
+    def equal(values, texts):
+        return np.array(values, object)[:, None] == np.array(texts, object)
+
+    ok = any_of("places", "place", lambda a, b: _fits(a, b, False)) & any_of("families", "title", lambda a, b: _fits(a, b, True))
+    ok &= any_of("arrangements", "arrangement", equal) & any_of("band", "seniority", equal)
+    floor, least = (np.array(x.to_pylist(), np.float64) for x in (users.field("comp_floor"), jobs.field("comp_min")))
+    return ok & (np.isnan(floor)[:, None] | np.isnan(least) | (least >= floor[:, None]))
+
 
+def _vectors(rows):
+    import numpy as np
 
-def filter_pairs(jobs: DataFrame, users: DataFrame, *, since: Column | None = None, as_of: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """All (job, user) that pass the user's filters: user_id, job_id and the columns named in ``keep`` (of either side).
+    values = rows.field("embedding").to_pylist()
+    size = {len(v) for v in values if v is not None}
+    if len(size) > 1:
+        raise ValueError("vectors of different lengths")
+    blank = [0.0] * (size.pop() if size else 0)
+    return np.array([blank if v is None else v for v in values], np.float64), np.array([v is None for v in values], bool)
 
-    Places and titles are matched once per distinct value of the job's column and the user's array; jobs and users then
-    meet those two small dictionaries by null-safe equality, and comp, arrangement and seniority stay as conditions on
-    the joined rows. The only nested loops run over distinct values.
+
+def _similarity(users, jobs):
+    """Inner products, NaN where a side has no vector."""
+    import numpy as np
+
+    (u, no_u), (j, no_j) = _vectors(users), _vectors(jobs)
+    if no_u.all() or no_j.all():
+        return np.full((len(no_u), len(no_j)), np.nan)
+    out = u @ j.T
+    out[no_u], out[:, no_j] = np.nan, np.nan
+    return out
+
+
+def _jaccard(users, jobs):
+    import numpy as np
+
+    lists = users.field("skill_ids").to_pylist()
+    _, hot, _ = _sets(lists + jobs.field("skill_ids").to_pylist())
+    u, j = hot[: len(lists)], hot[len(lists) :]
+    both = (u @ j.T).astype(np.float64)
+    union = u.sum(1, dtype=np.float64)[:, None] + j.sum(1, dtype=np.float64) - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
+def _best(users, jobs_ids, at, score, top_n: int):
+    """Of the pairs ``at`` (user row, job row) the ``top_n`` of each user by score, then job."""
+    import numpy as np
+
+    order = np.lexsort((jobs_ids[at[1]], -score, at[0]))
+    row = at[0][order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate([first, [len(row)]])))
+    return order[place < top_n]
+
+
+def _pairs(jobs: DataFrame, users: DataFrame, keep: tuple[str, ...], *, similarity: bool = False, top_n: int | None = None, scores: bool = False) -> DataFrame:
+    """user_id, job_id, ``keep`` and the measures asked for, of all pairs that pass the filters.
+
+    Blocks of users meet blocks of jobs; a pair of blocks is one step in numpy: filters on distinct values, similarity as a
+    matrix product, skills as one of multi-hot rows. Only pairs that pass become rows, and with ``top_n`` only the best of each user
+    and block. Blocks are dealt by hash, so common filter values (or none) make no hot key, and every task has as much to do.
     """
+    ship(jobs.sparkSession)
+    first = F.transform("title_families", lambda v: F.lower(F.split_part(F.replace(v, F.lit("/"), F.lit(" ")), F.lit(" "), F.lit(1))))
+    more = (["embedding"] if similarity or scores else []) + (["skill_ids"] if scores else [])
+    u = users.select(
+        "user_id", F.transform("locations", F.lower).alias("places"), first.alias("families"), F.col("work_arrangement").alias("arrangements"),
+        F.when(F.col("seniority_band") != "", F.split(F.lower("seniority_band"), ",")).alias("band"), "comp_floor", *more, *[c for c in keep if c in users.columns],
+    )
+    j = jobs.select(
+        "job_id", F.lower("location").alias("place"), F.lower("title").alias("title"), F.col("work_arrangement").alias("arrangement"), F.lower("seniority").alias("seniority"),
+        "comp_min", *more, *[c for c in keep if c in jobs.columns],
+    )
+    names = ["user_id", "job_id", *keep]
+    kinds = {f.name: f.dataType for f in [*jobs.schema, *users.schema]}
+    measures = (["similarity"] if similarity or scores else []) + (["jaccard", "score"] if scores else [])
+    schema = T.StructType([*(T.StructField(c, kinds[c]) for c in names), *(T.StructField(c, T.DoubleType()) for c in measures)])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                user, job = (batch.column(x)[k].values for x in range(2))
+                at = np.nonzero(_passes(user, job))
+                values = {}
+                if measures:
+                    values["similarity"] = _similarity(user, job)[at]
+                if scores:
+                    values["similarity"] = np.round(values["similarity"], 6)
+                    values["jaccard"] = _jaccard(user, job)[at]
+                    # cut to 4 decimals, so that ties are ties
+                    values["score"] = np.floor((0.7 * np.nan_to_num(values["similarity"]) + 0.3 * values["jaccard"]) * 10000 + 0.0001) / 10000
+                if top_n is not None and len(at[0]):
+                    chosen = _best(user, np.array(job.field("job_id")), at, values["score"], top_n)
+                    at, values = (at[0][chosen], at[1][chosen]), {c: v[chosen] for c, v in values.items()}
+                of_user, of_job = (pa.array(x) for x in at)
+                fields = {x.name for x in user.type}
+                columns = [user.field(c).take(of_user) if c in fields else job.field(c).take(of_job) for c in names]
+                columns += [pa.array(values[c], mask=np.isnan(values[c])) for c in measures]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *measures])
+
+    return _blocks(u, "user_id", "u").crossJoin(_blocks(j, "job_id", "j")).mapInArrow(run, schema)
+
+
+def filter_pairs(jobs: DataFrame, users: DataFrame, *, since: Column | None = None, as_of: Column | None = None, keep: tuple[str, ...] = (), similarity: bool = False) -> DataFrame:
+    """All (job, user) that pass the user's filters: user_id, job_id, the columns named in ``keep`` (of either side) and, if asked
+    for, similarity (null without both vectors; vectors of different lengths are an error)."""
     if since is not None:
         jobs = jobs.where(M.p_since(since, F.col("ingested_at"), F.col("extracted_at")))
     if as_of is not None:
         jobs = jobs.where(M.p_live(F.col("expires_at"), as_of))
-    places = jobs.select(F.col("location").alias("jl")).distinct().crossJoin(users.select(F.col("locations").alias("ul")).distinct()).where(M.p_location(F.col("ul"), F.col("jl")))
-    titles = jobs.select(F.col("title").alias("jt")).distinct().crossJoin(users.select(F.col("title_families").alias("ut")).distinct()).where(M.p_title(F.col("ut"), F.col("jt")))
-    j = jobs.join(places, F.col("location").eqNullSafe(F.col("jl"))).join(titles, F.col("title").eqNullSafe(F.col("jt")))
-    j = j.select("job_id", "ul", "ut", "comp_min", F.col("work_arrangement").alias("ja"), F.col("seniority").alias("js"), *[c for c in keep if c in jobs.columns])
-    u = users.select("user_id", F.col("locations").alias("ul0"), F.col("title_families").alias("ut0"), "comp_floor", F.col("work_arrangement").alias("ua"), "seniority_band", *[c for c in keep if c in users.columns])
-    same = F.col("ul").eqNullSafe(F.col("ul0")) & F.col("ut").eqNullSafe(F.col("ut0"))
-    rest = M.p_comp(F.col("comp_floor"), F.col("comp_min")) & M.p_arrangement(F.col("ua"), F.col("ja")) & M.p_seniority(F.col("seniority_band"), F.col("js"))
-    return j.join(u, same & rest).select("user_id", "job_id", *keep)
-
-
-def filter_pairs_batch(batch: DataFrame, users: DataFrame) -> DataFrame:
-    """The same for a micro-batch of jobs: the batch is broadcast and each user's row is compared with it."""
-    u = users.withColumnsRenamed({"work_arrangement": "ua"})
-    passes = (
-        M.p_location(F.col("locations"), F.col("location")) & M.p_title(F.col("title_families"), F.col("title")) & M.p_comp(F.col("comp_floor"), F.col("comp_min"))
-        & M.p_arrangement(F.col("ua"), F.col("work_arrangement")) & M.p_seniority(F.col("seniority_band"), F.col("seniority"))
-    )
-    return u.drop("embedding").join(F.broadcast(batch.drop("embedding")), passes).select("user_id", "job_id")
-
-
-def with_similarity(pairs: DataFrame, jobs: DataFrame, users: DataFrame) -> DataFrame:
-    """Adds similarity (null without both vectors), after the filters have cut the pairs."""
-    out = pairs.join(jobs.select("job_id", F.col("embedding").alias("je")), "job_id").join(users.select("user_id", F.col("embedding").alias("ue")), "user_id")
-    return out.withColumn("similarity", F.when(F.col("je").isNotNull() & F.col("ue").isNotNull(), M.dot(F.col("je"), F.col("ue")))).drop("je", "ue")
-
-
-def with_skills(pairs: DataFrame, job_skills: DataFrame, profile_skills: DataFrame) -> DataFrame:
-    """Adds the skill lists of both sides (empty where there are none)."""
-    none = F.array().cast("array<string>")
-    out = pairs.join(job_skills.select("job_id", F.col("skill_ids").alias("js")), "job_id", "left").join(profile_skills.select("user_id", F.col("skill_ids").alias("us")), "user_id", "left")
-    return out.withColumns({"js": F.coalesce("js", none), "us": F.coalesce("us", none)})
+    return _pairs(jobs, users, keep, similarity=similarity)
 
 
-def scored(jobs: DataFrame, users: DataFrame, job_skills: DataFrame, profile_skills: DataFrame, **limits) -> DataFrame:
-    """user_id, job_id, similarity, jaccard, score (cut to 4 decimals, so that ties are ties) of all pairs that pass and are extracted."""
-    pairs = filter_pairs(jobs.where("extracted_at is not null"), users, **limits)
-    both = with_skills(with_similarity(pairs, jobs, users), job_skills, profile_skills)
-    both = both.select("user_id", "job_id", F.round("similarity", 6).alias("similarity"), M.jaccard(F.col("js"), F.col("us")).alias("jaccard"))
-    score = M.combined_score(F.col("similarity"), F.col("jaccard"))
-    return both.withColumn("score", F.floor(score * 10000 + 0.0001) / 10000)
+def scored(jobs: DataFrame, users: DataFrame, job_skills: DataFrame, profile_skills: DataFrame, *, top_n: int | None = None) -> DataFrame:
+    """user_id, job_id, similarity, jaccard, score of all pairs that pass and are extracted; with ``top_n`` a superset of each user's best."""
+    j = jobs.where("extracted_at is not null").join(job_skills.select("job_id", "skill_ids"), "job_id", "left")
+    u = users.join(profile_skills.select("user_id", "skill_ids"), "user_id", "left")
+    return _pairs(j, u, (), scores=True, top_n=top_n)
 
 
 def top_per_user(pairs: DataFrame, used: DataFrame, done: DataFrame, top_n: int, cap: int) -> DataFrame:

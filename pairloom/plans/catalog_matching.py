@@ -59,8 +59,8 @@ _PAIRS = f"SELECT u.user_id, j.job_id FROM {{v_jobs}} j, {{v_users}} u WHERE {_A
 
 @query("j1_filter_pairs", f"SELECT u.user_id, j.job_id, round(list_inner_product(j.embedding::DOUBLE[], u.embedding::DOUBLE[]), 5) + 0 AS similarity FROM {{v_jobs}} j, {{v_users}} u WHERE {_ALL} AND (j.expires_at IS NULL OR j.expires_at > TIMESTAMP '{AS_OF}') AND (j.ingested_at > TIMESTAMP '{SINCE}' OR j.extracted_at > TIMESTAMP '{SINCE}')")
 def j1(t):
-    pairs = op.filter_pairs(t.v_jobs, t.v_users, since=_ntz(SINCE), as_of=_ntz(AS_OF))
-    return op.with_similarity(pairs, t.v_jobs, t.v_users).withColumn("similarity", F.round("similarity", 5) + 0.0)
+    pairs = op.filter_pairs(t.v_jobs, t.v_users, since=_ntz(SINCE), as_of=_ntz(AS_OF), similarity=True)
+    return pairs.withColumn("similarity", F.round("similarity", 5) + 0.0)
 
 
 @query("j13_location_sensitivity", f"""
@@ -91,7 +91,7 @@ used AS (SELECT user_id, count(*) AS n FROM {{v_matches}} WHERE cycle_at >= date
 SELECT user_id, job_id, score, rank FROM k LEFT JOIN used USING (user_id) WHERE rank <= least(5, greatest(0, 12 - coalesce(n, 0)))
  AND NOT EXISTS (SELECT 1 FROM {{v_matches}} m WHERE m.user_id = k.user_id AND m.job_id = k.job_id AND m.cycle_at = TIMESTAMP '{CYCLE}')""")
 def w4(t):
-    scores = v5(t)
+    scores = op.scored(t.v_jobs, t.v_users, t.v_job_skills, t.v_profile_skills, top_n=5)
     done = t.v_matches.where(F.col("cycle_at") == _ntz(CYCLE)).select("user_id", "job_id")
     return op.top_per_user(scores, op.used_today(t.v_matches, _ntz(CYCLE)), done, 5, 12).select("user_id", "job_id", "score", F.col("rank").cast("long").alias("rank"))
 

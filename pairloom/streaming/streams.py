@@ -32,7 +32,7 @@ def stream_postings(spark: SparkSession, source: str, schema: str, target: str,
 def stream_percolate(spark: SparkSession, source: str, schema: str, users: DataFrame, target: str, checkpoint: str) -> None:
     """New postings against the current filters: each batch is a small cycle, written under its number."""
     def apply(batch: DataFrame, number: int) -> None:
-        matching.filter_pairs_batch(batch, users).write.mode("overwrite").parquet(f"{target}/cycle={number}")
+        matching.filter_pairs(batch, users).write.mode("overwrite").parquet(f"{target}/cycle={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
