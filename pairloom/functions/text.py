@@ -218,3 +218,16 @@ def title_line(text: Column) -> Column:
     """The first line that isn't blank and doesn't start with "location", up to a dash or bar between blanks."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda v: F.trim(v)), lambda v: (v != "") & ~F.startswith(F.lower(v), F.lit("location")))
     return F.trim(F.get(F.split(F.get(lines, F.lit(0)), r" [—–|-] ", 2), F.lit(0)))
+
+
+def route_extract(text: Column, done: Column, least: int = 40) -> Column:
+    """skipped (extracted before), unparseable (under ``least`` characters once trimmed), else extract."""
+    return F.when(F.coalesce(done, F.lit(False)), "skipped").when(F.coalesce(F.length(F.trim(text)), F.lit(0)) < least, "unparseable").otherwise("extract")
+
+
+def usable(parseable: Column, seniority: Column, low: Column, high: Column, *lists: Column) -> Column:
+    """An extraction that could be read and says something: a known seniority, an amount, or an item in any of the lists."""
+    some = F.coalesce((F.trim(seniority) != "") & (seniority != "unknown"), F.lit(False)) | low.isNotNull() | high.isNotNull()
+    for values in lists:
+        some = some | F.coalesce(F.size(values) > 0, F.lit(False))
+    return F.coalesce(parseable, F.lit(True)) & some

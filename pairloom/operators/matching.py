@@ -244,22 +244,29 @@ def dirty_users(profiles: DataFrame, cap: int) -> DataFrame:
 
 
 def rerank(pairs: DataFrame, top_n: int | None = None, scorer=None) -> DataFrame:
-    """Rank per user by score (null is 0), best first. ``scorer`` (pandas frame -> list of scores, per batch) may replace
-    scores; where it fails or returns nothing, and for rows without one, the local score stands."""
+    """Rank per user by score (null is 0), best first. ``scorer`` may replace scores: it gets one user's pairs (pandas frame, by
+    score) and gives (row, score) pairs. Rows that don't exist or have no number are skipped, of a row named twice the first counts,
+    and rows it leaves out drop out; where it fails or gives nothing usable the user's local scores stand."""
+    local = F.coalesce(F.col("score"), F.lit(0.0))
+    by = [local.desc(), F.col("job_id")]
     if scorer:
-        def run(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                try:
-                    got = list(scorer(pdf))
-                except Exception:
-                    got = []
-                pdf["external"] = pd.Series(got if len(got) == len(pdf) else [None] * len(pdf), index=pdf.index, dtype="float64")
-                yield pdf
-
-        pairs = pairs.mapInPandas(run, pairs.schema.simpleString()[7:-1].replace(":", " ") + ", external double")
-        pairs = pairs.withColumn("score", F.coalesce("external", "score")).drop("external")
-    w = W.partitionBy("user_id").orderBy(F.coalesce(F.col("score"), F.lit(0.0)).desc(), "job_id")
-    out = pairs.withColumn("rank", F.row_number().over(w).cast("long"))
+        ship(pairs.sparkSession)
+        kind = T.StructType([*pairs.schema, T.StructField("external", T.DoubleType())])
+
+        def run(pdf):
+            pdf = pdf.assign(local=pdf["score"].fillna(0)).sort_values(["local", "job_id"], ascending=[False, True]).drop(columns="local").reset_index(drop=True)
+            given = {}
+            try:
+                for row, score in scorer(pdf):
+                    if isinstance(row, int) and 0 <= row < len(pdf) and row not in given and score is not None and score == score:
+                        given[row] = float(score)
+            except Exception:
+                given = {}
+            pdf = pdf.assign(external=[given.get(k) for k in range(len(pdf))]).astype({"external": "float64"})
+            return pdf[pdf["external"].notna()] if given else pdf
+
+        pairs = pairs.groupBy("user_id").applyInPandas(run, kind)
+        by = [F.col("external").desc_nulls_last(), *by]
+    out = pairs.withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy(*by)).cast("long"))
+    out = out.withColumn("score", F.coalesce("external", "score")).drop("external") if scorer else out
     return out if top_n is None else out.where(F.col("rank") <= max(top_n, 0))

@@ -59,10 +59,24 @@ def share(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.round(a / b, 4))
 
 
-def stage_recall(gold: DataFrame, passed: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
-    """Per query: relevant, kept by the filters, among the first ``k``; and the two recalls. gold, passed: q, d; ranked: q, d, rank."""
+def stage_recall(gold: DataFrame, passed: DataFrame, ranked: DataFrame, reranked: DataFrame, k: int) -> DataFrame:
+    """Per query: relevant, kept by the filters, among the first ``k`` by vector and after reranking; and the three recalls.
+    gold, passed: q, d; ranked, reranked: q, d, rank. A query that the reranker gave nothing keeps the order by vector."""
     one = F.lit(1)
+    missing = ranked.join(reranked.select("q").distinct(), "q", "left_anti")
+    reranked = reranked.select("q", "d", "rank").unionByName(missing.select("q", "d", "rank"))
     rows = gold.select("q", "d").distinct().join(passed.select("q", "d", one.alias("p")).distinct(), ["q", "d"], "left")
     rows = rows.join(ranked.where(F.col("rank") <= k).select("q", "d", one.alias("r")), ["q", "d"], "left")
-    out = rows.groupBy("q").agg(F.count("*").alias("relevant"), F.count("p").alias("kept"), F.count("r").alias("found"))
-    return out.withColumns({"kept_recall": share(F.col("kept"), F.col("relevant")), "found_recall": share(F.col("found"), F.col("relevant"))})
+    rows = rows.join(reranked.where(F.col("rank") <= k).select("q", "d", one.alias("rr")), ["q", "d"], "left")
+    out = rows.groupBy("q").agg(F.count("*").alias("relevant"), *[F.count(c).alias(n) for c, n in (("p", "kept"), ("r", "found"), ("rr", "refound"))])
+    return out.withColumns({f"{c}_recall": share(F.col(c), F.col("relevant")) for c in ("kept", "found", "refound")})
+
+
+def recall_at_k(ranked: DataFrame, corpus: int, cutoffs: tuple[int, ...]) -> DataFrame:
+    """k, recall: mean share of a query's gold items among its first k; cut-offs beyond the corpus are left out.
+
+    ranked: q, gold (number of gold items, at least 1), rank, hit; a row per ranked item.
+    """
+    ks = ranked.sparkSession.createDataFrame([(k,) for k in cutoffs if k <= max(corpus, 1)], "k long")
+    per = ranked.crossJoin(F.broadcast(ks)).groupBy("q", "k", "gold").agg(F.sum(F.when((F.col("rank") <= F.col("k")) & F.col("hit"), 1).otherwise(0)).alias("n"))
+    return per.groupBy("k").agg(F.avg(F.col("n") / F.col("gold")).alias("recall"))

@@ -89,18 +89,26 @@ def greedy_match(items: DataFrame, threshold: float) -> DataFrame:
     ship(items.sparkSession)
 
     def one(pred, gold) -> tuple[int, int, int]:
-        left, hit = list(enumerate(gold)), 0
+        texts, holders, used, hit = [set(g.split()) for g in gold], {}, set(), 0
+        for place, g in enumerate(texts):
+            for token in g or {""}:
+                holders.setdefault(token, []).append(place)
         for p in pred:
-            a, best, score = set(p.split()), None, threshold
-            for place, (_, g) in enumerate(left):
-                b = set(g.split())
-                s = len(a & b) / len(a | b) if a | b else 1.0
+            a, shared, best, score = set(p.split()), {}, None, threshold
+            for token in a or {""}:
+                for place in holders.get(token, ()):
+                    shared[place] = shared.get(place, 0) + 1
+            for place in sorted(shared if threshold > 0 else range(len(gold))):
+                if place in used:
+                    continue
+                b = texts[place]
+                s = (shared.get(place, 0) if a and b else 0) / len(a | b) if a | b else 1.0
                 if s >= score:
                     best, score = place, s
             if best is not None:
-                left.pop(best)
+                used.add(best)
                 hit += 1
-        return hit, len(pred) - hit, len(left)
+        return hit, len(pred) - hit, len(gold) - len(used)
 
     def run(batches):
         for pdf in batches:

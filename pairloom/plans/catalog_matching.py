@@ -106,39 +106,42 @@ def a11(t):
     return op.last_cycle(t.v_events).select(F.col("since").cast("string").alias("since"))
 
 
-_LISTS = "FROM (SELECT j.job_id, u.user_id, j.skill_ids AS a, u.skill_ids AS b FROM {v_job_skills} j JOIN {v_profile_skills} u ON u.user_id % 50 = j.job_id % 50 ) x"
+#: skill lists of the pairs that the filters let through (a: the job's, b: the profile's)
+PAIR_LISTS = f"""FROM (SELECT j.job_id, u.user_id, js.skill_ids AS a, us.skill_ids AS b FROM {{v_jobs}} j JOIN {{v_users}} u ON {_ALL} AND (j.expires_at IS NULL OR j.expires_at > TIMESTAMP '{AS_OF}')
+  AND (j.ingested_at > TIMESTAMP '{SINCE}' OR j.extracted_at > TIMESTAMP '{SINCE}') JOIN {{v_job_skills}} js ON js.job_id = j.job_id JOIN {{v_profile_skills}} us ON us.user_id = u.user_id) x"""
 
 
-def _lists(t):
-    j = t.v_job_skills.select("job_id", F.col("skill_ids").alias("js"), (F.col("job_id") % 50).alias("g"))
-    return j.join(t.v_profile_skills.select("user_id", F.col("skill_ids").alias("us"), (F.col("user_id") % 50).alias("g")), "g").drop("g")
+def pair_lists(t):
+    pairs = op.filter_pairs(t.v_jobs, t.v_users, since=_ntz(SINCE), as_of=_ntz(AS_OF))
+    j, u = t.v_job_skills.select("job_id", F.col("skill_ids").alias("js")), t.v_profile_skills.select("user_id", F.col("skill_ids").alias("us"))
+    return pairs.join(j, "job_id").join(u, "user_id")
 
 
-@query("x1_bag_overlap", "SELECT job_id, user_id, CAST(list_sum(list_transform(list_concat(a, a), lambda x: CASE WHEN list_contains(b, x) THEN 1 ELSE 0 END)) AS BIGINT) AS n " + _LISTS)
+@query("x1_bag_overlap", "SELECT job_id, user_id, CAST(list_sum(list_transform(list_concat(a, a), lambda x: CASE WHEN list_contains(b, x) THEN 1 ELSE 0 END)) AS BIGINT) AS n " + PAIR_LISTS)
 def x1(t):
-    return _lists(t).select("job_id", "user_id", M.overlap(F.concat("js", "js"), F.col("us")).alias("n"))
+    return pair_lists(t).select("job_id", "user_id", M.overlap(F.concat("js", "js"), F.col("us")).alias("n"))
 
 
-@query("x2_jaccard", "SELECT job_id, user_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard " + _LISTS)
+@query("x2_jaccard", "SELECT job_id, user_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard " + PAIR_LISTS)
 def x2(t):
-    return _lists(t).select("job_id", "user_id", F.round(M.jaccard(F.col("js"), F.col("us")), 6).alias("jaccard"))
+    return pair_lists(t).select("job_id", "user_id", F.round(M.jaccard(F.col("js"), F.col("us")), 6).alias("jaccard"))
 
 
 @query("x3_skill_buckets", """WITH g AS (SELECT u.user_id, list_distinct(list(s2.skill_id)) AS reach FROM (SELECT user_id, unnest(skill_ids) AS skill_id FROM {v_profile_skills}) u
   JOIN {v_siblings} s1 ON s1.skill_id = u.skill_id JOIN {v_siblings} s2 ON s2.group_id = s1.group_id GROUP BY u.user_id)
 SELECT job_id, user_id, array_to_string(list_filter(a, lambda x: list_contains(b, x)), ',') AS matched,
   array_to_string(list_filter(a, lambda x: NOT list_contains(b, x) AND list_contains(reach, x)), ',') AS adjacent,
-  array_to_string(list_filter(a, lambda x: NOT list_contains(b, x) AND NOT list_contains(reach, x)), ',') AS missing """ + _LISTS + " JOIN g USING (user_id)")
+  array_to_string(list_filter(a, lambda x: NOT list_contains(b, x) AND NOT list_contains(reach, x)), ',') AS missing """ + PAIR_LISTS + " JOIN g USING (user_id)")
 def x3(t):
-    out = op.buckets(_lists(t), t.v_siblings)
+    out = op.buckets(pair_lists(t), t.v_siblings)
     return out.select("job_id", "user_id", *[F.array_join(c, ",").alias(c) for c in ("matched", "adjacent", "missing")])
 
 
 @query("x4_hard_requirements", """SELECT job_id, user_id, array_to_string(list_filter(a, lambda x: list_contains(b, x)), ',') AS matched, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ',') AS missing,
-  len(list_filter(a, lambda x: list_contains(b, x))) AS n_matched """ + _LISTS)
+  len(list_filter(a, lambda x: list_contains(b, x))) AS n_matched """ + PAIR_LISTS)
 def x4(t):
     wanted = F.array_distinct(F.filter(F.concat("js", F.array(F.lit(" ")), "js"), lambda v: F.trim(v) != ""))
-    out = _lists(t).withColumn("a", wanted)
+    out = pair_lists(t).withColumn("a", wanted)
     hit = F.array_intersect("a", "us")
     return out.select("job_id", "user_id", F.array_join(hit, ",").alias("matched"), F.array_join(F.array_except("a", "us"), ",").alias("missing"), F.size(hit).cast("long").alias("n_matched"))
 
@@ -149,10 +152,16 @@ def r3(t):
     return op.rerank(best, 3).select("user_id", "job_id", "rank")
 
 
-@query("u1_rerank_plugin")
+@query("u1_rerank_plugin", """SELECT user_id, job_id, rank FROM (SELECT user_id, job_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN user_id % 5 = 0 THEN NULL ELSE 1 - coalesce(score, 0) END DESC NULLS LAST, coalesce(score, 0) DESC, job_id) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(score, 0) DESC, job_id) AS p FROM (SELECT user_id, job_id, max(score) AS score FROM {v_matches} GROUP BY user_id, job_id)) WHERE user_id % 5 = 0 OR p <> 2) WHERE rank <= 3""")
 def u1(t):
+    def scorer(pdf):  # answers in any order, with rows that don't exist, and leaves the second one out
+        if pdf["user_id"].iloc[0] % 5 == 0:
+            raise RuntimeError
+        return [(len(pdf), 1.0), (-1, 9.0), *[(k, 1 - s) for k, s in reversed(list(enumerate(pdf["score"].fillna(0)))) if k != 1], (0, 5.0)]
+
     best = t.v_matches.groupBy("user_id", "job_id").agg(F.max("score").alias("score"))
-    return op.rerank(best, 3, scorer=lambda pdf: 1 - pdf["score"]).select("user_id", "job_id", "rank")
+    return op.rerank(best, 3, scorer=scorer).select("user_id", "job_id", "rank")
 
 
 @query("f13_screen_floor", "SELECT match_id, coalesce(score >= 0.25, false) AS screen_todo FROM {v_matches}")

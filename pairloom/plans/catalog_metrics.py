@@ -162,17 +162,18 @@ def e1(t):
     return out.withColumns({"precision": F.round(M.ratio(tp, tp + fp), 6), "recall": F.round(M.ratio(tp, tp + fn), 6), "f1": F.round(M.ratio(2 * tp, 2 * tp + fp + fn), 6)})
 
 
-_HITS = """(SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS rk FROM (SELECT a.vec_id AS q, b.vec_id AS d, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id))"""
+_HITS = """(SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS rk FROM (SELECT a.vec_id AS q, b.vec_id AS d, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id))"""
 
 
-@query("e2_recall_at_k", f"""SELECT k, round(avg(hits / least(k, gold)), 6) AS recall FROM (SELECT r.q, ks.k, count(h.d) AS hits, max(r.n) AS gold FROM (SELECT q, count(*) AS n FROM {{v_relevance}} GROUP BY q) r CROSS JOIN (VALUES (1), (3), (5), (10)) ks(k)
- LEFT JOIN (SELECT h.q, h.d, h.rk FROM {_HITS} h JOIN {{v_relevance}} v ON v.q = h.q AND v.d = h.d WHERE rk <= 10) h ON h.q = r.q AND h.rk <= ks.k GROUP BY r.q, ks.k) GROUP BY k""")
+@query("e2_recall_at_k", f"""SELECT k, round(avg(hits / gold), 6) AS recall FROM (SELECT r.q, ks.k, count(h.d) AS hits, max(r.n) AS gold FROM (SELECT q, count(*) AS n FROM {{v_relevance}} GROUP BY q) r CROSS JOIN (VALUES (1), (3), (5), (10), (1000000000)) ks(k)
+ LEFT JOIN (SELECT h.q, h.d, h.rk FROM {_HITS} h JOIN {{v_relevance}} v ON v.q = h.q AND v.d = h.d WHERE rk <= 10) h ON h.q = r.q AND h.rk <= ks.k WHERE ks.k <= (SELECT greatest(count(*), 1) FROM embeddings) GROUP BY r.q, ks.k) GROUP BY k""")
 def e2(t):
-    from pairloom.operators import linking
-    top = linking.top_k(t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "embedding"), t.embeddings.select(F.col("vec_id").alias("d"), "embedding"), 10, skip_self=True)
-    gold = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "label").join(t.embeddings.groupBy("label").agg((F.count("*") - 1).alias("gold")), "label").where("gold > 0")
+    from pairloom.operators import linking, metrics
+
+    queries = t.embeddings.where("vec_id % 100 = 0")
+    top = linking.top_k(queries.select(F.col("vec_id").alias("q"), "embedding"), t.embeddings.select(F.col("vec_id").alias("d"), "embedding"), 10, skip_self=True)
+    sizes = t.embeddings.groupBy("label").agg((F.count("*") - 1).alias("gold"))
+    gold = queries.select(F.col("vec_id").alias("q"), "label").join(sizes, "label").where("gold > 0")
     of = t.embeddings.select(F.col("vec_id").alias("d"), F.col("label").alias("dl"))
-    hits = gold.join(top, "q").join(of, "d").withColumn("hit", (F.col("label") == F.col("dl")).cast("int"))
-    ks = t.spark.createDataFrame([(1,), (3,), (5,), (10,)], "k long")
-    per = hits.crossJoin(F.broadcast(ks)).where("rank <= k").groupBy("q", "k", "gold").agg(F.sum("hit").alias("hits"))
-    return per.groupBy("k").agg(F.round(F.avg(F.col("hits") / F.least("k", "gold")), 6).alias("recall"))
+    hits = gold.join(top, "q").join(of, "d").select("q", "gold", "rank", (F.col("label") == F.col("dl")).alias("hit"))
+    return metrics.recall_at_k(hits, t.embeddings.count(), (1, 3, 5, 10, 1_000_000_000)).select("k", F.round("recall", 6).alias("recall"))

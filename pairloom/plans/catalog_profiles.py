@@ -53,8 +53,10 @@ def w16(t):
 
 @query("e5_greedy_match")
 def e5(t):
-    rows = t.documents.select(F.col("doc_id").alias("item"), F.slice(F.split(X.normalize_label(F.col("text")), " "), 1, 6).alias("pred"), F.slice(F.split(X.normalize_label(F.col("text")), " "), 3, 6).alias("gold"))
-    return op.greedy_match(rows, 0.5)
+    lines = F.filter(F.transform(F.split("text", "\n", -1), X.normalize_label), lambda v: v != "")
+    pred = t.documents.select(F.col("doc_id").alias("item"), lines.alias("pred"))
+    gold = t.documents.select(F.col("doc_id").alias("other"), lines.alias("gold"))
+    return op.greedy_match(pred.join(gold, F.floor(F.col("item") / 2) == F.col("other")), 0.5)
 
 
 @query("k2_unknown_titles", "SELECT DISTINCT o.o_orderkey FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber > 5")
@@ -157,21 +159,34 @@ def w15(t):
     return op.segment_resume(t.customer.withColumn("text", text), "c_custkey", "text").withColumn("bullets", F.array_join("bullets", "|"))
 
 
-_PASSED = "(SELECT a.vec_id AS q, b.vec_id AS d, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND (b.vec_id % 2 = 0 OR a.vec_id % 5 = b.vec_id % 5) WHERE a.vec_id % 10 = 0)"
+_PASSED = "(SELECT a.vec_id AS q, b.vec_id AS d, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND (b.vec_id % 2 = 0 OR a.vec_id % 5 = b.vec_id % 5) WHERE a.vec_id % 100 = 0)"
 
 
-@query("e3_stage_recall", f"""SELECT v.q, count(*) AS relevant, count(p.d) AS kept, count(r.d) AS found, round(count(p.d) / count(*), 4) AS kept_recall, round(count(r.d) / count(*), 4) AS found_recall FROM {{v_relevance}} v
-LEFT JOIN {_PASSED} p ON p.q = v.q AND p.d = v.d LEFT JOIN (SELECT * FROM (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, d) AS rk FROM {_PASSED} x) WHERE rk <= 5) r ON r.q = v.q AND r.d = v.d GROUP BY v.q""")
+def _ranked(score: str) -> str:
+    return f"(SELECT * FROM (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY {score} DESC, d) AS rk FROM {_PASSED} x) WHERE rk <= 5)"
+
+
+@query("e3_stage_recall", f"""SELECT v.q, count(*) AS relevant, count(p.d) AS kept, count(r.d) AS found, count(rr.d) AS refound, round(count(p.d) / count(*), 4) AS kept_recall, round(count(r.d) / count(*), 4) AS found_recall, round(count(rr.d) / count(*), 4) AS refound_recall
+FROM {{v_relevance}} v LEFT JOIN {_PASSED} p ON p.q = v.q AND p.d = v.d LEFT JOIN {_ranked('s')} r ON r.q = v.q AND r.d = v.d LEFT JOIN {_ranked('CASE WHEN q % 200 = 0 THEN round(s - (d % 7) * 0.5, 6) ELSE s END')} rr ON rr.q = v.q AND rr.d = v.d GROUP BY v.q""")
 def e3(t):
     from pyspark.sql import Window as W
 
     from pairloom.functions import match as M
-    from pairloom.operators import metrics
+    from pairloom.operators import matching, metrics
 
-    q = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.array(F.concat(F.lit("town "), (F.col("vec_id") % 5).cast("string"))).alias("places"))
-    d = t.embeddings.select(F.col("vec_id").alias("d"), F.col("embedding").alias("de"), F.when(F.col("vec_id") % 2 > 0, F.concat(F.lit("Town "), (F.col("vec_id") % 5).cast("string"))).alias("location"))
-    kinds = q.select("places").distinct().crossJoin(d.select("location").distinct()).where(M.p_location(F.col("places"), F.col("location")))
+    town = F.concat(F.lit("town "), (F.col("vec_id") % 5).cast("string"))
+    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.array(town).alias("places"))
+    d = t.embeddings.select(F.col("vec_id").alias("d"), F.col("embedding").alias("de"), F.when(F.col("vec_id") % 2 > 0, F.initcap(town)).alias("location"))
+    kinds = q.select("places").distinct().crossJoin(d.select("location").distinct()).where(M.p_location(F.col("places"), F.col("location")))  # five towns
     passed = q.join(kinds, "places").withColumnRenamed("location", "l").join(d, F.col("l").eqNullSafe(F.col("location"))).where("q <> d").withColumn("s", F.round(M.dot(F.col("qe"), F.col("de")), 6))
     ranked = passed.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "d")))
-    gold = t.embeddings.select(F.col("vec_id").alias("d"), "label").join(t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "label"), "label").where("q <> d")
-    return metrics.stage_recall(gold, passed, ranked, 5)
+
+    def scorer(pdf):  # an outside model that answers for half of the users only
+        if pdf["user_id"].iloc[0] % 200:
+            raise RuntimeError
+        return [(k, s) for k, s in enumerate((pdf["score"] - (pdf["job_id"] % 7) * 0.5).round(6))]
+
+    pairs = passed.select(F.col("q").alias("user_id"), F.col("d").alias("job_id"), F.col("s").alias("score"))
+    reranked = matching.rerank(pairs, scorer=scorer).select(F.col("user_id").alias("q"), F.col("job_id").alias("d"), "rank")
+    gold = t.v_relevance
+    return metrics.stage_recall(gold, passed, ranked, reranked, 5)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairloom.functions import match as M
 from pairloom.functions import text as X
 from pairloom.plans.catalog_linking import norm
+from pairloom.plans.catalog_matching import PAIR_LISTS, pair_lists
 from pairloom.plans.registry import query
 
 _URL = r"(lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) || CASE WHEN rtrim(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') = '' THEN '/' ELSE rtrim(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') END || CASE WHEN regexp_extract(trim(url), '^[^?#]*(\?[^#]*)', 1) = '?' THEN '' ELSE regexp_extract(trim(url), '^[^?#]*(\?[^#]*)', 1) END)"
@@ -143,15 +144,21 @@ def route_postings():
     return F.when(blank, "unparseable").when(gone, "expired").otherwise("ok")
 
 
-@query("f9_route_extract", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'skipped' WHEN length(trim(substr(text, 1, doc_id % 80))) < 40 THEN 'unparseable' ELSE 'extract' END AS action FROM documents")
+@query("f9_route_extract", "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'skipped' WHEN length(trim(d.text)) < 40 THEN 'unparseable' ELSE 'extract' END AS action FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def f9(t):
-    text = F.trim(F.substring("text", F.lit(1), (F.col("doc_id") % 80).cast("int")))
-    return t.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "skipped").when(F.length(text) < 40, "unparseable").otherwise("extract").alias("action"))
+    done = t.labels.select("doc_id").distinct().withColumn("done", F.lit(True))
+    return t.documents.join(done, "doc_id", "left").select("doc_id", X.route_extract(F.col("text"), F.col("done")).alias("action"))
 
 
-@query("f10_usable_extraction", "SELECT job_id, coalesce(seniority, 'unknown') <> 'unknown' OR comp_min IS NOT NULL AS usable FROM {v_jobs}")
+@query("f10_usable_extraction", """SELECT doc_id, length(trim(text)) >= 40 AND (lang = 'en' OR contains(text, '$') OR contains(text, chr(10) || '- ') OR contains(text, '#')) AS usable FROM documents""")
 def f10(t):
-    return t.v_jobs.select("job_id", ((F.coalesce("seniority", F.lit("unknown")) != "unknown") | F.col("comp_min").isNotNull()).alias("usable"))
+    money, none = F.contains("text", F.lit("$")), F.array().cast("array<string>")
+    bullets = F.filter(F.split("text", "\n", -1), lambda v: v.startswith("- "))
+    bullets = F.when(F.contains("text", F.lit("\n- ")), bullets).otherwise(none)
+    seniority = F.when(F.col("lang") == "en", "senior").when(F.col("lang") == "de", "unknown").when(F.col("lang") == "fr", " ")
+    tags = F.when(F.contains("text", F.lit("#")), F.array(F.lit("tag"))).otherwise(none)
+    found = X.usable(F.length(F.trim("text")) >= 40, seniority, F.when(money & (F.col("doc_id") % 2 == 0), 1), F.when(money & (F.col("doc_id") % 2 > 0), 2), bullets, none, tags)
+    return t.documents.select("doc_id", found.alias("usable"))
 
 
 @query("f16_needs_html", "SELECT page_id FROM pages WHERE page_id % 4 = 0 AND page_id % 3 <> 0")
@@ -168,13 +175,13 @@ def f18(t):
     return rows.select("skill_id")
 
 
-_A, _B = norm("substr(a.text, 1, 400)"), norm("substr(b.text, 1, 400)")
+_A, _B = norm("a.text"), norm("b.text")
 _TOK = "(SELECT a.doc_id, list_distinct(list_filter(string_split({a}, ' '), lambda v: v <> '')) AS x, list_distinct(list_filter(string_split({b}, ' '), lambda v: v <> '')) AS y, {a} AS na, {b} AS nb FROM documents a JOIN documents b ON b.doc_id = a.doc_id // 2)".replace("{a}", _A).replace("{b}", _B)
 
 
 def _doc_pairs(t):
-    b = t.documents.select(F.col("doc_id").alias("b_id"), X.normalize_label(F.substring("text", 1, 400)).alias("nb"))
-    return t.documents.select("doc_id", X.normalize_label(F.substring("text", 1, 400)).alias("na")).join(b, F.floor(F.col("doc_id") / 2) == F.col("b_id"))
+    b = t.documents.select(F.col("doc_id").alias("b_id"), X.normalize_label(F.col("text")).alias("nb"))
+    return t.documents.select("doc_id", X.normalize_label(F.col("text")).alias("na")).join(b, F.floor(F.col("doc_id") / 2) == F.col("b_id"))
 
 
 @query("x7_token_jaccard", f"SELECT doc_id, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS jaccard FROM {_TOK} p")
@@ -210,8 +217,6 @@ def k1(t):
     return claims.join(facts, ["conv_id", "w"], "left_anti").select("conv_id", "w").distinct().groupBy("conv_id").agg(F.count("*").alias("unknown"))
 
 
-@query("k5_out_of_set_skills", "SELECT j.job_id, u.user_id, len(list_filter(j.skill_ids, lambda x: NOT list_contains(u.skill_ids, x))) AS n FROM {v_job_skills} j JOIN {v_profile_skills} u ON u.user_id % 50 = j.job_id % 50 WHERE len(list_filter(j.skill_ids, lambda x: NOT list_contains(u.skill_ids, x))) > 0")
+@query("k5_out_of_set_skills", "SELECT job_id, user_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS n " + PAIR_LISTS + " WHERE len(list_filter(a, lambda x: NOT list_contains(b, x))) > 0")
 def k5(t):
-    j = t.v_job_skills.select("job_id", F.col("skill_ids").alias("a"), (F.col("job_id") % 50).alias("g"))
-    both = j.join(t.v_profile_skills.select("user_id", F.col("skill_ids").alias("b"), (F.col("user_id") % 50).alias("g")), "g")
-    return both.select("job_id", "user_id", F.size(F.array_except("a", "b")).cast("long").alias("n")).where("n > 0")
+    return pair_lists(t).select("job_id", "user_id", F.size(F.array_except("js", "us")).cast("long").alias("n")).where("n > 0")

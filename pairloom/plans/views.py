@@ -74,4 +74,4 @@ JOIN (SELECT 'en' AS lang, 'the' AS t UNION ALL SELECT 'en', 'and' UNION ALL SEL
   UNION ALL SELECT 'de', 'der' UNION ALL SELECT 'de', 'die' UNION ALL SELECT 'de', 'und' UNION ALL SELECT 'fr', 'que' UNION ALL SELECT 'es', 'que' UNION ALL SELECT 'fr', 'des') x ON x.lang = l.lang
 GROUP BY t
 """)
-view("v_relevance", "SELECT q.vec_id AS q, d.vec_id AS d FROM {embeddings} q JOIN {embeddings} d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 10 = 0")
+view("v_relevance", "SELECT q.vec_id AS q, d.vec_id AS d FROM {embeddings} q JOIN {embeddings} d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0")

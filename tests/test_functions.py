@@ -41,7 +41,20 @@ def test_rerank_falls_back(spark):
     def broken(pdf):
         raise RuntimeError
 
+    def odd(pdf):  # a row that isn't there, one twice, one without a number
+        return [(7, 1.0), (1, 0.4), (1, 0.1), (0, None)]
+
     assert [(r.job_id, r.rank) for r in matching.rerank(pairs, scorer=broken).orderBy("rank").collect()] == [(10, 1), (11, 2)]
+    assert [(r.job_id, r.rank) for r in matching.rerank(pairs, scorer=odd).orderBy("rank").collect()] == [(11, 1)]
+
+
+def test_greedy_match(spark):
+    from pairloom.operators import profiles
+
+    rows = [(1, ["red green", "red", "blue"], ["red", "green red", "red green x"]), (2, [], ["a"]), (3, ["a", "a"], ["a"]), (4, ["", "b c d e"], ["", "b"])]
+    df = spark.createDataFrame(rows, "item long, pred array<string>, gold array<string>")
+    got = {r.item: (r.tp, r.fp, r.fn) for r in profiles.greedy_match(df, 0.5).collect()}
+    assert got == {1: (2, 1, 1), 2: (0, 0, 1), 3: (1, 1, 0), 4: (1, 1, 1)}
 
 
 def test_upsert_twice_is_once(spark):
