@@ -35,7 +35,8 @@ BANDS = {
 # Whole lines that say nothing about a posting.
 BOILERPLATE = r"(?i)^(?:apply now|submit application|powered by (?:greenhouse|lever|ashby)|equal opportunity employer\.?)\s*$"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&eacute;": "é", "&uuml;": "ü", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
+#: What numeric entities of the C1 range stand for: the characters of Windows-1252 (as browsers read them).
+C1 = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0))
 
 
 def first_needle(text: Column, needles, default: Column | None = None) -> Column:
@@ -76,10 +77,41 @@ def board_job_id(url: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Named entities of ENTITIES and numeric ones below 128 decoded once (the ampersand last)."""
-    for entity, sign in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return text
+    """HTML entities decoded once: numeric ones, and the standard's named ones with or, where the standard allows it, without semicolon."""
+    import html.entities
+    import json
+
+    names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")  # a literal after planning
+    parts = F.split(text, "&", -1)
+
+    def letter(code: Column) -> Column:
+        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        odd = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        void = code.between(1, 8) | code.between(0xE, 0x1F) | code.between(0x7F, 0x9F) | (code == 0xB) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        return F.when(code.isNull() | odd, "\ufffd").when(code == 13, "\r").when(code.between(0x80, 0x9F), F.substring(F.lit(C1), (code - 127).cast("int"), F.lit(1))).when(void, "").otherwise(wide)
+
+    def number(digits: Column, base: int) -> Column:  # more than nine digits are beyond every character
+        plain = F.regexp_replace(digits, "^0+(?=.)", "")
+        return F.when(F.length(plain) > 9, F.lit(0x110000).cast("long")).otherwise(F.conv(plain, base, 10).cast("long"))
+
+    def one(part: Column) -> Column:
+        hexa, deci = r"^(#[xX]([0-9a-fA-F]+);?)", r"^(#([0-9]+);?)"
+        name = F.regexp_extract(part, r"^([^\t\n\f <&#;]{1,32};?)", 1)
+        found = F.try_element_at(names, name)
+        named = F.when(found.isNotNull(), F.concat(found, F.substring(part, F.length(name) + 1, F.length(part))))
+        for size in (6, 5, 4, 3, 2):  # names that need no semicolon, the longest first
+            short = F.substring(part, 1, size)
+            value = F.when(F.length(name) > size, F.try_element_at(names, short))
+            named = named.when(value.isNotNull(), F.concat(value, F.substring(part, F.lit(size + 1), F.length(part))))
+        rest = [F.substring(part, F.length(F.regexp_extract(part, p, 1)) + 1, F.length(part)) for p in (hexa, deci)]
+        return (
+            F.when(part.rlike(hexa), F.concat(letter(number(F.regexp_extract(part, hexa, 2), 16)), rest[0]))
+            .when(part.rlike(deci), F.concat(letter(number(F.regexp_extract(part, deci, 2), 10)), rest[1]))
+            .when(name != "", F.coalesce(named, F.concat(F.lit("&"), part))).otherwise(F.concat(F.lit("&"), part))
+        )
+
+    done = F.concat(F.array(F.get(parts, F.lit(0))), F.transform(F.slice(parts, F.lit(2), F.size(parts)), one))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(done, "")).otherwise(text)
 
 
 def drop_boilerplate(lines: Column) -> Column:
@@ -200,11 +232,22 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda v: F.lower(F.regexp_replace(v, r"[\s,$%]", ""))))
 
 
-def comp_single(text: Column) -> Column:
-    """The amount of "$120k" in a text, in full; null without one."""
-    raw = F.replace(F.regexp_extract(text, r"\$\s*([\d,]+)\s*[kK]", 1), F.lit(","), F.lit(""))
-    amount = F.nullif(raw, F.lit("")).cast("long")
-    return F.when(amount < 1000, amount * 1000).otherwise(amount)
+def comp_range_or_single(text: Column) -> Column:
+    """Struct (low, high) of a text: the first range "$120k - $150k" or "$120,000 to 150,000", else the first "$120k" as low.
+
+    An amount under 1000 is in thousands if a k stands within the range's first characters (two before its sign, 24 from it).
+    """
+    # Patterns of a range and of a single amount.
+    span, single = r"\$\s*([\d,]+)\s*[kK]?\s*[–—\-to]+\s*\$?\s*([\d,]+)\s*[kK]?", r"\$\s*([\d,]+)\s*[kK]"
+
+    def money(pattern: str, k: int) -> Column:
+        amount = F.nullif(F.replace(F.regexp_extract(text, pattern, k), F.lit(","), F.lit("")), F.lit("")).cast("long")
+        at = F.length(F.regexp_extract(text, rf"(?s)^(.*?){pattern}", 1))
+        near = F.substring(text, F.greatest(at - 2, F.lit(0)) + 1, at + 24 - F.greatest(at - 2, F.lit(0)))
+        return F.when((amount < 1000) & near.rlike("[kK]"), amount * 1000).otherwise(amount)
+
+    is_span = text.rlike(span)
+    return F.struct(F.when(is_span, money(span, 1)).otherwise(money(single, 1)).alias("low"), F.when(is_span, money(span, 2)).alias("high"))
 
 
 def location_line(text: Column) -> Column:

@@ -60,6 +60,7 @@ def latest_role(roles: Column) -> Column:
     return F.when(F.size(now) > 0, F.get(now, F.size(now) - 1)).otherwise(F.get(best, F.lit(0)))
 
 
+# Headings of requirement lists, bullets.
 SECTION = r"(?i)^(must have|must-haves|required|requirements|nice to have|nice-to-haves|preferred|bonus)\s*:?\s*$"
 BULLET = r"^[-*•]\s+(.+)$"
 

@@ -67,14 +67,6 @@ def k2(t):
     return known.join(t.orders.select("o_orderkey"), "o_orderkey", "left_semi")
 
 
-@query("k3_unknown_dates", "SELECT o_orderkey, o_orderkey % 3 < 2 AS known FROM orders")
-def k3(t):
-    year = F.date_format("o_orderdate", "yyyy")
-    claim = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("since "), year)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.date_format("o_orderdate", "yyyyMM"), F.lit(" to "), F.date_format("o_orderdate", "yyyyMM"))).otherwise("1801 to 1802")
-    tokens = F.array(year, F.date_format("o_orderdate", "yyyyMM"), F.lit("present"))
-    return t.orders.select("o_orderkey", op.date_in_source(claim, tokens).alias("known"))
-
-
 @query("u2_embedder_plugin", "SELECT doc_id, length(text) > 8000 AS too_long, length(text) AS first FROM documents")
 def u2(t):
     out = op.embed(t.documents, "doc_id", "text", lambda texts: [[len(x), 1.0] for x in texts], 2)
@@ -135,22 +127,6 @@ def e6(t):
     return long.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("accuracy"))
 
 
-@query("k8_planted_claims", "SELECT doc_id, true AS caught, CAST(990000000 + doc_id AS VARCHAR) AS planted FROM documents")
-def k8(t):
-    planted = (F.lit(990000000) + F.col("doc_id")).cast("string")
-    claims = F.array_except(X.numbers(F.concat("text", F.lit(" led "), planted, F.lit(" people"))), X.numbers(F.col("text")))
-    return t.documents.select("doc_id", F.array_contains(claims, planted).alias("caught"), planted.alias("planted"))
-
-
-@query("e10_fabrication_suite", "SELECT lang, count(*) AS pairs, count(*) FILTER (WHERE doc_id % 4 > 0) AS hit, false AS passed FROM documents GROUP BY lang HAVING count(*) FILTER (WHERE doc_id % 4 > 0) > 0 UNION ALL SELECT lang, count(*), 0, true FROM documents GROUP BY lang HAVING count(*) FILTER (WHERE doc_id % 4 > 0) = 0")
-def e10(t):
-    extra = (F.lit(990000000) + F.col("doc_id")).cast("string")
-    claimed = F.when(F.col("doc_id") % 4 > 0, F.concat("text", F.lit(" led "), extra, F.lit(" people"))).otherwise(F.col("text"))
-    found = F.size(F.array_except(X.numbers(claimed), X.numbers(F.col("text"))))
-    sums = t.documents.withColumn("n", found).groupBy("lang").agg(F.count("*").alias("pairs"), F.count(F.when(F.col("n") > 0, 1)).alias("hit"))
-    return sums.withColumn("passed", F.col("hit") == 0)
-
-
 @query("w15_segment_resume", """SELECT c_custkey, 1 AS role, 'Engineer' AS title, c_name AS employer, '2020-03' AS start, CAST(NULL AS VARCHAR) AS "end", 'did a|did b' AS bullets FROM customer
 UNION ALL SELECT c_custkey, 2, 'Clerk', 'Firm ' || c_nationkey, '2018-01', '2019-02', '' FROM customer WHERE c_custkey % 2 = 0""")
 def w15(t):

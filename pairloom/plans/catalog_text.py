@@ -90,12 +90,27 @@ def p15(t):
     return t.documents.select("doc_id", X.arrangement(F.concat("text", more)).alias("arrangement"))
 
 
-@query("p16_jd_fields", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Town ' || doc_id END AS location, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 900 + 1) * 1000 END AS comp FROM documents")
+# Postings made of documents: a title line, a location line, an amount in one of several spellings, then the text without dollar signs.
+_JD = "(SELECT doc_id, lang, source, n_chars % 900 + 1 AS n FROM documents)"
+
+
+@query("p16_jd_fields", f"""SELECT doc_id, lang || ' person ' || n AS title, CASE WHEN n % 2 = 0 THEN source || ' ' || n END AS location,
+  CASE n % 5 WHEN 0 THEN n * 1000 WHEN 1 THEN n * 1000 WHEN 2 THEN 1000 + n WHEN 3 THEN n END AS low, CASE n % 5 WHEN 1 THEN (n + 20) * 1000 WHEN 2 THEN 2000 + n WHEN 3 THEN n + 7 END AS high FROM {_JD} j""")
 def p16(t):
-    n = F.col("doc_id").cast("string")
-    head = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Location: Town "), n, F.lit(" (remote)\n"))).otherwise(""), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("pay $"), (F.col("doc_id") % 900 + 1).cast("string"), F.lit("k\n"))).otherwise(""))
-    text = F.concat(head, F.replace("text", F.lit("$"), F.lit(" ")))
-    return t.documents.select("doc_id", X.location_line(text).alias("location"), X.comp_single(text).alias("comp"))
+    n = F.col("n_chars") % 900 + 1
+
+    def text(v):
+        return v.cast("string")
+
+    place = F.when(n % 2 == 0, F.concat(F.lit("LOCATION :  "), "source", F.lit(" "), text(n), F.lit(", (remote)\n"))).otherwise("")
+    pay = (
+        F.when(n % 5 == 0, F.concat(F.lit("pay $"), text(n), F.lit("k\n"))).when(n % 5 == 1, F.concat(F.lit("$"), text(n), F.lit("k – $ "), text(n + 20), F.lit("K\n")))
+        .when(n % 5 == 2, F.concat(F.lit("$1,"), F.lpad(text(n), 3, "0"), F.lit(" to 2,"), F.lpad(text(n), 3, "0"), F.lit(" a month\n")))
+        .when(n % 5 == 3, F.concat(F.lit("$"), text(n), F.lit("-"), text(n + 7), F.lit(" an hour of the usual sort for us\n"))).otherwise("no pay\n")
+    )
+    jd = F.concat(F.lit("\n"), place, F.lit("  "), "lang", F.lit(" person "), text(n), F.lit(" — at home\n"), pay, F.replace("text", F.lit("$"), F.lit(" ")))
+    both = X.comp_range_or_single(jd)
+    return t.documents.select("doc_id", X.title_line(jd).alias("title"), X.location_line(jd).alias("location"), both["low"].alias("low"), both["high"].alias("high"))
 
 
 @query("p17_canon_values", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'junior' WHEN 1 THEN 'senior' WHEN 2 THEN 'lead' WHEN 3 THEN 'wizard' END AS seniority, CASE p_partkey % 2 WHEN 0 THEN 'onsite,remote' ELSE 'hybrid' END AS arrangements FROM part")
@@ -207,16 +222,6 @@ def k4(t):
     return t.documents.select("doc_id", F.array_join(F.array_except(X.numbers(claimed), X.numbers(source)), ",").alias("fabricated"))
 
 
-_WORDS = "(SELECT conv_id, role, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM conversations)"
-
-
-@query("k1_unknown_claims", f"SELECT c.conv_id, count(DISTINCT c.w) AS unknown FROM {_WORDS} c WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM {_WORDS} f WHERE f.role = 'user' AND f.conv_id = c.conv_id AND f.w = c.w) GROUP BY c.conv_id")
-def k1(t):
-    words = t.conversations.select("conv_id", "role", F.explode_outer(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("w"))
-    claims, facts = words.where("role = 'assistant'"), words.where("role = 'user'").select("conv_id", "w")
-    return claims.join(facts, ["conv_id", "w"], "left_anti").select("conv_id", "w").distinct().groupBy("conv_id").agg(F.count("*").alias("unknown"))
-
-
 @query("k5_out_of_set_skills", "SELECT job_id, user_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS n " + PAIR_LISTS + " WHERE len(list_filter(a, lambda x: NOT list_contains(b, x))) > 0")
 def k5(t):
     return pair_lists(t).select("job_id", "user_id", F.size(F.array_except("js", "us")).cast("long").alias("n")).where("n > 0")

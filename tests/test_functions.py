@@ -1,5 +1,7 @@
 """Small goldens of column functions and of operators without SQL."""
 
+import html
+
 from pyspark.sql import functions as F
 
 from pairloom.functions import match as M
@@ -18,6 +20,32 @@ def test_clean_html(spark):
     page = "&lt;div&gt;Hello &amp;amp; welcome&lt;script&gt;x &lt; y&lt;/script&gt;&lt;p&gt; a   b&lt;/p&gt;&lt;/div&gt;<br>Apply now<li>last"
     assert one(spark, X.clean_html(F.col("t")), t=page) == "Hello & welcome\na b\nlast"
     assert one(spark, X.clean_html(F.col("t")), t="  ") is None
+    coded = "caf&#233; don&#8217;t &copy; &#x20AC; &#X1F642; &notit; &amp;lt; &frac12x &#128; &#0; &#1234567890; &bogus; & &;&#; R&D&nbsp;x&hellip"
+    assert one(spark, X.unescape(F.col("t")), t=coded) == html.unescape(coded)
+    assert one(spark, X.clean_html(F.col("t")), t=f"<p>{coded}</p>") == " ".join(html.unescape(html.unescape(coded)).split(" "))
+
+
+def test_amounts(spark):
+    def both(text):
+        got = one(spark, X.comp_range_or_single(F.col("t")), t=text)
+        return got["low"], got["high"]
+
+    assert both("pay $120k - $150k") == (120000, 150000) and both("$120,000 to 150,000") == (120000, 150000) and both("from $90K up") == (90000, None)
+    assert both("$40-50 an hour, all") == (40, 50) and both("pay 120k") == (None, None) and both("OK $40-50 per") == (40000, 50000)
+
+
+def test_employer_claims(spark):
+    from pairloom.operators import claims
+
+    roles = F.array(F.struct(F.lit("Globex, Inc.").alias("employer")), F.struct(F.lit(None).cast("string").alias("employer")))
+    none = F.array().cast("array<struct<kind:string,text:string,skill_id:string>>")
+
+    def unknown(text, employers=()):
+        named = F.array(*map(F.lit, employers)).cast("array<string>")
+        return one(spark, claims.unknown_employer(claims.claimed_employers(named, none, F.lit(text)), roles))
+
+    assert not unknown("worked at Globex Corp. then @ Globex") and unknown("worked at Hooli XYZ") and not unknown("at home")
+    assert not unknown("at Hooli", ["GLOBEX LLC"]) and unknown("", ["Hooli"])
 
 
 def test_null_filters_pass(spark):
