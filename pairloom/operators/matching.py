@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pairloom.functions import match as M
-from pairloom.plans.runtime import ship
+from pairloom.plans.runtime import saved, ship
 
 BLOCK = 1024  # rows of a block
 BLOCKS_A_TASK = 4  # blocks of either side that one task gets
@@ -191,6 +191,13 @@ def scored(jobs: DataFrame, users: DataFrame, job_skills: DataFrame, profile_ski
     return _pairs(j, u, (), scores=True, top_n=top_n)
 
 
+def with_skills(pairs: DataFrame, job_skills: DataFrame, profile_skills: DataFrame) -> DataFrame:
+    """Adds the skill lists of both sides (js, us; empty where there are none) to few pairs."""
+    none = F.array().cast("array<string>")
+    out = pairs.join(job_skills.select("job_id", F.col("skill_ids").alias("js")), "job_id", "left").join(profile_skills.select("user_id", F.col("skill_ids").alias("us")), "user_id", "left")
+    return out.withColumns({"js": F.coalesce("js", none), "us": F.coalesce("us", none)})
+
+
 def top_per_user(pairs: DataFrame, used: DataFrame, done: DataFrame, top_n: int, cap: int) -> DataFrame:
     """The best ``least(top_n, cap - used today)`` pairs per user by score, job; pairs already ``done`` are dropped after ranking,
     so they use up places. ``used``: user_id, n. ``done``: user_id, job_id."""
@@ -270,3 +277,39 @@ def rerank(pairs: DataFrame, top_n: int | None = None, scorer=None) -> DataFrame
     out = pairs.withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy(*by)).cast("long"))
     out = out.withColumn("score", F.coalesce("external", "score")).drop("external") if scorer else out
     return out if top_n is None else out.where(F.col("rank") <= max(top_n, 0))
+
+
+def run_cycle(
+    jobs: DataFrame, users: DataFrame, job_skills: DataFrame, profile_skills: DataFrame, siblings: DataFrame, matches: DataFrame, events: DataFrame, *,
+    mode: str, cycle_at: Column, since: Column | None = None, top_n: int, cap: int, dirty_cap: int = 25,
+) -> dict[str, DataFrame]:
+    """One match cycle. ``incremental``: all users, jobs new since the last completed cycle (or ``since``); ``dirty``: flagged users
+    up to ``dirty_cap``, the whole corpus, and their flags are cleared.
+
+    matches: the rows to append (user_id, job_id, score, rank, matched, adjacent, missing, cycle_at); a cycle delivered again has none.
+    extracts: jobs that pass but aren't extracted yet. users: user_id, rematch_needed after the cycle. counts: one row.
+    """
+    if mode not in ("incremental", "dirty"):
+        raise ValueError(f"unknown mode: {mode}")
+    live = jobs.where(M.p_live(F.col("expires_at"), cycle_at))
+    some = users
+    if mode == "dirty":
+        some = users.join(dirty_users(users, dirty_cap).select("user_id"), "user_id", "left_semi")
+    elif since is None:
+        last = last_cycle(events)  # one row
+        live = live.crossJoin(F.broadcast(last)).where(M.p_since(F.col("since"), F.col("ingested_at"), F.col("extracted_at"))).drop("since")
+    else:
+        live = live.where(M.p_since(since, F.col("ingested_at"), F.col("extracted_at")))
+    waiting = saved(filter_pairs(live.where("extracted_at is null"), some), "waiting")
+    scores = scored(live, some, job_skills, profile_skills, top_n=top_n)
+    done = matches.where(F.col("cycle_at") == cycle_at).select("user_id", "job_id")
+    best = saved(top_per_user(scores, used_today(matches, cycle_at), done, top_n, cap).select("user_id", "job_id", "score", "rank"), "best")
+    lists = with_skills(best, job_skills, profile_skills)
+    rows = buckets(lists, siblings).select("user_id", "job_id", "score", "rank", "matched", "adjacent", "missing", cycle_at.alias("cycle_at"))
+    cleared = users.join(some.select("user_id", F.lit(True).alias("seen")), "user_id", "left") if mode == "dirty" else users.withColumn("seen", F.lit(None).cast("boolean"))
+    flag = F.col("rematch_needed") if "rematch_needed" in users.columns else F.lit(False)
+    counts = some.agg(F.count("*").alias("users_considered")).crossJoin(waiting.agg(F.count("*").alias("deferred_unextracted"), F.countDistinct("job_id").alias("extracts_enqueued")))
+    return {
+        "matches": rows, "extracts": waiting.select("job_id").distinct(), "users": cleared.select("user_id", (flag & F.col("seen").isNull()).alias("rematch_needed")),
+        "counts": counts.crossJoin(best.agg(F.count("*").alias("matches_written"))),
+    }

@@ -191,20 +191,58 @@ def w8(t):
     return op.dirty_users(t.v_users.withColumn("rematch_needed", F.col("user_id") % 9 == 0), 25).select("user_id")
 
 
-@query("t1_incremental_cycle", f"""WITH p AS ({_WHO} AND (j.expires_at IS NULL OR j.expires_at > TIMESTAMP '{AS_OF}') AND (j.ingested_at > TIMESTAMP '{SINCE}' OR j.extracted_at > TIMESTAMP '{SINCE}'))
-SELECT 'incremental' AS mode, (SELECT count(*) FROM {{v_users}}) AS users_considered, count(*) AS prefilter_pairs, count(DISTINCT job_id) FILTER (WHERE extracted_at IS NULL) AS extracts_enqueued,
-  count(*) FILTER (WHERE extracted_at IS NULL) AS deferred_unextracted FROM p""")
+_CYCLE_AT = "2024-01-20 12:00:00"
+_LISTED = """, g AS (SELECT u.user_id, list_distinct(list(s2.skill_id)) AS reach FROM (SELECT user_id, unnest(skill_ids) AS skill_id FROM {v_profile_skills}) u
+  JOIN {v_siblings} s1 ON s1.skill_id = u.skill_id JOIN {v_siblings} s2 ON s2.group_id = s1.group_id GROUP BY u.user_id)
+SELECT k.user_id, k.job_id, k.score, k.rank, array_to_string(list_filter(a, lambda x: list_contains(b, x)), ',') AS matched,
+  array_to_string(list_filter(a, lambda x: NOT list_contains(b, x) AND list_contains(coalesce(reach, []::VARCHAR[]), x)), ',') AS adjacent,
+  array_to_string(list_filter(a, lambda x: NOT list_contains(b, x) AND NOT list_contains(coalesce(reach, []::VARCHAR[]), x)), ',') AS missing FROM k LEFT JOIN g USING (user_id)"""
+
+
+def _cycle_sql(jobs: str, users: str) -> str:
+    """Rows that a cycle appends: the best of each user by score, within what is left of the day, with skill lists."""
+    inner = _SCORED.replace("WHERE j.extracted_at IS NOT NULL", f"WHERE j.extracted_at IS NOT NULL AND (j.expires_at IS NULL OR j.expires_at > TIMESTAMP '{_CYCLE_AT}') AND {jobs} AND {users}")
+    inner = inner.replace("SELECT user_id, job_id, sim, CASE", "SELECT user_id, job_id, a, b, sim, CASE")
+    return inner + """, r AS (SELECT user_id, job_id, a, b, floor((0.7 * coalesce(sim, 0) + 0.3 * jac) * 10000 + 0.0001) / 10000 AS score FROM s),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, job_id) AS rank FROM r) WHERE rank <= 4)""" + _LISTED
+
+
+def _cycle(t, mode, matches=None):
+    users = t.v_users.withColumn("rematch_needed", F.col("user_id") % 9 == 0)
+    return op.run_cycle(t.v_jobs, users, t.v_job_skills, t.v_profile_skills, t.v_siblings, t.v_matches if matches is None else matches, t.v_events, mode=mode, cycle_at=_ntz(_CYCLE_AT), top_n=4, cap=500)
+
+
+def _appended(rows):
+    return rows.select("user_id", "job_id", "score", F.col("rank").cast("long").alias("rank"), *[F.array_join(c, ",").alias(c) for c in ("matched", "adjacent", "missing")])
+
+
+_LAST = "(SELECT max(ts) FROM {v_events} WHERE stage = 'match-batch' AND action = 'completed')"
+
+
+@query("t1_incremental_cycle", _cycle_sql(f"(j.ingested_at > {_LAST} OR j.extracted_at > {_LAST})", "true"))
 def t1(t):
-    pairs = op.filter_pairs(t.v_jobs, t.v_users, since=_ntz(SINCE), as_of=_ntz(AS_OF), keep=("extracted_at",))
-    late = F.col("extracted_at").isNull()
-    sums = pairs.agg(F.count("*").alias("prefilter_pairs"), F.countDistinct(F.when(late, F.col("job_id"))).alias("extracts_enqueued"), F.count(F.when(late, 1)).alias("deferred_unextracted"))
-    return sums.crossJoin(t.v_users.agg(F.count("*").alias("users_considered"))).withColumn("mode", F.lit("incremental"))
+    return _appended(_cycle(t, "incremental")["matches"])
 
 
-@query("t2_dirty_cycle", f"""WITH d AS {_DIRTY}, p AS ({_WHO} AND u.user_id IN (SELECT user_id FROM d))
-SELECT user_id, count(p.job_id) AS pairs, count(p.extracted_at) AS matchable, false AS rematch_needed FROM d LEFT JOIN p USING (user_id) GROUP BY user_id""")
+@query("t2_dirty_cycle", _cycle_sql("true", f"u.user_id IN (SELECT user_id FROM {_DIRTY} d)"))
 def t2(t):
-    some = op.dirty_users(t.v_users.withColumn("rematch_needed", F.col("user_id") % 9 == 0), 25)
-    pairs = op.filter_pairs(t.v_jobs, some, keep=("extracted_at",))
-    out = some.select("user_id").join(pairs, "user_id", "left").groupBy("user_id").agg(F.count("job_id").alias("pairs"), F.count("extracted_at").alias("matchable"))
-    return out.withColumn("rematch_needed", F.lit(False))
+    return _appended(_cycle(t, "dirty")["matches"])
+
+
+@query("t2_cleared_flags", f"SELECT user_id, user_id % 9 = 0 AND user_id NOT IN (SELECT user_id FROM {_DIRTY} d) AS rematch_needed FROM {{v_users}}")
+def t2_flags(t):
+    return _cycle(t, "dirty")["users"]
+
+
+@query("t2_cycle_counts", f"""WITH d AS {_DIRTY}, p AS ({_WHO} AND u.user_id IN (SELECT user_id FROM d) AND (j.expires_at IS NULL OR j.expires_at > TIMESTAMP '{_CYCLE_AT}'))
+SELECT (SELECT count(*) FROM d) AS users_considered, count(*) FILTER (WHERE extracted_at IS NULL) AS deferred_unextracted, count(DISTINCT job_id) FILTER (WHERE extracted_at IS NULL) AS extracts_enqueued,
+  CAST((SELECT sum(least(n, 4)) FROM (SELECT count(extracted_at) AS n FROM p GROUP BY user_id)) AS BIGINT) AS matches_written FROM p""")
+def t2_counts(t):
+    return _cycle(t, "dirty")["counts"]
+
+
+@query("t5_cycle_again", "SELECT 0 AS appended FROM {v_users} LIMIT 1")
+def t5_cycle(t):
+    first = _cycle(t, "dirty")["matches"]
+    known = t.v_matches.select("user_id", "job_id", "score", "cycle_at").unionByName(first.select("user_id", "job_id", "score", "cycle_at"))
+    return _cycle(t, "dirty", known)["matches"].agg(F.count("*").cast("int").alias("appended"))
