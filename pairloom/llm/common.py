@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.plans.runtime import saved, shared_dir
+from pairloom.plans.runtime import discard, saved, shared_dir
 
-__all__ = ["SPACE", "components", "saved", "shared_dir", "small"]
+__all__ = ["SPACE", "components", "discard", "saved", "shared_dir", "small"]
 
 #: Word separators of the word-based operators: blank, tab, line feed, vertical tab, form feed, carriage return.
 #: ``bytes.split()`` without an argument splits at the same six bytes.
