@@ -45,14 +45,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     whole = docs.select(F.struct(*rest).alias("r"), F.col(id_col).alias("d0"), F.xxhash64(text_col).alias("x0"), F.col(text_col).alias("t0"))
     out = whole.join(covered, F.col("d0").eqNullSafe(F.col("d")) & (F.col("x0") == F.col("x")), "left")
-    gone = F.map_from_arrays("gone", "gone")
-    left = F.array_join(F.filter(F.split("t0", "\n", -1), lambda v, k: ~F.map_contains_key(F.col("m"), k)), "\n")
-    count = F.size(F.filter(F.split("t0", "\n", -1), lambda v: v.rlike(HAS_WORD)))
-    out = out.withColumn("m", gone).select(
-        *[F.col("r")[c].alias(c) for c in rest if c in docs.columns],
-        F.when(F.col("m").isNull(), F.col("t0")).otherwise(left).alias(text_col),
-        F.when(F.col("t0").isNull(), F.lit(0)).otherwise(count).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+    lines = F.split("t0", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    out = out.withColumns({"stay": stay, "l0": lines})
+    count = F.size(F.filter("l0", lambda v: v.rlike(HAS_WORD)))
+    out = out.select(
+        "r", F.when(F.col("gone").isNull(), F.col("t0")).otherwise(F.array_join(F.transform("stay", lambda k: F.get("l0", k)), "\n")).alias("t1"),
+        F.when(F.col("t0").isNull(), F.lit(0)).otherwise(count).cast("long").alias("n1"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n2"),
     )
+    out = out.select(*[F.col("r")[c].alias(c) for c in rest], F.col("t1").alias(text_col), F.col("n1").alias("n_lines"), F.col("n2").alias("n_removed"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(*names, "n_lines", "n_removed")
