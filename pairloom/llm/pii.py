@@ -2,13 +2,16 @@
 
 *Patterns.* Emails, IP addresses, card and phone numbers are found leftmost and non-overlapping per kind. Positions come
 from the text's pieces between matches, so everything stays inside expressions. Texts without the kind's telltale
-characters skip its pattern; the patterns are possessive, so long runs of digits or letters cost linear time.
+characters skip its pattern; the patterns are possessive, so long runs of digits or letters cost linear time. Beside the four base
+kinds there are secrets: runs of 20 and more letters, digits and ``+_=-`` with some of both whose letters carry at least 64 bits
+(length times the entropy of its own letter counts), which words of a language don't.
 
-*Disclosure.* An entity is a normalised value. Words (runs of letters) within ``near`` words of its mentions co-occur
-with it; copies of a mention (equal context) count once. For a term t that supports an entity e in at least
-``support`` contexts, the corpus gives p(e | t) = documents with t near e / documents with t, and the information
-log2(p(e | t) / p(e)). All of these count documents (distinct pairs of id and text), copies on both sides. Terms with p >= ``threshold`` and at least ``bits`` bits of information reveal the entity wherever they stand: all
-their occurrences become spans of kind ``term``, to be generalised or removed like the rest.
+*Disclosure.* Protected entities are each value found (normalised), and each kind as a whole. Words (runs of letters) within
+``near`` words of a mention co-occur with the value and with its kind; copies of a mention (equal context) count once. For a term t
+that supports an entity e in at least ``support`` contexts, the corpus gives p(e | t) = documents with t near e / documents with t,
+and the information log2(p(e | t) / p(e)). All of these count documents (distinct pairs of id and text), copies on both sides.
+Terms with p >= ``threshold`` (for a kind, ``kind_threshold``) and at least ``bits`` bits of information reveal the entity
+wherever they stand: all their occurrences become spans of kind ``term``, to be generalised or removed like the rest.
 
 Only mentions, their context words and per-term counts are shuffled; the corpus is scanned again for the document
 counts of candidate terms, and once more for the places of revealing ones, each only if there are any.
@@ -25,15 +28,18 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import saved, small
 
 KINDS = ("email", "ip", "card", "phone")
+FOUND = (*KINDS, "secret")
 #: kind -> (cheap sign that a text may hold one, pattern). \G continues right after the match before.
 PATTERNS = {
     "email": ("@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": (r"[0-9](?:[\x20-]?[0-9]){12}", r"[0-9](?:[\x20-]?[0-9]){12,}+"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    "secret": (r"(?<![A-Za-z0-9+_=-])[A-Za-z0-9+_=-]{20}", r"(?<![A-Za-z0-9+_=-])[A-Za-z0-9+_=-]{20,}+"),
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 MOST_BROADCAST = 200_000
+SECRET_BITS = 64
 SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -47,7 +53,17 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add) % 10 == 0
 
 
+def own_bits(value: Column) -> Column:
+    """Length times the entropy of the string's letter counts."""
+    letters = F.filter(F.split(value, "", -1), lambda c: c != "")
+    counts = F.transform(F.array_distinct(letters), lambda c: F.size(F.filter(letters, lambda v: v == c)).cast("double"))
+    n = F.size(letters).cast("double")
+    return n * F.log2(n) - F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c))
+
+
 def holds(kind: str, value: Column) -> Column:
+    if kind == "secret":
+        return value.rlike("(?:[0-9][^0-9]*){3}") & value.rlike("(?:[A-Za-z][^A-Za-z]*){3}") & (own_bits(value) >= SECRET_BITS)
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "ip":
         return value.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")
@@ -89,9 +105,9 @@ def _each(kind: str, f) -> Column:
 
 
 def mentions(spotted: DataFrame, near: int) -> DataFrame:
-    """entity, context (hash), terms: one row per base span of ``spotted`` (d, x, t and a span array per kind)."""
+    """d, x, entity, kind, context (hash), terms: one row per span of ``spotted`` (d, x, t and a span array per kind)."""
     each = spotted.select(
-        "d", "x", "t", F.explode_outer(F.concat(*[_each(k, lambda kind, v: F.struct(F.lit(kind).alias("kind"), v["s"].alias("s"), v["e"].alias("e"), v["v"].alias("v"))) for k in KINDS])).alias("m")
+        "d", "x", "t", F.explode_outer(F.concat(*[_each(k, lambda kind, v: F.struct(F.lit(kind).alias("kind"), v["s"].alias("s"), v["e"].alias("e"), v["v"].alias("v"))) for k in FOUND])).alias("m")
     ).where("m is not null")
     room = 24 * near
     from_ = F.greatest(F.col("m.s") - room, F.lit(0))
@@ -99,20 +115,21 @@ def mentions(spotted: DataFrame, near: int) -> DataFrame:
     right = words(F.substring("t", F.col("m.e") + 1, F.lit(room)))
     left = F.slice(left, F.greatest(F.size(left) - near, F.lit(1)), F.lit(near + 1))  # the last piece is empty or joins the span
     context = F.filter(F.concat(left, F.slice(right, 1, near + 1)), lambda w: F.length(w) >= 3)
-    value = F.when(F.col("m.kind") == "email", F.lower("m.v")).otherwise(F.regexp_replace("m.v", "[^0-9.+]", ""))
-    return each.select("d", "x", F.concat(F.col("m.kind"), F.lit(":"), value).alias("entity"), F.array_distinct(context).alias("terms"), F.xxhash64(context).alias("context"))
+    value = F.when(F.col("m.kind") == "email", F.lower("m.v")).when(F.col("m.kind") == "secret", F.col("m.v")).otherwise(F.regexp_replace("m.v", "[^0-9.+]", ""))
+    return each.select("d", "x", F.concat(F.col("m.kind"), F.lit(":"), value).alias("entity"), F.col("m.kind").alias("kind"), F.array_distinct(context).alias("terms"), F.xxhash64(context).alias("context"))
 
 
-def revealing_terms(docs: DataFrame, spotted: DataFrame, *, near: int = 5, support: int = 3, threshold: float = 0.5, bits: float = 3.0) -> DataFrame:
+def revealing_terms(docs: DataFrame, spotted: DataFrame, *, near: int = 5, support: int = 3, threshold: float = 0.5, kind_threshold: float = 0.8, bits: float = 3.0) -> DataFrame:
     """term, entity, p, information: the terms over the disclosure thresholds. ``docs``: d, x, t."""
     spark = docs.sparkSession
     one = F.struct("d", "x")  # never null, so documents without an id count too
-    said = mentions(spotted, near)
+    said = mentions(spotted, near).withColumn("entity", F.explode_outer(F.array("entity", "kind"))).drop("kind")
+    limit = F.when(F.contains("entity", F.lit(":")), threshold).otherwise(kind_threshold)
     each = said.select("d", "x", "entity", "context", F.explode_outer("terms").alias("term")).where("term is not null")
     pairs = each.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct(one).alias("n")).where(F.col("contexts") >= support).drop("contexts")
     # a term stands in at least the documents where it stands near any entity: those that can't reach the threshold go now
     least = each.groupBy("term").agg(F.countDistinct(one).alias("least"))
-    pairs = saved(pairs.join(least, "term").where(F.col("n") >= F.col("least") * threshold).drop("least"), "pairs")
+    pairs = saved(pairs.join(least, "term").where(F.col("n") >= F.col("least") * limit).drop("least"), "pairs")
     if pairs.isEmpty():
         return spark.createDataFrame([], "term string, entity string, p double, information double")
     terms = saved(pairs.select("term").distinct(), "terms")
@@ -122,14 +139,14 @@ def revealing_terms(docs: DataFrame, spotted: DataFrame, *, near: int = 5, suppo
     total = docs.agg(F.countDistinct(one)).first()[0]
     p = F.col("n") / F.col("df")
     scored = pairs.join(counts, "term").join(mentioned, "entity").select("term", "entity", p.alias("p"), F.log2(p * total / F.col("ne")).alias("information"))
-    return scored.where((F.col("p") >= threshold) & (F.col("information") >= bits))
+    return scored.where((F.col("p") >= limit) & (F.col("information") >= bits))
 
 
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row per row of ``docs``: d (id), t (text), one array of spans (s, e, v) per kind, and ``term``."""
     rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("x"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    spotted = rows.select("d", "x", "t", *[base_spans(k, F.col("t")).alias(k) for k in KINDS])
-    some = spotted.where(F.greatest(*[F.size(k) for k in KINDS]) > 0)
+    spotted = rows.select("d", "x", "t", *[base_spans(k, F.col("t")).alias(k) for k in FOUND])
+    some = spotted.where(F.greatest(*[F.size(k) for k in FOUND]) > 0)
     terms = saved(revealing_terms(rows, some, **limits).groupBy("term").agg(F.max("information").alias("information")), "revealing")
     if terms.isEmpty():
         return spotted.withColumn("term", F.array().cast(SPANS))
@@ -148,16 +165,17 @@ def listed(kinds: tuple[str, ...]) -> Column:
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", **names) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term, n_spans, base_sha256, spans."""
+    sizes = {k: F.size(k).cast("long") for k in (*FOUND, "term")}
     return detect(docs, id_col=id_col, **names).select(
-        F.col("d").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in (*KINDS, "term")],
-        F.sha2(listed(KINDS), 256).alias("base_sha256"), listed((*KINDS, "term")).alias("spans"),
+        F.col("d").alias(id_col), *[n.alias(f"n_{k}") for k, n in sizes.items()], sum(sizes.values(), F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2(listed(KINDS), 256).alias("base_sha256"), listed((*FOUND, "term")).alias("spans"),
     )
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``id_col`` and ``text_col`` with every span generalised to its kind in brackets; of overlapping spans the first counts."""
-    marked = F.concat(*[_each(k, lambda kind, v: F.struct(v["s"].alias("s"), v["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("v"))) for k in (*KINDS, "term")])
+    marked = F.concat(*[_each(k, lambda kind, v: F.struct(v["s"].alias("s"), v["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("v"))) for k in (*FOUND, "term")])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, v: Column) -> Column:
