@@ -1,13 +1,15 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words; labels belong to documents only. Every passage of the whole text is
-encoded into fixed measures of its letters and words, embedded by one tanh layer, weighted by gated attention
+encoded: its words and word pairs (A-Z lower-cased, without signs around them) are hashed into ``BUCKETS`` cells, beside fixed
+measures of its letters and words. One tanh layer embeds both, passages are weighted by gated attention
 (``softmax(w . (tanh(V h) * sigmoid(U h)))``), and the weighted mean is scored by a logistic unit. All weights are learned
 together from document labels.
 
-Fitting uses at most ``rows`` labelled documents (a documented bound; those with the smallest hash of their id): their
-passages are encoded on the executors, and a few megabytes of measures go to the driver, which trains with numpy.
-Scoring broadcasts the weights (some kilobytes) and is one pass without a shuffle. Both encode in numpy on Arrow batches.
+Fitting uses at most ``rows`` labelled documents (a documented bound; those with the smallest hash of their id) and of each at
+most ``most_passages``, evenly spaced: passages are encoded on the executors, and at most ``rows * most_passages * 340`` bytes
+(65 MB) go to the driver, which trains with numpy. Scoring takes all passages of all documents; it broadcasts the weights (some
+kilobytes) and is one pass without a shuffle. Both encode in numpy on Arrow batches.
 
 The inputs of a score are the text's own measures; labels, lang, source and ids are not among them.
 
@@ -29,6 +31,9 @@ from pairloom.plans.runtime import ship
 
 PASSAGE = 64
 ROWS = 6000
+MOST_PASSAGES = 32
+BITS = 8
+BUCKETS = 1 << BITS  # cells of hashed words, and as many of word pairs
 GROUP_BYTES = 1 << 20  # texts are encoded together in groups of about this size
 
 _KINDS = ("lower", "upper", "digit", "space", "line", "stop", "shout", "bar", "symbol", "other", "wide")
@@ -42,8 +47,15 @@ _POWERS = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | n
 N_FEATURES = len(_KINDS) + 9
 
 
-def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of the texts (float32), and the number of passages of each text (1 at least)."""
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_WORDLY = np.zeros(256, bool)
+_WORDLY[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Measures of all passages of the texts (float32), their ``2 * PASSAGE`` cells of words and pairs (uint16, ``2 * BUCKETS`` where
+    there is none), and the number of passages of each text (1 at least)."""
     buffer = np.frombuffer(b" ".join([*texts, b""]) + b" ", np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -53,8 +65,9 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n_passages = np.maximum(-(-n_words // PASSAGE), 1)
     total = int(n_passages.sum())
     out = np.zeros((total, N_FEATURES), np.float32)
+    cells = np.full((total, 2 * PASSAGE), 2 * BUCKETS, np.uint16)
     if not len(starts):
-        return out, n_passages
+        return out, cells, n_passages
     doc = np.repeat(np.arange(len(texts)), n_words)
     within = np.arange(len(starts)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
     passage = (np.cumsum(n_passages) - n_passages)[doc] + within // PASSAGE  # of each word
@@ -67,6 +80,15 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     value = np.where(letter, used.astype(np.uint64) + np.uint64(1), np.uint64(0)) * _POWERS[place & 63]
     word = np.add.reduceat(value, starts - starts[0])
     length = np.add.reduceat(letter.astype(np.int64), starts - starts[0])
+    plain = np.where(_WORDLY[used], _LOWER[used].astype(np.uint64) + np.uint64(1), np.uint64(0))
+    rank = np.cumsum(_WORDLY[used])
+    rank -= np.repeat(rank[starts - starts[0]] - _WORDLY[used[starts - starts[0]]], segment)
+    bare = np.add.reduceat(plain * _POWERS[rank & 63], starts - starts[0])  # the word without signs
+    slot = within % PASSAGE
+    cells[passage, slot] = (bare * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+    follows = np.flatnonzero(passage[1:] == passage[:-1]) + 1
+    pair = (bare[follows - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + bare[follows]) * np.uint64(0x9E3779B97F4A7C15)
+    cells[passage[follows], PASSAGE + slot[follows]] = BUCKETS + (pair >> np.uint64(64 - BITS)).astype(np.int64)
     count = np.bincount(passage, minlength=total).astype(np.float64)
     safe = np.maximum(count, 1)
 
@@ -93,7 +115,14 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[:, len(_KINDS) + 6] = per(_CLASS[buffer[starts]] == 1)
     out[:, len(_KINDS) + 7] = kinds[:, 8] / safe
     out[:, len(_KINDS) + 8] = kinds[:, 6] / safe
-    return out, n_passages
+    return out, cells, n_passages
+
+
+def spread(cells: np.ndarray, kind=np.float32) -> np.ndarray:
+    """Counts of words and pairs per cell, by square root (a passage per row)."""
+    size = 2 * BUCKETS + 1
+    at = cells.astype(np.int64) + np.arange(len(cells))[:, None] * size
+    return np.sqrt(np.bincount(at.ravel(), minlength=len(cells) * size).reshape(len(cells), size)[:, :-1].astype(kind))
 
 
 def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -108,34 +137,55 @@ def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 class Model:
-    """Weights of the embedding, the gated attention and the score; ``mean`` and ``scale`` standardise features."""
+    """Weights of the embedding (``W`` of measures, ``L`` of words and pairs), the gated attention and the score; ``mean`` and ``scale``
+    standardise measures."""
 
     def __init__(self, hidden: int = 16, gate: int = 8, seed: int = 1):
         r = np.random.default_rng(seed)
         d = N_FEATURES
-        self.mean, self.scale, self.constant = np.zeros(d), np.ones(d), None
+        self.mean, self.scale, self.constant, self.kind = np.zeros(d), np.ones(d), None, np.float32
         self.w = {
-            "W": r.normal(0, d**-0.5, (d, hidden)), "b": np.zeros(hidden), "V": r.normal(0, hidden**-0.5, (hidden, gate)),
+            "W": r.normal(0, d**-0.5, (d, hidden)), "L": np.zeros((2 * BUCKETS, hidden)), "b": np.zeros(hidden), "V": r.normal(0, hidden**-0.5, (hidden, gate)),
             "U": r.normal(0, hidden**-0.5, (hidden, gate)), "a": r.normal(0, gate**-0.5, gate), "o": r.normal(0, hidden**-0.5, hidden), "c": np.zeros(1),
         }
 
-    def forward(self, x: np.ndarray, n: np.ndarray) -> dict:
+    def forward(self, x: np.ndarray, cells: np.ndarray, n: np.ndarray) -> dict:
         w, at = self.w, np.cumsum(n) - n
-        x = np.clip((x - self.mean) / self.scale, -6, 6)
-        h = np.tanh(x @ w["W"] + w["b"])
+        x, k = np.clip((x - self.mean) / self.scale, -6, 6), spread(cells, self.kind)
+        h = np.tanh(x @ w["W"] + k @ w["L"].astype(self.kind) + w["b"])
         t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
         e = (t * s) @ w["a"]
         p = np.exp(e - np.repeat(np.maximum.reduceat(e, at), n))
         p /= np.repeat(np.add.reduceat(p, at), n)
         z = np.add.reduceat(p[:, None] * h, at, axis=0)
         y = 1 / (1 + np.exp(-np.clip(z @ w["o"] + w["c"], -30, 30)))
-        return {"x": x, "h": h, "t": t, "s": s, "p": p, "z": z, "y": y, "at": at}
-
-    def score(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.full(len(n), self.constant) if self.constant is not None else self.forward(x, n)["y"]
-
-    def fit(self, x: np.ndarray, n: np.ndarray, label: np.ndarray, epochs: int = 15, batch: int = 256, rate: float = 0.02, decay: float = 1e-4) -> Model:
-        """Adam over mini-batches of documents, in an order fixed by a seed."""
+        return {"x": x, "k": k, "h": h, "t": t, "s": s, "p": p, "z": z, "y": y, "at": at}
+
+    def score(self, x: np.ndarray, cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.full(len(n), self.constant) if self.constant is not None else self.forward(x, cells, n)["y"]
+
+    def loss(self, x: np.ndarray, cells: np.ndarray, n: np.ndarray, label: np.ndarray) -> float:
+        y = self.forward(x, cells, n)["y"]
+        return float(-np.mean(label * np.log(y) + (1 - label) * np.log(1 - y)))
+
+    def gradients(self, x: np.ndarray, cells: np.ndarray, n: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy, by weight."""
+        f, w = self.forward(x, cells, n), self.w
+        d = (f["y"] - label) / len(label)
+        g = {"o": f["z"].T @ d, "c": np.array([d.sum()])}
+        dz = np.repeat(d, n)[:, None] * w["o"]
+        dp = (dz * f["h"]).sum(1)
+        de = f["p"] * (dp - np.repeat(np.add.reduceat(f["p"] * dp, f["at"]), n))
+        g["a"] = (f["t"] * f["s"]).T @ de
+        dt = de[:, None] * w["a"] * f["s"] * (1 - f["t"] ** 2)
+        ds = de[:, None] * w["a"] * f["t"] * f["s"] * (1 - f["s"])
+        g["V"], g["U"] = f["h"].T @ dt, f["h"].T @ ds
+        dh = (f["p"][:, None] * dz + dt @ w["V"].T + ds @ w["U"].T) * (1 - f["h"] ** 2)
+        g["W"], g["L"], g["b"] = f["x"].T @ dh, f["k"].T @ dh.astype(self.kind), dh.sum(0)
+        return g
+
+    def fit(self, x: np.ndarray, cells: np.ndarray, n: np.ndarray, label: np.ndarray, epochs: int = 15, batch: int = 256, rate: float = 0.02, decay: float = 1e-4) -> Model:
+        """Adam over mini-batches of documents, in an order fixed by a seed; word weights learn more slowly."""
         if len(label) == 0 or label.min() == label.max():
             self.constant = float(label.mean()) if len(label) else 0.5
             return self
@@ -148,23 +198,11 @@ class Model:
             step += 1
             size = n[part]
             pick = np.repeat(ends[part] - size - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            f, w, n_in = self.forward(x[pick], size), self.w, size
-            d = (f["y"] - label[part]) / len(part)
-            g = {"o": f["z"].T @ d, "c": np.array([d.sum()])}
-            dz = np.repeat(d, n_in)[:, None] * w["o"]
-            dp = (dz * f["h"]).sum(1)
-            de = f["p"] * (dp - np.repeat(np.add.reduceat(f["p"] * dp, f["at"]), n_in))
-            g["a"] = (f["t"] * f["s"]).T @ de
-            dt = de[:, None] * w["a"] * f["s"] * (1 - f["t"] ** 2)
-            ds = de[:, None] * w["a"] * f["t"] * f["s"] * (1 - f["s"])
-            g["V"], g["U"] = f["h"].T @ dt, f["h"].T @ ds
-            dh = (f["p"][:, None] * dz + dt @ w["V"].T + ds @ w["U"].T) * (1 - f["h"] ** 2)
-            g["W"], g["b"] = f["x"].T @ dh, dh.sum(0)
-            for k in w:
-                g[k] = g[k] + decay * w[k]
-                first[k] = 0.9 * first[k] + 0.1 * g[k]
-                second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-                w[k] = w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            for k, g in self.gradients(x[pick], cells[pick], size, label[part]).items():
+                g = g + (10 if k == "L" else 1) * decay * self.w[k]
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.99 * second[k] + 0.01 * g**2
+                self.w[k] = self.w[k] - rate * (0.1 if k == "L" else 1) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
 
@@ -173,7 +211,7 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, most_passages: int = MOST_PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from at most ``rows`` labelled documents that are not held out."""
     ship(docs.sparkSession)
     usable = labels.select(F.col(id_col).alias("d"), F.col(label_col).cast("int").alias("y")).where(F.col("d").isNotNull() & F.col("y").isin(0, 1))
@@ -183,14 +221,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [encode([v.as_py() or b""])[0] for v in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.tobytes() for m in made], pa.binary())], names=["d", "y", "x"])
+            xs, ks = [], []
+            for v in batch.column(2):
+                x, cells, n = encode([v.as_py() or b""])
+                some = np.unique(np.linspace(0, n[0] - 1, min(n[0], most_passages)).astype(np.int64))
+                xs.append(x[some].tobytes())
+                ks.append(cells[some].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(xs, pa.binary()), pa.array(ks, pa.binary())], names=["d", "y", "x", "k"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted(rows_in.mapInArrow(run, f"d {kind}, y int, x binary").collect(), key=lambda r: (str(r["d"]), r["y"], bytes(r["x"])))
-    xs = [np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, N_FEATURES) for r in got]
-    n = np.array([len(x) for x in xs], np.int64)
-    return Model().fit(np.concatenate(xs) if xs else np.zeros((0, N_FEATURES)), n, np.array([r["y"] for r in got], np.float64))
+    got = sorted(rows_in.mapInArrow(run, f"d {kind}, y int, x binary, k binary").collect(), key=lambda r: (str(r["d"]), r["y"], bytes(r["x"]), bytes(r["k"])))
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, N_FEATURES)
+    cells = np.frombuffer(b"".join(bytes(r["k"]) for r in got), np.uint16).reshape(-1, 2 * PASSAGE)
+    n = np.array([len(r["x"]) // (4 * N_FEATURES) for r in got], np.int64)
+    return Model().fit(x, cells, n, np.array([r["y"] for r in got], np.float64))
 
 
 def score(docs: DataFrame, model: Model, *, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
