@@ -274,3 +274,10 @@ def usable(parseable: Column, seniority: Column, low: Column, high: Column, *lis
     for values in lists:
         some = some | F.coalesce(F.size(values) > 0, F.lit(False))
     return F.coalesce(parseable, F.lit(True)) & some
+
+
+def route_postings() -> Column:
+    """unparseable (no url, blank text), expired (flag or status), else ok, in that order; of columns url, raw_jd, expired, status."""
+    blank = F.col("url").isNull() | (F.trim(F.coalesce("raw_jd", F.lit(""))) == "")
+    gone = F.coalesce("expired", F.lit(False)) | F.coalesce(F.lower("status").isin("expired", "closed", "archived"), F.lit(False))
+    return F.when(blank, "unparseable").when(gone, "expired").otherwise("ok")

@@ -186,3 +186,8 @@ def apply_profile_edits(profiles: DataFrame, edits: DataFrame) -> DataFrame:
 def init_users(users: DataFrame, quota: int, today: Column) -> DataFrame:
     """Quota default and the reset date, the first of next month."""
     return users.withColumns({"quota": F.coalesce("quota", F.lit(quota)), "reset_at": F.add_months(F.trunc(today, "MM"), 1)})
+
+
+def job_detail(jobs: DataFrame, job_id: int) -> DataFrame:
+    """The one posting with all its columns; a missing id gives no row. The filter reaches the scan."""
+    return jobs.where(F.col("job_id") == job_id)

@@ -70,15 +70,35 @@ def link_exact(fragments: DataFrame, index: DataFrame) -> DataFrame:
     return fragments.join(index.select(F.col("key").alias("norm"), "skill_id"), "norm", "left")
 
 
-def link_report(spans: DataFrame, key: str, col: str, index: DataFrame) -> DataFrame:
-    """Per row: skill_ids in order of first success, and whether the span stayed unlinked."""
+def link_similar(fragments: DataFrame, vectors: DataFrame, concepts: DataFrame, high: float, threshold: float, margin: float) -> DataFrame:
+    """Fragments whose skill_id is null get the concept whose vector is closest, if it is close enough. fragments: norm, skill_id;
+    vectors: norm, embedding; concepts: d (skill id), embedding. Each distinct text is compared once."""
+    open_ = fragments.where("skill_id is null").select("norm").distinct().join(vectors.select(F.col("norm"), "embedding"), "norm")
+    top = similarity_top2(open_.select(F.col("norm").alias("q"), "embedding"), concepts)
+    near = top.where(M.link_decision(F.col("best"), F.col("second"), high, threshold, margin)).select(F.col("q").alias("norm"), F.col("best_id").alias("near_id"))
+    return fragments.join(near, "norm", "left").withColumn("skill_id", F.coalesce("skill_id", "near_id")).drop("near_id")
+
+
+def link_report(spans: DataFrame, key: str, col: str, index: DataFrame, similar=None) -> DataFrame:
+    """Per row: skill_ids in order of first success, and whether the span stayed unlinked. ``similar`` (fragments -> fragments with
+    more skill_ids) is the second tier, for fragments without a key of their own."""
     linked = link_exact(expand_spans(spans, key, col), index)
+    linked = similar(linked) if similar else linked
     first = linked.where("skill_id is not null").groupBy(key, "skill_id").agg(F.min("k").alias("k"))
     ids = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "skill_id"))).alias("s"))
     out = spans.select(key).join(ids, key, "left")
     return out.select(key, F.coalesce(F.transform("s", lambda v: v["skill_id"]), F.array().cast("array<string>")).alias("skill_ids"), F.col("s").isNull().alias("unlinked"))
 
 
+def link_or_scan(docs: DataFrame, key: str, col: str, spans: DataFrame, span_col: str, index: DataFrame, terms: DataFrame, similar=None) -> DataFrame:
+    """key, how, skill_ids: what a document's spans link to or, if nothing, all terms that a scan of its text finds."""
+    linked = link_report(spans, key, span_col, index, similar).where(~F.col("unlinked")).select(key, F.array_sort("skill_ids").alias("linked"))
+    both = docs.select(key, col).join(linked, key, "left")
+    found = scan_terms(both.where("linked is null"), key, col, terms).groupBy(key).agg(F.array_sort(F.collect_set("skill_id")).alias("found"))
+    how = F.when(F.col("linked").isNotNull(), "linked").when(F.col("found").isNotNull(), "scanned").otherwise("none")
+    return both.join(found, key, "left").select(key, how.alias("how"), F.coalesce("linked", "found", F.array().cast("array<string>")).alias("skill_ids"))
+
+
 def scan_terms(docs: DataFrame, key: str, col: str, terms: DataFrame) -> DataFrame:
     """Terms (skill_id, term) that stand token-bounded in the normalised text; per (document, skill) the longest.
 

@@ -199,14 +199,19 @@ def flatten_history(roles: Column) -> Column:
     return F.array_join(F.transform(roles, lambda r: F.concat_ws("\n", r["employer"], r["title"], F.array_join(F.transform(r["bullets"], lambda b: b["text"]), "\n"))), "\n")
 
 
-def generation_context(roles: Column, matched: Column, adjacent: Column, missing: Column, job: Column) -> Column:
-    """The context of a generated document: history with span ids, the three skill lists, the job."""
+def generation_context(roles: Column, matched: Column, adjacent: Column, missing: Column, job: Column, violations: Column | None = None) -> Column:
+    """The context of a generated document: history with span ids, the three skill lists, the job and, on a retry, the named
+    violations of the try before (null or empty: none)."""
 
     def block(r: Column) -> Column:
         return F.concat_ws("\n", F.concat(r["title"], F.lit(" at "), r["employer"]), F.array_join(F.transform(r["bullets"], lambda b: F.concat(F.lit("["), b["span_id"], F.lit("] "), b["text"])), "\n"))
 
     lists = [F.concat(F.lit(f"{name}: "), F.array_join(c, ", ")) for name, c in (("Matched", matched), ("Adjacent", adjacent), ("Missing", missing))]
-    return F.concat_ws("\n", F.array_join(F.transform(roles, block), "\n"), *lists, F.concat(F.lit("Job: "), job))
+    base = F.concat_ws("\n", F.array_join(F.transform(roles, block), "\n"), *lists, F.concat(F.lit("Job: "), job))
+    if violations is None:
+        return base
+    asked = F.concat(base, F.lit("\nFix only these failures, and add no new facts:\n"), F.array_join(F.transform(violations, lambda v: F.concat(F.lit("- "), v)), "\n"))
+    return F.when(F.coalesce(F.size(violations) > 0, F.lit(False)), asked).otherwise(base)
 
 
 def prepare_history(bullets: Column, source: Column) -> Column:
@@ -214,33 +219,60 @@ def prepare_history(bullets: Column, source: Column) -> Column:
     return F.struct(F.coalesce(source, F.lit("user_asserted")).alias("source"), F.transform(bullets, lambda b, j: F.struct(F.concat(F.lit("wh:0:b:"), j.cast("string")).alias("span_id"), b.alias("text"))).alias("bullets"))
 
 
+# Section headings, role headings and date ranges of resumes.
 RESUME_SECTION = r"(?i)^(?:#{1,3}\s*)?(experience|work history|employment|skills|education|summary|about)\s*:?\s*$"
 ROLE_HEAD = r"(?i)^(?:#{1,4}\s*|\*\*)?(.+?)\s+(?:—|--|-|at|,)\s+(.+?)(?:\*\*)?\s*$"
-DATES = r"(?i)((?:[A-Za-z]{3,9}\.?\s+)?\d{4}(?:[-/]\d{1,2})?)\s*[–—-]\s*(present|current|now|today|(?:[A-Za-z]{3,9}\.?\s+)?\d{4}(?:[-/]\d{1,2})?)"
+DATES = (
+    r"(?i)((?:[A-Za-z]{3,9}\.?\s+)?\d{4}(?:\s*[-/]\s*\d{1,2})?|\d{4}[-/]\d{1,2}|\d{1,2}[-/]\d{4})\s*[–—\-to]+\s*"
+    r"(present|current|now|today|(?:[A-Za-z]{3,9}\.?\s+)?\d{4}(?:\s*[-/]\s*\d{1,2})?|\d{4}[-/]\d{1,2}|\d{1,2}[-/]\d{4})"
+)
+
+
+def _resume_lines(docs: DataFrame, key: str, col: str) -> DataFrame:
+    """key, k, line, section ("header" before the first heading, "experience" from the first role heading there), head (role heading)."""
+    from pyspark.sql import Window as W
+
+    lines = docs.select(key, F.posexplode_outer(F.split(col, "\r\n|[\n\r]", -1)).alias("k", "raw")).withColumn("line", F.trim("raw")).where("line <> ''")
+    w = W.partitionBy(key).orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    named = F.lower(F.regexp_extract("line", RESUME_SECTION, 1))
+    lines = lines.withColumns({"named": named, "head": F.regexp_replace("line", r"^#{1,4}\s*", "")}).withColumn("said", F.last(F.nullif("named", F.lit("")), ignorenulls=True).over(w))
+    opened = F.max(F.col("said").isNull() & F.col("head").rlike(ROLE_HEAD)).over(w)
+    section = F.when(F.col("said").isNull(), F.when(opened, "experience").otherwise("header")).otherwise(F.col("said"))
+    return lines.withColumn("section", section).where("named = ''").select(key, "k", "line", "head", "section")
 
 
 def segment_resume(docs: DataFrame, key: str, col: str) -> DataFrame:
     """Roles of line text: key, role (running number), title, employer, start, end, bullets.
 
-    Headings carry forward; within experience a line that isn't a bullet or dates and reads "title - employer" opens a role,
-    the first date line after it gives its months, bullets follow. Windows run within one document.
+    Headings carry forward. Outside header, summary, skills and education, a line that reads "title - employer" opens a role, the
+    first other line of the role with a date range gives its months, and bullets belong to it. Windows run within one document.
     """
     from pyspark.sql import Window as W
 
-    lines = docs.select(key, F.posexplode_outer(F.split(col, "\n", -1)).alias("k", "raw")).withColumn("line", F.trim("raw")).where("line <> ''")
-    w = W.partitionBy(key).orderBy("k")
-    head = F.lower(F.regexp_extract("line", RESUME_SECTION, 1))
-    lines = lines.withColumn("section", F.last(F.nullif(head, F.lit("")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).where(head == "")
-    inside = F.col("section").isin("experience", "work history", "employment")
-    bullet, dated = F.col("line").rlike(BULLET), F.col("line").rlike(DATES)
-    opens = inside & ~bullet & ~dated & F.col("line").rlike(ROLE_HEAD)
-    lines = lines.withColumns({"opens": opens, "bullet": inside & bullet, "dated": inside & dated & ~bullet})
-    lines = lines.withColumn("role", F.sum(F.col("opens").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).where("role > 0")
-    first = F.min(F.when(F.col("dated"), F.struct("k", "line")))
-    title = F.min(F.when(F.col("opens"), F.struct("k", "line")))["line"]
-    bullets = F.array_sort(F.collect_list(F.when(F.col("bullet"), F.struct("k", F.regexp_extract("line", BULLET, 1).alias("v")))))
-    out = lines.groupBy(key, "role").agg(title.alias("head"), first.alias("dates"), bullets.alias("b"))
-    return out.select(
-        key, "role", F.regexp_extract("head", ROLE_HEAD, 1).alias("title"), F.regexp_extract("head", ROLE_HEAD, 2).alias("employer"),
-        X.norm_month(F.regexp_extract("dates.line", DATES, 1)).alias("start"), X.norm_month(F.regexp_extract("dates.line", DATES, 2)).alias("end"), F.transform("b", lambda v: v["v"]).alias("bullets"),
+    inside = _resume_lines(docs, key, col).where(~F.col("section").isin("header", "summary", "skills", "education"))
+    w = W.partitionBy(key).orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    inside = inside.withColumn("opens", F.col("head").rlike(ROLE_HEAD)).withColumn("role", F.sum(F.col("opens").cast("int")).over(w)).where("role > 0")
+    dated = ~F.col("opens") & F.col("line").rlike(DATES)
+    first = F.min(F.when(dated, F.col("k"))).over(W.partitionBy(key, "role"))
+    rows = inside.withColumn("dates", F.coalesce(dated & (F.col("k") == first), F.lit(False)))
+    bullet = ~F.col("opens") & ~F.col("dates") & F.col("line").rlike(BULLET)
+    out = rows.groupBy(key, "role").agg(
+        F.min(F.when(F.col("opens"), F.col("head"))).alias("head"), F.min(F.when(F.col("dates"), F.col("line"))).alias("dates"),
+        F.array_sort(F.collect_list(F.when(bullet, F.struct("k", F.trim(F.regexp_extract("line", BULLET, 1)).alias("v"))))).alias("b"),
     )
+    names = [F.btrim(F.regexp_extract("head", ROLE_HEAD, k), F.lit(" *")).alias(c) for k, c in ((1, "title"), (2, "employer"))]
+    return out.select(key, "role", *names, *[X.norm_month(F.regexp_extract("dates", DATES, k)).alias(c) for k, c in ((1, "start"), (2, "end"))], F.transform("b", lambda v: v["v"]).alias("bullets"))
+
+
+def resume_skills(docs: DataFrame, key: str, col: str, terms: DataFrame) -> DataFrame:
+    """key, spans: parts of the lines under "skills" (at commas, semicolons, slashes and bars), in order; a resume without any gets
+    the terms that a scan finds in its text, by length, then name. terms: skill_id, term."""
+    from pairloom.operators import linking
+
+    lines = _resume_lines(docs, key, col).where("section = 'skills'")
+    parts = F.filter(F.transform(F.split("line", r"[,;/|]", -1), lambda v: F.trim(v)), lambda v: v != "")
+    listed = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", parts.alias("v")))).alias("s")).select(key, F.flatten(F.transform("s", lambda v: v["v"])).alias("listed"))
+    both = docs.select(key, col).join(listed.where(F.size("listed") > 0), key, "left")
+    found = linking.scan_terms(both.where("listed is null"), key, col, terms).groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.length("term").alias("n"), "term"))).alias("f"))
+    scanned = F.coalesce(F.transform("f", lambda v: v["term"]), F.array().cast("array<string>"))
+    return both.join(found, key, "left").select(key, F.coalesce("listed", scanned).alias("spans"))

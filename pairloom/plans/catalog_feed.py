@@ -100,11 +100,25 @@ def t4(t):
     return op.cas_update(t.v_matches, delta, "match_id", "label").select("match_id", "label", "applied")
 
 
-@query("t5_idempotent_redelivery", "SELECT match_id, user_id, job_id, score FROM {v_matches}")
+@query("t5_idempotent_redelivery", """SELECT 'match' AS step, count(DISTINCT match_id) AS first, CAST(0 AS BIGINT) AS again FROM {v_matches} UNION ALL SELECT 'attempt', count(*), 0 FROM {v_generations}
+UNION ALL SELECT 'url_hash', count(DISTINCT url), 0 FROM (SELECT url FROM pages WHERE url IS NOT NULL) UNION ALL SELECT 'label', count(*) FILTER (WHERE label IS NULL), 0 FROM {v_matches}""")
 def t5(t):
-    first = t.v_matches.select("match_id", "user_id", "job_id", "score")
-    again = op.upsert(first, first.where("match_id % 2 = 0"), ["match_id"])
-    return op.upsert(again, first, ["match_id"])
+    def appended(target, rows, key):  # what a delivery adds to rows that are there
+        return op.upsert(target, rows, key).join(target.select(*key), key, "left_anti")
+
+    def both(step, rows, key):
+        first = appended(rows.limit(0), rows, key)
+        again = appended(op.upsert(rows.limit(0), rows, key), rows, key)
+        return first.agg(F.count("*").alias("first")).crossJoin(again.agg(F.count("*").alias("again"))).select(F.lit(step).alias("step"), "first", "again")
+
+    matches = t.v_matches.select("match_id", "user_id", "job_id", "score")
+    pages = op.last_of_batch(t.pages.where("url is not null").withColumn("url_hash", F.sha2("url", 256)), ["url_hash"], "page_id").select("url_hash", "page_id")
+    delta = t.v_matches.select("match_id", F.lit("overqualified").alias("label"))
+    once = op.cas_update(t.v_matches.select("match_id", "label"), delta, "match_id", "label")
+    twice = op.cas_update(once.select("match_id", "label"), delta, "match_id", "label")
+    done = once.agg(F.count(F.when(F.col("applied"), 1)).alias("first")).crossJoin(twice.agg(F.count(F.when(F.col("applied"), 1)).alias("again")))
+    out = both("match", matches, ["match_id"]).unionByName(both("attempt", t.v_generations, ["match_id", "attempt"])).unionByName(both("url_hash", pages, ["url_hash"]))
+    return out.unionByName(done.select(F.lit("label").alias("step"), "first", "again"))
 
 
 @query("t6_profile_edits", """WITH e AS (SELECT o_custkey AS user_id, count(*) AS n, max_by(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 500 END, o_orderkey) FILTER (WHERE o_orderkey % 3 > 0) AS new_floor FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey)
@@ -181,6 +195,15 @@ def j3(t):
     return one.join(j2(t), "job_id").select("generation_id", "match_id", "user_id", "job_id", "title", "company")
 
 
+@query("j3_job_detail", """SELECT j.job_id, j.title, name AS company, country, j.location, j.seniority, j.work_arrangement, j.comp_min, array_to_string(skill_ids, ',') AS hard FROM {v_jobs} j JOIN {v_job_company} USING (job_id)
+ LEFT JOIN {v_companies} USING (company_id) LEFT JOIN {v_job_skills} USING (job_id) WHERE j.job_id IN (70, 71, -1)""")
+def j3_job(t):
+    jobs = j2(t, raw=True).join(t.v_job_skills, "job_id", "left")
+    found = [op.job_detail(jobs, k) for k in (70, 71, -1)]  # the last one is missing
+    out = found[0].unionByName(found[1]).unionByName(found[2])
+    return out.select("job_id", "title", "company", "country", "location", "seniority", "work_arrangement", "comp_min", F.array_join("skill_ids", ",").alias("hard"))
+
+
 @query("j4_resolve_labels", "SELECT job_id, array_to_string(list_transform(skill_ids, lambda x: CASE WHEN CAST(split_part(x, ':', 2) AS INT) < 15 THEN 'Label ' || split_part(x, ':', 2) ELSE x END), ',') AS labels FROM {v_job_skills}")
 def j4(t):
     number = F.split_part("skill_id", F.lit(":"), F.lit(2))

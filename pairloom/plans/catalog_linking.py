@@ -67,11 +67,6 @@ def j6(t):
     return op.link_exact(op.expand_spans(_spans(t), "id", "span"), op.alias_index(_labels(t))).select("id", "fragment", "skill_id")
 
 
-@query("x6_link_report", f"{_SPAN} SELECT id, coalesce(string_agg(skill_id, ',' ORDER BY k), '') AS skill_ids, count(skill_id) = 0 AS unlinked FROM (SELECT f.id, i.skill_id, min(k) AS k FROM {_FRAG} f LEFT JOIN {_INDEX} i ON i.key = f.norm GROUP BY f.id, i.skill_id) x GROUP BY id")
-def x6(t):
-    return op.link_report(_spans(t), "id", "span", op.alias_index(_labels(t))).withColumn("skill_ids", F.array_join("skill_ids", ","))
-
-
 _CONCEPTS = "(SELECT label AS d, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label)"
 _TOP2 = f"(SELECT q, arg_min(d, rk) AS best_id, max(s) FILTER (WHERE rk = 1) AS best, max(s) FILTER (WHERE rk = 2) AS second FROM (SELECT q, d, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS rk FROM (SELECT vec_id AS q, d, round(list_inner_product(e.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS s FROM embeddings e, {_CONCEPTS} c)) WHERE rk <= 2 GROUP BY q)"
 
@@ -86,6 +81,27 @@ def j7(t):
     return _top2(t).select("q", "best_id", (F.col("best") + 0.0).alias("best"), (F.col("second") + 0.0).alias("second"))
 
 
+# Spans of vectors: a name that may be a key, else the vector decides. Names are "vec n", keys are those of concepts with an even number.
+_VSPAN = f"""(SELECT q, best_id, best, second, CASE WHEN q % 4 = 0 THEN 'concept:' || (q % 10) END AS keyed FROM {_TOP2} x)"""
+
+
+@query("x6_link_report", f"""SELECT q AS id, CASE WHEN keyed IS NOT NULL THEN keyed || CASE WHEN near IS NOT NULL AND near <> keyed THEN ',' || near ELSE '' END ELSE coalesce(near, '') END AS skill_ids, keyed IS NULL AND near IS NULL AS unlinked
+FROM (SELECT *, CASE WHEN best >= 0.3 OR (best >= 0.2 AND best - second >= 0.02) THEN 'concept:' || best_id END AS near FROM {_VSPAN} v) y""")
+def x6(t):
+    concepts = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(F.concat(F.lit("concept:"), F.col("label").cast("string")).alias("d"), "embedding")
+    vectors = t.embeddings.select(F.concat(F.lit("vec "), F.col("vec_id").cast("string")).alias("norm"), "embedding")
+    keys = t.embeddings.select((F.col("vec_id") % 10).alias("n")).distinct().select(F.concat(F.lit("named "), F.col("n").cast("string")).alias("key"), F.concat(F.lit("concept:"), F.col("n").cast("string")).alias("skill_id"))
+    name = F.concat(F.lit("Vec "), F.col("vec_id").cast("string"))
+    spans = t.embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 4 == 0, F.concat(F.lit("NAMED "), (F.col("vec_id") % 10).cast("string"), F.lit(" and "), name)).otherwise(name).alias("span"))
+    out = op.link_report(spans, "id", "span", keys, lambda rows: op.link_similar(rows, vectors, concepts, 0.3, 0.2, 0.02))
+    return out.withColumn("skill_ids", F.array_join("skill_ids", ","))
+
+
+@query("x6_link_exact_report", f"{_SPAN} SELECT id, coalesce(string_agg(skill_id, ',' ORDER BY k), '') AS skill_ids, count(skill_id) = 0 AS unlinked FROM (SELECT f.id, i.skill_id, min(k) AS k FROM {_FRAG} f LEFT JOIN {_INDEX} i ON i.key = f.norm GROUP BY f.id, i.skill_id) x GROUP BY id")
+def x6_exact(t):
+    return op.link_report(_spans(t), "id", "span", op.alias_index(_labels(t))).withColumn("skill_ids", F.array_join("skill_ids", ","))
+
+
 @query("v4_link_decision", f"SELECT q, best >= 0.5 OR (best >= 0.25 AND best - second >= 0.05) AS linked FROM {_TOP2} x")
 def v4(t):
     return _top2(t).select("q", M.link_decision(F.col("best"), F.col("second"), 0.5, 0.25, 0.05).alias("linked"))
@@ -111,13 +127,13 @@ def j8(t):
     return op.scan_terms(t.documents, "doc_id", "text", t.v_terms)
 
 
-@query("x8_link_or_scan", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'linked' WHEN n > 0 THEN 'scanned' ELSE 'none' END AS how, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE n END AS n FROM (SELECT doc_id, count(v.term) AS n FROM (SELECT doc_id, ' ' || {norm('text')} || ' ' AS n FROM documents) d LEFT JOIN {{v_terms}} v ON contains(d.n, ' ' || v.term || ' ') GROUP BY doc_id)""")
+@query("x8_link_or_scan", f"""WITH n AS (SELECT doc_id, ' ' || {norm('text')} || ' ' AS t, {norm("split_part(text, ' ', 1)")} AS w FROM documents), l AS (SELECT doc_id, v.skill_id FROM n JOIN {{v_terms}} v ON v.term = w),
+h AS (SELECT doc_id, list_sort(list(DISTINCT v.skill_id)) AS ids FROM n JOIN {{v_terms}} v ON contains(n.t, ' ' || v.term || ' ') GROUP BY doc_id)
+SELECT n.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'linked' WHEN h.doc_id IS NOT NULL THEN 'scanned' ELSE 'none' END AS how, coalesce(l.skill_id, array_to_string(h.ids, ','), '') AS skill_ids FROM n LEFT JOIN l USING (doc_id) LEFT JOIN h USING (doc_id)""")
 def x8(t):
-    linked = t.documents.where("doc_id % 3 = 0").select("doc_id", F.lit(1).cast("long").alias("l"))
-    scanned = op.scan_terms(t.documents.join(linked, "doc_id", "left_anti"), "doc_id", "text", t.v_terms).groupBy("doc_id").agg(F.count("*").alias("s"))
-    out = t.documents.select("doc_id").join(linked, "doc_id", "left").join(scanned, "doc_id", "left")
-    how = F.when(F.col("l").isNotNull(), "linked").when(F.col("s") > 0, "scanned").otherwise("none")
-    return out.select("doc_id", how.alias("how"), F.coalesce("l", "s", F.lit(0)).alias("n"))
+    first = t.documents.select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("span"))
+    index = op.alias_index(t.v_terms.select("skill_id", F.lit(0).alias("ord"), F.array("term").alias("labels")))
+    return op.link_or_scan(t.documents, "doc_id", "text", first, "span", index, t.v_terms).withColumn("skill_ids", F.array_join("skill_ids", ","))
 
 
 @query("j9_first_form", f"""SELECT doc_id, CASE WHEN contains(n, ' und ') THEN 'Und' WHEN contains(n, ' of the ') THEN 'of the' WHEN contains(n, ' que ') THEN 'QUE' END AS form FROM (SELECT doc_id, ' ' || {norm('text')} || ' ' AS n FROM documents)""")

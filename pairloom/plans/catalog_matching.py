@@ -15,7 +15,7 @@ _PRED = {
     "f4": "(u.title_families IS NULL OR len(u.title_families) = 0 OR j.title IS NULL OR len(list_filter(u.title_families, lambda f: j.title ILIKE '%' || split_part(replace(f, '/', ' '), ' ', 1) || '%')) > 0)",
     "f5": "(u.seniority_band IS NULL OR u.seniority_band = '' OR j.seniority IS NULL OR list_contains(string_split(lower(u.seniority_band), ','), lower(j.seniority)))",
 }
-_ALL = " AND ".join(_PRED.values())
+_ALL = ALL_FILTERS = " AND ".join(_PRED.values())
 SINCE, AS_OF = "2024-01-10 00:00:00", "2024-01-20 00:00:00"
 CYCLE = "1996-06-01 12:00:00"
 

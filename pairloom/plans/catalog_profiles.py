@@ -92,17 +92,24 @@ def p11(t):
     return op.profile_doc(rows)
 
 
-@query("p13_history_text")
+_DONE = f"""(SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(start, ''), lower(employer), lower(title), start NULLS FIRST, is_current, 'made ' || l_partkey) - 1 AS i, * EXCLUDE (l_orderkey) FROM {_ROLES} r)"""
+
+
+@query("p13_history_text", f"SELECT l_orderkey, string_agg(employer || chr(10) || title || chr(10) || 'did a' || chr(10) || 'made ' || l_partkey, chr(10) ORDER BY i) AS text FROM {_DONE} d GROUP BY l_orderkey")
 def p13(t):
     return _roles(t).withColumn("r", op.assign_span_ids(F.col("roles"))).select("l_orderkey", op.flatten_history(F.col("r")).alias("text"))
 
 
-@query("p28_generation_context")
+@query("p28_generation_context", f"""WITH h AS (SELECT l_orderkey AS match_id, string_agg(title || ' at ' || employer || chr(10) || '[wh:' || i || ':b:0] did a' || chr(10) || '[wh:' || i || ':b:2] made ' || l_partkey, chr(10) ORDER BY i) AS t FROM {_DONE} d GROUP BY l_orderkey)
+SELECT match_id, t || chr(10) || 'Matched: ' || array_to_string(skill_ids[1:len(skill_ids) // 2], ', ') || chr(10) || 'Adjacent: ' || chr(10) || 'Missing: ' || array_to_string(skill_ids[len(skill_ids) // 2 + 1:], ', ') || chr(10) || 'Job: ' || title
+  || CASE WHEN label = 'overqualified' THEN chr(10) || 'Fix only these failures, and add no new facts:' || chr(10) || '- unknown_title' || chr(10) || '- fabricated_number' ELSE '' END AS context
+FROM {{v_matches}} m JOIN h USING (match_id) JOIN {{v_job_skills}} USING (job_id) JOIN (SELECT job_id, title FROM {{v_jobs}}) j USING (job_id)""")
 def p28(t):
     roles = _roles(t).select(F.col("l_orderkey").alias("match_id"), op.assign_span_ids(F.col("roles")).alias("r"))
     rows = t.v_matches.join(roles, "match_id").join(t.v_job_skills, "job_id").join(t.v_jobs.select("job_id", "title"), "job_id")
     half = F.floor(F.size("skill_ids") / 2).cast("int")
-    context = op.generation_context(F.col("r"), F.slice("skill_ids", F.lit(1), half), F.array().cast("array<string>"), F.slice("skill_ids", half + 1, F.size("skill_ids")), F.col("title"))
+    failed = F.when(F.col("label") == "overqualified", F.array(F.lit("unknown_title"), F.lit("fabricated_number")))
+    context = op.generation_context(F.col("r"), F.slice("skill_ids", F.lit(1), half), F.array().cast("array<string>"), F.slice("skill_ids", half + 1, F.size("skill_ids")), F.col("title"), failed)
     return rows.select("match_id", context.alias("context"))
 
 
@@ -127,12 +134,27 @@ def e6(t):
     return long.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("accuracy"))
 
 
-@query("w15_segment_resume", """SELECT c_custkey, 1 AS role, 'Engineer' AS title, c_name AS employer, '2020-03' AS start, CAST(NULL AS VARCHAR) AS "end", 'did a|did b' AS bullets FROM customer
-UNION ALL SELECT c_custkey, 2, 'Clerk', 'Firm ' || c_nationkey, '2018-01', '2019-02', '' FROM customer WHERE c_custkey % 2 = 0""")
+# Resumes of customers: a role in the header, more under a heading, a part without one, skills listed by some only.
+@query("w15_segment_resume", """SELECT c_custkey, 1 AS role, 'Owner' AS title, c_mktsegment || ' shop' AS employer, CAST(NULL AS VARCHAR) AS start, CAST(NULL AS VARCHAR) AS "end", 'kept ' || c_mktsegment AS bullets FROM customer
+UNION ALL SELECT c_custkey, 2, 'Engineer', c_name, '2020-03', NULL, 'did a|did b|2001 to 2002' FROM customer
+UNION ALL SELECT c_custkey, 3, 'Clerk', 'Firm ' || c_nationkey, '0' || (c_custkey % 9 + 1) || '/2018', '2019-02', '' FROM customer WHERE c_custkey % 2 = 0""")
 def w15(t):
-    more = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Clerk at Firm "), F.col("c_nationkey").cast("string"), F.lit("\n2018 - 2019-2\n"))).otherwise("")
-    text = F.concat(F.lit("Name\n## Experience\n### Engineer — "), "c_name", F.lit("\nMar 2020 – Present | Town\n- did a\n\n* did b\n"), more, F.lit("Skills:\n- Python, SQL\n"))
-    return op.segment_resume(t.customer.withColumn("text", text), "c_custkey", "text").withColumn("bullets", F.array_join("bullets", "|"))
+    return op.segment_resume(_resumes(t), "c_custkey", "text").withColumn("bullets", F.array_join("bullets", "|"))
+
+
+@query("w15_resume_skills", """SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN '- Python|SQL|R|' || c_mktsegment ELSE coalesce((SELECT string_agg(term, '|' ORDER BY length(term), term) FROM {v_terms} v WHERE contains(' and und ', ' ' || term || ' ')), '') END AS spans FROM customer""")
+def w15_skills(t):
+    return op.resume_skills(_resumes(t), "c_custkey", "text", t.v_terms).withColumn("spans", F.array_join("spans", "|"))
+
+
+def _resumes(t):
+    lines = [
+        F.lit("Name, remote"), F.concat(F.lit("**Owner at "), "c_mktsegment", F.lit(" shop**")), F.concat(F.lit("* kept "), "c_mktsegment"), F.lit("## Summary"), F.lit("a - b"), F.lit("## Work history"),
+        F.concat(F.lit("### Engineer — "), "c_name"), F.lit("Mar. 2020 – Present | Town"), F.lit("- did a"), F.lit(""), F.lit("* did b"), F.lit("• 2001 to 2002"),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Clerk , Firm "), F.col("c_nationkey").cast("string"), F.lit("\n0"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit("/2018 to 2019-2"))),
+        F.lit("Education:\nx and und y at z"), F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("Skills\n- Python, SQL\nR / "), "c_mktsegment")),
+    ]
+    return t.customer.withColumn("text", F.concat_ws("\n", *lines))
 
 
 _PASSED = "(SELECT a.vec_id AS q, b.vec_id AS d, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND (b.vec_id % 2 = 0 OR a.vec_id % 5 = b.vec_id % 5) WHERE a.vec_id % 100 = 0)"

@@ -4,32 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairloom.plans.catalog_linking import norm
+from pairloom.plans.catalog_matching import ALL_FILTERS
+from pairloom.plans.catalog_text import URL
 from pairloom.plans.registry import query
 from pairloom.plans.runtime import fresh_path
 from pairloom.sources import boards
 from pairloom.streaming import streams
 
 
-def _json(df, t, tag):
-    path = fresh_path(t.spark, tag)
-    df.coalesce(1).write.json(path)
-    return path
+FILE = 50  # rows of one document
 
 
 def _documents(df, t, tag):
-    """One file per row: value is a whole JSON document, f its number."""
+    """One file per row of ``df`` (value: a whole JSON document), however many there are; a document holds a bounded number of rows."""
     path = fresh_path(t.spark, tag)
-    df.repartition("f").write.partitionBy("f").text(path)
+    df.select("value").repartition(max(1, df.count())).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
+def _in_files(rows, ident):
+    """Rows dealt to documents of about ``FILE`` rows, by hash of the id."""
+    return rows.withColumn("f", F.pmod(F.xxhash64(ident), F.lit(max(1, -(-rows.count() // FILE)))))
+
+
 def _board_a(t):
     job = F.struct(
         F.col("page_id").alias("id"), F.col("url").alias("absolute_url"), F.concat(F.lit("Job "), F.col("page_id").cast("string")).alias("title"), F.struct(F.lit("Town").alias("name")).alias("location"),
         F.array(F.struct(F.lit("Dept").alias("name"))).alias("departments"), F.array(F.struct(F.lit("Salary range").alias("name"), F.lit("$100k - $150k").alias("value"))).alias("metadata"),
         F.lit("2024-01-02T03:04:05Z").alias("updated_at"), F.col("html").alias("content"),
     )
-    return _documents(t.pages.groupBy((F.col("page_id") % 20).alias("f")).agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("value")), t, "board-a")
+    return _documents(_in_files(t.pages, "page_id").groupBy("f").agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("value")), t, "board-a")
 
 
 def _board_b(t):
@@ -38,7 +43,7 @@ def _board_b(t):
         F.struct(F.when(F.col("page_id") % 2 == 0, "Town").alias("location"), F.array(F.lit("A"), F.lit("B")).alias("allLocations"), F.lit("Team").alias("team")).alias("categories"), F.lit("Remote").alias("workplaceType"),
         (F.col("page_id") * 1000).alias("createdAt"), F.struct(F.lit(5.5).alias("min")).alias("salaryRange"), F.lit("<p>Hello</p>").alias("description"), F.array(F.struct(F.lit("Must").alias("text"), F.lit("<li>x</li>").alias("content"))).alias("lists"),
     )
-    return _documents(rows.groupBy((F.col("id").cast("long") % 20).alias("f")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")), t, "board-b")
+    return _documents(_in_files(rows, "id").groupBy("f").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")), t, "board-b")
 
 
 def _board_c(t):
@@ -46,7 +51,7 @@ def _board_c(t):
         F.col("page_id").cast("string").alias("id"), F.concat(F.lit("Job "), F.col("page_id").cast("string")).alias("title"), F.when(F.col("page_id") % 2 == 0, "Town").alias("location"),
         F.array(F.struct(F.lit("X").alias("location"))).alias("secondaryLocations"), F.when(F.col("page_id") % 5 == 0, False).alias("isListed"), (F.col("page_id") % 3 == 0).alias("isRemote"), F.col("url").alias("jobUrl"), F.lit("plain").alias("descriptionPlain"),
     )
-    return _documents(t.pages.groupBy((F.col("page_id") % 20).alias("f")).agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("value")), t, "board-c")
+    return _documents(_in_files(t.pages, "page_id").groupBy("f").agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("value")), t, "board-c")
 
 
 _OUT = ["external_id", "title", "location", "department", "work_arrangement", "comp_min", "comp_max"]
@@ -79,10 +84,17 @@ def _skills(t):
 @query("s5_taxonomy_csv", "SELECT skill_id AS id, label, alt || '|the, ' || label AS alts, kind || chr(10) || '\"quoted\"' AS description FROM {v_taxonomy}")
 def s5(t):
     path = fresh_path(t.spark, "taxonomy")
-    boards.write_taxonomy_csv(_skills(t), path)  # also the cache writer
+    boards.write_taxonomy_csv(_skills(t), path)
     return boards.read_taxonomy_csv(t.spark, path).withColumn("alts", F.array_join("alts", "|"))
 
 
+@query("s14_taxonomy_cache", "SELECT skill_id AS \"conceptUri\", 'SK' AS \"conceptType\", label AS \"preferredLabel\", alt || ' | the, ' || label AS \"altLabels\", kind || chr(10) || '\"quoted\"' AS description FROM {v_taxonomy}")
+def s14(t):
+    path = fresh_path(t.spark, "taxonomy")
+    boards.write_taxonomy_csv(_skills(t), path)
+    return t.spark.read.csv(path, header=True, multiLine=True, escape='"')
+
+
 @query("s6_split_alt_labels", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a/b' WHEN 1 THEN 'c/d' WHEN 2 THEN 'e; f, g' ELSE 'h/i' END AS alts FROM part")
 def s6(t):
     raw = F.element_at(F.array(F.lit(" a | b|"), F.lit("c\n d\n"), F.lit("e; f, g"), F.lit("h;i; ")), (F.col("p_partkey") % 4 + 1).cast("int"))
@@ -92,16 +104,41 @@ def s6(t):
 @query("s7_alias_overrides", "SELECT skill_id, label || 'x' AS aliases FROM {v_taxonomy}")
 def s7(t):
     one = F.struct(F.col("skill_id").alias("uri"), F.array(F.concat("label", F.lit("x")), F.lit(" ")).alias("aliases"))
-    path = _json(t.v_taxonomy.groupBy().agg(F.collect_list(one).alias("overrides")), t, "overrides")
-    return boards.read_alias_overrides(t.spark, path).select("skill_id", F.array_join("aliases", ",").alias("aliases"))
+    rows = _in_files(t.v_taxonomy, "skill_id").groupBy("f").agg(F.to_json(F.struct(F.collect_list(one).alias("overrides"))).alias("value"))
+    return boards.read_alias_overrides(t.spark, _documents(rows, t, "overrides")).select("skill_id", F.array_join("aliases", ",").alias("aliases"))
+
+
+_CALIBRATION = "(SELECT DISTINCT lower(p_brand) AS w FROM part)"
 
 
-@query("s10_read_labels", "SELECT word AS norm, 'skill:' || word AS skill_id FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part)")
+@query("s10_read_labels", f"""SELECT word AS norm, 'skill:' || word AS skill_id, 'explicit' AS mention FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part)
+UNION ALL SELECT {norm('w')}, NULL, 'implicit' FROM {_CALIBRATION} c WHERE {norm('w')} NOT IN (SELECT split_part(p_name, ' ', 1) FROM part)""")
 def s10(t):
     word = F.split_part("p_name", F.lit(" "), F.lit(1))
-    span = F.struct(F.upper(word).alias("text"), F.concat(F.lit("skill:"), word).alias("skill_id"), F.lit("explicit").alias("mention"))
-    items = t.part.groupBy("p_brand").agg(F.collect_list(span).alias("spans")).select(F.struct(F.col("p_brand").alias("id"), "spans").alias("i"))
-    return boards.read_labels(t.spark, _json(items.select(F.array("i").alias("items")), t, "labels")).select("norm", "skill_id")
+    span = F.struct(F.concat(F.lit(" "), F.upper(word)).alias("text"), F.concat(F.lit("skill:"), word).alias("skill_id"), F.lit("explicit").alias("mention"))
+    items = _in_files(t.part, "p_partkey").groupBy("f").agg(F.collect_list(span).alias("spans")).select(F.struct(F.col("f").cast("string").alias("id"), "spans").alias("i"))
+    sets = _documents(items.select(F.to_json(F.struct(F.array("i").alias("items"))).alias("value")), t, "labels")
+    # a calibration file with spans of its own, some of them known already
+    known = t.part.select(F.lower("p_brand").alias("w")).union(t.part.select(word)).distinct()
+    more = known.select(F.struct(F.col("w").alias("text"), F.lit(" ").alias("skill_id"), F.lit("implicit").alias("mention")).alias("s"), "w")
+    more = _in_files(more, "w").groupBy("f").agg(F.to_json(F.struct(F.collect_list("s").alias("spans"))).alias("value"))
+    return boards.read_labels(t.spark, sets, _documents(more, t, "calibration")).select("norm", "skill_id", "mention")
+
+
+@query("s10_corpus_labels", "SELECT CAST(doc_id AS VARCHAR) AS id, text AS synthesized_doc, lang AS location, coalesce(quality = 1, false) AS relevant, 5 AS k FROM documents LEFT JOIN labels USING (doc_id)")
+def s10_corpus(t):
+    rows = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    job = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("synthesized_doc"), F.col("lang").alias("location"), (F.col("quality") == 1).alias("relevant"))
+    docs = _in_files(rows, "doc_id").groupBy("f").agg(F.to_json(F.struct(F.lit("v1").alias("version"), F.lit(5).alias("k"), F.collect_list(job).alias("jobs"))).alias("value"))
+    return boards.read_label_file(t.spark, _documents(docs, t, "corpus"), "corpus")
+
+
+@query("s10_pair_labels", "SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS id, role AS temptation, string_split(coalesce(text, ''), ' ')[1] AS forbidden FROM conversations WHERE role IS NOT NULL")
+def s10_pairs(t):
+    one = F.struct(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), F.col("role").alias("temptation"), F.slice(F.split(F.coalesce("text", F.lit("")), " ", -1), 1, 2).alias("forbidden_claims"))
+    rows = t.conversations.where("role is not null").withColumn("k", F.struct("conv_id", "turn"))
+    docs = _in_files(rows, "k").groupBy("f").agg(F.to_json(F.struct(F.collect_list(one).alias("pairs"))).alias("value"))
+    return boards.read_label_file(t.spark, _documents(docs, t, "pairs"), "pairs").select("id", "temptation", F.get("forbidden_claims", F.lit(0)).alias("forbidden"))
 
 
 @query("s9_read_documents", "SELECT sha256(trim(replace(replace(text, chr(10), ' '), chr(13), ' '))) AS digest FROM pages p JOIN (SELECT page_id AS id, 'page ' || page_id AS text FROM pages) x ON x.id = p.page_id WHERE page_id % 6 > 0")
@@ -112,25 +149,38 @@ def s9(t):
     return boards.read_documents(t.spark, f"{path}/p=*")[0].select(F.sha2("text", 256).alias("digest"))
 
 
-@query("s15_report_sink", "SELECT 'suite' || label % 3 AS suite, count(*) AS n, bool_and(score > 0.004) AS passed FROM (SELECT vec_id % 101 / 100.0 AS score, label FROM embeddings) GROUP BY 1")
+_SUITES = "(SELECT lang AS name, bool_and(n_chars > 3) AS passed, count(*) AS n, sum(n_chars / 8.0::DOUBLE) AS latency_ms, CAST(sum(n_chars // 4) AS BIGINT) AS prompt_tokens, count(*) * 2 AS completion_tokens, round(count(*) / 1000.0::DOUBLE, 6) AS cost_usd FROM documents GROUP BY lang)"
+
+
+@query("s15_report_sink", f"""SELECT 'v3' AS set_version, 'hashing' AS embedding_provider, bool_and(passed) OVER () AS all_passed, round(sum(cost_usd) OVER (), 6) AS total_cost, round(sum(latency_ms) OVER (), 3) AS total_latency,
+  name, passed, n, round(latency_ms, 3) AS latency_ms, prompt_tokens, completion_tokens, cost_usd FROM {_SUITES} s""")
 def s15(t):
-    rows = t.embeddings.groupBy(F.concat(F.lit("suite"), (F.col("label") % 3).cast("string")).alias("suite")).agg(F.count("*").alias("n"), F.bool_and(F.col("vec_id") % 101 / 100 > 0.004).alias("passed"))
+    rows = t.documents.groupBy(F.col("lang").alias("name")).agg(
+        F.bool_and(F.col("n_chars") > 3).alias("passed"), F.count("*").alias("n"), F.sum(F.col("n_chars") / 8).alias("latency_ms"), F.sum(F.floor(F.col("n_chars") / 4)).alias("prompt_tokens"),
+        (F.count("*") * 2).alias("completion_tokens"), (F.count("*") / 1000).alias("cost_usd"),
+    )
     path = fresh_path(t.spark, "report")
-    rows.write.json(path)
-    return t.spark.read.schema("suite string, n long, passed boolean").json(path)
+    boards.write_report(rows, path, "v3", "hashing")
+    return boards.read_report(t.spark, path)
+
+
+_LANDED = f"(SELECT page_id, CASE WHEN page_id % 7 = 0 THEN ' ' ELSE html END AS raw_jd, page_id % 9 = 0 AS expired, {URL} AS canonical FROM pages)"
 
 
-@query("t10_posting_stream", "SELECT page_id AS url_hash, CASE WHEN page_id % 10 = 0 THEN 'again' ELSE 'first' END AS title FROM pages WHERE page_id % 7 > 0")
+@query("t10_posting_stream", f"""SELECT sha256(canonical) AS url_hash, CASE WHEN bool_or(page_id % 10 = 0) THEN 'again' ELSE 'first' END AS title, max(page_id) FILTER (WHERE page_id % 10 = 0 OR true) AS job_id
+FROM (SELECT *, max(CASE WHEN page_id % 10 = 0 THEN 1000000000 + page_id ELSE page_id END) OVER (PARTITION BY canonical) AS top FROM {_LANDED} l WHERE trim(raw_jd) <> '' AND NOT expired) x WHERE top % 1000000000 = page_id GROUP BY canonical""")
 def t10(t):
-    rows = t.pages.select(F.col("page_id").alias("url_hash"), F.explode(F.when(F.col("page_id") % 10 == 0, F.array(F.lit("first"), F.lit("again"))).otherwise(F.array(F.lit("first")))).alias("title"), F.when(F.col("page_id") % 7 == 0, " ").otherwise("text").alias("raw_jd"))
-    source, schema = streams.landed(rows.withColumn("seq", F.when(F.col("title") == "again", 2).otherwise(1)).coalesce(2), "postings")
+    rows = t.pages.select("page_id", "url", F.when(F.col("page_id") % 7 == 0, " ").otherwise(F.col("html")).alias("raw_jd"), (F.col("page_id") % 9 == 0).alias("expired"), F.lit(None).cast("string").alias("status"))
+    twice = F.when(F.col("page_id") % 10 == 0, F.array(F.lit("first"), F.lit("again"))).otherwise(F.array(F.lit("first")))
+    rows = rows.select("*", F.explode(twice).alias("title")).withColumn("seq", F.when(F.col("title") == "again", 1000000000).otherwise(0) + F.col("page_id"))
+    source, schema = streams.landed(rows, "postings")
     target, check = fresh_path(t.spark, "stream"), fresh_path(t.spark, "progress")
     for _ in range(2):  # a second run over the same files changes nothing
         streams.stream_postings(t.spark, source, schema, target, check)
-    return t.spark.read.parquet(f"{target}/v0").select("url_hash", "title")
+    return streams.current_postings(t.spark, target).select("url_hash", "title", F.col("page_id").alias("job_id"))
 
 
-@query("t11_live_percolation", None)
+@query("t11_live_percolation", f"SELECT u.user_id, count(*) AS pairs FROM {{v_jobs}} j, {{v_users}} u WHERE {ALL_FILTERS} GROUP BY u.user_id")
 def t11(t):
     source, schema = streams.landed(t.v_jobs.drop("embedding"), "jobs")
     target = fresh_path(t.spark, "cycles")
@@ -138,9 +188,11 @@ def t11(t):
     return t.spark.read.parquet(target).groupBy("user_id").agg(F.count("*").alias("pairs"))
 
 
-@query("t12_usage_stream", "SELECT stage, action, count(*) AS n FROM {v_events} WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) - INTERVAL 1 HOUR AS DATE) FROM {v_events}) GROUP BY stage, action")
+@query("t12_usage_stream", """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, stage, action, count(*) AS n, CAST(coalesce(sum(k) FILTER (WHERE value > 10), 0) AS BIGINT) AS prompt_tokens, round(coalesce(sum(round(value / 1000, 6)) FILTER (WHERE value > 10), 0), 4) AS cost
+FROM {v_events} GROUP BY 1, 2, 3""")
 def t12(t):
-    source, schema = streams.landed(t.v_events.select("ts", "stage", "action"), "events")
+    usage = F.when(F.col("value") > 10, F.to_json(F.struct(F.col("k").alias("prompt_tokens"), F.round(F.col("value") / 1000, 6).alias("cost_usd"))))
+    source, schema = streams.landed(t.v_events.select("ts", "stage", "action", usage.alias("details")), "events")
     target = fresh_path(t.spark, "usage")
     streams.stream_usage(t.spark, source, schema, target, fresh_path(t.spark, "progress"))
-    return t.spark.read.parquet(target).groupBy("stage", "action").agg(F.sum("n").alias("n"))
+    return streams.current_usage(t.spark, target).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "stage", "action", "n", "prompt_tokens", F.round("cost", 4).alias("cost"))

@@ -10,15 +10,15 @@ from pairloom.plans.catalog_linking import norm
 from pairloom.plans.catalog_matching import PAIR_LISTS, pair_lists
 from pairloom.plans.registry import query
 
-_URL = r"(lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) || CASE WHEN rtrim(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') = '' THEN '/' ELSE rtrim(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') END || CASE WHEN regexp_extract(trim(url), '^[^?#]*(\?[^#]*)', 1) = '?' THEN '' ELSE regexp_extract(trim(url), '^[^?#]*(\?[^#]*)', 1) END)"
+URL = r"(lower(regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) || CASE WHEN rtrim(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') = '' THEN '/' ELSE rtrim(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') END || CASE WHEN regexp_extract(trim(url), '^[^?#]*(\?[^#]*)', 1) = '?' THEN '' ELSE regexp_extract(trim(url), '^[^?#]*(\?[^#]*)', 1) END)"
 
 
-@query("p1_canonical_url", f"SELECT page_id, {_URL} AS url FROM pages")
+@query("p1_canonical_url", f"SELECT page_id, {URL} AS url FROM pages")
 def p1(t):
     return t.pages.select("page_id", X.canonical_url(F.col("url")).alias("url"))
 
 
-@query("p2_url_hash", f"SELECT page_id, sha256({_URL}) AS url_hash FROM pages")
+@query("p2_url_hash", f"SELECT page_id, sha256({URL}) AS url_hash FROM pages")
 def p2(t):
     return t.pages.select("page_id", X.url_hash(F.col("url")).alias("url_hash"))
 
@@ -149,14 +149,7 @@ def p22(t):
 @query("f8_route_postings", "SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'unparseable' WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN 'expired' ELSE 'ok' END AS action FROM pages")
 def f8(t):
     rows = t.pages.select("page_id", "url", F.when(F.col("page_id") % 11 != 0, F.col("html")).otherwise(" ").alias("raw_jd"), (F.col("page_id") % 7 == 0).alias("expired"), F.when(F.col("page_id") % 5 == 0, "Closed").alias("status"))
-    return rows.select("page_id", route_postings().alias("action"))
-
-
-def route_postings():
-    """unparseable (no url, blank text), expired (flag or status), else ok, in that order."""
-    blank = F.col("url").isNull() | (F.trim(F.coalesce("raw_jd", F.lit(""))) == "")
-    gone = F.coalesce("expired", F.lit(False)) | F.coalesce(F.lower("status").isin("expired", "closed", "archived"), F.lit(False))
-    return F.when(blank, "unparseable").when(gone, "expired").otherwise("ok")
+    return rows.select("page_id", X.route_postings().alias("action"))
 
 
 @query("f9_route_extract", "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'skipped' WHEN length(trim(d.text)) < 40 THEN 'unparseable' ELSE 'extract' END AS action FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")

@@ -125,9 +125,60 @@ def read_documents(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame
     return rows.where("text <> ''"), rows.where("text = ''").select("path")
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Spans of a label set {items: [{id, spans: [{text, skill_id, mention}]}]}, first per normalised text."""
-    doc = spark.read.schema("items array<struct<id:string,spans:array<struct<text:string,skill_id:string,mention:string>>>>").json(path, multiLine=True)
-    rows = doc.select(F.posexplode_outer("items").alias("i", "item")).select("i", F.posexplode_outer("item.spans").alias("j", "s")).where("s is not null")
-    key = X.normalize_label(F.col("s.text"))
-    return rows.groupBy(key.alias("norm")).agg(F.min_by("s", F.struct("i", "j")).alias("s")).select("norm", "s.text", "s.skill_id", "s.mention")
+SPAN = "struct<text:string,skill_id:string,mention:string>"
+# Fixed shapes of the files of a label set, one per suite.
+LABELS = {
+    "items": f"version string, items array<struct<id:string,spans:array<{SPAN}>>>, spans array<{SPAN}>",
+    "corpus": "version string, k int, profile struct<synthesized_doc:string,locations:array<string>>, jobs array<struct<id:string,synthesized_doc:string,location:string,relevant:boolean>>",
+    "pairs": "version string, profile struct<skill_ids:array<string>>, pairs array<struct<id:string,temptation:string,forbidden_claims:array<string>>>",
+}
+
+
+def read_label_file(spark: SparkSession, path: str, suite: str) -> DataFrame:
+    """Rows of a label set's files: ``corpus`` (id, synthesized_doc, location, relevant, k) or ``pairs`` (id, temptation, forbidden_claims,
+    skill_ids); an unknown suite is an error."""
+    if suite not in ("corpus", "pairs"):
+        raise ValueError(f"unknown suite: {suite}")
+    doc = spark.read.schema(LABELS[suite]).json(path, multiLine=True)
+    if suite == "corpus":
+        return doc.select("k", F.explode_outer("jobs").alias("j")).where("j is not null").select("j.id", "j.synthesized_doc", "j.location", F.coalesce("j.relevant", F.lit(False)).alias("relevant"), "k")
+    return doc.select("profile.skill_ids", F.explode_outer("pairs").alias("p")).where("p is not null").select("p.id", "p.temptation", "p.forbidden_claims", "skill_ids")
+
+
+def read_labels(spark: SparkSession, *paths: str) -> DataFrame:
+    """norm, text, skill_id (null: no link expected), mention: spans of label sets and calibration files, first per normalised text.
+
+    A file holds {items: [{id, spans}]} or {spans}, or both; earlier paths win, then file names, then places in the file.
+    """
+    out = None
+    for order, path in enumerate(paths):
+        doc = spark.read.schema(LABELS["items"]).json(path, multiLine=True).withColumn("f", F.col("_metadata.file_path"))
+        inner = doc.select("f", F.posexplode_outer("items").alias("i", "item")).select("f", "i", F.posexplode_outer("item.spans").alias("j", "s"))
+        outer = doc.select("f", F.lit(1 << 30).alias("i"), F.posexplode_outer("spans").alias("j", "s"))
+        one = inner.unionByName(outer).where("s is not null").select(F.struct(F.lit(order).alias("o"), "f", "i", "j").alias("at"), "s")
+        out = one if out is None else out.unionByName(one)
+    key = X.normalize_label(F.trim("s.text"))
+    first = out.select(key.alias("norm"), "at", "s").where("norm <> ''").groupBy("norm").agg(F.min_by("s", "at").alias("s"))
+    return first.select("norm", F.trim("s.text").alias("text"), _blank(F.trim("s.skill_id")).alias("skill_id"), "s.mention")
+
+
+def write_report(suites: DataFrame, path: str, set_version: str, provider: str) -> None:
+    """One JSON report: set version, provider, totals, per suite passed, n, latency, tokens and cost, and passed (all of them, and at least one).
+
+    suites: name, passed, n, latency_ms, prompt_tokens, completion_tokens, cost_usd. One row per suite, so one file is right.
+    """
+    each = suites.select("name", "passed", "n", F.bround("latency_ms", 3).alias("latency_ms"), "prompt_tokens", "completion_tokens", F.bround("cost_usd", 6).alias("cost_usd"))
+    totals = F.struct(
+        F.bround(F.coalesce(F.sum("latency_ms"), F.lit(0.0)), 3).alias("latency_ms"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"),
+        F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"), F.bround(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"),
+    )
+    sums = suites.agg(totals.alias("totals"), F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"))
+    listed = each.agg(F.array_sort(F.collect_list(F.struct(*each.columns))).alias("suites"))
+    sums.crossJoin(listed).select(F.lit(set_version).alias("set_version"), F.lit(provider).alias("embedding_provider"), "passed", "totals", "suites").coalesce(1).write.json(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A report's suites with the report's version, totals and verdict."""
+    numbers = "latency_ms:double,prompt_tokens:long,completion_tokens:long,cost_usd:double"
+    doc = spark.read.schema(f"set_version string, embedding_provider string, passed boolean, totals struct<{numbers}>, suites array<struct<name:string,passed:boolean,n:long,{numbers}>>").json(path)
+    return doc.select("set_version", "embedding_provider", F.col("passed").alias("all_passed"), F.col("totals.cost_usd").alias("total_cost"), F.col("totals.latency_ms").alias("total_latency"), F.inline_outer("suites"))

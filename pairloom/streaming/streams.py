@@ -5,30 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.functions import text as X
 from pairloom.operators import feed, matching
 from pairloom.plans.runtime import fresh_path
 
 
 def stream_postings(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> None:
-    """New files of postings (url_hash, title, raw_jd, seq): blanks dropped, last per key, one version of the table per batch.
+    """New files of postings (url, raw_jd, expired, status, seq, ...) as rows of a log: unusable ones dropped, keyed by the canonical
+    url's hash, last per key within the batch. A batch costs its own rows; ``current_postings`` gives the table. A batch that is
+    delivered again overwrites its own part."""
 
-    Each batch writes the next version under ``target``; a batch that is delivered again finds its version and writes nothing.
-    """
     def apply(batch: DataFrame, number: int) -> None:
-        here = batch.sparkSession
-        path = f"{target}/v{number}"
-        hadoop = here._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(here._jsc.hadoopConfiguration()).exists(here._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
-            return
-        good = feed.last_of_batch(batch.where("trim(raw_jd) <> ''"), ["url_hash"], "seq").drop("seq")
-        if number:
-            good = feed.upsert(here.read.parquet(f"{target}/v{number - 1}"), good, ["url_hash"])
-        good.write.mode("overwrite").parquet(path)
+        good = batch.where(X.route_postings() == "ok").withColumn("url_hash", X.url_hash(F.col("url")))
+        feed.last_of_batch(good, ["url_hash"], "seq").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/part={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def current_postings(spark: SparkSession, target: str) -> DataFrame:
+    """The last row per url_hash over all batches: a later batch wins, whatever its order inside."""
+    log = spark.read.parquet(target).drop("part")
+    rest = [c for c in log.columns if c not in ("url_hash", "batch")]
+    return log.groupBy("url_hash").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("url_hash", "r.*")
+
+
 def stream_percolate(spark: SparkSession, source: str, schema: str, users: DataFrame, target: str, checkpoint: str) -> None:
     """New postings against the current filters: each batch is a small cycle, written under its number."""
     def apply(batch: DataFrame, number: int) -> None:
@@ -39,11 +40,25 @@ def stream_percolate(spark: SparkSession, source: str, schema: str, users: DataF
 
 
 def stream_usage(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> None:
-    """Daily counts per stage and action with a watermark of an hour, appended once a day is complete."""
+    """Counts, tokens and costs per day, stage and action, kept current: each batch writes the groups it changed, under its number,
+    the open day included. State older than an hour behind the newest event is dropped. ``current_usage`` gives the table."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/part={number}")
+
     events = spark.readStream.schema(schema).parquet(source).withColumn("at", F.col("ts").cast("timestamp"))
-    sums = events.withWatermark("at", "1 hour").groupBy(F.window("at", "1 day"), "stage", "action").agg(F.count("*").alias("n"))
-    flat = sums.select(F.col("window.start").alias("day"), "stage", "action", "n")
-    flat.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    used = events.withColumn("d", F.from_json("details", "prompt_tokens long, cost_usd double"))
+    sums = used.withWatermark("at", "1 hour").groupBy(F.window("at", "1 day"), "stage", "action").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("d.prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("d.cost_usd"), F.lit(0.0)).alias("cost")
+    )
+    flat = sums.select(F.col("window.start").alias("day"), "stage", "action", "n", "prompt_tokens", "cost")
+    flat.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+
+def current_usage(spark: SparkSession, target: str) -> DataFrame:
+    """The last state of each day, stage and action."""
+    log = spark.read.parquet(target).drop("part")
+    return log.groupBy("day", "stage", "action").agg(F.max_by(F.struct("n", "prompt_tokens", "cost"), "batch").alias("r")).select("day", "stage", "action", "r.*")
 
 
 def landed(df: DataFrame, tag: str) -> tuple[str, str]:
