@@ -17,6 +17,8 @@ from pairloom.plans.runtime import ship
 # Short common words that are no terms of a scan.
 AMBIGUOUS = ("can", "lead", "go", "r", "c", "it", "ai")
 BLOCK = 1024  # vectors of a block
+FEW_TERMS = 200  # looked up inside a row
+MOST_TERMS = 200_000  # broadcast
 
 
 def nfkc(col: Column, spark) -> Column:
@@ -102,21 +104,24 @@ def link_or_scan(docs: DataFrame, key: str, col: str, spans: DataFrame, span_col
 def scan_terms(docs: DataFrame, key: str, col: str, terms: DataFrame) -> DataFrame:
     """Terms (skill_id, term) that stand token-bounded in the normalised text; per (document, skill) the longest.
 
-    Shingles of one to the longest term's number of tokens meet the terms in an equi-join.
+    Shingles of one to the longest term's number of tokens meet the terms. Few terms are looked up inside the row, so that only hits
+    become rows; up to ``MOST_TERMS`` are broadcast; beyond that the distinct shingles of each text are shuffled to the terms.
     """
     norm = terms.select("skill_id", X.normalize_label(F.col("term")).alias("term")).where((F.length("term") > 2) & ~F.col("term").isin(*AMBIGUOUS))
-    longest = norm.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    known = norm.agg(F.max(F.size(F.split("term", " "))).alias("longest"), F.countDistinct("term").alias("n")).first()
+    longest, n_terms = known["longest"] or 1, known["n"]
     tokens = docs.select(key, F.split(X.normalize_label(F.col(col)), " ").alias("ts"))
     none = F.array().cast("array<string>")
-
-    def shingles(n: int) -> Column:
-        if n == 1:
-            return F.col("ts")
-        return F.when(F.size("ts") >= n, F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), lambda k: F.array_join(F.slice("ts", k, n), " "))).otherwise(none)
-
-    grams = F.array_distinct(F.concat(*[shingles(n) for n in range(1, longest + 1)]))
-    each = tokens.select(key, F.explode_outer(grams).alias("term"))
-    hits = each.join(norm, "term")
+    grams = [F.col("ts")]
+    for n in range(2, longest + 1):  # each from the one before: a gram and the token after it
+        size = F.greatest(F.size("ts") - n + 1, F.lit(0))
+        grams.append(F.coalesce(F.zip_with(F.slice(grams[-1], F.lit(1), size), F.slice("ts", F.lit(n), size), lambda a, b: F.concat(a, F.lit(" "), b)), none))
+    found = F.array_distinct(F.concat(*grams))
+    if n_terms <= FEW_TERMS:
+        few = [r["term"] for r in norm.select("term").distinct().collect()]  # at most FEW_TERMS
+        found = F.array_intersect(found, F.array(*map(F.lit, few)).cast("array<string>"))
+    each = tokens.select(key, F.explode_outer(found).alias("term")).where("term is not null")
+    hits = each.join(F.broadcast(norm) if n_terms <= MOST_TERMS else norm, "term")
     return hits.groupBy(key, "skill_id").agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("term"))
 
 
@@ -225,3 +230,10 @@ def link_prf(spans: DataFrame) -> DataFrame:
     ).withColumn("mention", F.coalesce("mention", F.lit("all")))
 
 
+
+
+def phrase_sample(spans: DataFrame, key: str, col: str, size: int, seed: int) -> DataFrame:
+    """``size`` distinct normalised phrases (the smallest key of each), the same ones for the same seed."""
+    norm = X.normalize_label(F.col(col))
+    first = spans.groupBy(norm.alias("n")).agg(F.min(F.struct(key, col)).alias("f")).where("n <> ''")
+    return first.orderBy(F.md5(F.concat("n", F.lit(f":{seed}")).cast("binary"))).limit(size).select("f.*")

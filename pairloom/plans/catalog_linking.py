@@ -179,8 +179,8 @@ def p8b(t):
     return t.documents.select("doc_id", X.normalize_label(op.nfkc(F.col("text"), t.spark)).alias("label"))
 
 
-@query("e9_spot_check")
+@query("e9_spot_check", f"""{_SPAN}, pick AS (SELECT id FROM (SELECT {norm('span')} AS n, min(id) AS id FROM s GROUP BY 1) ORDER BY md5(n || ':7') LIMIT 40)
+SELECT id, coalesce(string_agg(skill_id, ',' ORDER BY k), '') AS skill_ids, count(skill_id) = 0 AS unlinked FROM (SELECT f.id, i.skill_id, min(k) AS k FROM {_FRAG} f LEFT JOIN {_INDEX} i ON i.key = f.norm GROUP BY f.id, i.skill_id) x WHERE id IN (SELECT id FROM pick) GROUP BY id""")
 def e9(t):
-    spans = _spans(t).groupBy("span").agg(F.min("id").alias("id"))
-    sample = spans.orderBy(F.xxhash64("span", F.lit(7)), "span").limit(40)  # the operator's own sample size
+    sample = op.phrase_sample(_spans(t), "id", "span", 40, 7)  # the operator's own sample size
     return op.link_report(sample, "id", "span", op.alias_index(_labels(t))).withColumn("skill_ids", F.array_join("skill_ids", ","))

@@ -90,3 +90,32 @@ def test_upsert_twice_is_once(spark):
     new = spark.createDataFrame([(1, "b", "t1"), (2, "c", "t1")], "k long, title string, at string")
     once = feed.upsert(old, new, ["k"], keep=("at",))
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, feed.upsert(once, new, ["k"], keep=("at",)).collect())) == [(1, "b", "t0"), (2, "c", "t1")]
+
+
+def test_compatible_letters(spark):
+    from pairloom.operators import linking
+
+    df = spark.createDataFrame([(1, "ＦＩＮＥ ﬁsh Straße Ⅷ ① C++"), (2, None), (3, "")], "k long, t string")
+    got = {r.k: r.v for r in df.select("k", X.normalize_label(linking.nfkc(F.col("t"), spark)).alias("v")).collect()}
+    assert got == {1: "fine fish strasse viii 1 c++", 2: None, 3: ""}
+
+
+def test_scan_terms_of_every_size(spark, monkeypatch):
+    from pairloom.operators import linking
+
+    docs = spark.createDataFrame([(1, "Big data, and the big DATA lake"), (2, "lake"), (3, None), (4, "data lake data lake house")], "k long, t string")
+    terms = spark.createDataFrame([("a", "big data"), ("a", "data"), ("b", "Data Lake House"), ("c", "it"), ("d", "lake")], "skill_id string, term string")
+    want = [(1, "a", "big data"), (1, "d", "lake"), (2, "d", "lake"), (4, "a", "data"), (4, "b", "data lake house"), (4, "d", "lake")]
+    for few, most in ((200, 200), (0, 200), (0, 0)):
+        monkeypatch.setattr(linking, "FEW_TERMS", few)
+        monkeypatch.setattr(linking, "MOST_TERMS", most)
+        assert sorted(map(tuple, linking.scan_terms(docs, "k", "t", terms).collect())) == want
+
+
+def test_segment_resume(spark):
+    from pairloom.operators import profiles
+
+    text = "Jane\n- Cook at Cafe\n01/2019 to present\n* stirred\nSkills: \n## SKILLS\nA, B\nEmployment:\n**Chef — Bistro**\n- 2001 - 2002 x"
+    rows = {r.role: r for r in profiles.segment_resume(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()}
+    assert (rows[1].title, rows[1].employer, rows[1].start, rows[1].end, rows[1].bullets) == ("- Cook", "Cafe", "01/2019", None, ["stirred"])
+    assert (rows[2].title, rows[2].employer) == ("Chef", "Bistro") and len(rows) == 3  # the dated bullet reads like a heading
