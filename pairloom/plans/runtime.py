@@ -29,10 +29,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset (tests), a folder of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset in local mode (tests), a folder of our own."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", own)
     spark.sparkContext.setCheckpointDir(own)
