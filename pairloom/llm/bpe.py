@@ -4,7 +4,8 @@ Encoding. A text is cut at white space and into the vocabulary's pieces. For eac
 automaton lists every token that occurs in it; a backtracking walk takes the longest token at each position and keeps
 it only if it is *compatible* with the token before, that is, if merging the two tokens' letters from scratch gives
 exactly these two tokens. A prefix has one valid token sequence, so a position that failed once is never tried again.
-Compatibility is looked up in a table that fills as pairs are met. Pieces and words are kept in a bounded cache.
+Compatibility is looked up in a table that fills as pairs are met. Texts are cut in groups, by arrays of code points, so that
+a piece is encoded once however often a group holds it; pieces are kept in a bounded cache.
 
 Decoding. All token strings lie in one byte blob; an offset table gives each token's place, and a text is one gather.
 
@@ -22,6 +23,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ WIDE_SPACE = "\x85\xa0  -     　"
 #: Fixed pattern of the vocabulary's pieces.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^\t-\r {WIDE_SPACE}\p{{L}}\p{{N}}]+"
 END = "\n"  # stands for the end-of-word mark inside this module; the byte alphabet has no line feed
-MOST_CACHED = 400_000  # entries of a worker's word cache, and half as many of its piece cache, before they start anew
+MOST_CACHED = 100_000  # entries of the word cache (texts with special tokens only), and half as many of its piece cache, before they start anew
 MOST_CACHED_BYTES = 64  # longer words are encoded each time
 
 
@@ -176,6 +178,9 @@ class WordIds(dict):
         self.pieces_of = pieces_of
         self.pieces: dict[str, bytes] = {}
 
+    def ids_of(self, letters: str) -> list[int]:
+        return self.pieces_of(letters) if self.pieces_of else self.encoder.encode(letters + END)
+
     def normal(self, s: str) -> str:
         """Canonical composition, then lower case letter by letter (no final sigma)."""
         if s.isascii():
@@ -186,7 +191,7 @@ class WordIds(dict):
         ids = self.pieces.get(piece)
         if ids is None:
             letters = piece.encode().decode("latin-1").translate(self.alphabet)
-            found = self.pieces_of(letters) if self.pieces_of else self.encoder.encode(letters + END)
+            found = self.ids_of(letters)
             ids = struct.pack(f"<{len(found)}{self.code}", *found)
             if len(piece) <= MOST_CACHED_BYTES:
                 if len(self.pieces) >= MOST_CACHED // 2:
@@ -224,6 +229,107 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+OTHER, SPACE, LETTER, NUMBER = range(4)
+ENDINGS = ("stmd", ("re", "ve", "ll"))  # fixed: what an apostrophe at the start of a piece takes along
+GROUP = 1 << 20  # characters after which a group of texts ends
+MOST_PIECES = 250_000  # pieces a worker keeps before it starts anew
+
+
+class BatchIds:
+    """Ids of many texts at once: pieces are found in an array of code points, and each distinct piece is encoded once.
+
+    Texts are normalised, each code point gets a class, pieces are runs of a class (a number is a piece of its own), and Arrow
+    numbers the distinct ones. ``pieces_of`` is as in ``WordIds``; a piece's ids are kept from group to group. Texts that hold
+    a special token of the vocabulary go through ``WordIds``.
+    """
+
+    def __init__(self, text: str, pieces_of=None, code: str = "I"):
+        import regex
+
+        self.words = WordIds(text, pieces_of, code)
+        self.type = "<u2" if code == "H" else "<u4"
+        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+        every = "".join(map(chr, points))
+        self.kind = np.full(0x110000, OTHER, np.uint8)
+        for value, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, rf"[\t-\r {WIDE_SPACE}]+")):
+            for found in regex.finditer(pattern, every):
+                self.kind[points[found.start() : found.end()]] = value
+        self.special = regex.compile("|".join(map(regex.escape, self.words.v.special))) if self.words.v.special else None
+
+    def cut(self, points: np.ndarray) -> np.ndarray:
+        """Starts of the pieces, and of the spaces between them."""
+        kind = self.kind[points]
+        start = np.ones(len(points), bool)
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        quotes = np.flatnonzero((points == ord("'")) & start)
+        one, two = (np.concatenate([points, [0, 0]])[quotes + k] for k in (1, 2))
+        double = np.zeros(len(quotes), bool)
+        for x, y in ENDINGS[1]:
+            double |= (one == ord(x)) & (two == ord(y))
+        for hits, size in ((quotes[np.isin(one, list(map(ord, ENDINGS[0])))], 2), (quotes[double], 3)):
+            start[hits + 1] = False
+            start[hits[hits + size < len(points)] + size] = True
+        return np.flatnonzero(start)
+
+    def group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the (normalised) texts, one after the other, and how many each text has."""
+        whole = "\n".join([*texts, ""])
+        text_ends = np.cumsum(np.array([len(t) + 1 for t in texts])) - 1
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        raw = np.frombuffer(whole.encode(), np.uint8)
+        starts = self.cut(points)
+        place = starts if len(raw) == len(points) else np.flatnonzero((raw & 0xC0) != 0x80)[starts]
+        offsets = np.concatenate([place, [len(raw)]]).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        used = self.kind[points[starts]] != SPACE
+        distinct = pieces.filter(pa.array(used)).dictionary_encode()
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces.clear()
+        found = [self.pieces.get(v) or self.learn(v) for v in distinct.dictionary.to_pylist()]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), self.type, int(size.sum()))
+        which = distinct.indices.to_numpy()
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(size) - size)[which] - ends[:-1], n) + np.arange(ends[-1])]
+        upto = ends[np.searchsorted(starts[used], text_ends)]
+        return ids, np.diff(np.concatenate([[0], upto]))
+
+    def learn(self, piece: bytes) -> tuple[int, ...]:
+        ids = tuple(self.words.ids_of(piece.decode("latin-1").translate(self.words.alphabet)))
+        if len(piece) <= MOST_CACHED_BYTES:
+            self.pieces[piece] = ids
+        return ids
+
+    def rows(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned integers; null texts are empty."""
+        out = [b""] * len(texts)
+        part: list[tuple[int, str]] = []
+        held = 0
+
+        def close() -> None:
+            ids, sizes = self.group([t for _, t in part])
+            raw, ends = ids.tobytes(), np.cumsum(sizes) * ids.itemsize
+            for (k, _), a, b in zip(part, ends - sizes * ids.itemsize, ends, strict=True):
+                out[k] = raw[a:b]
+            part.clear()
+
+        for k, value in enumerate(texts):
+            text = (value or b"").decode("utf-8", "replace")
+            if self.special and any(m in text for m in self.words.marks) and self.special.search(text):
+                out[k] = self.words.text(value)
+                continue
+            part.append((k, self.words.normal(text)))
+            held += len(text)
+            if held >= GROUP:
+                close()
+                held = 0
+        if part:
+            close()
+        return out
+
+
 class OffsetDecoder:
     """Token strings joined by blanks, as one gather from a blob by an offset table."""
 
@@ -246,12 +352,12 @@ class OffsetDecoder:
 _workers: dict[str, tuple] = {}
 
 
-def _worker(text: str) -> tuple[WordIds, OffsetDecoder]:
+def _worker(text: str) -> tuple[BatchIds, OffsetDecoder]:
     """One encoder per Python worker and vocabulary; later tasks of the worker find its caches filled."""
     if text not in _workers:
-        words = WordIds(text)
+        batches = BatchIds(text)
         _workers.clear()
-        _workers[text] = (words, OffsetDecoder(words.v))
+        _workers[text] = (batches, OffsetDecoder(batches.words.v))
     return _workers[text]
 
 
@@ -277,11 +383,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, decoder = _worker(spec.value)
+        encoder, decoder = _worker(spec.value)
         for batch in batches:
             n, one, two, ids_out, texts = [], [], [], [], []
-            for value in batch.column(1):
-                raw = words.text(value.as_py() or b"")
+            for raw in encoder.rows(batch.column(1).to_pylist()):
                 ids = np.frombuffer(raw, "<u4")
                 decoded = decoder.text(ids)
                 n.append(len(ids))

@@ -129,7 +129,7 @@ def read_block(block: bytes, symbol: np.ndarray, bits: np.ndarray) -> tuple[np.n
 
 
 class LibraryPieces:
-    """Ids of one piece by the tokenizers library; texts are cut into words and pieces first, and words are cached."""
+    """Ids of one piece by the tokenizers library's model."""
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
@@ -149,7 +149,7 @@ def numbers(raw: bytes, code: str) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if code == "H" else "<u4")
 
 
-_words: dict[str, bpe.WordIds] = {}
+_encoders: dict[tuple[str, str], bpe.BatchIds] = {}
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int, code: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,12 +159,12 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int, code: str, *, id_
     tail = struct.pack("<" + code, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if spec.value not in _words:
-            _words.clear()
-            _words[spec.value] = bpe.WordIds(spec.value, LibraryPieces(spec.value), code)
-        words = _words[spec.value]
+        key = (spec.value, code)
+        if key not in _encoders:
+            _encoders.clear()
+            _encoders[key] = bpe.BatchIds(spec.value, LibraryPieces(spec.value), code)
         for batch in batches:
-            ids = [words.text(v.as_py() or b"") + tail for v in batch.column(1)]
+            ids = [v + tail for v in _encoders[key].rows(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, ids binary")
