@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairloom.functions import match as M
-from pairloom.operators import feed, matching
+from pairloom.operators import feed
 from pairloom.operators import metrics as op
 from pairloom.plans.registry import query
 from pairloom.plans.runtime import fresh_path
