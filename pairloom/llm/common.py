@@ -41,8 +41,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(down, "u")
         moved = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
-        edges = saved(moved.where("u <> v").distinct(), "edges")
+        last, edges = edges, saved(moved.where("u <> v").distinct(), "edges")
         now = mark(edges)
+        discard(last)
         if now == before:
             break
         before = now

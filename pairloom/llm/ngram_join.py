@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pairloom.llm.common import components, saved, small
+from pairloom.llm.common import SPACE, components, saved, small
 from pairloom.plans.runtime import ship
 
 CELLS = 1 << 20
@@ -45,42 +45,75 @@ BLOCKS = 64  # the counter table travels in so many blocks
 MOST_MATCHES = 4
 VERIFY = 8  # cost of verifying a candidate, in postings scanned
 MOST_BROADCAST = 1_000_000  # ids
-MOST_CACHED = 500_000
+MOST_CLASSES = 300_000  # of copies, broadcast
+SKETCH = 9  # bits of a hash that tell the ranges apart in which shingles are counted
+FULL = (1 << 16) - 1  # the largest count
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, kept for the words a worker has met (bounded)."""
+def spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
 
-    def __missing__(self, word: bytes) -> int:
+
+_GAP = np.zeros(256, bool)
+_GAP[list(SPACE)] = True
+_TABLE = np.random.default_rng(17).integers(0, 1 << 64, 64 * 256, dtype=np.uint64)  # a random number per place and byte
+GROUP_BYTES = 1 << 20  # texts are hashed together in groups of about this size
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, A-Z lower-cased, one after the other; and how many each text has.
+
+    A word's hash is the exclusive or of its bytes' numbers by place; words over 64 bytes are hashed one by one.
+    """
+    raw = b" ".join([b"", *texts, b""]).lower()
+    buffer = np.frombuffer(raw, np.uint8)
+    gap = _GAP[buffer]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, ends = edge[::2], edge[1::2]
+    first = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1]
+    counts = np.diff(np.append(np.searchsorted(starts, first), len(starts)))
+    if not len(starts):
+        return np.zeros(0, np.uint64), counts
+    size = ends - starts
+    at = np.flatnonzero(~gap)
+    offset = np.cumsum(size) - size
+    place = np.arange(len(at)) - np.repeat(offset, size)
+    h = np.bitwise_xor.reduceat(_TABLE[(place & 63) << 8 | buffer[at]], offset) + size.astype(np.uint64)
+    for k in np.flatnonzero(size > 64):
         import xxhash
 
-        if len(self) >= MOST_CACHED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+        h[k] = xxhash.xxh64_intdigest(raw[starts[k] : ends[k]])
+    return spread(h), counts
 
 
-_words = WordHashes()
+def _shingles(h: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(len(h) - n + 1, n, np.uint64)
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    for k in range(n):
+        out = out * factor + h[k : len(h) - n + 1 + k]
+    return spread(out)
 
 
-def spread(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
+def shingle_lists(texts: list[bytes | None], n: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Per text: hashes of all word n-grams in order (a shorter text with words has one for its whole sequence), and its number of words."""
+    texts = [t or b"" for t in texts]
+    at = 0
+    while at < len(texts):
+        upto, held = at, 0
+        while upto < len(texts) and (upto == at or held + len(texts[upto]) <= GROUP_BYTES):
+            held += len(texts[upto])
+            upto += 1
+        h, counts = word_hashes(texts[at:upto])
+        every = _shingles(h, n) if len(h) >= n else h[:0]
+        for first, count in zip((np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True):
+            yield (every[first : first + count - n + 1] if count >= n else _shingles(h[first : first + count], count) if count else h[:0]), count
+        at = upto
 
 
 def shingle_sequence(text: bytes, n: int) -> np.ndarray:
-    """Hashes of all word n-grams in order; a shorter text with words has one for its whole sequence."""
-    words = text.lower().split()  # bytes: A-Z only
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
-    factor = np.uint64(0x9E3779B97F4A7C15)
-    for k in range(size):
-        out = out * factor + h[k : len(words) - size + 1 + k]
-    return spread(out)
+    return next(shingle_lists([text], n))[0]
 
 
 def least_overlap(n, percent: int):
@@ -130,8 +163,8 @@ def shingle_counts(docs: DataFrame, n: int, cells: int) -> np.ndarray:
         held: list[np.ndarray] = []
         room = 0
         for batch in batches:
-            for v in batch.column(0):
-                held.append(np.unique(shingle_sequence(v.as_py() or b"", n)))
+            for shingles, _ in shingle_lists(batch.column(0).to_pylist(), n):
+                held.append(np.unique(shingles))
                 room += len(held[-1])
                 if room > 1 << 20:
                     counts += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=cells)
@@ -165,8 +198,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int, most: in
         order = Order(table.value)
         for batch in batches:
             size, digest, least, keys = [], [], [], []
-            for v in batch.column(1):
-                s = np.unique(shingle_sequence(v.as_py() or b"", n))
+            for shingles, _ in shingle_lists(batch.column(1).to_pylist(), n):
+                s = np.unique(shingles)
                 size.append(len(s))
                 digest.append(hashlib.md5(s.tobytes()).digest())
                 best, key = order.prefix(s, percent, most) if len(s) else (0, s)
@@ -184,21 +217,39 @@ def fits(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
+def enough(overlap, n, m, percent: int):
     """The overlap gives the similarity: 100 o >= percent (n + m - o)."""
     return overlap * (100 + percent) >= (n + m) * percent
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. Only the texts of their ids are read into sets."""
+    """The pairs (a, b) whose sets reach the similarity. Only the texts of their ids are read into sets.
+
+    First, pairs meet with counts of their shingles by ``1 << SKETCH`` ranges of hashes: the smaller counts add up to a bound of the
+    overlap that no real overlap exceeds. Sets are joined for the pairs that it leaves, so false candidates don't move any.
+    """
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_sequence(v.as_py() or b"", n)) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(sets)], names=["d", "s"])
+            sets = [np.unique(shingles) for shingles, _ in shingle_lists(batch.column(1).to_pylist(), n)]
+            counts = [np.minimum(np.bincount((s >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH), FULL).astype("<u2").tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(sets), pa.array(map(len, sets), pa.int64()), pa.array(counts, pa.binary())], names=["d", "s", "n", "g"])
 
-    sets = saved(docs.join(small(ids, MOST_BROADCAST), "d", "left_semi").mapInArrow(run, "d long, s array<long>"), "sets")
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (4, 5))
+            bound = np.minimum(left, right).sum(1, dtype=np.int64)
+            full = (np.maximum(left, right) == FULL).any(1)  # a count that may be larger says nothing
+            yield batch.select([0, 1]).filter(pa.array(full | enough(bound, size, 0, percent)))
+
+    sets = saved(docs.join(small(ids, MOST_BROADCAST), "d", "left_semi").mapInArrow(run, "d long, s array<long>, n long, g binary"), "sets")
+    left = pairs.join(sets.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga")), "a")
+    both = left.join(sets.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb")), "b").select("a", "b", "na", "nb", "ga", "gb")
+    pairs = saved(both.mapInArrow(may, "a long, b long"), "likely")
     left = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
     overlap = F.size(F.array_intersect("sa", "sb"))
@@ -211,8 +262,11 @@ def join_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("binary").alias("text"))
     counts = shingle_counts(texts, n, cells)
     sets = saved(prefixes(texts, counts, n, percent, most_matches), "prefixes")
-    classes = sets.where("n > 0").groupBy("digest").agg(F.min("d").alias("rep"))
-    heads = sets.where("n > 0").join(classes, "digest").where("d = rep")
+    # one text of each class stands for it; only ids and digests of copies are moved, not the prefixes
+    some = sets.where("n > 0")
+    classes = saved(some.groupBy("digest").agg(F.min("d").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
+    copies = saved(some.select("d", "digest").join(small(classes, MOST_CLASSES), "digest").where("d <> rep").select("d", "digest").distinct(), "copies")
+    heads = some.where("d is not null").join(small(copies, MOST_CLASSES), ["d", "digest"], "left_anti").select("d", "n", "l", "keys")
     postings = heads.select(F.col("d").alias("x"), "n", "l", F.posexplode_outer("keys").alias("p", "key"))
 
     leaders = postings.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("p", F.col("x").alias("x"), F.col("n").alias("n"))).alias("lead"))
@@ -226,11 +280,11 @@ def join_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     first = saved(components(links), "components")
 
     # members of lists that still hold several components
-    tagged = lists.drop("lead").join(first.withColumnRenamed("node", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+    tagged = lists.drop("lead").join(small(first.withColumnRenamed("node", "x"), MOST_CLASSES), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
     tagged = saved(tagged, "tagged")
     parts = tagged.groupBy("key", "c").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("most")).where("parts > 1").select("key", F.col("most.c").alias("main"))
-    members = saved(tagged.join(mixed, "key"), "members")
+    members = saved(tagged.join(small(saved(mixed, "mixed"), MOST_CLASSES), "key"), "members")
     one = members.where("c <> main").select("key", *[F.col(v).alias(f"{v}1") for v in ("x", "n", "p", "c")])
     two = members.select("key", "main", *[F.col(v).alias(f"{v}2") for v in ("x", "n", "p", "c")])
     n1, n2 = F.col("n1"), F.col("n2")
@@ -240,15 +294,18 @@ def join_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
         (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("x1") < F.col("x2"))) & fits(n1, n2, percent) & enough(room, n1, n2, percent)
     )
     met = cross.select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).distinct()
-    keys = members.groupBy("x").agg(F.collect_list("key").alias("ks"), F.first("l").alias("l"))
+    keys = members.groupBy("x").agg(F.collect_list("key").alias("ks"), F.min("l").alias("l"))
     both = met.join(keys.toDF("a", "ka", "la"), "a").join(keys.toDF("b", "kb", "lb"), "b")
     pairs = both.where(F.size(F.array_intersect("ka", "kb")) >= F.least("la", "lb")).select("a", "b")
     pairs = saved(pairs, "pairs")
     more = verified(texts, pairs, n, percent)
-    final = components(links.unionByName(more))
-
-    rows = sets.select("d", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(classes, "digest", "left")
-    rows = rows.join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    digests = sets.select("d", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    rows = digests.join(small(classes, MOST_CLASSES), "digest", "left").withColumn("rep", F.coalesce("rep", F.when(F.col("n") > 0, F.col("d"))))
+    # an id with several texts joins the classes of all of them
+    several = some.where("d is not null").groupBy("d").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("d")
+    spread = rows.where("rep is not null").join(several, "d", "left_semi").select(F.col("d").alias("a"), F.col("rep").alias("b"))
+    final = saved(components(links.unionByName(more).unionByName(spread)), "components")
+    rows = rows.join(small(final.withColumnRenamed("node", "rep"), MOST_CLASSES), "rep", "left")
     return rows.select(
         F.col("d").alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("component", "rep", "d").alias("component_id"),
