@@ -5,26 +5,35 @@ token hashes groups its passages: the node at c with subtree [a, b] stands for a
 and they all have c's hash as min-hash. Only nodes at least as wide as the shortest passage matter: about 2 n / width
 per function, instead of n squared passages.
 
-1. Windows of all texts, one row per text, are written to the shared folder.
-2. A key (function, min-hash) that only one document holds finds nothing. Of the others, each pair of windows of two
-   functions that hold a common passage gives a combined key: two documents are candidates if they share one.
-   (Of four functions, two or more agree with probability 0.97 at similarity 0.8, and always on equal passages.)
-3. In rounds, the smallest document of each combined key is its leader and meets the other members in an equi-join. Members
-   whose roots lie in a passage shared with the leader are set aside, so a passage that many documents share costs a row per
-   member, never pairs; the rest elect the next leaders (1, 4, 16, ... to a key) until none is left. New leaders meet
-   all members, so two members stay untested only if each holds a verified passage of a leader (not always the same) at the key's roots.
-4. Verification: shingles of the candidate texts only are read again, whole; windows of the document and their counterparts in
-   the leader stand if their Jaccard similarity (of shingles with their counts) reaches ``percent``. Spans, links and components follow.
-
-Everything but the windows and the verification of a pair (numpy on Arrow batches) is DataFrame work.
+1. Windows of all texts, one row per text, are written to the shared folder. Texts of equal token sequences are one class;
+   the one with the smallest id stands for all, so copies cost a row each from here on.
+2. A key (function, min-hash) that only one document holds finds nothing. Of the others, the smallest document is the leader and
+   meets the members in an equi-join: a row per member, never pairs. A member and a leader are candidates if windows of two
+   functions hold a common passage on both sides (of four functions, two or more agree with probability 0.97 at similarity 0.8, and
+   always on equal passages). Candidates are verified over whole texts.
+3. Members whose root does not lie in a passage shared with the leader may match any other. Of the windows of their keys, those
+   count that make a pair of two functions (as above) which another document has as well, unless all that have it are one
+   component already and have a span there. A passage of ``width`` tokens lacks at most m = width - need of them on the other side, so of its m + 1 pairs of tokens (p, p + need - 1)
+   one has both tokens there, as far apart or (a word put in) one further. All these pairs in passages with the roots left over
+   become sub-keys. Texts that only have a sentence in common share no sub-key; texts that share one nearly always match.
+   In rounds, the smallest documents of each sub-key (1, 4, 16, ... by hash) meet its members; members that match one of them
+   there, or are in one component with it by now, leave, until none is left. No sub-key is cut off, and two members of different
+   components that match no leader meet each other; so no link between components is left out. Inside a component a span can
+   be missing where an edited passage is shared with another member than the first leader of its sub-keys.
+4. Verification: windows of the document and their counterparts in the leader stand if their Jaccard similarity (of
+   shingles with their counts) reaches ``percent``. Spans, links and components follow.
+
+Everything but windows, sub-keys and the test of a pair (numpy on Arrow batches) is DataFrame work.
 
 Defined results: null texts, texts without words and texts shorter than a passage have no spans and are their own
-component; rows with a null id likewise (null component); rows with equal ids are one document with all their texts, and
-get the same spans; repeated rows give a row each; an empty table gives no rows; other columns are not read.
+component; rows with a null id likewise (null component); rows with equal ids are one document with all their texts; repeated
+rows give a row each; an empty table gives no rows; other columns are not read. Spans and links are between different
+documents; what a text repeats of itself counts in n_inner_words only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +41,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import components, saved, small
-from pairloom.llm.ngram_join import shingle_sequence
+from pairloom.llm.common import components, discard, saved, small
+from pairloom.llm.ngram_join import shingle_lists
 from pairloom.plans.runtime import ship
 
 SHINGLE = 5
 WORDS = 50  # the shortest passage
 HASHES = 4
-MOST_BROADCAST = 1_000_000  # ids
+GROUP = 1 << 17  # tokens after which a group of texts ends
+MOST_BROADCAST = 500_000  # ids
+MOST_KNOWN = 100_000  # documents with their spans
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -61,39 +72,97 @@ def compact_windows(values: np.ndarray, width: int, ties: bool) -> list[tuple[in
     return out
 
 
+def many_windows(h: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same nodes, (a, c, b), for many stretches of ``h`` at once, level by level; no stretch may hold a value twice."""
+    found = []
+    while True:
+        some = b - a + 1 >= width
+        a, b = a[some], b[some]
+        if not len(a):
+            break
+        size = b - a + 1
+        first = np.cumsum(size) - size
+        at = np.repeat(a - first, size) + np.arange(size.sum())
+        v = h[at]
+        c = at[np.flatnonzero(v == np.repeat(np.minimum.reduceat(v, first), size))]
+        found.append((a, c, b))
+        a, b = np.concatenate([a, c + 1]), np.concatenate([c - 1, b])
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
 def hashed(tokens: np.ndarray, k: int) -> np.ndarray:
     h = tokens * _FACTORS[k]
     return (h ^ (h >> np.uint64(32))) * _FACTORS[k + 32]
 
 
+def inner_repeats(tokens: np.ndarray, width: int, shingle: int) -> int:
+    """Words inside runs of ``width`` tokens that the same text holds earlier as well."""
+    f = _FACTORS[0]
+    powers = np.cumprod(np.full(len(tokens), f))
+    back = np.cumprod(np.full(len(tokens), np.uint64(pow(int(f), -1, 1 << 64))))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(tokens * powers)])
+    runs = (total[width:] - total[:-width]) * back[: len(tokens) - width + 1]
+    _, first = np.unique(runs, return_index=True)
+    if len(first) == len(runs):
+        return 0
+    later = np.ones(len(runs), bool)
+    later[first] = False
+    edges = np.zeros(len(tokens) + shingle, np.int64)
+    at = np.flatnonzero(later)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, at + width + shingle - 1, -1)
+    return int((np.cumsum(edges) > 0).sum())
+
+
 def windows(texts: DataFrame, shingle: int, width: int, hashes: int) -> DataFrame:
-    """d, n (words), w (array of key, h, a, c, b); ``texts``: d, text (binary)."""
+    """d, n (words), g (digest of the token sequence), inner (n_inner_words), w (array of key, h, a, c, b); ``texts``: d, text (binary)."""
     kind = pa.struct([("key", pa.int64()), ("h", pa.int32()), ("a", pa.int32()), ("c", pa.int32()), ("b", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sizes, keys, places = [], [], [], []
-            for v in batch.column(1):
-                text = v.as_py() or b""
-                s = shingle_sequence(text, shingle)
-                n.append(len(s) + shingle - 1 if len(s) > 1 else len(text.split()))
-                held = 0
+            n, digests, inner, tied, plain = [], [], [], [], []
+            sequences: list[np.ndarray] = []
+            for row, (s, count) in enumerate(shingle_lists(batch.column(1).to_pylist(), shingle)):
+                n.append(count)
+                digests.append(hashlib.md5(s.tobytes()).digest())
+                again = 0
                 if len(s) >= width:
-                    ties = len(np.unique(s)) < len(s)
-                    for k in range(hashes):
-                        h = hashed(s, k)
-                        found = np.array(compact_windows(h, width, ties), np.int32)
-                        held += len(found)
-                        keys.append(h[found[:, 1]] * np.uint64(hashes) + np.uint64(k))
-                        places.append(np.insert(found, 0, k, axis=1))
-                sizes.append(held)
-            where = np.concatenate(places) if places else np.zeros((0, 4), np.int32)
-            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            rows = pa.StructArray.from_arrays([pa.array(key), *(pa.array(where[:, j].astype(np.int32)) for j in range(4))], fields=list(kind))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), lists], names=["d", "n", "w"])
-
-    return texts.mapInArrow(run, "d long, n long, w array<struct<key:long,h:int,a:int,c:int,b:int>>")
+                    if len(np.unique(s)) < len(s):
+                        tied.append(row)
+                        again = inner_repeats(s, width, shingle)
+                    else:
+                        plain.append(row)
+                inner.append(again)
+                sequences.append(s)
+            found = []  # row, key, function, a, c, b
+            while plain:
+                held, some = 0, []
+                while plain and held < GROUP:
+                    some.append(plain.pop())
+                    held += len(sequences[some[-1]])
+                tokens = np.concatenate([sequences[r] for r in some])
+                size = np.array([len(sequences[r]) for r in some])
+                first = np.cumsum(size) - size
+                for k in range(hashes):
+                    h = hashed(tokens, k)
+                    a, c, b = many_windows(h, first, first + size - 1, width)
+                    of = np.searchsorted(first, c, "right") - 1
+                    found.append((np.array(some)[of], h[c] * np.uint64(hashes) + np.uint64(k), np.full(len(c), k), a - first[of], c - first[of], b - first[of]))
+            for row in tied:
+                for k in range(hashes):
+                    h = hashed(sequences[row], k)
+                    a, c, b = np.array(compact_windows(h, width, True)).T
+                    found.append((np.full(len(c), row), h[c] * np.uint64(hashes) + np.uint64(k), np.full(len(c), k), a, c, b))
+            row, key, *places = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, t) for t in (int, np.uint64, int, int, int, int))
+            order = np.argsort(row, kind="stable")
+            columns = [pa.array(key[order].view(np.int64)), *(pa.array(v[order].astype(np.int32)) for v in places)]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(inner, pa.int64()), lists], names=["d", "n", "g", "inner", "w"]
+            )
+
+    return texts.mapInArrow(run, "d long, n long, g binary, inner long, w array<struct<key:long,h:int,a:int,c:int,b:int>>")
 
 
 def numbered(tokens: np.ndarray) -> np.ndarray:
@@ -107,14 +176,23 @@ def numbered(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def need_of(width: int, percent: int) -> int:
+    """Tokens that two passages of this width share at the similarity."""
+    return -(-2 * percent * width // (100 + percent))
+
+
 def aligned(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int]]:
     """Runs of windows of x whose tokens stand in y close enough together for the similarity."""
     order = np.argsort(y, kind="stable")
     other = order[np.minimum(np.searchsorted(y[order], x), len(y) - 1)]
-    hit = y[other] == x
+    return _runs(other, y[other] == x, width, percent)
+
+
+def _runs(other: np.ndarray, hit: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """``other``: each token's place in y, where ``hit``."""
     total = np.concatenate([[0], np.cumsum(hit)])
     shared = total[width:] - total[:-width]
-    starts = np.flatnonzero(shared >= -(-2 * percent * width // (100 + percent)))  # what two passages of this width need
+    starts = np.flatnonzero(shared >= need_of(width, percent))
     if not len(starts):
         return []
     places = np.flatnonzero(hit)
@@ -134,24 +212,62 @@ def repeated(tokens: np.ndarray) -> np.ndarray:
     return counts[at] > 1
 
 
+def uncovered(places: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """``places`` (a mask) outside the spans."""
+    edges = np.zeros(len(places) + 1, np.int64)
+    for s, e in spans:
+        edges[s] += 1
+        edges[e] -= 1
+    return places & (np.cumsum(edges)[:-1] <= 0)
+
+
 def passages(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int]]:
     """(s, e, s2, e2): token spans of x with their counterparts in y, made of windows that reach the similarity."""
     if len(x) < width or len(y) < width:
         return []
+    order = np.argsort(y, kind="stable")
+    held = y[order]
+    at = np.minimum(np.searchsorted(held, x), len(y) - 1)
+    hit = held[at] == x
+    total = np.concatenate([[0], np.cumsum(hit)])
+    starts = np.flatnonzero(total[width:] - total[:-width] >= need_of(width, percent))  # windows that have enough tokens anywhere in y
+    if not len(starts):
+        return []
+    used = np.bincount(at[hit], minlength=len(y))
+    again = np.flatnonzero(held[1:] == held[:-1])
+    if used.max() < 2 and not used[again].any():  # no shared token stands twice on either side
+        return _runs(order[at], hit, width, percent)
+    out = []
+    cuts = np.flatnonzero(np.diff(starts) > width) + 1
+    for a, b in ((int(p[0]), int(p[-1]) + width) for p in np.split(starts, cuts)):
+        first, last = reach(y, x[a:b], width)
+        out += [(s + a, e + a, s2 + first, e2 + first) for s, e, s2, e2 in _passages(x[a:b], y[first:last], width, percent)]
+    return out
+
+
+def reach(y: np.ndarray, part: np.ndarray, width: int) -> tuple[int, int]:
+    """From the first to the last token of y that stands in ``part``."""
+    at = np.flatnonzero(np.isin(y, part))
+    return int(at[0]), int(at[-1]) + 1
+
+
+def _passages(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int]]:
+    if len(y) < need_of(width, percent):
+        return []
     found = aligned(x, y, width, percent)
     twice, again = repeated(x), repeated(y)
     if twice.any() or again.any():  # repeated tokens: also match the k-th with the k-th
         found += aligned(numbered(x), numbered(y), width, percent)
-    again &= np.isin(y, x)
+    again = uncovered(again & np.isin(y, x), [v[2:] for v in found])
     if not again.any():
         return found
-    # tokens with several places in y: every place, by stretches one of which holds any counterpart whole
+    # tokens with several places in y: every place left over, by stretches one of which holds any counterpart whole
     far = 100 * width // percent
     twice &= np.isin(x, y)
     for at in range(0, len(y), far):
-        part = y[at : at + 2 * far]
         if not again[at : at + 2 * far].any():
             continue
+        part = y[at : at + 2 * far]
         found += [(s, e, s2 + at, e2 + at) for s, e, s2, e2 in aligned(x, part, width, percent)]
         if not (twice.any() and repeated(part).any()):
             continue
@@ -167,41 +283,94 @@ def _two(a: str, b: str) -> Column:
     return F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long"))
 
 
-def combined(met: DataFrame, width: int) -> DataFrame:
-    """ck, d, lo, hi: pairs of a document's windows of two functions that hold a common passage; lo and hi are their roots."""
+def combined(roots: DataFrame, width: int) -> DataFrame:
+    """ck, d, lo, hi: pairs of a document's windows of two functions that hold a common passage; the shortest passages with both roots
+    start from lo to hi. ``roots``: d, ws (key, a|c, h|b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = (1 << 32) - 1
         for batch in batches:
             ws = batch.column(1)
             ends = ws.offsets.to_numpy()
-            flat = ws.values
-            key, ac, hb = (flat.field(k).to_numpy() for k in range(3))
-            key, wa, wc, wh, wb = key.view(np.uint64), ac >> 32, ac & low, hb >> 32, hb & low
+            key, ac, hb = (ws.values.field(k).to_numpy() for k in range(3))
+            all_of = (key.view(np.uint64), ac >> 32, ac & low, hb >> 32, hb & low)
             for d, i, j in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
-                k, a, c, h, b = (x[i:j] for x in (key, wa, wc, wh, wb))
-                step = max(1, (1 << 22) // max(1, j - i))
+                k, a, c, h, b = (v[i:j] for v in all_of)
+                step = max(1, (1 << 20) // max(1, j - i))
                 for at in range(0, j - i, step):
-                    part = slice(at, at + step)
-                    u_a, u_c, u_h, u_b = (x[part, None] for x in (a, c, h, b))
+                    u_a, u_c, u_h, u_b = (v[at : at + step, None] for v in (a, c, h, b))
                     first, last = np.maximum(u_a, a), np.minimum(u_b, b)
-                    fits = (u_h < h) & (first <= np.minimum(u_c, c)) & (np.maximum(u_c, c) <= last) & (last - first + 1 >= width)
-                    u, v = np.nonzero(fits)
-                    if not len(u):
-                        continue
-                    u += at
+                    u, v = np.nonzero((u_h < h) & (first <= np.minimum(u_c, c)) & (np.maximum(u_c, c) <= last) & (last - first + 1 >= width))
+                    lo = np.maximum(first[u, v], np.maximum(c[u + at], c[v]) - width + 1)
+                    hi = np.minimum(last[u, v] - width + 1, np.minimum(c[u + at], c[v]))
+                    some = lo <= hi
+                    u, v, lo, hi = u[some] + at, v[some], lo[some], hi[some]
                     mixed = k[u] * _FACTORS[0] ^ (k[v] * _FACTORS[1] >> np.uint64(7)) ^ k[v] * _FACTORS[2]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(mixed.view(np.int64)), pa.array(np.full(len(u), d, np.int64)), pa.array(np.minimum(c[u], c[v]).astype(np.int32)), pa.array(np.maximum(c[u], c[v]).astype(np.int32))],
-                        names=["ck", "d", "lo", "hi"],
+                        [pa.array(mixed.view(np.int64)), pa.array(np.full(len(u), d, np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["ck", "d", "lo", "hi"]
                     )
 
-    per = met.groupBy("d").agg(F.collect_list(F.struct("key", "ac", "hb")).alias("ws"))
-    return per.mapInArrow(run, "ck long, d long, lo int, hi int")
+    return roots.mapInArrow(run, "ck long, d long, lo int, hi int")
+
+
+def together(pairs: DataFrame, width: int) -> DataFrame:
+    """d, lead of the rows of ``pairs`` (d, lead, ws: array of a|c, h|b, a2|c2, h2|b2) of which windows of two functions hold a common passage on both sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = (1 << 32) - 1
+        for batch in batches:
+            ws = batch.column(2)
+            ends = ws.offsets.to_numpy()
+            ac, hb, ac2, hb2 = (ws.values.field(k).to_numpy() for k in range(4))
+            all_of = (hb >> 32, ac >> 32, ac & low, hb & low, ac2 >> 32, ac2 & low, hb2 & low)
+            good = np.zeros(batch.num_rows, bool)
+            for row, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                h, *sides = (v[i:j] for v in all_of)
+                step = max(1, (1 << 16) // (j - i))
+                for at in range(0, j - i, step):
+                    fits = h[at : at + step, None] < h
+                    for a, c, b in (sides[:3], sides[3:]):
+                        u_a, u_c, u_b = (v[at : at + step, None] for v in (a, c, b))
+                        first, last = np.maximum(u_a, a), np.minimum(u_b, b)
+                        fits &= (first <= np.minimum(u_c, c)) & (np.maximum(u_c, c) <= last) & (last - first + 1 >= width)
+                    if fits.any():
+                        good[row] = True
+                        break
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    return pairs.mapInArrow(run, "d long, lead long")
+
+
+def sub_keys(roots: DataFrame, width: int, percent: int) -> DataFrame:
+    """sk, d, p: pairs of tokens of which a shortest passage in one of the ranges shares one with any counterpart; ``roots``: d, rs
+    (ranges of starts), t (tokens)."""
+    need = need_of(width, percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, rs, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = np.frombuffer(raw, "<u4").astype(np.uint64)
+                marks = np.zeros(len(t) + 1, np.int64)
+                at = np.array([(r["lo"], r["hi"]) for r in rs])
+                np.add.at(marks, at[:, 0], 1)
+                np.add.at(marks, np.minimum(at[:, 1] + width - need + 1, len(t)), -1)
+                near = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
+                for apart in range(need - 1, need + 1):
+                    p = near[near + apart < len(t)]
+                    sk = (t[p] * _FACTORS[0] ^ (t[p + apart] * _FACTORS[1] >> np.uint64(7))) * _FACTORS[2] + t[p + apart]
+                    yield pa.RecordBatch.from_arrays([pa.array(sk.view(np.int64)), pa.array(np.full(len(p), d, np.int64)), pa.array(p.astype(np.int32))], names=["sk", "d", "p"])
+
+    return roots.mapInArrow(run, "sk long, d long, p int")
+
+
+def _sides(found: DataFrame) -> DataFrame:
+    """d, partner, s, e: the spans of both sides."""
+    other = found.select(F.col("lead").alias("d"), F.col("d").alias("partner"), F.col("s2").alias("s"), F.col("e2").alias("e"))
+    return found.select("d", F.col("lead").alias("partner"), "s", "e").unionByName(other)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, words: int = WORDS, hashes: int = HASHES, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_words, n_dup_words, spans ("start:end" in words, end exclusive, comma-joined), partner_id, component_id.
+    """``id_col``, n_words, n_dup_words, spans ("start:end" in words, end exclusive, comma-joined), partner_id, component_id, n_inner_words.
 
     Both sides of a link get spans. ``partner_id`` is the smallest document directly linked, null if none;
     ``component_id`` the smallest document reachable.
@@ -210,20 +379,25 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, words: int = WOR
     width = words - shingle + 1
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("binary").alias("text"))
     rows = saved(windows(texts, shingle, width, hashes), "windows")
-    each = rows.where("d is not null").select("d", F.inline_outer("w")).where("key is not null")
+    long_ones = rows.where((F.col("n") >= words) & F.col("d").isNotNull())
+    classes = saved(long_ones.groupBy("g").agg(F.min("d").alias("rep"), F.max("d").alias("last")).where("rep < last").select("g", "rep"), "classes")
+    copies = saved(long_ones.select("d", "g", "n").join(classes, "g").where("d <> rep").distinct(), "copies")
+    each = long_ones.join(small(copies.select("d", "g"), MOST_BROADCAST), ["d", "g"], "left_anti").select("d", F.inline_outer("w")).where("key is not null")
     # two numbers to a column: these rows are the bulk of what is shuffled
     each = each.select("key", "d", _two("a", "c").alias("ac"), _two("h", "b").alias("hb"))
-    keys = each.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key")
-    twos = saved(combined(each.join(keys, "key"), width), "twos")
-    common = twos.groupBy("ck").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("ck")
-    lists = saved(twos.join(common, "ck"), "lists")
+    keys = each.groupBy("key").agg(F.min("d").alias("lead"), F.max("d").alias("last")).where("lead < last").drop("last")
+    met = saved(each.join(keys, "key"), "met")
+    sizes = saved(rows.select("d", "n", "inner"), "sizes")
+    discard(rows)
+    lead = met.where("d = lead").groupBy("key").agg(F.min(F.struct(F.col("ac").alias("ac2"), F.col("hb").alias("hb2"))).alias("y"))
+    members = saved(met.where("d <> lead").join(lead, "key").select("key", "d", "lead", "ac", "hb", "y.ac2", "y.hb2"), "members")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(shingle_sequence(v.as_py() or b"", shingle) >> np.uint64(32)).astype("<u4").tobytes() for v in batch.column(1)]
+            raw = [(s >> np.uint64(32)).astype("<u4").tobytes() for s, _ in shingle_lists(batch.column(1).to_pylist(), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["d", "t"])
 
-    ids = saved(lists.select("d").distinct(), "ids")
+    ids = saved(met.select("d").distinct(), "ids")
     read = saved(texts.join(small(ids, MOST_BROADCAST), "d", "left_semi").mapInArrow(tokens, "d long, t binary"), "tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,27 +408,84 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, words: int = WOR
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(columns)], names=["d", "lead", "s", "e", "s2", "e2"])
 
-    active, tested, found, buckets = lists, None, None, 1
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(read.withColumnRenamed("t", "x"), "d").join(read.select(F.col("d").alias("lead"), F.col("t").alias("y")), "lead").select("d", "lead", "x", "y")
+        return saved(both.mapInArrow(verify, "d long, lead long, s int, e int, s2 int, e2 int"), "found")
+
+    per = members.groupBy("d", "lead").agg(F.collect_list(F.struct("ac", "hb", "ac2", "hb2")).alias("ws")).where(F.size("ws") > 1)
+    tested = saved(together(per, width), "pairs")
+    found = verified(tested)
+
+    # keys with members whose root lies outside the passages shared with their leader: all windows of all that hold such a key
+    shared = found.groupBy("d", "lead").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    c = F.col("ac").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    apart = members.select("key", "d", "lead", "ac").join(shared, ["d", "lead"], "left")
+    apart = apart.where(F.col("spans").isNull() | ~F.exists("spans", lambda v: (v["s"] <= c) & (c < v["e"])))
+    roots = met.join(apart.select("key").distinct(), "key", "left_semi").groupBy("d").agg(F.collect_list(F.struct("key", "ac", "hb")).alias("ws"))
+    twos = saved(combined(roots, width), "twos")
+    discard(met, members)
+
+    def learn() -> DataFrame:
+        """component, spans of all documents with a passage found so far (a document with a span has a link, and the other way round)."""
+        covers = _sides(found).groupBy("d").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+        linked = components(found.select(F.col("d").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "d")
+        return saved(covers.join(linked, "d"), "known")
+
+    def told(rows: DataFrame, known: DataFrame, inside) -> DataFrame:
+        """Adds the component so far, and whether a span found so far covers the row."""
+        out = rows.join(small(known, MOST_KNOWN), "d", "left")
+        return out.select(*rows.columns, F.coalesce("component", "d").alias("comp"), F.coalesce(F.exists("spans", inside), F.lit(False)).alias("old"))
+
+    def opens(rows: DataFrame, key: str) -> DataFrame:
+        """Rows of the groups that hold two documents and not only covered rows of one component."""
+        sums = rows.groupBy(key).agg(F.min("d").alias("d1"), F.max("d").alias("d2"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("old").alias("o"))
+        return rows.join(sums.where("d1 < d2 and (c1 < c2 or not o)").select(key), key).drop("comp", "old")
+
+    known = learn()
+    marked = told(twos, known, lambda v: F.greatest(v["s"], F.col("lo")) <= F.least(F.col("hi"), v["e"] - width))
+    both = opens(marked, "ck").groupBy("d").agg(F.collect_set(F.struct("lo", "hi")).alias("rs"))
+    subs = saved(sub_keys(both.join(read, "d").select("d", "rs", "t"), width, percent), "subs")
+    discard(twos)
+
+    def at_p(v: Column) -> Column:
+        return (v["s"] <= F.col("p")) & (F.col("p") < v["e"])
+
+    lists = saved(opens(told(subs, known, at_p), "sk"), "lists")
+    discard(subs)
+
+    active, buckets = lists, 1
     while True:
-        leaders = saved(active.groupBy("ck", F.pmod(F.xxhash64("d"), F.lit(buckets)).alias("bucket")).agg(F.min("d").alias("lead")).drop("bucket"), "leaders")
-        if found is not None and leaders.isEmpty():
+        bucket = F.pmod(F.xxhash64("d"), F.lit(buckets)).alias("bucket")
+        leaders = saved(active.groupBy("sk", bucket).agg(F.min("d").alias("lead")).drop("bucket"), "leaders")
+        if leaders.isEmpty():
             break
-        # a new leader meets all members of its key, also those set aside
-        pairs = lists.join(leaders, "ck").where("d <> lead").select(F.greatest("d", "lead").alias("d"), F.least("d", "lead").alias("lead")).distinct()
-        pairs = saved(pairs if tested is None else pairs.join(tested, ["d", "lead"], "left_anti"), "pairs")
-        both = pairs.join(read.withColumnRenamed("t", "x"), "d").join(read.select(F.col("d").alias("lead"), F.col("t").alias("y")), "lead").select("d", "lead", "x", "y")
-        met = saved(both.mapInArrow(verify, "d long, lead long, s int, e int, s2 int, e2 int"), "found")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = met if found is None else found.unionByName(met)
-        # set aside: leaders, and members whose roots lie in a passage shared with a leader of the key
-        stays = active.join(leaders.withColumnRenamed("lead", "d"), ["ck", "d"], "left_anti")
-        spans = found.select("d", "lead", "s", "e").unionByName(found.select(F.col("lead").alias("d"), F.col("d").alias("lead"), F.col("s2").alias("s"), F.col("e2").alias("e")))
-        held = stays.join(leaders, "ck").join(spans, ["d", "lead"]).where("s <= lo and hi < e").select("ck", "d", "lo", "hi").distinct()
-        active = saved(stays.join(held, ["ck", "d", "lo", "hi"], "left_anti"), "active")
+        of = leaders.select("sk", F.col("lead").alias("d"))
+
+        def met_by_leaders(rows: DataFrame) -> DataFrame:
+            """Rows with each leader of their sub-key: in one component with it, or even (same) both covered there."""
+            own = told(active.join(of, ["sk", "d"]), known, at_p).groupBy("sk", F.col("d").alias("lead")).agg(F.max("comp").alias("lcomp"), F.min("old").alias("lold"))
+            return told(rows, known, at_p).join(own, "sk").withColumn("one", F.col("comp") == F.col("lcomp")).withColumn("same", F.col("one") & F.col("old") & F.col("lold"))
+
+        # a new leader meets all members of its sub-key, also those that left; after the first round only those of other components
+        pairs = met_by_leaders(lists).where("d <> lead").where(~F.col("same" if buckets == 1 else "one")).select(F.greatest("d", "lead").alias("d"), F.least("d", "lead").alias("lead")).distinct()
+        pairs = saved(pairs.join(tested, ["d", "lead"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+        found = found.unionByName(verified(pairs))
+        known = learn()
+        stays = active.join(of, ["sk", "d"], "left_anti")
+        met_now = met_by_leaders(stays)
+        spans = _sides(found).withColumnRenamed("partner", "lead")
+        leave = met_now.where("one").select("sk", "d", "p").unionByName(met_now.where("not one").join(spans, ["d", "lead"]).where("s <= p and p < e").select("sk", "d", "p"))
+        active = saved(stays.join(leave.distinct(), ["sk", "d", "p"], "left_anti"), "active")
         buckets *= 4
 
-    linked = components(found.select(F.col("d").alias("a"), F.col("lead").alias("b")))
-    sides = found.select("d", F.col("lead").alias("partner"), "s", "e").unionByName(found.select(F.col("lead").alias("d"), F.col("d").alias("partner"), F.col("s2").alias("s"), F.col("e2").alias("e")))
+    # copies: linked with the text that stands for them, over their whole length
+    linked = components(found.select(F.col("d").alias("a"), F.col("lead").alias("b")).unionByName(copies.select(F.col("d").alias("a"), F.col("rep").alias("b"))))
+    sides = _sides(found)
+    whole = (F.col("n") - shingle + 1).cast("int")
+    doubles = copies.groupBy("rep").agg(F.min("d").alias("partner"), F.max(whole).alias("e"))
+    sides = sides.unionByName(doubles.select(F.col("rep").alias("d"), "partner", F.lit(0).alias("s"), "e"))
+    sides = sides.unionByName(copies.select("d", F.col("rep").alias("partner"), F.lit(0).alias("s"), whole.alias("e")))
     # spans that start and end in the same stretches of 16 words become one first: few per document however many partners
     coarse = sides.groupBy("d", F.floor(F.col("s") / 16), F.floor(F.col("e") / 16)).agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("partner").alias("partner"))
     gathered = coarse.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("s", F.expr(f"e + {shingle - 1}").alias("e")))).alias("found"), F.min("partner").alias("partner_id"))
@@ -265,10 +496,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, words: int = WOR
         return F.when((F.size(acc) > 0) & (v["s"] <= F.get(acc, F.size(acc) - 1)["e"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(v)))
 
     merged = gathered.withColumn("spans", F.aggregate(F.slice("found", F.lit(2), F.size("found")), F.slice("found", 1, 1), merge)).drop("found")
-    every = rows.select("d", "n").join(merged, "d", "left").join(linked.withColumnRenamed("node", "d"), "d", "left")
+    every = sizes.join(merged, "d", "left").join(linked.withColumnRenamed("node", "d"), "d", "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>"))
     return every.select(
         F.col("d").alias(id_col), F.col("n").alias("n_words"), F.aggregate(spans, F.lit(0), lambda t, v: t + v["e"] - v["s"]).cast("long").alias("n_dup_words"),
         F.array_join(F.transform(spans, lambda v: F.concat(v["s"].cast("string"), F.lit(":"), v["e"].cast("string"))), ",").alias("spans"),
-        "partner_id", F.coalesce("component", "d").alias("component_id"),
+        "partner_id", F.coalesce("component", "d").alias("component_id"), F.col("inner").alias("n_inner_words"),
     )
