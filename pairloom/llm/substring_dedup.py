@@ -469,9 +469,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, words: int = WOR
         # a new leader meets all members of its sub-key, also those that left; after the first round only those of other components
         pairs = met_by_leaders(lists).where("d <> lead").where(~F.col("same" if buckets == 1 else "one")).select(F.greatest("d", "lead").alias("d"), F.least("d", "lead").alias("lead")).distinct()
         pairs = saved(pairs.join(tested, ["d", "lead"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        found = found.unionByName(verified(pairs))
-        known = learn()
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            found = found.unionByName(verified(pairs))
+            known = learn()
         stays = active.join(of, ["sk", "d"], "left_anti")
         met_now = met_by_leaders(stays)
         spans = _sides(found).withColumnRenamed("partner", "lead")
