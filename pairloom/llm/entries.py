@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, chat_format, decontamination, line_dedup, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_output
+from pairloom.llm import alignment, bpe, chat_format, decontamination, line_dedup, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_output
 
 END_ID = 2  # appended to each document in token files
 
@@ -135,6 +135,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        b = f.read()
+    return alignment.align(table(spark, sf_dir, "documents"), bpe.vocabulary_text(public_tokenizers.path("byte_bpe_50k.json")), b)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -147,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_pii": op9_pii,
         "op10_token_files": op10_token_files,
+        "op13_alignment": op13_alignment,
     }
 
 
