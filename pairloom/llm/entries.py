@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import alignment, bpe, chat_format, decontamination, line_dedup, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_output
+from pairloom.llm import alignment, bpe, chat_format, decontamination, line_dedup, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_output, vector_search
 
 END_ID = 2  # appended to each document in token files
 
@@ -135,6 +135,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v)::BIGINT AS score FROM e AS q JOIN e ON q.r <> e.r AND len(q.v) = len(e.v) WHERE q.vec_id % 50 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM n WHERE rank <= 5
+"""
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -155,9 +168,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_pii": op9_pii,
         "op10_token_files": op10_token_files,
+        "op12_exact_topk": op12_exact_topk,
         "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_decontamination": OP8_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_decontamination": OP8_SQL, "op12_exact_topk": OP12_SQL}
