@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import alignment, bpe, chat_format, decontamination, line_dedup, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_output, vector_search
+from pairloom.llm import alignment, bpe, chat_format, decontamination, lexical_search, line_dedup, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_output, vector_search
 
 END_ID = 2  # appended to each document in token files
 
@@ -135,6 +135,26 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS ts FROM benchmark),
+c AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS words FROM d WHERE len(ts) > 0),
+asked AS (SELECT q, item_id, unnest(ts) AS t FROM i),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY t),
+m AS (SELECT r, doc_id, 50 + (50 * len(ts) * docs) // words AS m FROM d, c WHERE len(ts) > 0),
+s AS (SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM asked JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY q, item_id, r, doc_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM n WHERE rank <= 50
+"""
+
+
 def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
 
@@ -168,10 +188,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_pii": op9_pii,
         "op10_token_files": op10_token_files,
+        "op11_lexical_search": op11_lexical_search,
         "op12_exact_topk": op12_exact_topk,
         "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_decontamination": OP8_SQL, "op12_exact_topk": OP12_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_decontamination": OP8_SQL, "op11_lexical_search": OP11_SQL, "op12_exact_topk": OP12_SQL}
