@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.bpe import MOST_CACHED_BYTES, MOST_PIECES, byte_letters
+from pairloom.llm.bpe import MOST_CACHED_BYTES, byte_letters
 from pairloom.llm.common import saved
 from pairloom.plans.runtime import ship
 
@@ -38,6 +38,7 @@ PART = 1 << 20  # bytes after which a group of texts ends, and of which a long t
 BLOCK = 1 << 23  # bytes of text after which a block ends
 WORK = 1 << 16  # token ends in a piece of the merge
 SLICE = 1 << 17  # tokens written out at once
+MOST_KNOWN = 500_000  # pieces a worker keeps before it starts anew
 SHIFT = 32  # a pair is a * 2**32 + b
 
 #: Fixed: last two bytes, in UTF-8, of the white space beyond ASCII (the first of three-byte characters doesn't matter here).
@@ -110,26 +111,57 @@ class Pair:
         for token, i in self.a.get_vocab().items():
             self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
-        self.size_a, self.size_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
+        self.blobs = [np.frombuffer(b"".join(v), np.uint8) for v in (self.bytes_a, self.bytes_b)]
+        self.widths = [np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b)]
+        self.places = [np.cumsum(w) - w for w in self.widths]
         self.blank = self.b.piece_to_id("▁")
         digits = [b"%d," % i for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.digits = np.frombuffer(b"".join(digits), np.uint8)
         self.digits_size = np.array([len(x) for x in digits], np.int64)
         self.digits_start = np.cumsum(self.digits_size) - self.digits_size
-        self.known: dict[bytes, tuple[tuple[int, ...], tuple[int, ...], bool]] = {}
-
-    def learn(self, pieces: list[bytes]) -> list[tuple[tuple[int, ...], tuple[int, ...], bool]]:
-        """Ids of A and B for every piece (it starts with a blank, which B adds itself), and whether both spell it."""
-        if len(self.known) > MOST_PIECES:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        texts = [p.decode() for p in new]
-        fresh = {}
-        for p, one, two in zip(new, self.a.encode_batch(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1) if texts else [], strict=True):
-            x, y = tuple(one.ids), tuple(two) or (self.blank,)
-            fresh[p] = x, y, b"".join(map(self.bytes_a.__getitem__, x)) == p == b"".join(map(self.bytes_b.__getitem__, y))
-        out = [fresh.get(p) or self.known[p] for p in pieces]
-        self.known.update((p, v) for p, v in fresh.items() if len(p) <= MOST_CACHED_BYTES)
+        self.forget()
+
+    def forget(self) -> None:
+        """Of the pieces known: their numbers; for each tokenizer all ids, where those of a piece start and how many it has; whether both spell it."""
+        self.slot: dict[bytes, int] = {}
+        self.flat, self.start, self.many = ([np.zeros(0, np.int64)] * 2 for _ in range(3))
+        self.fine = np.zeros(0, bool)
+
+    def spelled(self, k: int, pieces: list[bytes], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the bytes of a piece's ids (n of them) are the piece."""
+        size = np.array([len(p) for p in pieces], np.int64)
+        width = self.widths[k][ids]
+        fine = np.diff(np.append(0, np.append(0, np.cumsum(width))[np.cumsum(n)])) == size
+        mine = np.repeat(fine, n)
+        ids, width, size = ids[mine], width[mine], size[fine]
+        end = np.cumsum(width)
+        made = self.blobs[k][np.repeat(self.places[k][ids] - end + width, width) + np.arange(end[-1] if len(end) else 0)]
+        odd = np.flatnonzero(made != np.frombuffer(b"".join(p for p, f in zip(pieces, fine, strict=True) if f), np.uint8))
+        fine[np.flatnonzero(fine)[np.searchsorted(np.cumsum(size), odd, "right")]] = False
+        return fine
+
+    def learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of the pieces (each starts with a blank, which B adds itself), of which new ones are encoded."""
+        if len(self.slot) > MOST_KNOWN or len(self.flat[0]) > 32 * MOST_KNOWN:
+            self.forget()
+        new = [p for p in pieces if p not in self.slot]
+        if new:
+            texts = [p.decode() for p in new]
+            own = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], [x or [self.blank] for x in self.b.encode([t[1:] for t in texts], num_threads=1)]
+            fine = np.ones(len(new), bool)
+            for k, each in enumerate(own):
+                n = np.fromiter(map(len, each), np.int64, len(each))
+                ids = np.fromiter(chain.from_iterable(each), np.int64, int(n.sum()))
+                fine &= self.spelled(k, new, ids, n)
+                self.start[k] = np.append(self.start[k], len(self.flat[k]) + np.cumsum(n) - n)
+                self.many[k] = np.append(self.many[k], n)
+                self.flat[k] = np.append(self.flat[k], ids)
+            self.slot.update(zip(new, range(len(self.fine), len(self.fine) + len(new)), strict=True))
+            self.fine = np.append(self.fine, fine)
+        out = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        for p in new:
+            if len(p) > MOST_CACHED_BYTES:
+                del self.slot[p]
         return out
 
     def group(self, parts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, bytes] | None]:
@@ -140,22 +172,19 @@ class Pair:
         starts = np.union1d(cut_places(raw), begin)
         offsets = np.append(starts, len(raw)).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-        found, which = self.learn(pieces.dictionary.to_pylist()), pieces.indices.to_numpy()
+        which = self.learn(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
         part = np.searchsorted(begin, starts, "right") - 1
-        fine = np.array([ok for *_, ok in found], bool)[which]
-        good = np.bincount(part[~fine], minlength=len(parts)) == 0
+        good = np.bincount(part[~self.fine[which]], minlength=len(parts)) == 0
         keep = good[part]
         which, part = which[keep], part[keep]
         ids, ends, of, many = [], [], [], []
-        for k, width in ((0, self.size_a), (1, self.size_b)):
-            n = np.fromiter((len(f[k]) for f in found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(f[k] for f in found), np.int64, int(n.sum()))
-            each = n[which]
+        for k in (0, 1):
+            each = self.many[k][which]
             upto = np.cumsum(each)
-            ids.append(flat[np.repeat((np.cumsum(n) - n)[which] - upto + each, each) + np.arange(upto[-1] if len(upto) else 0)])
+            ids.append(self.flat[k][np.repeat(self.start[k][which] - upto + each, each) + np.arange(upto[-1] if len(upto) else 0)])
             of.append(np.repeat(part, each))
             many.append(np.bincount(of[k], minlength=len(parts)))
-            end = np.cumsum(width[ids[k]])
+            end = np.cumsum(self.widths[k][ids[k]])
             first = np.append(0, end)[np.cumsum(many[k]) - many[k]]
             ends.append(end + (begin - first)[of[k]])
         (a, b), (of_a, _), (n_a, n_b) = ids, of, many
