@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairloom.functions import match as M
+from pairloom.operators import ranks
 
 ACTIONS = ("viewed", "skipped", "generate_requested", "marked_applied", "outcome")
 REASONS = ("not_interested", "wrong_location", "wrong_comp", "wrong_seniority", "disagree_with_gate", "other")
@@ -155,18 +156,11 @@ def strip_users(events: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def limit_new_to_target(listing: DataFrame, known: DataFrame, target: int) -> DataFrame:
-    """New postings in board order until the corpus reaches ``target``. listing: url_hash, board_ord, pos. Duplicates don't count.
-
-    Ranks are per board plus the sum of the boards before, so no window runs over all rows.
-    """
+    """New postings in board order until the corpus reaches ``target``. listing: url_hash, board_ord, pos. Duplicates don't count."""
     first = listing.groupBy("url_hash").agg(F.min(F.struct("board_ord", "pos")).alias("at")).select("url_hash", "at.*")
-    new = first.join(known.select("url_hash").distinct(), "url_hash", "left_anti")
-    sizes = new.groupBy("board_ord").agg(F.count("*").alias("n"))  # a row per board
-    ahead = sizes.withColumn("ahead", F.sum("n").over(W.orderBy("board_ord").rowsBetween(W.unboundedPreceding, -1))).select("board_ord", F.coalesce("ahead", F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(W.partitionBy("board_ord").orderBy("pos"))
-    room = known.select("url_hash").distinct().agg((F.lit(target) - F.count("*")).alias("room"))
-    out = new.withColumn("rank", rank).join(F.broadcast(ahead), "board_ord").crossJoin(F.broadcast(room))
-    return out.where(F.col("rank") + F.col("ahead") <= F.col("room")).select("url_hash", "board_ord", "pos")
+    there = known.select("url_hash").distinct()
+    room = there.agg((F.lit(target) - F.count("*")).alias("room"))
+    return ranks.first_in_order(first.join(there, "url_hash", "left_anti"), ["board_ord", "pos", "url_hash"], room).select("url_hash", "board_ord", "pos")
 
 
 def new_postings(listing: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -205,17 +205,92 @@ def ensure_vectors(skills: DataFrame, model: str) -> DataFrame:
     return skills.crossJoin(F.broadcast(mixed)).select("skill_id", (F.col("mixed") | F.col("model").isNull()).alias("embed"))
 
 
-def sweep(scores: DataFrame, thresholds: list[float], margins: list[float], highs: list[float]) -> DataFrame:
-    """For every setting: true, false and missed links. scores: gold (bool), best, second. The grid is fixed; scores are read once."""
-    spark = scores.sparkSession
-    grid = spark.createDataFrame([(t, m, h) for t in thresholds for m in margins for h in highs if h >= t], "threshold double, margin double, high double")
-    said = (F.col("best") >= F.col("high")) | ((F.col("best") >= F.col("threshold")) & (F.col("best") - F.col("second") >= F.col("margin")))
-    small = scores.groupBy("gold", "best", "second").agg(F.count("*").alias("c"))
-    each = small.crossJoin(F.broadcast(grid)).withColumn("said", said)
-    return each.groupBy("threshold", "margin", "high").agg(
-        F.sum(F.when(F.col("said") & F.col("gold"), F.col("c")).otherwise(0)).alias("true_links"), F.sum(F.when(F.col("said") & ~F.col("gold"), F.col("c")).otherwise(0)).alias("false_links"),
-        F.sum(F.when(~F.col("said") & F.col("gold"), F.col("c")).otherwise(0)).alias("missed"),
-    )
+def steps(low: int, high: int) -> list[float]:
+    """The hundredths from ``low`` to ``high``."""
+    return [v / 100 for v in range(low, high + 1)]
+
+
+def sweep(scores: DataFrame, threshold: tuple[int, int] = (40, 95), margin: tuple[int, int] = (0, 20), high_max: int = 98) -> DataFrame:
+    """Links of every setting of the two-tier rule, the best setting first: threshold, margin, high, true_links, false_links, missed, safety, place.
+
+    scores: gold, best_id (nullable ids), best, second (null: nothing else is near). Ranges are in hundredths; high runs from each threshold to ``high_max``.
+    Safety is the smallest distance of a right decision (a true link, or no link where it would be a false one) from being decided otherwise, 0 without one.
+    Order: fewest false links, most true ones, largest safety; then threshold, margin and high. Without scores there are no settings.
+
+    Dominance counting: scores fall into cells of the grid (by best, by margin, by second) once, and a cell keeps its counts and its extreme scores, so
+    a table bounded by the grid is all that is left of the rows. The rows that a setting links are those that dominate one of two corners, so counts
+    are differences of cumulative sums and distances are cumulative extremes of the cells, looked up for all settings at once.
+    """
+    ship(scores.sparkSession)
+    bests, margins, seconds = steps(threshold[0], high_max), steps(*margin), steps(threshold[0] - margin[1], high_max - margin[0])
+
+    def cell(value: Column, grid: list[float]) -> Column:
+        """How many of the grid's values don't exceed the value."""
+        return F.size(F.filter(F.array(*map(F.lit, grid)), lambda g: g <= value))
+
+    best, second = F.col("best"), F.coalesce(F.col("second"), F.lit(float("-inf")))
+    right = F.coalesce(F.col("gold") == F.col("best_id"), F.lit(False))
+    rows = scores.select(best.alias("b"), (best - second).alias("m"), right.alias("right"), F.col("gold").isNotNull().alias("known"), cell(best, bests).alias("cb"), cell(best - second, margins).alias("cm"), cell(second, seconds).alias("cs"))
+    ends = [f("b" if c == "b" else "m").alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in "bm"]
+    cells = rows.groupBy("cb", "cm", "cs", "right").agg(F.count("*").alias("n"), F.count(F.when(F.col("known"), 1)).alias("known"), *ends)
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        shape = len(bests) + 1, len(margins) + 1, len(seconds) + 1
+        at = {side: pdf[pdf["right"] == side] for side in (True, False)}
+
+        def table(side: bool, column: str, empty: float):
+            out = np.full(shape, empty)
+            out[tuple(at[side][c].to_numpy() for c in ("cb", "cm", "cs"))] = at[side][column].to_numpy()
+            return out
+
+        def running(values, op, axes: str):
+            """Running sums or extremes over the cells; an axis marked > is taken from its end."""
+            for axis, way in enumerate(axes):
+                turned = np.flip(values, axis) if way == ">" else values
+                turned = op.accumulate(turned, axis)
+                values = np.flip(turned, axis) if way == ">" else turned
+            return values
+
+        t, m, h = (x.ravel() for x in np.meshgrid(np.arange(threshold[1] - threshold[0] + 1), np.arange(len(margins)), np.arange(len(bests)), indexing="ij"))
+        t, m, h = (x[h >= t] for x in (t, m, h))
+        vt, vm, vh = np.array(bests)[t], np.array(margins)[m], np.array(bests)[h]
+        # places in the tables: at or above the k-th value of the grid is cell k + 1 on; all seconds, or those below or above a difference of cut-offs
+        all_m, all_s = shape[1] - 1, shape[2] - 1
+
+        def linked(values, s, op):
+            """Over the rows linked: best at or above high, or at or above the threshold with the margin."""
+            return op(values[h + 1, 0 * m, s], values[t + 1, m + 1, s])
+
+        def refused(values, s, op):
+            """Over the others: best below the threshold, or below high without the margin."""
+            return op(values[t, 0 * m + all_m, s], values[h, m, s])
+
+        counts = {}
+        for side, column in ((True, "n"), (False, "n"), (False, "known"), (True, "known")):
+            up = running(table(side, column, 0.0), np.add, ">><")[:, :, all_s]
+            counts[side, column] = up[0, 0], up[h + 1, 0] + up[t + 1, m + 1] - up[h + 1, m + 1]
+        missed = sum(counts[side, "known"][0] - counts[side, "known"][1] for side in (True, False))
+        inf = np.inf
+        # a true link: min(best - threshold, max(best - high, margin - its cut-off)); the larger of the two is the first where second reaches high - margin
+        k = h - m + (margin[1] - margin[0])
+        near = linked(running(table(True, "low_b", inf), np.minimum, ">><"), all_s, np.minimum) - vt
+        above = linked(running(table(True, "low_b", inf), np.minimum, ">>>"), k + 1, np.minimum) - vh
+        below = linked(running(table(True, "low_m", inf), np.minimum, ">><"), k, np.minimum) - vm
+        safe = np.minimum(near, np.minimum(above, below))
+        # a refused false one: min(high - best, max(threshold - best, cut-off - margin)), the first where second lies below threshold - margin
+        k = t - m + (margin[1] - margin[0])
+        near = vh - refused(running(table(False, "high_b", -inf), np.maximum, "<<<"), all_s, np.maximum)
+        below = vt - refused(running(table(False, "high_b", -inf), np.maximum, "<<<"), k, np.maximum)
+        above = vm - refused(running(table(False, "high_m", -inf), np.maximum, "<<>"), k + 1, np.maximum)
+        safe = np.minimum(safe, np.minimum(near, np.minimum(below, above)))
+        out = pd.DataFrame({"threshold": vt, "margin": vm, "high": vh, "true_links": counts[True, "n"][1], "false_links": counts[False, "n"][1], "missed": missed, "safety": np.where(np.isfinite(safe), safe, 0.0).round(6)})
+        out["place"] = np.lexsort((vh, vm, vt, -out["safety"], -out["true_links"], out["false_links"])).argsort() + 1
+        return out
+
+    schema = "threshold double, margin double, high double, true_links long, false_links long, missed long, safety double, place long"
+    return cells.groupBy().applyInPandas(settle, schema)  # one group, of at most a row per cell
 
 
 def link_prf(spans: DataFrame) -> DataFrame:

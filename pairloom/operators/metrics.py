@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from pairloom.operators import ranks
 
 MODEL_STAGES = ("extract-job", "screen-job", "generate-resume", "verify-resume")
 USAGE = "prompt_tokens long, completion_tokens long, cost_usd double, latency_ms double"
@@ -34,18 +35,23 @@ def usage_by_stage(events: DataFrame, stages=MODEL_STAGES) -> DataFrame:
 
 
 def latency_by_stage(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """n, mean, p50, p95, max; a percentile is the value at index round-half-even(q (n - 1)).
+    """n, mean, p50, p95, max; a percentile is the value at index round-half-even(q (n - 1))."""
 
-    Values are counted first, so the window runs over distinct values with running counts.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    w = W.partitionBy(group)
-    run = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+    def place(q: float):
+        return lambda n: F.bround(F.lit(q) * (n - 1), 0)
+
+    known = rows.where(F.col(value).isNotNull())
+    sums = known.groupBy(F.col(group).alias("g")).agg(F.round(F.avg(value), 4).alias("mean"), F.max(value).alias("max"))
+    at = ranks.values_at(known, group, value, {"p50": place(0.5), "p95": place(0.95)})
+    return at.join(sums, F.col(group).eqNullSafe(F.col("g"))).select(group, "n", "mean", "p50", "p95", "max")
 
-    def pick(q: float) -> Column:
-        return F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("n") - 1), 0), F.col(value)))
 
-    return run.groupBy(group).agg(F.max("n").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.max("n"), 4).alias("mean"), pick(0.5).alias("p50"), pick(0.95).alias("p95"), F.max(value).alias("max"))
+def score_distribution(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """n, min, median, max of the known values per group; the median of an even number is the mean of the two in the middle."""
+    known = rows.where(F.col(value).isNotNull())
+    ends = known.groupBy(F.col(group).alias("g")).agg(F.min(value).alias("min"), F.max(value).alias("max"))
+    at = ranks.values_at(known, group, value, {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)})
+    return at.join(ends, F.col(group).eqNullSafe(F.col("g"))).select(group, "n", "min", ((F.col("low") + F.col("high")) / 2).alias("median"), "max")
 
 
 def distribution(rows: DataFrame, col: str, values: tuple[str, ...]) -> DataFrame:

@@ -102,9 +102,9 @@ def a13(t):
     return t.v_matches.groupBy("label").agg(F.round(F.avg(F.when(F.col("match_id") % 3 > 0, F.col("score"))), 6).alias("mean"))
 
 
-@query("a14_score_distribution", "SELECT label, count(*) AS n, min(score) AS min, median(score) AS median, max(score) AS max FROM {v_matches} GROUP BY label")
+@query("a14_score_distribution", "SELECT label, count(score) AS n, min(score) AS min, median(score) AS median, max(score) AS max FROM {v_matches} GROUP BY label")
 def a14(t):
-    return t.v_matches.groupBy("label").agg(F.count("*").alias("n"), F.min("score").alias("min"), F.percentile("score", 0.5).alias("median"), F.max("score").alias("max"))
+    return op.score_distribution(t.v_matches, "label", "score")
 
 
 @query("a15_filter_snapshot", "SELECT user_id, coalesce(array_to_string(title_families, '|'), '') AS families, coalesce(array_to_string(locations, '|'), '') AS locations, comp_floor FROM {v_users}")

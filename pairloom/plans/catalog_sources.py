@@ -167,17 +167,23 @@ def s15(t):
 _LANDED = f"(SELECT page_id, CASE WHEN page_id % 7 = 0 THEN ' ' ELSE html END AS raw_jd, page_id % 9 = 0 AS expired, {URL} AS canonical FROM pages)"
 
 
-@query("t10_posting_stream", f"""SELECT sha256(canonical) AS url_hash, CASE WHEN bool_or(page_id % 10 = 0) THEN 'again' ELSE 'first' END AS title, max(page_id) FILTER (WHERE page_id % 10 = 0 OR true) AS job_id
-FROM (SELECT *, max(CASE WHEN page_id % 10 = 0 THEN 1000000000 + page_id ELSE page_id END) OVER (PARTITION BY canonical) AS top FROM {_LANDED} l WHERE trim(raw_jd) <> '' AND NOT expired) x WHERE top % 1000000000 = page_id GROUP BY canonical""")
+@query("t10_posting_stream", f"""WITH l AS (SELECT *, page_id % 3 AS late, sha256(canonical) AS url_hash FROM {_LANDED} l WHERE trim(raw_jd) <> '' AND NOT expired),
+e AS (SELECT url_hash, page_id, 0 AS batch, page_id AS seq, 'first' AS title FROM l WHERE late < 2 UNION ALL SELECT url_hash, page_id, 1, page_id, 'again' FROM l WHERE late > 0 UNION ALL SELECT url_hash, page_id, 2, -page_id, 'third' FROM l WHERE page_id % 10 = 0)
+SELECT url_hash, arg_max(title, (batch, seq)) AS title, arg_max(page_id, (batch, seq)) AS job_id, CAST(DATE '2024-01-01' + CAST(arg_min(batch * 10 + page_id % 5, (batch, seq)) AS INT) AS VARCHAR) AS ingested_at FROM e GROUP BY url_hash""")
 def t10(t):
     rows = t.pages.select("page_id", "url", F.when(F.col("page_id") % 7 == 0, " ").otherwise(F.col("html")).alias("raw_jd"), (F.col("page_id") % 9 == 0).alias("expired"), F.lit(None).cast("string").alias("status"))
-    twice = F.when(F.col("page_id") % 10 == 0, F.array(F.lit("first"), F.lit("again"))).otherwise(F.array(F.lit("first")))
-    rows = rows.select("*", F.explode(twice).alias("title")).withColumn("seq", F.when(F.col("title") == "again", 1000000000).otherwise(0) + F.col("page_id"))
-    source, schema = streams.landed(rows, "postings")
     target, check = fresh_path(t.spark, "stream"), fresh_path(t.spark, "progress")
-    for _ in range(2):  # a second run over the same files changes nothing
-        streams.stream_postings(t.spark, source, schema, target, check)
-    return streams.current_postings(t.spark, target).select("url_hash", "title", F.col("page_id").alias("job_id"))
+    sent = ((rows.where("page_id % 3 < 2"), "first", F.col("page_id")), (rows.where("page_id % 3 > 0"), "again", F.col("page_id")), (rows.where("page_id % 10 = 0"), "third", -F.col("page_id")))
+    source = fresh_path(t.spark, "postings")
+    for number, (some, title, seq) in enumerate(sent):  # each delivery brings postings that are new and some that are known
+        day = F.date_add(F.lit("2024-01-01").cast("date"), (number * 10 + F.col("page_id") % 5).cast("int"))
+        landed = some.withColumns({"title": F.lit(title), "seq": seq, "ingested_at": day.cast("string")})
+        landed.write.mode("append").parquet(source)
+        for _ in range(2):  # a second run over the same files changes nothing
+            streams.stream_postings(t.spark, source, streams.columns_of(landed), target, check)
+    table = streams.postings_table(t.spark, target)
+    table.compact(2)
+    return streams.current_postings(t.spark, target).select("url_hash", "title", F.col("page_id").alias("job_id"), "ingested_at")
 
 
 @query("t11_live_percolation", f"SELECT u.user_id, count(*) AS pairs FROM {{v_jobs}} j, {{v_users}} u WHERE {ALL_FILTERS} GROUP BY u.user_id")
@@ -188,11 +194,23 @@ def t11(t):
     return t.spark.read.parquet(target).groupBy("user_id").agg(F.count("*").alias("pairs"))
 
 
-@query("t12_usage_stream", """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, stage, action, count(*) AS n, CAST(coalesce(sum(k) FILTER (WHERE value > 10), 0) AS BIGINT) AS prompt_tokens, round(coalesce(sum(round(value / 1000, 6)) FILTER (WHERE value > 10), 0), 4) AS cost
-FROM {v_events} GROUP BY 1, 2, 3""")
+_USED = "(SELECT *, CASE WHEN value > 10 THEN k END AS prompt, CASE WHEN value > 10 AND k % 3 > 0 THEN k % 11 END AS completion, CASE WHEN value > 10 THEN CAST(round(value / 1000, 6) AS DECIMAL(20, 6)) END AS usd, CAST(round(value * 7, 3) AS DECIMAL(20, 3)) AS ms FROM {v_events})"
+
+
+@query("t12_usage_stream", f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, stage, action, count(*) AS n, CAST(sum(prompt) AS BIGINT) AS prompt, CAST(sum(completion) AS BIGINT) AS completion, round(avg(prompt), 4) AS mean_prompt, CAST(CAST(sum(usd) AS DECIMAL(30, 8)) AS VARCHAR) AS cost,
+ round(CAST(sum(usd) AS DOUBLE) / count(usd), 8) AS mean_cost, CAST(min(usd) AS DOUBLE) AS min_cost, CAST(max(usd) AS DOUBLE) AS max_cost, round(CAST(sum(ms) AS DOUBLE) / count(ms), 4) AS mean_latency, CAST(max(ms) AS DOUBLE) AS max_latency FROM {_USED} e GROUP BY 1, 2, 3""")
 def t12(t):
-    usage = F.when(F.col("value") > 10, F.to_json(F.struct(F.col("k").alias("prompt_tokens"), F.round(F.col("value") / 1000, 6).alias("cost_usd"))))
-    source, schema = streams.landed(t.v_events.select("ts", "stage", "action", usage.alias("details")), "events")
-    target = fresh_path(t.spark, "usage")
-    streams.stream_usage(t.spark, source, schema, target, fresh_path(t.spark, "progress"))
-    return streams.current_usage(t.spark, target).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "stage", "action", "n", "prompt_tokens", F.round("cost", 4).alias("cost"))
+    usage = F.struct(
+        F.when(F.col("value") > 10, F.col("k")).alias("prompt_tokens"), F.when((F.col("value") > 10) & (F.col("k") % 3 > 0), F.col("k") % 11).alias("completion_tokens"),
+        F.when(F.col("value") > 10, F.round(F.col("value") / 1000, 6).cast("decimal(20,6)")).alias("cost_usd"), F.round(F.col("value") * 7, 3).cast("decimal(20,3)").alias("latency_ms"),
+    )
+    rows = t.v_events.select("event_id", "ts", "stage", "action", F.to_json(usage).alias("details"))
+    source, target, check = (fresh_path(t.spark, x) for x in ("events", "usage", "progress"))
+    for some in ("event_id % 3 = 2", "event_id % 3 = 0", "event_id % 3 = 1"):  # every delivery has rows of all days
+        landed = rows.where(some).drop("event_id")
+        landed.write.mode("append").parquet(source)
+        streams.stream_usage(t.spark, source, streams.columns_of(landed), target, check)
+    out = streams.current_usage(t.spark, target)
+    ends = [F.col(c).cast("double").alias(c) for c in ("min_cost", "max_cost", "max_latency")]
+    return out.select(F.col("day").cast("string").alias("day"), "stage", "action", "n", *[F.col(c).cast("long").alias(c) for c in ("prompt", "completion")], F.round("mean_prompt", 4).alias("mean_prompt"), F.col("cost").cast("string").alias("cost"),
+                      F.round("mean_cost", 8).alias("mean_cost"), *ends, F.round("mean_latency", 4).alias("mean_latency"))

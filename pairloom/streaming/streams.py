@@ -8,61 +8,95 @@ from pyspark.sql import functions as F
 from pairloom.functions import text as X
 from pairloom.operators import feed, matching
 from pairloom.plans.runtime import fresh_path
+from pairloom.streaming import parts
 
 
-def stream_postings(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> None:
-    """New files of postings (url, raw_jd, expired, status, seq, ...) as rows of a log: unusable ones dropped, keyed by the canonical
-    url's hash, last per key within the batch. A batch costs its own rows; ``current_postings`` gives the table. A batch that is
-    delivered again overwrites its own part."""
+def postings_table(spark: SparkSession, target: str) -> parts.Parts:
+    return parts.Parts(spark, target, ["url_hash"], parts.merge_first_and_last())
+
+
+def stream_postings(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keep: tuple[str, ...] = ("ingested_at",), files_a_batch: int = 1000) -> None:
+    """New files of postings (url, raw_jd, expired, status, seq, ...) into a table of parts keyed by the canonical url's hash: unusable rows dropped.
+
+    Columns in ``keep`` (those there are) stay as a posting first had them, so that a posting seen again is not a new one; all others take the value of the
+    last batch, within a batch the one with the highest ``seq``. A batch costs its own rows; a batch delivered again changes nothing.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         good = batch.where(X.route_postings() == "ok").withColumn("url_hash", X.url_hash(F.col("url")))
-        feed.last_of_batch(good, ["url_hash"], "seq").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/part={number}")
+        first = [c for c in keep if c in batch.columns] or ["url_hash"]
+        postings_table(spark, target).append(parts.first_and_last(good, number, "seq", ["url_hash"], first), number)
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def current_postings(spark: SparkSession, target: str) -> DataFrame:
-    """The last row per url_hash over all batches: a later batch wins, whatever its order inside."""
-    log = spark.read.parquet(target).drop("part")
-    rest = [c for c in log.columns if c not in ("url_hash", "batch")]
-    return log.groupBy("url_hash").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("url_hash", "r.*")
+    """A row per posting: url_hash, the columns it keeps, and the last state of the others."""
+    rows = postings_table(spark, target).read()
+    first = [c for c in rows.schema["first"].dataType.names if c != "url_hash"]
+    return rows.select("url_hash", *[f"first.{c}" for c in first], "last.*")
 
 
-def stream_percolate(spark: SparkSession, source: str, schema: str, users: DataFrame, target: str, checkpoint: str) -> None:
-    """New postings against the current filters: each batch is a small cycle, written under its number."""
+def stream_percolate(spark: SparkSession, source: str, schema: str, users: DataFrame, target: str, checkpoint: str, files_a_batch: int = 100) -> None:
+    """New postings against the current filters: each batch, of a bounded number of files, is a small cycle, written under its number."""
     def apply(batch: DataFrame, number: int) -> None:
         matching.filter_pairs(batch, users).write.mode("overwrite").parquet(f"{target}/cycle={number}")
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_usage(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> None:
-    """Counts, tokens and costs per day, stage and action, kept current: each batch writes the groups it changed, under its number,
-    the open day included. State older than an hour behind the newest event is dropped. ``current_usage`` gives the table."""
+def usage_table(spark: SparkSession, target: str) -> parts.Parts:
+    """Partial aggregates of usage per day, stage and action: counts, sums (of decimals, so that no order of adding shows), least and largest."""
+    sums = ("n", "prompt_n", "prompt_sum", "completion_n", "completion_sum", "cost_n", "cost_sum", "latency_n", "latency_sum")
+    merge = [F.sum(c).cast(COST if c.endswith("_sum") else "long").alias(c) for c in sums]
+    merge += [f(c).alias(c) for f, kind in ((F.min, "min"), (F.max, "max")) for c in (f"cost_{kind}", f"latency_{kind}")]
+    return parts.Parts(spark, target, ["day", "stage", "action"], merge)
+
+
+COST = "decimal(38,8)"
+
+
+def usage_rows(events: DataFrame) -> DataFrame:
+    """Each event as a row of ``usage_table``."""
+    d = events.withColumn("d", F.from_json("details", f"prompt_tokens long, completion_tokens long, cost_usd {COST}, latency_ms {COST}"))
+    value = {"prompt": "d.prompt_tokens", "completion": "d.completion_tokens", "cost": "d.cost_usd", "latency": "d.latency_ms"}
+    known = [F.col(c).isNotNull().cast("long").alias(f"{k}_n") for k, c in value.items()]
+    sums = [F.coalesce(F.col(c).cast(COST), F.lit(0).cast(COST)).alias(f"{k}_sum") for k, c in value.items()]
+    ends = [F.col(value[k]).alias(f"{k}_{e}") for k in ("cost", "latency") for e in ("min", "max")]
+    return d.select(F.col("ts").cast("date").alias("day"), "stage", "action", F.lit(1).cast("long").alias("n"), *known, *sums, *ends)
+
+
+def stream_usage(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, files_a_batch: int = 1000) -> None:
+    """Usage per day, stage and action, kept current: a batch appends the partial aggregates of its own rows, whatever days they are of, so rows
+    however late count. ``current_usage`` merges them."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/part={number}")
+        usage_table(spark, target).append(usage_rows(batch), number)
 
-    events = spark.readStream.schema(schema).parquet(source).withColumn("at", F.col("ts").cast("timestamp"))
-    used = events.withColumn("d", F.from_json("details", "prompt_tokens long, cost_usd double"))
-    sums = used.withWatermark("at", "1 hour").groupBy(F.window("at", "1 day"), "stage", "action").agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("d.prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("d.cost_usd"), F.lit(0.0)).alias("cost")
-    )
-    flat = sums.select(F.col("window.start").alias("day"), "stage", "action", "n", "prompt_tokens", "cost")
-    flat.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def current_usage(spark: SparkSession, target: str) -> DataFrame:
-    """The last state of each day, stage and action."""
-    log = spark.read.parquet(target).drop("part")
-    return log.groupBy("day", "stage", "action").agg(F.max_by(F.struct("n", "prompt_tokens", "cost"), "batch").alias("r")).select("day", "stage", "action", "r.*")
+    """Per day, stage and action: n; sums, means, least and largest of tokens, costs and latencies, null where no row has a value."""
+    rows = usage_table(spark, target).read()
+    out = {}
+    for k in ("prompt", "completion", "cost", "latency"):
+        known, total = F.col(f"{k}_n"), F.col(f"{k}_sum")
+        out |= {k: F.when(known > 0, total), f"mean_{k}": F.when(known > 0, total.cast("double") / known)}
+    ends = [F.col(f"{k}_{e}").alias(f"{e}_{k}") for k in ("cost", "latency") for e in ("min", "max")]
+    return rows.select("day", "stage", "action", "n", *[c.alias(k) for k, c in out.items()], *ends)
 
 
 def landed(df: DataFrame, tag: str) -> tuple[str, str]:
     """``df`` as files of a source folder, and its schema."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return path, columns_of(df)
+
+
+def columns_of(df: DataFrame) -> str:
+    """The schema as a stream's source takes it."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
