@@ -14,14 +14,11 @@ from pairloom.functions import match as M
 from pairloom.plans.runtime import saved, ship
 
 BLOCK = 1024  # rows of a block
-BLOCKS_A_TASK = 4  # blocks of either side that one task gets
-
-
-def _blocks(rows: DataFrame, ident: str, name: str) -> DataFrame:
-    """Rows as arrays of about ``BLOCK``, dealt by hash of the id, so that no filter value makes a block large."""
-    n = max(1, math.ceil(rows.count() / BLOCK))
-    dealt = rows.select(F.pmod(F.xxhash64(ident), F.lit(n)).alias("b"), F.struct(*rows.columns).alias("r")).repartition(math.ceil(n / BLOCKS_A_TASK), "b")
-    return dealt.groupBy("b").agg(F.collect_list("r").alias(name)).select(name)
+TILE = 3  # blocks of either side that meet in one step of the join
+PAIRS_A_TASK = 1 << 22
+MOST_TOKENS = 10_000  # of users' places or title families that are looked for at once
+#: Filters on values: name -> (column of users, a list; column of jobs).
+LISTS = {"place": ("places", "place"), "title": ("families", "title"), "arrangement": ("arrangements", "arrangement"), "seniority": ("band", "seniority")}
 
 
 def _fits(tokens: list[str], texts: list[str], like: bool):
@@ -58,24 +55,30 @@ def _codes(values: list[str | None]):
     return list(known), np.array([known.get(v, 0) for v in values], np.int64), np.array([v is None for v in values], bool)
 
 
-def _passes(users, jobs):
-    """users x jobs: the pair passes all filters. Strings are compared once per distinct value of the two blocks."""
+def _passes(users, jobs, attrs=tuple(LISTS)):
+    """users x jobs: the pair passes the filters, and under no earlier token of its key. Strings are compared once per distinct value of the two blocks."""
     import numpy as np
 
-    def any_of(wanted: str, given: str, fits):
-        values, hot, free = _sets(users.field(wanted).to_pylist())
-        texts, code, null = _codes(jobs.field(given).to_pylist())
+    def any_of(lists: list, attr: str):
+        values, hot, _ = _sets(lists)
+        texts, code, null = _codes(jobs.field(LISTS[attr][1]).to_pylist())
         if not values or not texts:
-            return free[:, None] | null
-        return free[:, None] | null | ((hot @ fits(values, texts).astype(np.float32)) > 0)[:, code]
-
-    def equal(values, texts):
-        return np.array(values, object)[:, None] == np.array(texts, object)
+            return np.zeros((len(lists), len(code)), bool), null
+        fits = np.array(values, object)[:, None] == np.array(texts, object) if attr in ("arrangement", "seniority") else _fits(values, texts, attr == "title")
+        return ((hot @ fits.astype(np.float32)) > 0)[:, code] & ~null, null
 
-    ok = any_of("places", "place", lambda a, b: _fits(a, b, False)) & any_of("families", "title", lambda a, b: _fits(a, b, True))
-    ok &= any_of("arrangements", "arrangement", equal) & any_of("band", "seniority", equal)
     floor, least = (np.array(x.to_pylist(), np.float64) for x in (users.field("comp_floor"), jobs.field("comp_min")))
-    return ok & (np.isnan(floor)[:, None] | np.isnan(least) | (least >= floor[:, None]))
+    ok = np.isnan(floor)[:, None] | np.isnan(least) | (least >= floor[:, None])
+    for attr in attrs:
+        wanted = LISTS[attr][0]
+        asked = np.array([bool(x) for x in users.field(f"{wanted}_asked").to_pylist()], bool)
+        fits, null = any_of(users.field(wanted).to_pylist(), attr)
+        ok &= ~asked[:, None] | null | fits
+    at, earlier = users.field("at").to_pylist(), users.field("earlier").to_pylist()
+    for attr in ("place", "title"):  # only these can fit several tokens
+        if attr in attrs and attr in at:
+            ok &= ~any_of([x if a == attr else None for a, x in zip(at, earlier, strict=True)], attr)[0]
+    return ok
 
 
 def _vectors(rows):
@@ -123,24 +126,133 @@ def _best(users, jobs_ids, at, score, top_n: int):
     return order[place < top_n]
 
 
+def _slim_users(users: DataFrame, more: list[str]) -> DataFrame:
+    first = F.transform("title_families", lambda v: F.lower(F.split_part(F.replace(v, F.lit("/"), F.lit(" ")), F.lit(" "), F.lit(1))))
+    band = F.when(F.col("seniority_band") != "", F.split(F.lower("seniority_band"), ","))
+    lists = {"places": F.transform("locations", F.lower), "families": first, "arrangements": F.col("work_arrangement"), "band": band}
+    return users.select("user_id", *[F.array_distinct(F.filter(c, lambda v: v.isNotNull())).alias(n) for n, c in lists.items()], *[(F.size(c) > 0).alias(f"{n}_asked") for n, c in lists.items()], "comp_floor", *more)
+
+
+def _slim_jobs(jobs: DataFrame, more: list[str]) -> DataFrame:
+    return jobs.select("job_id", F.lower("location").alias("place"), F.lower("title").alias("title"), F.col("work_arrangement").alias("arrangement"), F.lower("seniority").alias("seniority"), "comp_min", *more)
+
+
+def _mask(token: Column) -> Column:
+    """One of 63 bits for a token."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(token), F.lit(63)).cast("int"))
+
+
+def _fitting(tokens: DataFrame, values: DataFrame) -> DataFrame:
+    """attr, value, token of all tokens that a value passes; tables of distinct tokens and distinct values."""
+    same = values.where(F.col("attr").isin("arrangement", "seniority")).join(tokens, "attr").where(F.col("value") == F.col("token")).select("attr", "value", "token")
+    texts = tokens.where(F.col("attr").isin("place", "title"))
+    slices = max(1, math.ceil(texts.count() / MOST_TOKENS))
+    for k in range(slices):
+        some: dict[str, list[str]] = {"place": [], "title": []}
+        for r in texts.where(F.pmod(F.xxhash64("token"), F.lit(slices)) == k).collect():  # about MOST_TOKENS
+            some[r["attr"]].append(r["token"])
+
+        def run(batches, some=some):
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                attrs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
+                for attr, wanted in some.items():
+                    mine = np.flatnonzero(attrs == attr)
+                    for part in np.array_split(mine, -(-len(mine) // 512)) if len(mine) and wanted else []:
+                        here = [texts[x] for x in part]
+                        token, text = np.nonzero(_fits(wanted, here, attr == "title"))
+                        yield pa.RecordBatch.from_arrays([pa.array([attr] * len(token), pa.string()), pa.array([here[x] for x in text], pa.string()), pa.array([wanted[x] for x in token], pa.string())], names=["attr", "value", "token"])
+
+        same = same.unionByName(values.where(F.col("attr").isin("place", "title") & F.col("value").isNotNull()).select("attr", "value").mapInArrow(run, "attr string, value string, token string"))
+    return same
+
+
+def _key(attr: Column, token: Column | None = None) -> Column:
+    return attr if token is None else F.concat(attr, F.lit("="), token)
+
+
+def _in_blocks(rows: DataFrame, ident: str, like: list[str]) -> DataFrame:
+    """rows (key, ...) with ``block``: about BLOCK rows of a key, those alike in ``like`` next to each other.
+
+    Counts of at most 256 kinds per key, added up, say where a kind begins; a row's place in its kind is its hash. So no key is ever held together.
+    """
+    kind = rows.withColumn("kind", F.pmod(F.xxhash64(*like), F.lit(256)))
+    counts = kind.groupBy("key", "kind").agg(F.count("*").alias("c"))
+    starts = counts.withColumn("before", F.sum("c").over(W.partitionBy("key").orderBy("kind")) - F.col("c"))
+    return kind.join(starts, ["key", "kind"]).withColumn("block", F.floor((F.col("before") + F.pmod(F.xxhash64(ident), F.col("c"))) / BLOCK)).drop("kind", "before", "c")
+
+
+def block_pairs(u: DataFrame, j: DataFrame, attrs: tuple[str, ...] = tuple(LISTS)) -> DataFrame:
+    """u, j: blocks of users and of jobs (arrays of rows) that meet because they share a key; every pair that can pass meets in exactly one.
+
+    An inverted index of filter values: a user is filed under the tokens of one filter only, the one that lets the fewest jobs through, and under "no value" of
+    it; a job under all tokens that its values fit. A job that fits several tokens of a user counts for the first (``earlier`` has those before). Users who
+    ask for nothing are filed under one key for all. Common keys are cut in tiles of blocks that meet in tasks of their own, and blocks whose summaries
+    (bits of tokens, largest pay against least floor) can't pass are not paired.
+    """
+    each = [F.struct(F.lit(a).alias("attr"), F.col(LISTS[a][1]).alias("value")) for a in attrs]
+    facts = j.select("job_id", F.explode(F.array(*each)).alias("x")).select("job_id", "x.*")
+    values = saved(facts.groupBy("attr", "value").agg(F.count("*").alias("n")), "values")
+    asks = [F.struct(F.lit(a).alias("attr"), F.col(LISTS[a][0]).alias("tokens")) for a in attrs]
+    asked = u.select("user_id", F.explode(F.filter(F.array(*asks), lambda x: F.size(x["tokens"]) > 0)).alias("x")).select("user_id", "x.*")
+    lists = asked.select("attr", "tokens").distinct()
+    tokens = lists.select("attr", F.explode("tokens").alias("token")).distinct()
+    fits = saved(_fitting(tokens, values), "fits")
+    # the filter that lets the fewest jobs through
+    weight = fits.join(values, ["attr", "value"]).groupBy("attr", "token").agg(F.sum("n").alias("n"))
+    free = values.where("value is null").select("attr", F.col("n").alias("free"))
+    cost = lists.select("attr", "tokens", F.explode("tokens").alias("token")).join(weight, ["attr", "token"], "left").groupBy("attr", "tokens").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    cost = cost.join(F.broadcast(free), "attr", "left").select("attr", "tokens", (F.col("n") + F.coalesce("free", F.lit(0))).alias("cost"))
+    access = asked.join(cost, ["attr", "tokens"]).groupBy("user_id").agg(F.min(F.struct("cost", "attr", "tokens")).alias("a"))
+    a, t = F.col("a.attr"), F.col("a.tokens")
+    none = F.array().cast("array<string>")
+    filed = F.concat(F.transform(t, lambda v, k: F.struct(_key(a, v).alias("key"), F.slice(t, 1, k).alias("earlier"))), F.array(F.struct(_key(a).alias("key"), none.alias("earlier"))))
+    keyed = u.select("user_id").join(access, "user_id", "left").withColumn("at", F.coalesce(a, F.lit("all"))).withColumn("k", F.explode(F.coalesce(filed, F.array(F.struct(F.lit("all").alias("key"), none.alias("earlier"))))))
+    keyed = keyed.select("user_id", F.col("k.key").alias("key"), "at", F.col("k.earlier").alias("earlier"))
+    # what a job is filed under, and the bits of what it fits
+    whole = F.lit(-1).cast("long")
+    by_value = fits.groupBy("attr", "value").agg(F.collect_list("token").alias("tokens"), F.bit_or(_mask(F.col("token"))).alias("bits"))
+    known = facts.join(by_value, ["attr", "value"], "left")
+    keys = F.when(F.col("value").isNull(), F.array(_key(F.col("attr")))).otherwise(F.transform(F.coalesce("tokens", none), lambda v: _key(F.col("attr"), v)))
+    bits = F.when(F.col("value").isNull(), whole).otherwise(F.coalesce("bits", F.lit(0).cast("long")).bitwiseOR(F.lit(-(1 << 63))))  # the last bit meets users who ask for nothing
+    filed = known.groupBy("job_id").agg(F.concat(F.flatten(F.collect_list(keys)), F.array(F.lit("all"))).alias("keys"), *[F.max(F.when(F.col("attr") == x, bits)).alias(f"bits_{x}") for x in attrs])
+    keyed, jobs_keyed = saved(keyed, "user-keys"), saved(filed.withColumn("key", F.explode("keys")).drop("keys"), "job-keys")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("nu")).join(jobs_keyed.groupBy("key").agg(F.count("*").alias("nj")), "key")
+    sizes = saved(sizes.select("key", F.ceil(F.col("nu") / (BLOCK * TILE)).alias("su"), F.ceil(F.col("nj") / (BLOCK * TILE)).alias("sj"), (F.col("nu") * F.col("nj")).alias("pairs")), "sizes")
+    total = sizes.agg(F.sum("pairs").alias("n")).first()["n"] or 0
+    tasks = int(max(4 * u.sparkSession.sparkContext.defaultParallelism, math.ceil(total / PAIRS_A_TASK)))
+    sizes = sizes.drop("pairs")
+    keyed, jobs_keyed = (x.join(sizes.select("key"), "key").join(rows, ident) for x, rows, ident in ((keyed, u, "user_id"), (jobs_keyed, j, "job_id")))
+    user_bits = [F.when(F.size(LISTS[x][0]) > 0, F.aggregate(LISTS[x][0], F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(_mask(v)))).otherwise(whole).alias(f"bits_{x}") for x in attrs]
+    inf = F.lit(float("inf"))
+    row_u, row_j = F.struct("at", "earlier", *u.columns), F.struct(*j.columns)
+    ub = _in_blocks(keyed.select("*", *user_bits), "user_id", ["arrangements", "band"]).groupBy("key", "block").agg(
+        F.collect_list(row_u).alias("u"), F.min(F.coalesce(F.col("comp_floor").cast("double"), -inf)).alias("floor"), *[F.bit_or(f"bits_{x}").alias(f"u_{x}") for x in attrs])
+    jb = _in_blocks(jobs_keyed, "job_id", ["arrangement", "seniority"]).groupBy("key", "block").agg(
+        F.collect_list(row_j).alias("j"), F.max(F.coalesce(F.col("comp_min").cast("double"), inf)).alias("pay"), *[F.bit_or(f"bits_{x}").alias(f"j_{x}") for x in attrs])
+    tile = F.floor(F.col("block") / TILE)
+    ub = ub.join(sizes, "key").withColumn("tu", F.least(tile, F.col("su") - 1)).withColumn("tj", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sj") - 1))).drop("su", "sj", "block")
+    jb = jb.join(sizes, "key").withColumn("tj", F.least(tile, F.col("sj") - 1)).withColumn("tu", F.explode(F.sequence(F.lit(0).cast("long"), F.col("su") - 1))).drop("su", "sj", "block")
+    on = ["key", "tu", "tj"]
+    met = ub.repartition(tasks, *on).join(jb.repartition(tasks, *on).hint("shuffle_hash"), on).where(F.col("floor") <= F.col("pay"))
+    for x in attrs:
+        met = met.where(F.col(f"u_{x}").bitwiseAND(F.col(f"j_{x}")) != 0)
+    return met.select("u", "j")
+
+
 def _pairs(jobs: DataFrame, users: DataFrame, keep: tuple[str, ...], *, similarity: bool = False, top_n: int | None = None, scores: bool = False) -> DataFrame:
     """user_id, job_id, ``keep`` and the measures asked for, of all pairs that pass the filters.
 
-    Blocks of users meet blocks of jobs; a pair of blocks is one step in numpy: filters on distinct values, similarity as a
-    matrix product, skills as one of multi-hot rows. Only pairs that pass become rows, and with ``top_n`` only the best of each user
-    and block. Blocks are dealt by hash, so common filter values (or none) make no hot key, and every task has as much to do.
+    Blocks of users meet blocks of jobs that they share a key with (see ``block_pairs``); a pair of blocks is one step in numpy: filters on distinct
+    values, similarity as a matrix product, skills as one of multi-hot rows. Only pairs that pass become rows, and with ``top_n`` only the best of
+    each user and block.
     """
     ship(jobs.sparkSession)
-    first = F.transform("title_families", lambda v: F.lower(F.split_part(F.replace(v, F.lit("/"), F.lit(" ")), F.lit(" "), F.lit(1))))
     more = (["embedding"] if similarity or scores else []) + (["skill_ids"] if scores else [])
-    u = users.select(
-        "user_id", F.transform("locations", F.lower).alias("places"), first.alias("families"), F.col("work_arrangement").alias("arrangements"),
-        F.when(F.col("seniority_band") != "", F.split(F.lower("seniority_band"), ",")).alias("band"), "comp_floor", *more, *[c for c in keep if c in users.columns],
-    )
-    j = jobs.select(
-        "job_id", F.lower("location").alias("place"), F.lower("title").alias("title"), F.col("work_arrangement").alias("arrangement"), F.lower("seniority").alias("seniority"),
-        "comp_min", *more, *[c for c in keep if c in jobs.columns],
-    )
+    u = saved(_slim_users(users, [*more, *[c for c in keep if c in users.columns]]), "slim")
+    j = saved(_slim_jobs(jobs, [*more, *[c for c in keep if c in jobs.columns]]), "slim")
     names = ["user_id", "job_id", *keep]
     kinds = {f.name: f.dataType for f in [*jobs.schema, *users.schema]}
     measures = (["similarity"] if similarity or scores else []) + (["jaccard", "score"] if scores else [])
@@ -171,7 +283,41 @@ def _pairs(jobs: DataFrame, users: DataFrame, keep: tuple[str, ...], *, similari
                 columns += [pa.array(values[c], mask=np.isnan(values[c])) for c in measures]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *measures])
 
-    return _blocks(u, "user_id", "u").crossJoin(_blocks(j, "job_id", "j")).mapInArrow(run, schema)
+    return block_pairs(u, j).mapInArrow(run, schema)
+
+
+def survivors_by(jobs: DataFrame, users: DataFrame, attr: str) -> DataFrame:
+    """value, survivors: how many pairs pass all filters but ``attr``'s, by the job's value of it.
+
+    Whatever is then asked of ``attr`` (see ``scenario_counts``) is asked of its distinct values, not of pairs.
+    """
+    ship(jobs.sparkSession)
+    rest = tuple(a for a in LISTS if a != attr)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                user, job = (batch.column(x)[k].values for x in range(2))
+                each = _passes(user, job, rest).sum(0)
+                values, code, null = _codes(job.field(LISTS[attr][1]).to_pylist())
+                counts = np.bincount(np.where(null, len(values), code), weights=each, minlength=len(values) + 1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([*values, None], pa.string()), pa.array(counts)], names=["value", "n"])
+
+    met = block_pairs(saved(_slim_users(users, []), "slim"), saved(_slim_jobs(jobs, []), "slim"), rest)
+    return met.mapInArrow(run, "value string, n long").groupBy("value").agg(F.sum("n").alias("survivors")).where("survivors > 0")
+
+
+def scenario_counts(jobs: DataFrame, users: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """scenario, survivors: pairs that pass if every user asked for the scenario's ``places`` instead of the own ones.
+
+    The other filters are evaluated once, however many scenarios there are.
+    """
+    by = survivors_by(jobs, users, "place")
+    fits = by.crossJoin(F.broadcast(scenarios.select("scenario", "places"))).where(M.p_location(F.col("places"), F.col("value")))  # distinct locations x scenarios
+    return scenarios.select("scenario").join(fits.groupBy("scenario").agg(F.sum("survivors").alias("n")), "scenario", "left").select("scenario", F.coalesce("n", F.lit(0)).alias("survivors"))
 
 
 def filter_pairs(jobs: DataFrame, users: DataFrame, *, since: Column | None = None, as_of: Column | None = None, keep: tuple[str, ...] = (), similarity: bool = False) -> DataFrame:

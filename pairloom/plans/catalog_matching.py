@@ -70,8 +70,7 @@ SELECT s.scenario, count(*) AS survivors FROM s, {{v_jobs}} j, (SELECT user_id,
     " WHERE user_id % 10 = 0", ""))
 def j13(t):
     scenarios = t.spark.sql("select 'none' scenario, cast(null as array<string>) places union all select 'brand1', array('brand#1') union all select 'two', array('Brand#2', 'brand#31')")
-    users = t.v_users.drop("locations").crossJoin(F.broadcast(scenarios)).withColumnRenamed("places", "locations")
-    return op.filter_pairs(t.v_jobs, users, keep=("scenario",)).groupBy("scenario").agg(F.count("*").alias("survivors"))
+    return op.scenario_counts(t.v_jobs, t.v_users, scenarios)
 
 
 _SCORED = f"""WITH p AS (SELECT u.user_id, j.job_id, round(list_inner_product(j.embedding::DOUBLE[], u.embedding::DOUBLE[]), 6) AS sim,

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -97,3 +98,56 @@ def test_parts_in_any_order(spark, tmp_path):
         table.vacuum()
         assert {x.k: (x["first"].day, x["last"].title) for x in table.read().collect()} == expected
         assert not table.append(table.read(), 2)
+
+
+def passes(user, job):
+    _, places, families, arrangements, band, floor = user
+    _, place, title, arrangement, seniority, pay = job
+    like = lambda v: "".join({"%": ".*", "_": "."}.get(c) or re.escape(c) for c in v)
+    first = [v.replace("/", " ").split(" ")[0].lower() for v in families or () if v is not None]
+    return (
+        (not places or place is None or any(v is not None and (v.lower() in place.lower() or place.lower() in v.lower()) for v in places))
+        and (not families or title is None or any(re.search(like(v), title.lower(), re.S) for v in first))
+        and (not arrangements or arrangement is None or arrangement in arrangements)
+        and (not band or seniority is None or seniority.lower() in band.lower().split(","))
+        and (floor is None or pay is None or pay >= floor)
+    )
+
+
+def test_filter_pairs_by_index(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pairloom.operators import matching
+
+    monkeypatch.setattr(matching, "BLOCK", 16)
+    monkeypatch.setattr(matching, "TILE", 2)
+    monkeypatch.setattr(matching, "MOST_TOKENS", 5)
+    r = random.Random(11)
+    maybe = lambda v: r.choice((v, v, v, None))
+    some = lambda values: maybe([r.choice(values) for _ in range(r.randint(0, 3))])
+    places, titles = ["Oslo", "Oslo, Norway", "oslo", "York", "New York", "Rome", None], ["data", "data engineer", "Head/of data", "ML_x lead", "50% lead", "cook", None]
+    users = [(k, some(places), some(titles), some(["remote", "hybrid", "onsite"]), maybe(r.choice(("", "junior,Mid", "senior", "mid"))), maybe(r.randint(50, 150))) for k in range(150)] + [(200 + k, None, None, None, None, None) for k in range(40)]
+    jobs = [(k, r.choice(places), r.choice(titles), r.choice(("remote", "hybrid", "onsite", None)), r.choice(("Junior", "mid", "senior", None)), maybe(r.randint(50, 150))) for k in range(200)] + [(300 + k, "Rome", "cook", "onsite", "mid", 60) for k in range(90)]
+    u = spark.createDataFrame(users, "user_id long, locations array<string>, title_families array<string>, work_arrangement array<string>, seniority_band string, comp_floor int")
+    j = spark.createDataFrame(jobs, "job_id long, location string, title string, work_arrangement string, seniority string, comp_min int").withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    expected = sorted((x[0], y[0]) for x in users for y in jobs if passes(x, y))
+    assert sorted(map(tuple, matching.filter_pairs(j, u).collect())) == expected
+    scenarios = [("none", None), ("oslo", ["oslo"]), ("two", ["york", None, "Rome"]), ("nowhere", ["x"])]
+    got = {x.scenario: x.survivors for x in matching.scenario_counts(j, u, spark.createDataFrame(scenarios, "scenario string, places array<string>")).collect()}
+    assert got == {name: sum(passes((x[0], p, *x[2:]), y) for x in users for y in jobs) for name, p in scenarios}
+    assert matching.filter_pairs(j.limit(0), u).count() == matching.filter_pairs(j, u.limit(0)).count() == 0
+
+
+def test_index_looks_at_few_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from pairloom.operators import matching
+
+    users = spark.range(4000).select(F.col("id").alias("user_id"), F.array(F.concat(F.lit("town "), F.col("id") % 100, F.lit("!"))).alias("locations"), F.array(F.lit("cook")).alias("title_families"),
+                                     F.lit(None).cast("array<string>").alias("work_arrangement"), F.lit("").alias("seniority_band"), F.lit(1).alias("comp_floor"))
+    jobs = spark.range(8000).select(F.col("id").alias("job_id"), F.concat(F.lit("in town "), F.col("id") % 100, F.lit("!")).alias("location"), F.lit("Cook").alias("title"), F.lit("remote").alias("work_arrangement"), F.lit("mid").alias("seniority"), F.lit(5).alias("comp_min"))
+    matching.ship(spark)
+    met = matching.block_pairs(matching._slim_users(users, []), matching._slim_jobs(jobs, []))
+    looked = met.agg(F.sum(F.size("u") * F.size("j")).alias("n")).first()["n"]
+    survivors = matching.filter_pairs(jobs, users).count()
+    assert survivors == 4000 * 80 and looked <= 2 * survivors
