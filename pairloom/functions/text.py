@@ -143,6 +143,53 @@ def comp_bounds(text: Column) -> Column:
     return F.struct(bound(1).alias("low"), bound(2).alias("high"))
 
 
+def comp_of(value: Column) -> Column:
+    """Struct (low, high) of a variant: a text's range, a number as both, of an object min, minValue or low and max, maxValue or high.
+
+    Of an object's names the first counts that holds something (not null, zero, false or empty). Amounts are cut to whole ones; what is no number gives null.
+    """
+
+    def at(x: Column, path: str, kind: str) -> Column:
+        return F.try_variant_get(x, path, kind)
+
+    def holds(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        return x.isNotNull() & (kind != "VOID") & (at(x, "$", "string") != "") & ((kind == "STRING") | F.coalesce(at(x, "$", "double") != 0, F.lit(True)))
+
+    def amount(*names: str) -> Column:
+        first = F.get(F.filter(F.array(*[at(value, f"$.{n}", "variant") for n in names]), holds), F.lit(0))
+        return at(first, "$", "string").try_cast("double").try_cast("long")
+
+    kind = F.schema_of_variant(value)
+    text = comp_bounds(at(value, "$", "string"))
+    number = at(value, "$", "double").try_cast("long")
+    none = F.lit(None).cast("long")
+
+    def end(name: str, *names: str) -> Column:
+        return F.when(kind.startswith("OBJECT"), amount(*names)).when(kind == "STRING", text[name]).when(kind.startswith("ARRAY"), none).otherwise(number).alias(name)
+
+    return F.struct(end("low", "min", "minValue", "low"), end("high", "max", "maxValue", "high"))
+
+
+def title_families(titles: Column) -> Column:
+    """The distinct families of an array of titles, in the order they first come; null titles and those without a family have none."""
+    return F.array_distinct(F.filter(F.transform(titles, title_family), lambda v: v.isNotNull()))
+
+
+ARRANGEMENTS = ("remote", "hybrid", "onsite")
+
+
+def default_filters(titles: Column, families: Column, locations: Column, arrangements: Column, seniority: Column, comp_floor: Column) -> Column:
+    """Struct of a profile's first filters: the families given or else those of the titles, places, floor, the band that the seniority widens to,
+    and the arrangements given or else all. Empty lists of families and places are null, an empty seniority gives no band."""
+    some = lambda c: F.when(F.size(c) > 0, c)
+    every = F.array(*map(F.lit, ARRANGEMENTS))
+    return F.struct(
+        F.coalesce(some(families), some(title_families(titles))).alias("title_families"), some(locations).alias("locations"), comp_floor.alias("comp_floor"),
+        F.when(seniority != "", seniority_band(seniority)).alias("seniority_band"), F.coalesce(some(arrangements), every).alias("work_arrangement"),
+    )
+
+
 def parse_ts(text: Column) -> Column:
     """ISO text with Z, an offset or none (then UTC), or epoch milliseconds; null if neither. The session's zone is UTC."""
     millis = F.when(text.rlike(r"^\d{11,}$"), F.timestamp_millis(F.try_to_number(text, F.lit("9" * 18)).cast("long")))

@@ -133,6 +133,14 @@ def resolve_labels(rows: DataFrame, key: str, ids: str, labels: DataFrame) -> Da
     return each.groupBy(key).agg(F.transform(pairs, lambda s: s["v"]).alias("labels"))
 
 
+def profile_bundle(users: DataFrame, profile_skills: DataFrame, labels: DataFrame) -> DataFrame:
+    """Users with ``skills``: the profile's skills in order, each with its label (the id where there is none); empty without a profile."""
+    some = resolve_labels(profile_skills, "user_id", "skill_ids", labels).join(profile_skills.select("user_id", "skill_ids"), "user_id")
+    pairs = F.transform(F.arrays_zip(F.col("skill_ids"), F.col("labels")), lambda p: F.struct(p["skill_ids"].alias("skill_id"), p["labels"].alias("label")))
+    out = users.join(some.select("user_id", pairs.alias("skills")), "user_id", "left")
+    return out.withColumn("skills", F.coalesce("skills", F.array().cast("array<struct<skill_id:string,label:string>>")))
+
+
 def upsert(target: DataFrame, incoming: DataFrame, key: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``incoming`` (one per key) replace those of ``target``; columns in ``keep`` stay as first written."""
     t, i = target.select(*target.columns, F.lit(True).alias("in_t")), incoming.select(*incoming.columns, F.lit(True).alias("in_i"))
@@ -169,12 +177,31 @@ def new_postings(listing: DataFrame, jobs: DataFrame) -> DataFrame:
     return seen.groupBy("board").agg(F.count("*").alias("listed"), F.count(F.when(F.col("known").isNull(), 1)).alias("new"), F.count("known").alias("skipped"))
 
 
+PROFILE = ("skill_ids", "title_families", "locations", "work_arrangement", "seniority_band", "comp_floor")
+
+
 def apply_profile_edits(profiles: DataFrame, edits: DataFrame) -> DataFrame:
-    """Patch profiles (user_id, version, rematch_needed, comp_floor) by edits (user_id, comp_floor): version goes up by the
-    number of edits, the flag is set, the last non-null floor stands. edits carry ``ord``."""
-    by = edits.groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("comp_floor", F.when(F.col("comp_floor").isNotNull(), F.col("ord"))).alias("new_floor"))
-    out = profiles.join(by, "user_id", "left")
-    return out.select("user_id", (F.col("version") + F.coalesce("n", F.lit(0))).alias("version"), (F.col("rematch_needed") | F.col("n").isNotNull()).alias("rematch_needed"), F.coalesce("new_floor", "comp_floor").alias("comp_floor"))
+    """Profiles (user_id, version, rematch_needed and the ``PROFILE`` fields) after ``edits``, folded in the order of ``ord``.
+
+    edits: user_id, ord, kind (ingest or edit), the fields, clear_comp_floor. An ingest sets every field, null ones too, and makes a profile where there
+    is none; an edit sets the fields that it names (not null), and clears the floor if told to, whatever floor it names. Every one that counts raises the
+    version by one and sets the flag; edits before the first ingest of a user without a profile count for nothing.
+
+    Of all that set a field only the last matters, so the fold is one aggregate that combines before the shuffle, however many edits a user has.
+    """
+    ingest, clear = F.col("kind") == "ingest", F.coalesce(F.col("clear_comp_floor"), F.lit(False))
+    begun = edits.where(ingest).groupBy("user_id").agg(F.min("ord").alias("begun"))
+    there = profiles.select("user_id", F.lit(True).alias("there"))
+    counted = edits.join(there, "user_id", "left").join(begun, "user_id", "left").where("there or ord >= begun")
+
+    def last(c: str) -> Column:
+        drop = ~ingest & clear if c == "comp_floor" else F.lit(False)
+        return F.max_by(F.struct(F.when(~drop, F.col(c)).alias("v")), F.when(ingest | F.col(c).isNotNull() | drop, F.col("ord"))).alias(f"new_{c}")
+
+    by = counted.groupBy("user_id").agg(F.count("*").alias("n"), *map(last, PROFILE))
+    out = profiles.join(by, "user_id", "full")
+    fields = [F.when(F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}.v")).otherwise(F.col(c)).alias(c) for c in PROFILE]
+    return out.select("user_id", (F.coalesce("version", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("version"), (F.coalesce("rematch_needed", F.lit(False)) | F.col("n").isNotNull()).alias("rematch_needed"), *fields)
 
 
 def init_users(users: DataFrame, quota: int, today: Column) -> DataFrame:

@@ -396,6 +396,16 @@ def dirty_users(profiles: DataFrame, cap: int) -> DataFrame:
     return profiles.where("rematch_needed").orderBy("user_id").limit(cap)
 
 
+def select_users(profiles: DataFrame, mode: str, cap: int, filters: DataFrame | None = None, requested: DataFrame | None = None) -> DataFrame:
+    """Profiles of a cycle. ``dirty``: flagged ones, by id, at most ``cap``; ``incremental``: those that have filters (user_id in ``filters``), all of them.
+    With ``requested`` (user_id) only those."""
+    if requested is not None:
+        profiles = profiles.join(requested.select("user_id").distinct(), "user_id", "left_semi")
+    if mode == "dirty":
+        return profiles.join(dirty_users(profiles, cap).select("user_id"), "user_id", "left_semi")
+    return profiles if filters is None else profiles.join(filters.select("user_id").distinct(), "user_id", "left_semi")
+
+
 def rerank(pairs: DataFrame, top_n: int | None = None, scorer=None) -> DataFrame:
     """Rank per user by score (null is 0), best first. ``scorer`` may replace scores: it gets one user's pairs (pandas frame, by
     score) and gives (row, score) pairs. Rows that don't exist or have no number are skipped, of a row named twice the first counts,
@@ -427,9 +437,9 @@ def rerank(pairs: DataFrame, top_n: int | None = None, scorer=None) -> DataFrame
 
 def run_cycle(
     jobs: DataFrame, users: DataFrame, job_skills: DataFrame, profile_skills: DataFrame, siblings: DataFrame, matches: DataFrame, events: DataFrame, *,
-    mode: str, cycle_at: Column, since: Column | None = None, top_n: int, cap: int, dirty_cap: int = 25,
+    mode: str, cycle_at: Column, since: Column | None = None, top_n: int, cap: int, dirty_cap: int = 25, filters: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """One match cycle. ``incremental``: all users, jobs new since the last completed cycle (or ``since``); ``dirty``: flagged users
+    """One match cycle. ``incremental``: all users with filters (``filters``: user_id; None: all have), jobs new since the last completed cycle (or ``since``); ``dirty``: flagged users
     up to ``dirty_cap``, the whole corpus, and their flags are cleared.
 
     matches: the rows to append (user_id, job_id, score, rank, matched, adjacent, missing, cycle_at); a cycle delivered again has none.
@@ -438,13 +448,11 @@ def run_cycle(
     if mode not in ("incremental", "dirty"):
         raise ValueError(f"unknown mode: {mode}")
     live = jobs.where(M.p_live(F.col("expires_at"), cycle_at))
-    some = users
-    if mode == "dirty":
-        some = users.join(dirty_users(users, dirty_cap).select("user_id"), "user_id", "left_semi")
-    elif since is None:
+    some = select_users(users, mode, dirty_cap, filters)
+    if mode == "incremental" and since is None:
         last = last_cycle(events)  # one row
         live = live.crossJoin(F.broadcast(last)).where(M.p_since(F.col("since"), F.col("ingested_at"), F.col("extracted_at"))).drop("since")
-    else:
+    elif mode == "incremental":
         live = live.where(M.p_since(since, F.col("ingested_at"), F.col("extracted_at")))
     waiting = saved(filter_pairs(live.where("extracted_at is null"), some), "waiting")
     scores = scored(live, some, job_skills, profile_skills, top_n=top_n)

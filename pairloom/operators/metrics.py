@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions import match as M
+from pairloom.functions import text as X
 from pairloom.operators import ranks
 
 MODEL_STAGES = ("extract-job", "screen-job", "generate-resume", "verify-resume")
@@ -86,3 +88,75 @@ def recall_at_k(ranked: DataFrame, corpus: int, cutoffs: tuple[int, ...]) -> Dat
     ks = ranked.sparkSession.createDataFrame([(k,) for k in cutoffs if k <= max(corpus, 1)], "k long")
     per = ranked.crossJoin(F.broadcast(ks)).groupBy("q", "k", "gold").agg(F.sum(F.when((F.col("rank") <= F.col("k")) & F.col("hit"), 1).otherwise(0)).alias("n"))
     return per.groupBy("k").agg(F.avg(F.col("n") / F.col("gold")).alias("recall"))
+
+
+def dropped_relevant(gold: DataFrame, passed: DataFrame) -> DataFrame:
+    """q, d of the relevant items that the filters dropped. gold, passed: q, d."""
+    return gold.select("q", "d").distinct().join(passed.select("q", "d").distinct(), ["q", "d"], "left_anti")
+
+
+def recall_curve(gold: DataFrame, ranked: DataFrame, reranked: DataFrame, corpus: int, cutoffs: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """q, k, vector, rerank: the shares of a query's relevant items among its first k by vector and after reranking, for every cut-off within the corpus.
+
+    gold: q, d; ranked, reranked: q, d, rank. A query that the reranker gave nothing keeps the order by vector. Every relevant item is looked up once for
+    both orders; cut-offs are counted side by side.
+    """
+    ks = [k for k in cutoffs if k <= max(corpus, 1)]
+    missing = ranked.join(reranked.select("q").distinct(), "q", "left_anti")
+    other = reranked.select("q", "d", "rank").unionByName(missing.select("q", "d", "rank"))
+    first = lambda df, c: df.where(F.col("rank") <= max(ks)).groupBy("q", "d").agg(F.min("rank").alias(c))
+    rows = gold.select("q", "d").distinct().join(first(ranked, "v"), ["q", "d"], "left").join(first(other, "r"), ["q", "d"], "left")
+    counts = [F.count(F.when(F.col(c) <= k, 1)).alias(f"{c}{k}") for k in ks for c in "vr"]
+    by = rows.groupBy("q").agg(F.count("*").alias("n"), *counts)
+    at = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), share(F.col(f"v{k}"), F.col("n")).alias("vector"), share(F.col(f"r{k}"), F.col("n")).alias("rerank")) for k in ks]))
+    return by.select("q", at.alias("x")).select("q", "x.*")
+
+
+#: Fields whose texts are compared, and how much of their tokens must agree.
+TEXT_FIELDS = {"title": 0.45, "seniority": 0.99, "location": 0.45, "work_arrangement": 0.99}
+
+
+def field_accuracy(rows: DataFrame, predicted: str = "predicted", gold: str = "gold", fields: dict[str, float] = TEXT_FIELDS) -> DataFrame:
+    """field, n, hits, accuracy of extracted fields. rows: two structs of the text fields, comp_min and comp_max.
+
+    A text field counts where either side has it, and is hit where the normalised texts match by the field's share; the pair of amounts counts always and is
+    hit if both are equal, nulls included.
+    """
+
+    def text(side: str, name: str) -> Column:
+        return X.normalize_label(F.col(f"{side}.{name}"))
+
+    def same(name: str) -> Column:
+        return F.col(f"{predicted}.{name}").eqNullSafe(F.col(f"{gold}.{name}"))
+
+    each = [
+        F.struct(F.lit(name).alias("field"), (F.col(f"{predicted}.{name}").isNotNull() | F.col(f"{gold}.{name}").isNotNull()).alias("counts"), M.texts_match(text(predicted, name), text(gold, name), least).alias("hit"))
+        for name, least in fields.items()
+    ]
+    each.append(F.struct(F.lit("comp").alias("field"), F.lit(True).alias("counts"), (same("comp_min") & same("comp_max")).alias("hit")))
+    long = rows.select(F.explode(F.array(*each)).alias("f")).select("f.*").where("counts")
+    out = long.groupBy("field").agg(F.count("*").alias("n"), F.count(F.when(F.col("hit"), 1)).alias("hits"))
+    return out.withColumn("accuracy", share(F.col("hits"), F.col("n")))
+
+
+EXTRACT_DONE, SCREEN_DONE = ("extracted", "unparseable", "skipped_cached"), ("screened", "quota_exhausted", "skipped_screened")
+
+
+def funnel(jobs: DataFrame, pairs: DataFrame, events: DataFrame, matches: DataFrame, generations: DataFrame) -> DataFrame:
+    """One row: what every step let through, its peaks over cycles, and the shares that survive.
+
+    jobs: extracted_at; pairs: user_id, n (pairs that pass a user's filters now); events: stage, action, details (JSON; completed cycles carry prefilter_pairs,
+    matches_written, extracts_enqueued); matches: label; generations: verify_status. Each table is aggregated once, without grouping by more than users.
+    """
+    d = F.from_json("details", "prefilter_pairs long, matches_written long, extracts_enqueued long")
+    cycle = (F.col("stage") == "match-batch") & (F.col("action") == "completed")
+    done = {"extract_events_done": ("extract-job", EXTRACT_DONE), "screen_events_done": ("screen-job", SCREEN_DONE)}
+    seen = events.withColumn("d", F.when(cycle, d)).agg(
+        F.max("d.prefilter_pairs").alias("peak"), F.coalesce(F.max("d.matches_written"), F.lit(0)).alias("matches_written_peak"), F.coalesce(F.sum("d.extracts_enqueued"), F.lit(0)).alias("extracts_enqueued"),
+        *[F.count(F.when((F.col("stage") == s) & F.col("action").isin(*a), 1)).alias(c) for c, (s, a) in done.items()],
+    )
+    out = jobs.agg(F.count("*").alias("jobs_ingested"), F.count("extracted_at").alias("jobs_extracted")).crossJoin(seen).crossJoin(pairs.agg(F.max("n").alias("now")))
+    out = out.crossJoin(matches.agg(F.count("label").alias("screened"))).crossJoin(generations.agg(F.count("*").alias("generated"), F.count(F.when(F.col("verify_status") == "passed", 1)).alias("verify_passed")))
+    out = out.withColumn("prefilter_pairs_peak", F.greatest(F.coalesce("peak", F.lit(0)), F.coalesce("now", F.lit(0)))).withColumn("prefilter_pairs_now", F.coalesce("now", F.lit(0))).drop("peak", "now")
+    shares = {"prefilter_survival": ("prefilter_pairs_peak", "jobs_ingested"), "match_survival": ("matches_written_peak", "prefilter_pairs_peak"), "end_to_end": ("verify_passed", "jobs_ingested")}
+    return out.withColumns({c: share(F.col(a), F.col(b)) for c, (a, b) in shares.items()})

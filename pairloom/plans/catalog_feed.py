@@ -121,12 +121,28 @@ def t5(t):
     return out.unionByName(done.select(F.lit("label").alias("step"), "first", "again"))
 
 
-@query("t6_profile_edits", """WITH e AS (SELECT o_custkey AS user_id, count(*) AS n, max_by(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 500 END, o_orderkey) FILTER (WHERE o_orderkey % 3 > 0) AS new_floor FROM orders WHERE o_orderkey % 7 = 0 GROUP BY o_custkey)
-SELECT user_id, 1 + coalesce(n, 0) AS version, n IS NOT NULL AS rematch_needed, coalesce(new_floor, comp_floor) AS comp_floor FROM {v_users} LEFT JOIN e USING (user_id)""")
+#: Edits by orders, in the order of their keys; three in four customers have a profile, with some skills.
+_EDITS = """SELECT o_custkey AS user_id, o_orderkey AS ord, CASE WHEN o_orderkey % 11 = 0 THEN 'ingest' ELSE 'edit' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN split(o_orderpriority, '-') END AS skill_ids,
+  CASE WHEN o_orderkey % 3 = 0 THEN split(concat(o_orderstatus, ',', o_orderpriority), ',') END AS title_families, CASE WHEN o_orderkey % 5 < 2 THEN split(o_orderpriority, ' ') END AS locations,
+  CASE WHEN o_orderkey % 7 = 1 THEN split('remote,onsite', ',') END AS work_arrangement, CASE WHEN o_orderkey % 4 = 1 THEN lower(o_orderpriority) END AS seniority_band,
+  CASE WHEN o_orderkey % 3 > 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS comp_floor, o_orderkey % 13 = 0 AS clear_comp_floor FROM {orders}"""
+_HAVE = "SELECT u.user_id, CAST(3 AS BIGINT) AS version, u.user_id % 2 = 0 AS rematch_needed, skill_ids, title_families, locations, work_arrangement, seniority_band, CAST(comp_floor AS BIGINT) AS comp_floor FROM {v_users} u LEFT JOIN {v_profile_skills} s ON s.user_id = u.user_id WHERE u.user_id % 4 > 0"
+_FOLDED = {"skill_ids": "v", "title_families": "v", "locations": "v", "work_arrangement": "v", "seniority_band": "s", "comp_floor": "s"}
+
+
+def _last(c: str) -> str:
+    clear = "(kind = 'edit' AND clear_comp_floor)" if c == "comp_floor" else "false"
+    return f"max_by(struct_pack(v := CASE WHEN NOT {clear} THEN {c} END), ord) FILTER (WHERE kind = 'ingest' OR {c} IS NOT NULL OR {clear}) AS new_{c}"
+
+
+@query("t6_profile_edits", f"""WITH e AS ({_EDITS.replace("split('remote", "string_split('remote")}), p AS ({_HAVE}), b AS (SELECT user_id, min(ord) AS begun FROM e WHERE kind = 'ingest' GROUP BY user_id),
+f AS (SELECT e.user_id, count(*) AS n, {", ".join(map(_last, _FOLDED))} FROM e LEFT JOIN b USING (user_id) WHERE e.user_id IN (SELECT user_id FROM p) OR ord >= begun GROUP BY e.user_id)
+SELECT coalesce(p.user_id, f.user_id) AS user_id, coalesce(version, 0) + coalesce(n, 0) AS version, coalesce(rematch_needed, false) OR n IS NOT NULL AS rematch_needed,
+ {", ".join((f"array_to_string(CASE WHEN new_{c} IS NOT NULL THEN new_{c}.v ELSE p.{c} END, '|')" if k == "v" else f"CASE WHEN new_{c} IS NOT NULL THEN new_{c}.v ELSE p.{c} END") + f" AS {c}" for c, k in _FOLDED.items())}
+FROM p FULL JOIN f ON f.user_id = p.user_id""")
 def t6(t):
-    profiles = t.v_users.select("user_id", F.lit(1).cast("long").alias("version"), F.lit(False).alias("rematch_needed"), F.col("comp_floor").cast("long").alias("comp_floor"))
-    edits = t.orders.where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 500).alias("comp_floor"), F.col("o_orderkey").alias("ord"))
-    return op.apply_profile_edits(profiles, edits)
+    out = op.apply_profile_edits(t.sql(_HAVE), t.sql(_EDITS))
+    return out.withColumns({c: F.array_join(c, "|") for c, k in _FOLDED.items() if k == "v"})
 
 
 @query("t7_user_defaults", "SELECT c_custkey AS user_id, coalesce(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 4 END, 20) AS quota, '2024-02-01' AS reset_at FROM customer")
@@ -228,10 +244,15 @@ def w9(t):
     return op.limit_new_to_target(listing, listing.where("pos % 4 = 0"), 120)
 
 
-@query("j14_profile_bundle", """SELECT u.user_id, array_to_string(locations, '|') AS locations, comp_floor, seniority_band, array_to_string(skill_ids, ',') AS skills FROM {v_users} u LEFT JOIN {v_profile_skills} s USING (user_id)""")
+@query("j14_profile_bundle", """WITH l AS (SELECT DISTINCT concat('skill:', l_suppkey % 20) AS skill_id, 'Skill ' || (l_suppkey % 20) AS label FROM lineitem WHERE l_suppkey % 20 % 3 > 0),
+e AS (SELECT user_id, unnest(skill_ids) AS skill_id, generate_subscripts(skill_ids, 1) AS k FROM {v_profile_skills})
+SELECT u.user_id, array_to_string(locations, '|') AS locations, comp_floor, seniority_band, coalesce(s.skills, '') AS skills FROM {v_users} u
+LEFT JOIN (SELECT user_id, string_agg(skill_id || '=' || coalesce(label, skill_id), ',' ORDER BY k) AS skills FROM e LEFT JOIN l USING (skill_id) GROUP BY user_id) s USING (user_id)""")
 def j14(t):
-    out = t.v_users.join(t.v_profile_skills, "user_id", "left")
-    return out.select("user_id", F.array_join("locations", "|").alias("locations"), "comp_floor", "seniority_band", F.array_join("skill_ids", ",").alias("skills"))
+    labels = t.lineitem.select((F.col("l_suppkey") % 20).alias("n")).where("n % 3 > 0").distinct().select(F.concat(F.lit("skill:"), F.col("n").cast("string")).alias("skill_id"), F.concat(F.lit("Skill "), F.col("n").cast("string")).alias("label"))
+    out = op.profile_bundle(t.v_users, t.v_profile_skills, labels)
+    said = F.array_join(F.transform("skills", lambda s: F.concat(s["skill_id"], F.lit("="), s["label"])), ",")
+    return out.select("user_id", F.array_join("locations", "|").alias("locations"), "comp_floor", "seniority_band", said.alias("skills"))
 
 
 @query("f15_validate_events", """SELECT event_id, CASE WHEN action NOT IN ('viewed', 'skipped', 'generate_requested', 'marked_applied', 'outcome') THEN 'unknown action'

@@ -190,6 +190,12 @@ def w8(t):
     return op.dirty_users(t.v_users.withColumn("rematch_needed", F.col("user_id") % 9 == 0), 25).select("user_id")
 
 
+@query("w8_incremental_users", "SELECT user_id FROM {v_users} WHERE user_id IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0) AND user_id % 3 > 0")
+def w8_incremental(t):
+    filters = t.orders.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("user_id"))
+    return op.select_users(t.v_users, "incremental", 25, filters, t.v_users.where("user_id % 3 > 0")).select("user_id")
+
+
 _CYCLE_AT = "2024-01-20 12:00:00"
 _LISTED = """, g AS (SELECT u.user_id, list_distinct(list(s2.skill_id)) AS reach FROM (SELECT user_id, unnest(skill_ids) AS skill_id FROM {v_profile_skills}) u
   JOIN {v_siblings} s1 ON s1.skill_id = u.skill_id JOIN {v_siblings} s2 ON s2.group_id = s1.group_id GROUP BY u.user_id)
@@ -208,7 +214,7 @@ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY
 
 def _cycle(t, mode, matches=None):
     users = t.v_users.withColumn("rematch_needed", F.col("user_id") % 9 == 0)
-    return op.run_cycle(t.v_jobs, users, t.v_job_skills, t.v_profile_skills, t.v_siblings, t.v_matches if matches is None else matches, t.v_events, mode=mode, cycle_at=_ntz(_CYCLE_AT), top_n=4, cap=500)
+    return op.run_cycle(t.v_jobs, users, t.v_job_skills, t.v_profile_skills, t.v_siblings, t.v_matches if matches is None else matches, t.v_events, mode=mode, cycle_at=_ntz(_CYCLE_AT), top_n=4, cap=500, filters=t.v_users.where("user_id % 8 <> 3"))
 
 
 def _appended(rows):
@@ -218,7 +224,7 @@ def _appended(rows):
 _LAST = "(SELECT max(ts) FROM {v_events} WHERE stage = 'match-batch' AND action = 'completed')"
 
 
-@query("t1_incremental_cycle", _cycle_sql(f"(j.ingested_at > {_LAST} OR j.extracted_at > {_LAST})", "true"))
+@query("t1_incremental_cycle", _cycle_sql(f"(j.ingested_at > {_LAST} OR j.extracted_at > {_LAST})", "u.user_id % 8 <> 3"))
 def t1(t):
     return _appended(_cycle(t, "incremental")["matches"])
 

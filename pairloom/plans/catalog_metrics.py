@@ -68,6 +68,22 @@ def a5(t):
     return out.withColumns({"extracted_share": op.share(F.col("extracted"), F.col("ingested")), "screened_share": op.share(F.col("screened"), F.col("matched")), "passed_share": op.share(F.col("passed"), F.col("generated"))})
 
 
+_CYCLES = "(SELECT *, CASE WHEN k % 4 > 0 THEN k * 3 END AS pre, k % 17 AS written, CASE WHEN k % 5 > 0 THEN k END AS queued, CASE WHEN stage = 'screen-job' AND k % 3 = 0 THEN 'quota_exhausted' WHEN stage = 'ui' AND k % 2 = 0 THEN 'extracted' ELSE action END AS act, CASE WHEN stage = 'ui' AND k % 2 = 0 THEN 'extract-job' ELSE stage END AS st FROM {v_events})"
+
+
+@query("a5_funnel_peaks", f"""WITH e AS (SELECT * FROM {_CYCLES} e), p AS (SELECT user_id, count(*) AS n FROM {{v_matches}} GROUP BY user_id),
+j AS (SELECT count(*) AS jobs_ingested, count(extracted_at) AS jobs_extracted FROM {{v_jobs}}), n AS (SELECT coalesce(max(n), 0) AS prefilter_pairs_now FROM p),
+c AS (SELECT coalesce(max(pre), 0) AS pre, coalesce(max(written), 0) AS matches_written_peak, CAST(coalesce(sum(queued), 0) AS BIGINT) AS extracts_enqueued FROM e WHERE st = 'match-batch' AND act = 'completed'),
+d AS (SELECT count(*) FILTER (WHERE st = 'extract-job' AND act IN ('extracted', 'unparseable', 'skipped_cached')) AS extract_events_done, count(*) FILTER (WHERE st = 'screen-job' AND act IN ('screened', 'quota_exhausted', 'skipped_screened')) AS screen_events_done FROM e),
+m AS (SELECT count(label) AS screened FROM {{v_matches}}), g AS (SELECT count(*) AS generated, count(*) FILTER (WHERE verify_status = 'passed') AS verify_passed FROM {{v_generations}}),
+a AS (SELECT *, greatest(pre, prefilter_pairs_now) AS prefilter_pairs_peak FROM j, n, c, d, m, g)
+SELECT * EXCLUDE (pre), round(prefilter_pairs_peak / jobs_ingested, 4) AS prefilter_survival, CASE WHEN prefilter_pairs_peak > 0 THEN round(matches_written_peak / prefilter_pairs_peak, 4) END AS match_survival, round(verify_passed / jobs_ingested, 4) AS end_to_end FROM a""")
+def a5_peaks(t):
+    details = F.to_json(F.struct(F.col("pre").alias("prefilter_pairs"), F.col("written").alias("matches_written"), F.col("queued").alias("extracts_enqueued")))
+    events = t.sql(f"SELECT * FROM {_CYCLES} e").select(F.col("st").alias("stage"), F.col("act").alias("action"), details.alias("details"))
+    return op.funnel(t.v_jobs, t.v_matches.groupBy("user_id").agg(F.count("*").alias("n")), events, t.v_matches, t.v_generations)
+
+
 @query("a6_label_distribution", "SELECT o AS ord, s.label, count(m.label) AS n FROM (VALUES (0, 'unqualified'), (1, 'minimally_qualified'), (2, 'overqualified'), (3, 'potentially_qualified'), (4, 'clearly_qualified')) s(o, label) LEFT JOIN {v_matches} m ON m.label = s.label GROUP BY o, s.label")
 def a6(t):
     return op.distribution(t.v_matches, "label", M.LABELS)

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from pairloom.functions import text as X
 from pairloom.operators import profiles as op
+from pairloom.plans.catalog_linking import norm
 from pairloom.plans.registry import query
 
 
@@ -120,18 +121,28 @@ def t8(t):
     return t.customer.select(F.col("c_custkey").alias("user_id"), made["source"].alias("source"), bullets.alias("bullets"))
 
 
-_FIELDS = "(SELECT doc_id, lang AS a, CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lang END AS b, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE n_chars END AS c, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars END AS d FROM documents)"
+#: Extracted fields of parts beside the true ones: cut, changed, missing on either side.
+_FIELDS = """SELECT p_partkey, p_name AS gt, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat('Senior ', p_name, ' (m/f)') WHEN 2 THEN concat(p_type, ' thing') END AS pt, CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS gs, CASE WHEN p_partkey % 6 > 1 THEN concat(' ', upper(p_brand), ' ') WHEN p_partkey % 6 = 1 THEN 'mid' END AS ps,
+  CASE WHEN p_partkey % 3 > 0 THEN p_type END AS gl, CASE WHEN p_partkey % 2 = 0 THEN concat(p_type, ' area, north') WHEN p_partkey % 7 = 0 THEN p_brand END AS pl, p_brand AS gw, CASE WHEN p_size % 3 > 0 THEN p_brand ELSE p_type END AS pw,
+  CASE WHEN p_size % 4 > 0 THEN p_size END AS g1, CASE WHEN p_size % 5 > 0 THEN p_size + 1 END AS g2, CASE WHEN p_size % 4 > 0 THEN p_size END AS p1, CASE WHEN p_size % 7 > 0 THEN p_size + 1 END AS p2 FROM {part}"""
 
 
-@query("e6_field_accuracy", f"""SELECT 'lang' AS field, count(*) AS n, round(avg((a = b)::INT), 6) AS accuracy FROM {_FIELDS} x UNION ALL
-SELECT 'size', count(*), round(avg((c IS NOT DISTINCT FROM d)::INT), 6) FROM {_FIELDS} x WHERE c IS NOT NULL OR d IS NOT NULL""")
+def _hits(field: str, g: str, p: str, least: float) -> str:
+    tok = "list_distinct(list_filter(string_split({x}, ' '), lambda v: v <> ''))"
+    x, y = tok.replace("{x}", "a"), tok.replace("{x}", "b")
+    same = f"a IS NOT NULL AND b IS NOT NULL AND (a = b OR contains(a, b) OR contains(b, a) OR CASE WHEN len({x}) = 0 AND len({y}) = 0 THEN 1 ELSE len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y}))) END >= {least})"
+    return f"SELECT '{field}' AS field, count(*) AS n, count(*) FILTER (WHERE {same}) AS hits FROM (SELECT {norm(p)} AS a, {norm(g)} AS b FROM f WHERE {g} IS NOT NULL OR {p} IS NOT NULL) x"
+
+
+@query("e6_field_accuracy", f"""WITH f AS ({_FIELDS}), h AS ({_hits("title", "gt", "pt", 0.45)} UNION ALL {_hits("seniority", "gs", "ps", 0.99)} UNION ALL {_hits("location", "gl", "pl", 0.45)} UNION ALL {_hits("work_arrangement", "gw", "pw", 0.99)}
+UNION ALL SELECT 'comp', count(*), count(*) FILTER (WHERE g1 IS NOT DISTINCT FROM p1 AND g2 IS NOT DISTINCT FROM p2) FROM f) SELECT field, n, hits, round(hits / n, 4) AS accuracy FROM h""")
 def e6(t):
-    rows = t.sql(_FIELDS[1:-1].replace("documents", "{documents}"))
-    long = rows.select(F.explode(F.array(
-        F.struct(F.lit("lang").alias("field"), F.lit(True).alias("counts"), (F.col("a") == F.col("b")).alias("hit")),
-        F.struct(F.lit("size").alias("field"), (F.col("c").isNotNull() | F.col("d").isNotNull()).alias("counts"), F.col("c").eqNullSafe(F.col("d")).alias("hit")),
-    )).alias("f")).select("f.*").where("counts")
-    return long.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("accuracy"))
+    from pairloom.operators import metrics
+
+    def side(x):
+        return F.struct(F.col(f"{x}t").alias("title"), F.col(f"{x}s").alias("seniority"), F.col(f"{x}l").alias("location"), F.col(f"{x}w").alias("work_arrangement"), F.col(f"{x}1").alias("comp_min"), F.col(f"{x}2").alias("comp_max"))
+
+    return metrics.field_accuracy(t.sql(_FIELDS).select(side("p").alias("predicted"), side("g").alias("gold")))
 
 
 # Resumes of customers: a role in the header, more under a heading, a part without one, skills listed by some only.
@@ -164,13 +175,12 @@ def _ranked(score: str) -> str:
     return f"(SELECT * FROM (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY {score} DESC, d) AS rk FROM {_PASSED} x) WHERE rk <= 5)"
 
 
-@query("e3_stage_recall", f"""SELECT v.q, count(*) AS relevant, count(p.d) AS kept, count(r.d) AS found, count(rr.d) AS refound, round(count(p.d) / count(*), 4) AS kept_recall, round(count(r.d) / count(*), 4) AS found_recall, round(count(rr.d) / count(*), 4) AS refound_recall
-FROM {{v_relevance}} v LEFT JOIN {_PASSED} p ON p.q = v.q AND p.d = v.d LEFT JOIN {_ranked('s')} r ON r.q = v.q AND r.d = v.d LEFT JOIN {_ranked('CASE WHEN q % 200 = 0 THEN round(s - (d % 7) * 0.5, 6) ELSE s END')} rr ON rr.q = v.q AND rr.d = v.d GROUP BY v.q""")
-def e3(t):
+def _retrieval(t):
+    """Per query: what its filters let through, the order by vector and the order after reranking."""
     from pyspark.sql import Window as W
 
     from pairloom.functions import match as M
-    from pairloom.operators import matching, metrics
+    from pairloom.operators import matching
 
     town = F.concat(F.lit("town "), (F.col("vec_id") % 5).cast("string"))
     q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.array(town).alias("places"))
@@ -186,5 +196,33 @@ def e3(t):
 
     pairs = passed.select(F.col("q").alias("user_id"), F.col("d").alias("job_id"), F.col("s").alias("score"))
     reranked = matching.rerank(pairs, scorer=scorer).select(F.col("user_id").alias("q"), F.col("job_id").alias("d"), "rank")
-    gold = t.v_relevance
-    return metrics.stage_recall(gold, passed, ranked, reranked, 5)
+    return passed, ranked, reranked
+
+
+@query("e3_stage_recall", f"""SELECT v.q, count(*) AS relevant, count(p.d) AS kept, count(r.d) AS found, count(rr.d) AS refound, round(count(p.d) / count(*), 4) AS kept_recall, round(count(r.d) / count(*), 4) AS found_recall, round(count(rr.d) / count(*), 4) AS refound_recall
+FROM {{v_relevance}} v LEFT JOIN {_PASSED} p ON p.q = v.q AND p.d = v.d LEFT JOIN {_ranked('s')} r ON r.q = v.q AND r.d = v.d LEFT JOIN {_ranked('CASE WHEN q % 200 = 0 THEN round(s - (d % 7) * 0.5, 6) ELSE s END')} rr ON rr.q = v.q AND rr.d = v.d GROUP BY v.q""")
+def e3(t):
+    from pairloom.operators import metrics
+
+    return metrics.stage_recall(t.v_relevance, *_retrieval(t), 5)
+
+
+@query("e3_dropped_relevant", f"SELECT q, d FROM {{v_relevance}} v WHERE NOT EXISTS (SELECT 1 FROM {_PASSED} p WHERE p.q = v.q AND p.d = v.d)")
+def e3_dropped(t):
+    from pairloom.operators import metrics
+
+    return metrics.dropped_relevant(t.v_relevance, _retrieval(t)[0])
+
+
+_ORDER = "(SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY {s} DESC, d) AS rk FROM " + _PASSED + " x)"
+_BY_MODEL = "CASE WHEN q % 200 = 0 THEN round(s - (d % 7) * 0.5, 6) ELSE s END"
+
+
+@query("e3_recall_curve", f"""SELECT v.q, k, round(count(a.d) FILTER (WHERE a.rk <= k) / count(*), 4) AS vector, round(count(b.d) FILTER (WHERE b.rk <= k) / count(*), 4) AS rerank
+FROM {{v_relevance}} v LEFT JOIN {_ORDER.replace("{s}", "s")} a ON a.q = v.q AND a.d = v.d LEFT JOIN {_ORDER.replace("{s}", _BY_MODEL)} b ON b.q = v.q AND b.d = v.d, (VALUES (1::BIGINT), (3), (5), (10)) ks(k) GROUP BY v.q, k""")
+def e3_curve(t):
+    from pairloom.operators import metrics
+
+    _, ranked, reranked = _retrieval(t)
+    return metrics.recall_curve(t.v_relevance, ranked, reranked, t.embeddings.count())
+

@@ -29,9 +29,11 @@ def _in_files(rows, ident):
 
 
 def _board_a(t):
+    k = F.col("page_id")
+    pay = F.when(k % 3 == 0, '"$100k - $150k"').when(k % 3 == 1, F.concat(F.lit('{"min": '), k * 10 + 1, F.lit(', "high": "'), k * 20 + 1, F.lit('"}'))).otherwise((k * 1000 + 0.5).cast("string"))
     job = F.struct(
         F.col("page_id").alias("id"), F.col("url").alias("absolute_url"), F.concat(F.lit("Job "), F.col("page_id").cast("string")).alias("title"), F.struct(F.lit("Town").alias("name")).alias("location"),
-        F.array(F.struct(F.lit("Dept").alias("name"))).alias("departments"), F.array(F.struct(F.lit("Salary range").alias("name"), F.lit("$100k - $150k").alias("value"))).alias("metadata"),
+        F.array(F.struct(F.lit("Dept").alias("name"))).alias("departments"), F.array(F.struct(F.lit("Salary range").alias("name"), F.parse_json(pay).alias("value")), F.struct(F.lit("Employment type").alias("name"), F.parse_json(F.concat(F.lit('"type '), k % 2, F.lit('"'))).alias("value"))).alias("metadata"),
         F.lit("2024-01-02T03:04:05Z").alias("updated_at"), F.col("html").alias("content"),
     )
     return _documents(_in_files(t.pages, "page_id").groupBy("f").agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("value")), t, "board-a")
@@ -41,7 +43,7 @@ def _board_b(t):
     rows = t.pages.select(
         F.col("page_id").cast("string").alias("id"), F.concat(F.lit("Job "), F.col("page_id").cast("string")).alias("text"), F.when(F.col("page_id") % 3 > 0, F.col("url")).alias("hostedUrl"), F.col("url").alias("applyUrl"),
         F.struct(F.when(F.col("page_id") % 2 == 0, "Town").alias("location"), F.array(F.lit("A"), F.lit("B")).alias("allLocations"), F.lit("Team").alias("team")).alias("categories"), F.lit("Remote").alias("workplaceType"),
-        (F.col("page_id") * 1000).alias("createdAt"), F.struct(F.lit(5.5).alias("min")).alias("salaryRange"), F.lit("<p>Hello</p>").alias("description"), F.array(F.struct(F.lit("Must").alias("text"), F.lit("<li>x</li>").alias("content"))).alias("lists"),
+        (F.col("page_id") * 1000).alias("createdAt"), F.struct(F.col("page_id").alias("minValue"), F.when(F.col("page_id") % 4 > 0, F.lit("7.9")).alias("max")).alias("salaryRange"), F.lit("<p>Hello</p>").alias("description"), F.array(F.struct(F.lit("Must").alias("text"), F.lit("<li>x</li>").alias("content"))).alias("lists"),
     )
     return _documents(_in_files(rows, "id").groupBy("f").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")), t, "board-b")
 
@@ -57,12 +59,13 @@ def _board_c(t):
 _OUT = ["external_id", "title", "location", "department", "work_arrangement", "comp_min", "comp_max"]
 
 
-@query("s1_board_a", "SELECT CAST(page_id AS VARCHAR) AS external_id, 'Job ' || page_id AS title, 'Town' AS location, 'Dept' AS department, CAST(NULL AS VARCHAR) AS work_arrangement, 100000 AS comp_min, 150000 AS comp_max FROM pages")
+@query("s1_board_a", """SELECT CAST(page_id AS VARCHAR) AS external_id, 'Job ' || page_id AS title, 'Town' AS location, 'Dept' AS department, CAST(NULL AS VARCHAR) AS work_arrangement, CASE page_id % 3 WHEN 0 THEN 100000 WHEN 1 THEN page_id * 10 + 1 ELSE page_id * 1000 END AS comp_min,
+ CASE page_id % 3 WHEN 0 THEN 150000 WHEN 1 THEN page_id * 20 + 1 ELSE page_id * 1000 END AS comp_max, 'type ' || (page_id % 2) AS employment_type FROM pages""")
 def s1(t):
-    return boards.read_board_a(t.spark, _board_a(t)).select(*_OUT)
+    return boards.read_board_a(t.spark, _board_a(t)).select(*_OUT, "employment_type")
 
 
-@query("s2_board_b", "SELECT CAST(page_id AS VARCHAR) AS external_id, 'Job ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'Town' ELSE 'A, B' END AS location, 'Team' AS department, 'remote' AS work_arrangement, 5 AS comp_min, CAST(NULL AS BIGINT) AS comp_max, 'Hello' || chr(10) || 'Must' || chr(10) || 'x' AS raw_jd FROM pages")
+@query("s2_board_b", "SELECT CAST(page_id AS VARCHAR) AS external_id, 'Job ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'Town' ELSE 'A, B' END AS location, 'Team' AS department, 'remote' AS work_arrangement, nullif(page_id, 0) AS comp_min, CASE WHEN page_id % 4 > 0 THEN 7 END AS comp_max, 'Hello' || chr(10) || 'Must' || chr(10) || 'x' AS raw_jd FROM pages")
 def s2(t):
     return boards.read_board_b(t.spark, _board_b(t)).select(*_OUT, "raw_jd")
 

@@ -43,12 +43,17 @@ def p5(t):
     return t.documents.select("doc_id", F.array_join(X.drop_boilerplate(lines), "\n").alias("text"))
 
 
-@query("p6_comp_bounds", "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_size * 1000 END AS low, CASE WHEN p_partkey % 3 < 2 THEN (p_size + 20) * 1000 END AS high FROM part")
+#: Amounts as JSON of any kind: ranges, texts without one, numbers, objects under several names, with zeros and blanks before what counts.
+@query("p6_comp_bounds", """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size * 1000 WHEN 3 THEN CAST(trunc(p_retailprice) AS BIGINT) WHEN 4 THEN p_size WHEN 5 THEN CAST(trunc(p_retailprice) AS BIGINT) WHEN 6 THEN p_size END AS low,
+ CASE p_partkey % 8 WHEN 0 THEN (p_size + 20) * 1000 WHEN 1 THEN (p_size + 20) * 1000 WHEN 3 THEN CAST(trunc(p_retailprice) AS BIGINT) WHEN 4 THEN p_size + 7 WHEN 6 THEN p_partkey END AS high FROM part""")
 def p6(t):
-    s, e = F.col("p_size").cast("string"), (F.col("p_size") + 20).cast("string")
-    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("$"), s, F.lit("k - $"), e, F.lit("K a year"))).when(
-        F.col("p_partkey") % 3 == 1, F.concat(s, F.lit(",000 to "), e, F.lit(",000"))).otherwise("negotiable")
-    both = X.comp_bounds(text)
+    s, e, k, price = (c.cast("string") for c in (F.col("p_size"), F.col("p_size") + 20, F.col("p_partkey"), F.col("p_retailprice")))
+    shapes = [
+        F.concat(F.lit('"$'), s, F.lit("k - $"), e, F.lit('K a year"')), F.concat(F.lit('"'), s, F.lit(",000 to "), e, F.lit(',000"')), F.lit('"negotiable"'), price,
+        F.concat(F.lit('{"min": 0, "minValue": '), s, F.lit(', "max": "'), (F.col("p_size") + 7).cast("string"), F.lit('"}')), F.concat(F.lit('{"low": "'), price, F.lit('", "high": "soon"}')),
+        F.concat(F.lit('{"min": "", "minValue": null, "low": '), s, F.lit(', "maxValue": '), k, F.lit("}")), F.lit("[1, 2]"),
+    ]
+    both = X.comp_of(F.parse_json(F.element_at(F.array(*shapes), (F.col("p_partkey") % 8 + 1).cast("int"))))
     return t.part.select("p_partkey", both["low"].alias("low"), both["high"].alias("high"))
 
 
@@ -132,12 +137,34 @@ def p19(t):
     return t.part.select("p_partkey", X.title_family(F.expr(_TITLE)).alias("family"))
 
 
-@query("p20_default_filters", "SELECT c_custkey AS user_id, CASE c_custkey % 3 WHEN 0 THEN 'mid,senior,staff' WHEN 1 THEN 'senior,lead' ELSE 'guru' END AS seniority_band, CASE c_custkey % 2 WHEN 0 THEN 'remote,hybrid,onsite' ELSE 'remote' END AS work_arrangement FROM customer")
+_SAID = "CASE {c} % 6 WHEN 0 THEN 'Data Scientist' WHEN 1 THEN 'iOS engineer' WHEN 2 THEN 'Plumber' WHEN 3 THEN 'Android Developer' WHEN 4 THEN 'Senior Security Manager' ELSE 'Machine learning lead' END"
+_FAMILY = "CASE {c} % 6 WHEN 0 THEN 'Data Science' WHEN 1 THEN 'Mobile' WHEN 3 THEN 'Mobile' WHEN 4 THEN 'Security' WHEN 5 THEN 'Machine Learning' END"
+_FOUND = "list_filter([{a}, {b}, {c}], lambda x: x IS NOT NULL)".format(a=_FAMILY.replace("{c}", "c_custkey"), b=_FAMILY.replace("{c}", "c_nationkey"), c=_FAMILY.replace("{c}", "(c_custkey // 6)"))
+_DISTINCT = "list_filter({l}, lambda x, i: list_position({l}, x) = i)".replace("{l}", _FOUND)
+
+
+@query("p19_title_families", f"SELECT c_custkey, array_to_string({_DISTINCT}, '|') AS families FROM customer")
+def p19_all(t):
+    return t.customer.select("c_custkey", F.array_join(X.title_families(_roles()), "|").alias("families"))
+
+
+def _roles():
+    return F.array(*[F.expr(_SAID.replace("{c}", c)) for c in ("c_custkey", "c_nationkey", "CAST(floor(c_custkey / 6) AS INT)")])
+
+
+@query("p20_default_filters", f"""SELECT c_custkey AS user_id, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE nullif(array_to_string({_DISTINCT}, '|'), '') END AS title_families, CASE WHEN c_custkey % 5 > 0 THEN n_name || '|' || c_mktsegment END AS locations,
+ CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS BIGINT) END AS comp_floor, CASE c_custkey % 4 WHEN 0 THEN 'mid,senior,staff' WHEN 1 THEN 'senior,lead' WHEN 2 THEN 'guru' END AS seniority_band,
+ CASE c_custkey % 2 WHEN 0 THEN 'remote,hybrid,onsite' ELSE 'remote' END AS work_arrangement FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def p20(t):
-    level = F.element_at(F.array(F.lit("senior"), F.lit("lead"), F.lit("guru")), (F.col("c_custkey") % 3 + 1).cast("int"))
-    given = F.when(F.col("c_custkey") % 2 == 1, F.array(F.lit("remote"))).otherwise(F.array().cast("array<string>"))
-    every = F.array(F.lit("remote"), F.lit("hybrid"), F.lit("onsite"))
-    return t.customer.select(F.col("c_custkey").alias("user_id"), X.seniority_band(level).alias("seniority_band"), F.array_join(F.when(F.size(given) > 0, given).otherwise(every), ",").alias("work_arrangement"))
+    def some(when, *values):
+        return F.when(when, F.array(*values)).otherwise(F.array().cast("array<string>"))
+
+    level = F.element_at(F.array(F.lit("senior"), F.lit("lead"), F.lit("guru"), F.lit("")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    floor = F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal"))
+    key = F.col("c_custkey")
+    made = X.default_filters(_roles(), some(key % 4 == 0, "c_mktsegment"), some(key % 5 > 0, "n_name", "c_mktsegment"), some(key % 2 == 1, F.lit("remote")), level, floor)
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).select(key.alias("user_id"), made.alias("f"))
+    return rows.select("user_id", F.array_join("f.title_families", "|").alias("title_families"), F.array_join("f.locations", "|").alias("locations"), "f.comp_floor", "f.seniority_band", F.array_join("f.work_arrangement", ",").alias("work_arrangement"))
 
 
 @query("p22_fill_gaps", "SELECT job_id, coalesce(seniority, CASE WHEN job_id % 2 = 0 THEN 'mid' END) AS seniority, coalesce(comp_min, 5) AS comp_min FROM {v_jobs}")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import text as X
 
-_A = "jobs array<struct<id:long,absolute_url:string,title:string,location:string,departments:array<struct<name:string>>,metadata:array<struct<name:string,value:string>>,first_published:string,updated_at:string,content:string>>"
-_B = "id string, text string, hostedUrl string, applyUrl string, categories struct<location:string,allLocations:array<string>,department:string,team:string,commitment:string>, workplaceType string, createdAt long, salaryRange struct<min:double,max:double>, description string, descriptionPlain string, lists array<struct<text:string,content:string>>"
+_A = "jobs array<struct<id:long,absolute_url:string,title:string,location:string,departments:array<struct<name:string>>,metadata:array<struct<name:string,value:variant>>,first_published:string,updated_at:string,content:string>>"
+_B = "id string, text string, hostedUrl string, applyUrl string, categories struct<location:string,allLocations:array<string>,department:string,team:string,commitment:string>, workplaceType string, createdAt long, salaryRange variant, salary variant, description string, descriptionPlain string, lists array<struct<text:string,content:string>>"
 _C = "jobs array<struct<id:string,title:string,department:string,team:string,employmentType:string,location:string,secondaryLocations:array<struct<location:string>>,publishedAt:string,isListed:boolean,isRemote:boolean,workplaceType:string,jobUrl:string,applyUrl:string,descriptionHtml:string,descriptionPlain:string>>"
 POSTING = ("url", "title", "location", "department", "employment_type", "work_arrangement", "comp_min", "comp_max", "raw_jd", "raw_jd_html", "posted_at", "external_id")
 
@@ -24,17 +24,21 @@ def _posting(df: DataFrame, **cols: Column) -> DataFrame:
 
 def _meta(pattern: str) -> Column:
     """The value of the first metadata entry whose name holds the pattern."""
-    return F.get(F.filter("j.metadata", lambda m: F.lower(m["name"]).rlike(pattern) & m["value"].isNotNull()), F.lit(0))["value"]
+    return F.get(F.filter("j.metadata", lambda m: F.lower(m["name"]).rlike(pattern) & m["value"].isNotNull() & ~F.is_variant_null(m["value"])), F.lit(0))["value"]
+
+
+def _meta_text(pattern: str) -> Column:
+    return F.try_variant_get(_meta(pattern), "$", "string")
 
 
 def read_board_a(spark: SparkSession, paths) -> DataFrame:
     """{jobs: [...]}: location as text or {name}, the first department, metadata for type, arrangement and comp."""
     j = spark.read.schema(_A).json(paths, multiLine=True).select(F.explode_outer("jobs").alias("j")).where("j is not null")
     place = F.coalesce(F.get_json_object("j.location", "$.name"), F.when(~F.startswith(F.col("j.location"), F.lit("{")), F.col("j.location")))
-    comp = X.comp_bounds(_meta("comp|salary|pay"))
+    comp = X.comp_of(_meta("comp|salary|pay"))
     return _posting(
         j, url=_blank(F.col("j.absolute_url")), title=_blank(F.col("j.title")), location=_blank(place), department=F.get("j.departments", F.lit(0))["name"],
-        employment_type=_meta("employment"), work_arrangement=_meta("arrangement|workplace|remote"), comp_min=comp["low"], comp_max=comp["high"],
+        employment_type=_meta_text("employment"), work_arrangement=_meta_text("arrangement|workplace|remote"), comp_min=comp["low"], comp_max=comp["high"],
         raw_jd=X.clean_html(F.col("j.content")), raw_jd_html=F.col("j.content"), posted_at=F.coalesce(X.parse_ts(F.col("j.first_published")), X.parse_ts(F.col("j.updated_at"))), external_id=F.col("j.id").cast("string"),
     )
 
@@ -45,10 +49,12 @@ def read_board_b(spark: SparkSession, paths) -> DataFrame:
     c = F.col("categories")
     place = F.coalesce(_blank(c["location"]), _blank(F.array_join(c["allLocations"], ", ")))
     lists = F.transform(F.coalesce("lists", F.array().cast("array<struct<text:string,content:string>>")), lambda v: F.concat_ws("\n", v["text"], v["content"]))
+    pay = F.when(F.col("salaryRange").isNotNull() & ~F.is_variant_null("salaryRange") & (F.schema_of_variant("salaryRange") != "OBJECT<>"), F.col("salaryRange")).otherwise(F.col("salary"))
+    comp = X.comp_of(pay)
     html = F.array_join(F.concat(F.array(F.coalesce("description", "descriptionPlain", F.lit(""))), lists), "\n\n")
     return _posting(
         j, url=F.coalesce(_blank(F.col("hostedUrl")), _blank(F.col("applyUrl"))), title=_blank(F.col("text")), location=place, department=F.coalesce(c["department"], c["team"]),
-        employment_type=c["commitment"], work_arrangement=F.lower("workplaceType"), comp_min=F.floor("salaryRange.min").cast("long"), comp_max=F.floor("salaryRange.max").cast("long"),
+        employment_type=c["commitment"], work_arrangement=F.lower("workplaceType"), comp_min=comp["low"], comp_max=comp["high"],
         raw_jd=X.clean_html(html), raw_jd_html=html, posted_at=F.timestamp_millis("createdAt"), external_id=F.col("id"),
     )
 
