@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.functions import pandas_udf
 
@@ -17,8 +18,7 @@ from pairloom.plans.runtime import ship
 # Short common words that are no terms of a scan.
 AMBIGUOUS = ("can", "lead", "go", "r", "c", "it", "ai")
 BLOCK = 1024  # vectors of a block
-FEW_TERMS = 200  # looked up inside a row
-MOST_TERMS = 200_000  # broadcast
+MOST_TERMS = 200_000  # of a trie
 
 
 def nfkc(col: Column, spark) -> Column:
@@ -101,27 +101,56 @@ def link_or_scan(docs: DataFrame, key: str, col: str, spans: DataFrame, span_col
     return both.join(found, key, "left").select(key, how.alias("how"), F.coalesce("linked", "found", F.array().cast("array<string>")).alias("skill_ids"))
 
 
+def token_trie(terms: list[str]) -> dict:
+    """Terms by their tokens: a node maps the next token to a node, and None to the term that ends there."""
+    root: dict = {}
+    for term in terms:
+        node = root
+        for token in term.split(" "):
+            node = node.setdefault(token, {})
+        node[None] = term
+    return root
+
+
+def terms_in(trie: dict, text: str) -> set[str]:
+    """The terms that stand in the text, token by token."""
+    tokens, found = text.split(" "), set()
+    for k, token in enumerate(tokens):
+        node = trie.get(token)
+        while node is not None:
+            if None in node:
+                found.add(node[None])
+            k += 1
+            node = node.get(tokens[k]) if k < len(tokens) else None
+    return found
+
+
 def scan_terms(docs: DataFrame, key: str, col: str, terms: DataFrame) -> DataFrame:
     """Terms (skill_id, term) that stand token-bounded in the normalised text; per (document, skill) the longest.
 
-    Shingles of one to the longest term's number of tokens meet the terms. Few terms are looked up inside the row, so that only hits
-    become rows; up to ``MOST_TERMS`` are broadcast; beyond that the distinct shingles of each text are shuffled to the terms.
+    Texts are walked along a trie of the terms' tokens, so only hits become rows, however long the terms are. The terms go to the workers in slices of
+    about ``MOST_TERMS``, each with a pass of its own over the texts.
     """
-    norm = terms.select("skill_id", X.normalize_label(F.col("term")).alias("term")).where((F.length("term") > 2) & ~F.col("term").isin(*AMBIGUOUS))
-    known = norm.agg(F.max(F.size(F.split("term", " "))).alias("longest"), F.countDistinct("term").alias("n")).first()
-    longest, n_terms = known["longest"] or 1, known["n"]
-    tokens = docs.select(key, F.split(X.normalize_label(F.col(col)), " ").alias("ts"))
-    none = F.array().cast("array<string>")
-    grams = [F.col("ts")]
-    for n in range(2, longest + 1):  # each from the one before: a gram and the token after it
-        size = F.greatest(F.size("ts") - n + 1, F.lit(0))
-        grams.append(F.coalesce(F.zip_with(F.slice(grams[-1], F.lit(1), size), F.slice("ts", F.lit(n), size), lambda a, b: F.concat(a, F.lit(" "), b)), none))
-    found = F.array_distinct(F.concat(*grams))
-    if n_terms <= FEW_TERMS:
-        few = [r["term"] for r in norm.select("term").distinct().collect()]  # at most FEW_TERMS
-        found = F.array_intersect(found, F.array(*map(F.lit, few)).cast("array<string>"))
-    each = tokens.select(key, F.explode_outer(found).alias("term")).where("term is not null")
-    hits = each.join(F.broadcast(norm) if n_terms <= MOST_TERMS else norm, "term")
+    ship(docs.sparkSession)
+    norm = terms.select("skill_id", X.normalize_label(F.col("term")).alias("term")).where((F.length("term") > 2) & ~F.col("term").isin(*AMBIGUOUS)).distinct()
+    slices = max(1, math.ceil(norm.count() / MOST_TERMS))
+    texts = docs.select(key, X.normalize_label(F.col(col)).alias("t"))
+    schema = T.StructType([docs.schema[key], T.StructField("term", T.StringType())])
+    hits = None
+    for k in range(slices):
+        some = norm.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == k)
+        told = docs.sparkSession.sparkContext.broadcast([r["term"] for r in some.select("term").distinct().collect()])  # about MOST_TERMS
+
+        def run(batches, told=told):
+            import pyarrow as pa
+
+            trie = token_trie(told.value)
+            for batch in batches:
+                found = [(row, term) for row, text in enumerate(batch.column(1).to_pylist()) if text for term in terms_in(trie, text)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in found], pa.int64())), pa.array([t for _, t in found], pa.string())], names=[key, "term"])
+
+        part = texts.mapInArrow(run, schema).join(some, "term")
+        hits = part if hits is None else hits.unionByName(part)
     return hits.groupBy(key, "skill_id").agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("term"))
 
 

@@ -406,29 +406,39 @@ def select_users(profiles: DataFrame, mode: str, cap: int, filters: DataFrame |
     return profiles if filters is None else profiles.join(filters.select("user_id").distinct(), "user_id", "left_semi")
 
 
-def rerank(pairs: DataFrame, top_n: int | None = None, scorer=None) -> DataFrame:
-    """Rank per user by score (null is 0), best first. ``scorer`` may replace scores: it gets one user's pairs (pandas frame, by
-    score) and gives (row, score) pairs. Rows that don't exist or have no number are skipped, of a row named twice the first counts,
-    and rows it leaves out drop out; where it fails or gives nothing usable the user's local scores stand."""
+CHUNK = 1000  # pairs that a scorer gets at once
+
+
+def rerank(pairs: DataFrame, top_n: int | None = None, scorer=None, chunk: int = CHUNK) -> DataFrame:
+    """Rank per user by score (null is 0), best first. ``scorer`` may replace scores: it gets pairs of one user (pandas frame, by score) and gives (row, score)
+    pairs. Rows that don't exist or have no number are skipped, of a row named twice the first counts, and rows it leaves out drop out; where it fails or
+    gives nothing usable the user's local scores stand.
+
+    A scorer never gets more than about ``chunk`` pairs: those of a user with more are dealt to several calls by a hash of the job. Whether its answers stand
+    is decided per user afterwards: one failed call, or no usable answer in any, and all local scores do.
+    """
     local = F.coalesce(F.col("score"), F.lit(0.0))
     by = [local.desc(), F.col("job_id")]
     if scorer:
         ship(pairs.sparkSession)
-        kind = T.StructType([*pairs.schema, T.StructField("external", T.DoubleType())])
+        kind = T.StructType([*pairs.schema, T.StructField("external", T.DoubleType()), T.StructField("failed", T.BooleanType())])
 
         def run(pdf):
-            pdf = pdf.assign(local=pdf["score"].fillna(0)).sort_values(["local", "job_id"], ascending=[False, True]).drop(columns="local").reset_index(drop=True)
-            given = {}
+            pdf = pdf.drop(columns="part").assign(local=pdf["score"].fillna(0)).sort_values(["local", "job_id"], ascending=[False, True]).drop(columns="local").reset_index(drop=True)
+            given, failed = {}, False
             try:
                 for row, score in scorer(pdf):
                     if isinstance(row, int) and 0 <= row < len(pdf) and row not in given and score is not None and score == score:
                         given[row] = float(score)
             except Exception:
-                given = {}
-            pdf = pdf.assign(external=[given.get(k) for k in range(len(pdf))]).astype({"external": "float64"})
-            return pdf[pdf["external"].notna()] if given else pdf
-
-        pairs = pairs.groupBy("user_id").applyInPandas(run, kind)
+                failed = True
+            return pdf.assign(external=[given.get(k) for k in range(len(pdf))], failed=failed).astype({"external": "float64"})
+
+        parts = pairs.groupBy("user_id").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+        dealt = pairs.join(parts, "user_id").withColumn("part", F.pmod(F.xxhash64("job_id"), F.col("parts"))).select(*pairs.columns, "part")
+        scored_pairs = saved(dealt.groupBy("user_id", "part").applyInPandas(run, kind), "reranked")  # an answer is asked for once
+        stands = scored_pairs.groupBy("user_id").agg((~F.bool_or("failed") & (F.count("external") > 0)).alias("stands"))
+        pairs = scored_pairs.join(stands, "user_id").withColumn("external", F.when(F.col("stands"), F.col("external"))).where(~F.col("stands") | F.col("external").isNotNull()).drop("stands", "failed")
         by = [F.col("external").desc_nulls_last(), *by]
     out = pairs.withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy(*by)).cast("long"))
     out = out.withColumn("score", F.coalesce("external", "score")).drop("external") if scorer else out

@@ -40,7 +40,7 @@ def k1(t):
     claims = F.transform(F.slice(some, 1, 1), lambda v: F.struct(F.lit("employer").alias("kind"), v.alias("text"), F.lit(None).cast("string").alias("skill_id")))
     low = t.lineitem.groupBy(F.col("l_orderkey").alias("doc")).agg(F.min("l_suppkey").alias("s"))
     text = F.concat(F.lit("Years at home. Worked at Firm-"), (F.col("s") + F.col("doc") % 2).cast("string"), F.lit(" Ltd. for long"))
-    employers = F.coalesce(F.slice(some, 2, 99), op.none())
+    employers = F.coalesce(F.slice(some, F.lit(2), F.size("next")), op.none())
     claimed = op.claimed_employers(employers, F.coalesce(claims, F.array().cast("array<struct<kind:string,text:string,skill_id:string>>")), text)
     return _pairs(t).join(low, "doc").select("doc", op.unknown_employer(claimed, F.col("roles")).alias("unknown"))
 

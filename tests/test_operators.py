@@ -100,6 +100,37 @@ def test_parts_in_any_order(spark, tmp_path):
         assert not table.append(table.read(), 2)
 
 
+def test_scan_terms(spark, monkeypatch):
+    from pairloom.operators import linking
+
+    long = " ".join(f"part{k}" for k in range(20))
+    texts = [(1, "We use Machine Learning, and learning machines."), (2, f"see {long.upper()} here"), (3, ""), (4, None), (5, "c++ and sql sql"), (6, "machine learning")]
+    terms = [("a", "machine learning"), ("a", "machine"), ("b", "learning"), ("c", long), ("d", "sql"), ("d", "SQL"), ("e", "go"), ("f", "c++"), ("g", "learning machine"), ("h", "part3 part4")]
+    d, t = spark.createDataFrame(texts, "doc long, text string"), spark.createDataFrame(terms, "skill_id string, term string")
+    expected = {(1, "a", "machine learning"), (1, "b", "learning"), (2, "c", long), (2, "h", "part3 part4"), (5, "d", "sql"), (5, "f", "c++"), (6, "a", "machine learning"), (6, "b", "learning")}
+    for most in (100, 2):
+        monkeypatch.setattr(linking, "MOST_TERMS", most)
+        assert {tuple(x) for x in linking.scan_terms(d, "doc", "text", t).collect()} == expected
+
+
+def test_rerank_in_chunks(spark):
+    from pairloom.operators import matching
+
+    pairs = [(u, j, float((j * 7) % 50) if j % 9 else None) for u in range(4) for j in range(50)]
+
+    def scorer(pdf):
+        assert len(pdf) < 25
+        user = pdf["user_id"].iloc[0]
+        if user == 0 and 17 in set(pdf["job_id"]):
+            raise RuntimeError
+        return [] if user == 1 else [(k, -float(j)) for k, j in enumerate(pdf["job_id"]) if j % 5 or user != 2]
+
+    got = matching.rerank(spark.createDataFrame(pairs, "user_id long, job_id long, score double"), None, scorer, chunk=10).collect()
+    local = [j for _, j in sorted((-(s or 0), j) for u, j, s in pairs if u == 0)]
+    order = {u: [x.job_id for x in sorted(got, key=lambda x: x["rank"]) if x.user_id == u] for u in range(4)}
+    assert order == {0: local, 1: local, 2: [j for j in range(50) if j % 5], 3: list(range(50))}
+
+
 def passes(user, job):
     _, places, families, arrangements, band, floor = user
     _, place, title, arrangement, seniority, pay = job
