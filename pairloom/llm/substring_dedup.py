@@ -245,6 +245,13 @@ def passages(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> list[tup
     return out
 
 
+def passages_both_ways(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """Passages of x found in y and passages of y found in x: windows have a fixed width on the side they are taken from, so words put in
+    on one side show only from the other."""
+    out = passages(x, y, width, percent) + [(s, e, s2, e2) for s2, e2, s, e in passages(y, x, width, percent)]
+    return list(dict.fromkeys(out))
+
+
 def reach(y: np.ndarray, part: np.ndarray, width: int) -> tuple[int, int]:
     """From the first to the last token of y that stands in ``part``."""
     at = np.flatnonzero(np.isin(y, part))
@@ -404,7 +411,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, words: int = WOR
         for batch in batches:
             out = []
             for d, lead, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(d, lead, *v) for v in passages(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), width, percent)]
+                out += [(d, lead, *v) for v in passages_both_ways(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), width, percent)]
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(columns)], names=["d", "lead", "s", "e", "s2", "e2"])
 

@@ -62,6 +62,70 @@ def test_second_passage_far_from_the_roots_met(spark):
         assert covered(got[200 + k]) >= {*range(7, 67), *range(367, 417)}
 
 
+def edited(r, passage, kind, places):
+    """The passage with one or two words put in, left out or changed at each of the places."""
+    out = list(passage)
+    for at in sorted(places, reverse=True):
+        if kind == "insert":
+            out[at:at] = words(r, 2)
+        elif kind == "delete":
+            del out[at]
+        else:
+            out[at] = "changed" + str(r.randrange(10**6))
+    return out
+
+
+def plain_links(rows, shingle=5, words_=50, percent=80):
+    """Pairs of documents with windows of at least ``words_`` words on one side whose shingles reach the similarity with some window of the other."""
+    sets = {d: [tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)] for d, w in rows}
+    width, out = words_ - shingle + 1, set()
+    for d, x in sets.items():
+        for o, y in sets.items():
+            if d >= o or len(set(x) & set(y)) * (100 + percent) < percent * 2 * width * 0.9:
+                continue
+            for one, two in ((x, y), (y, x)):
+                for a in range(len(one) - width + 1):
+                    part = set(one[a : a + width])
+                    for b in range(len(two)):
+                        for n in range(width * percent // 100, width * 100 // percent + 1):
+                            if b + n <= len(two):
+                                other = set(two[b : b + n])
+                                both = len(part & other)
+                                if 100 * both >= percent * (len(part) + len(other) - both):
+                                    out.add((d, o))
+                                    break
+                        if (d, o) in out:
+                            break
+                    if (d, o) in out:
+                        break
+    return out
+
+
+def test_edits_on_either_side(spark):
+    """Every kind of edit, in the text with the smaller or with the larger id, against a search of all windows of all pairs."""
+    r = random.Random(12)
+    rows, kinds = [], {}
+    for n, (kind, size, places) in enumerate([("insert", 50, [25]), ("insert", 60, [20]), ("insert", 80, [20, 55]), ("delete", 60, [30]), ("delete", 80, [25, 50]), ("change", 50, [24]), ("change", 80, [15, 40, 65])]):
+        for side in range(2):
+            for k in range(6):
+                one, two = (passage := words(r, size)), edited(r, passage, kind, places)
+                if side:
+                    one, two = two, one
+                at = 1000 * n + 100 * side + 2 * k
+                rows += [(at, words(r, 12) + one + words(r, 9)), (at + 1, words(r, 5) + two + words(r, 15))]
+                kinds[at] = kind, side
+    got, links = found(spark, rows), plain_links(rows)
+    seen = {}
+    for at, kind in kinds.items():
+        linked = got[at].component_id == got[at + 1].component_id
+        assert not linked or (at, at + 1) in links
+        if (at, at + 1) in links:
+            seen.setdefault(kind, []).append(linked)
+    for kind, hits in seen.items():
+        assert sum(hits) >= 0.9 * len(hits), (kind, sum(hits), len(hits))
+    assert {k for k, h in seen.items() if len(h) >= 6} >= {("insert", 0), ("insert", 1), ("delete", 0), ("delete", 1), ("change", 0), ("change", 1)}
+
+
 def test_passage_whose_start_also_stands_earlier():
     import numpy as np
 
