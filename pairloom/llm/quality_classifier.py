@@ -6,9 +6,9 @@ measures of its letters and words. One tanh layer embeds both, passages are weig
 (``softmax(w . (tanh(V h) * sigmoid(U h)))``), and the weighted mean is scored by a logistic unit. All weights are learned
 together from document labels.
 
-Fitting uses at most ``rows`` labelled documents (a documented bound; those with the smallest hash of their id) and of each at
-most ``most_passages``, evenly spaced: passages are encoded on the executors, and at most ``rows * most_passages * 340`` bytes
-(65 MB) go to the driver, which trains with numpy. Scoring takes all passages of all documents; it broadcasts the weights (some
+Fitting uses at most ``rows`` labelled documents (a documented bound), whole: those with the smallest hash of their id whose passages together
+don't exceed ``passages`` (one that would is left out, and the next is tried). Passages are encoded on the executors, and at most
+``passages * 340`` bytes (65 MB) go to the driver, which trains with numpy. Scoring takes all passages of all documents; it broadcasts the weights (some
 kilobytes) and is one pass without a shuffle. Both encode in numpy on Arrow batches.
 
 The inputs of a score are the text's own measures; labels, lang, source and ids are not among them.
@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.plans.runtime import ship
+from pairloom.plans.runtime import saved, ship
 
 PASSAGE = 64
 ROWS = 6000
-MOST_PASSAGES = 32
+PASSAGES = 192_000  # of all documents of the fit together
+STEP_PASSAGES = 16_384  # of a step of the fit, but for a longer document
 BITS = 8
 BUCKETS = 1 << BITS  # cells of hashed words, and as many of word pairs
 GROUP_BYTES = 1 << 20  # texts are encoded together in groups of about this size
@@ -194,7 +195,7 @@ class Model:
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         ends, order, step = np.cumsum(n), np.random.default_rng(3), 0
-        for part in (p for _ in range(epochs) for p in np.array_split(order.permutation(len(n)), -(-len(n) // batch))):
+        for part in (q for _ in range(epochs) for p in np.array_split(order.permutation(len(n)), -(-len(n) // batch)) for q in _steps(p, n)):
             step += 1
             size = n[part]
             pick = np.repeat(ends[part] - size - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -206,13 +207,19 @@ class Model:
         return self
 
 
+def _steps(part: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """A batch of documents, cut where its passages are more than a step takes."""
+    number = (np.cumsum(n[part]) - 1) // STEP_PASSAGES
+    return np.split(part, np.flatnonzero(np.diff(number)) + 1)
+
+
 def remainder(id_col: str) -> Column:
     """crc32 of the id as text, modulo 5; 0 marks held-out rows."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, most_passages: int = MOST_PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learn from at most ``rows`` labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, passages: int = PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Learn from at most ``rows`` labelled documents that are not held out, of at most ``passages`` passages together."""
     ship(docs.sparkSession)
     usable = labels.select(F.col(id_col).alias("d"), F.col(label_col).cast("int").alias("y")).where(F.col("d").isNotNull() & F.col("y").isin(0, 1))
     chosen = usable.where(remainder("d") != 0).orderBy(F.xxhash64(F.lit(4), "d"), "y").limit(rows)
@@ -223,14 +230,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, most_passages:
         for batch in batches:
             xs, ks = [], []
             for v in batch.column(2):
-                x, cells, n = encode([v.as_py() or b""])
-                some = np.unique(np.linspace(0, n[0] - 1, min(n[0], most_passages)).astype(np.int64))
-                xs.append(x[some].tobytes())
-                ks.append(cells[some].tobytes())
+                x, cells, _ = encode([v.as_py() or b""])
+                xs.append(x.tobytes())
+                ks.append(cells.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(xs, pa.binary()), pa.array(ks, pa.binary())], names=["d", "y", "x", "k"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted(rows_in.mapInArrow(run, f"d {kind}, y int, x binary, k binary").collect(), key=lambda r: (str(r["d"]), r["y"], bytes(r["x"]), bytes(r["k"])))
+    encoded = saved(rows_in.mapInArrow(run, f"d {kind}, y int, x binary, k binary"), "passages")
+    size, order = (F.length("x") / (4 * N_FEATURES)).cast("long"), F.xxhash64(F.lit(4), "d")
+    sizes = sorted((tuple(r) for r in encoded.select(order, F.xxhash64("d", "y", "x", "k"), size).collect()), key=lambda r: r[:2])  # three numbers for each of ``rows`` documents
+    taken, left = [], passages
+    for _, row, n in sizes:
+        if n <= left:
+            taken.append((row,))
+            left -= n
+    some = docs.sparkSession.createDataFrame(taken, "row long").distinct()
+    inside = encoded.join(F.broadcast(some), F.xxhash64("d", "y", "x", "k") == F.col("row"), "left_semi")
+    got = sorted(inside.collect(), key=lambda r: (str(r["d"]), r["y"], bytes(r["x"]), bytes(r["k"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, N_FEATURES)
     cells = np.frombuffer(b"".join(bytes(r["k"]) for r in got), np.uint16).reshape(-1, 2 * PASSAGE)
     n = np.array([len(r["x"]) // (4 * N_FEATURES) for r in got], np.int64)

@@ -59,3 +59,19 @@ def test_long_texts_ties_and_clashing_columns(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(1, 1), (1000, 1)], "doc_id long, quality int")
     out = q.score(docs, q.fit(docs, labels), keep=("score", "k0", "d")).drop("score")
     assert out.count() == len(rows) and [r.predicted for r in out.where("doc_id in (1, 1000)").collect()] == [1, 1, 1]
+
+
+def test_long_documents_are_learned_from_whole(spark):
+    """What tells the labels apart stands far behind the start; the bound leaves documents out, never passages."""
+    from pairloom.llm import quality_classifier as q
+
+    r = random.Random(9)
+    plain = lambda n: " ".join(f"w{r.randrange(400)}" for _ in range(n))
+    rows = [(k, plain(64 * 40) + (" #### $$$$ |||| " * 21 if k % 2 else plain(63)) + plain(64 * 3)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)], "doc_id long, quality int")
+    out = q.score(docs, q.fit(docs, labels)).collect()
+    assert np.mean([x.predicted == 1 - x.doc_id % 2 for x in out if not x.held_out]) > 0.9
+    few = q.fit(docs, labels, passages=100)  # two whole documents, or none of a longer one
+    assert few.constant is None or few.constant in (0.0, 0.5, 1.0)
+    assert q.fit(docs, labels, passages=10).constant == 0.5
