@@ -13,6 +13,13 @@ MODEL_STAGES = ("extract-job", "screen-job", "generate-resume", "verify-resume")
 USAGE = "prompt_tokens long, completion_tokens long, cost_usd double, latency_ms double"
 
 
+EXACT = USAGE.replace("cost_usd double", "cost_usd decimal(38,8)")  # for sums that no order of adding changes
+
+
+def mean_cost(cost: Column) -> Column:
+    return F.sum(cost).cast("double") / F.count(cost)
+
+
 def with_details(events: DataFrame) -> DataFrame:
     """details: JSON without nulls, cost to 8 and latency to 3 decimals."""
     fields = F.struct("prompt_tokens", "completion_tokens", F.bround("cost_usd", 8).alias("cost_usd"), F.bround("latency_ms", 3).alias("latency_ms"))
@@ -27,10 +34,10 @@ def usage_rows(events: DataFrame, stages=MODEL_STAGES) -> DataFrame:
 
 def usage_by_stage(events: DataFrame, stages=MODEL_STAGES) -> DataFrame:
     """n, tokens and costs per model stage; stages without rows are there with n = 0."""
-    d = usage_rows(events, stages).select("stage", F.from_json("details", USAGE).alias("d"))
+    d = usage_rows(events, stages).select("stage", F.from_json("details", EXACT).alias("d"))
     sums = d.groupBy("stage").agg(
         F.count("*").alias("n"), F.sum("d.prompt_tokens").alias("prompt_tokens"), F.round(F.avg("d.prompt_tokens"), 4).alias("mean_prompt"),
-        F.round(F.sum("d.cost_usd"), 6).alias("cost"), F.round(F.avg("d.cost_usd"), 6).alias("mean_cost"), F.min("d.cost_usd").alias("min_cost"), F.max("d.cost_usd").alias("max_cost"),
+        F.round(F.sum("d.cost_usd"), 6).cast("double").alias("cost"), F.round(mean_cost(F.col("d.cost_usd")), 6).alias("mean_cost"), F.min("d.cost_usd").cast("double").alias("min_cost"), F.max("d.cost_usd").cast("double").alias("max_cost"),
     )
     names = events.sparkSession.createDataFrame([(s,) for s in stages], "stage string")
     return F.broadcast(names).join(sums, "stage", "left").withColumn("n", F.coalesce("n", F.lit(0)))

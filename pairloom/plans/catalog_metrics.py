@@ -48,7 +48,7 @@ def f14(t):
 _USE = f"(SELECT * FROM {_STAGED} e WHERE cost_usd IS NOT NULL OR prompt_tokens IS NOT NULL)"
 
 
-@query("a3_usage_by_stage", f"""SELECT s.stage, count(u.event_id) AS n, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, round(avg(prompt_tokens), 4) AS mean_prompt, round(sum(cost_usd), 6) AS cost, round(avg(cost_usd), 6) AS mean_cost,
+@query("a3_usage_by_stage", f"""SELECT s.stage, count(u.event_id) AS n, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, round(avg(prompt_tokens), 4) AS mean_prompt, CAST(round(sum(CAST(cost_usd AS DECIMAL(30, 8))), 6) AS DOUBLE) AS cost, round(CAST(sum(CAST(cost_usd AS DECIMAL(30, 8))) AS DOUBLE) / count(cost_usd), 6) AS mean_cost,
  min(cost_usd) AS min_cost, max(cost_usd) AS max_cost FROM (VALUES ('extract-job'), ('screen-job'), ('generate-resume'), ('verify-resume')) s(stage) LEFT JOIN {_USE} u ON u.stage = s.stage GROUP BY s.stage""")
 def a3(t):
     return op.usage_by_stage(_staged(t))
@@ -101,10 +101,10 @@ def a8(t):
     return t.v_events.where("action = 'marked_applied'").select("user_id", "job_id").distinct().agg(F.count("*").alias("pairs"))
 
 
-@query("a9_spend", f"SELECT round(sum(cost_usd), 5) AS spend, count(*) AS calls FROM {_USE} u WHERE stage IN ('extract-job', 'screen-job', 'generate-resume', 'verify-resume')")
+@query("a9_spend", f"SELECT CAST(round(sum(CAST(cost_usd AS DECIMAL(30, 8))), 5) AS DOUBLE) AS spend, count(*) AS calls FROM {_USE} u WHERE stage IN ('extract-job', 'screen-job', 'generate-resume', 'verify-resume')")
 def a9(t):
-    d = op.usage_rows(_staged(t)).select(F.from_json("details", op.USAGE).alias("d"))
-    return d.agg(F.round(F.sum("d.cost_usd"), 5).alias("spend"), F.count("*").alias("calls"))
+    d = op.usage_rows(_staged(t)).select(F.from_json("details", op.EXACT).alias("d"))
+    return d.agg(F.round(F.sum("d.cost_usd"), 5).cast("double").alias("spend"), F.count("*").alias("calls"))
 
 
 @query("a12_vectors_trusted", "SELECT label % 2 AS part, coalesce(bool_and(vec_id % 1000 >= 0 AND (CASE WHEN label = 3 AND vec_id % 7 = 0 THEN NULL ELSE 'm1' END) IS NOT DISTINCT FROM 'm1'), true) AS trusted FROM embeddings WHERE embedding IS NOT NULL GROUP BY label % 2")
@@ -136,10 +136,10 @@ def a16(t):
     return m.crossJoin(g).select("unscreened", "unverified", F.greatest(F.lit(0), F.col("top") - F.col("made")).alias("ungenerated"))
 
 
-@query("a17_monthly_cost", f"SELECT round(avg(cost_usd) * 100 * 30, 4) AS monthly FROM {_USE} u WHERE stage = 'screen-job'")
+@query("a17_monthly_cost", f"SELECT round(CAST(sum(CAST(cost_usd AS DECIMAL(30, 8))) AS DOUBLE) / count(cost_usd) * 100 * 30, 4) AS monthly FROM {_USE} u WHERE stage = 'screen-job'")
 def a17(t):
-    return op.usage_by_stage(_staged(t).where("stage = 'screen-job'")).where("stage = 'screen-job'").select(F.lit(1)).crossJoin(
-        op.usage_rows(_staged(t), ("screen-job",)).select(F.from_json("details", op.USAGE).alias("d")).agg(F.round(F.avg("d.cost_usd") * 100 * 30, 4).alias("monthly"))).select("monthly")
+    d = op.usage_rows(_staged(t), ("screen-job",)).select(F.from_json("details", op.EXACT).alias("d"))
+    return d.agg(F.round(op.mean_cost(F.col("d.cost_usd")) * 100 * 30, 4).alias("monthly"))
 
 
 @query("p21_usage_cost", f"SELECT event_id, round(coalesce(prompt_tokens, 0) / 1000000 * 0.3 + coalesce(completion_tokens, 0) / 1000000 * 2.5, 10) AS cost FROM {_STAGED} e")

@@ -5,7 +5,9 @@ import pytest
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = ("j1_filter_pairs", "w4_top_per_user", "x3_skill_buckets", "t1_incremental_cycle", "w3_ui_state", "w7_quota_gate", "w9_limit_to_target", "s11_upsert_postings", "t5_idempotent_redelivery",
          "a3_usage_by_stage", "a4_latency_by_stage", "e2_recall_at_k", "w12_merge_aliases", "x6_link_report", "j8_scan_terms", "p1_canonical_url", "p16_jd_fields", "p18_norm_month", "k4_fabricated_numbers",
-         "k1_unknown_employer", "k8_planted_claims", "x8_link_or_scan", "w15_segment_resume", "s10_read_labels", "s15_report_sink", "t2_cycle_counts", "t10_posting_stream", "t12_usage_stream")
+         "k1_unknown_employer", "k8_planted_claims", "x8_link_or_scan", "w15_segment_resume", "s10_read_labels", "s15_report_sink", "t2_cycle_counts", "t10_posting_stream", "t12_usage_stream",
+         "e8_cutoff_sweep", "t6_profile_edits", "a5_funnel_peaks", "a14_score_distribution", "e6_field_accuracy", "e3_recall_curve", "e3_dropped_relevant", "j13_location_sensitivity", "j14_profile_bundle",
+         "p6_comp_bounds", "p19_title_families", "p20_default_filters", "s1_board_a", "w8_incremental_users", "u1_rerank_plugin")
 
 
 def rows(frame, columns):
