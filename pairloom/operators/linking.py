@@ -18,6 +18,7 @@ from pairloom.plans.runtime import ship
 # Short common words that are no terms of a scan.
 AMBIGUOUS = ("can", "lead", "go", "r", "c", "it", "ai")
 BLOCK = 1024  # vectors of a block
+FEW_TERMS = 16  # looked for in the text by column functions
 MOST_TERMS = 200_000  # of a trie
 
 
@@ -128,15 +129,21 @@ def terms_in(trie: dict, text: str) -> set[str]:
 def scan_terms(docs: DataFrame, key: str, col: str, terms: DataFrame) -> DataFrame:
     """Terms (skill_id, term) that stand token-bounded in the normalised text; per (document, skill) the longest.
 
-    Texts are walked along a trie of the terms' tokens, so only hits become rows, however long the terms are. The terms go to the workers in slices of
-    about ``MOST_TERMS``, each with a pass of its own over the texts.
+    Up to ``FEW_TERMS`` terms are looked for by column functions. Else texts are walked along a trie of the terms' tokens; either way only hits become rows,
+    however long the terms are. The terms go to the workers in slices of about ``MOST_TERMS``, each with a pass of its own over the texts.
     """
     ship(docs.sparkSession)
     norm = terms.select("skill_id", X.normalize_label(F.col("term")).alias("term")).where((F.length("term") > 2) & ~F.col("term").isin(*AMBIGUOUS)).distinct()
-    slices = max(1, math.ceil(norm.count() / MOST_TERMS))
+    n_terms = norm.count()
+    slices = max(1, math.ceil(n_terms / max(1, MOST_TERMS)))
     texts = docs.select(key, X.normalize_label(F.col(col)).alias("t"))
     schema = T.StructType([docs.schema[key], T.StructField("term", T.StringType())])
     hits = None
+    if n_terms <= FEW_TERMS:
+        few = F.array(*[F.lit(r["term"]) for r in norm.select("term").distinct().collect()]).cast("array<string>")
+        padded = texts.withColumn("t", F.concat(F.lit(" "), "t", F.lit(" ")))
+        inside = F.filter(few, lambda v: F.contains(F.col("t"), F.concat(F.lit(" "), v, F.lit(" "))))
+        hits, slices = padded.select(key, F.explode_outer(inside).alias("term")).where("term is not null").join(F.broadcast(norm), "term"), 0
     for k in range(slices):
         some = norm.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == k)
         told = docs.sparkSession.sparkContext.broadcast([r["term"] for r in some.select("term").distinct().collect()])  # about MOST_TERMS

@@ -108,7 +108,8 @@ def test_scan_terms(spark, monkeypatch):
     terms = [("a", "machine learning"), ("a", "machine"), ("b", "learning"), ("c", long), ("d", "sql"), ("d", "SQL"), ("e", "go"), ("f", "c++"), ("g", "learning machine"), ("h", "part3 part4")]
     d, t = spark.createDataFrame(texts, "doc long, text string"), spark.createDataFrame(terms, "skill_id string, term string")
     expected = {(1, "a", "machine learning"), (1, "b", "learning"), (2, "c", long), (2, "h", "part3 part4"), (5, "d", "sql"), (5, "f", "c++"), (6, "a", "machine learning"), (6, "b", "learning")}
-    for most in (100, 2):
+    for few, most in ((100, 100), (0, 100), (0, 2)):
+        monkeypatch.setattr(linking, "FEW_TERMS", few)
         monkeypatch.setattr(linking, "MOST_TERMS", most)
         assert {tuple(x) for x in linking.scan_terms(d, "doc", "text", t).collect()} == expected
 
