@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pairloom.llm.common import SPACE, components, saved, small
+from pairloom.llm.common import SPACE, components, discard, saved, small
 from pairloom.plans.runtime import ship
 
 CELLS = 1 << 20
@@ -226,7 +226,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     """The pairs (a, b) whose sets reach the similarity. Only the texts of their ids are read into sets.
 
     First, pairs meet with counts of their shingles by ``1 << SKETCH`` ranges of hashes: the smaller counts add up to a bound of the
-    overlap that no real overlap exceeds. Sets are joined for the pairs that it leaves, so false candidates don't move any.
+    overlap that no real overlap exceeds. Only sets of pairs that it leaves are read again and joined, so false candidates don't move any.
     """
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "ids")
 
@@ -249,11 +249,14 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     sets = saved(docs.join(small(ids, MOST_BROADCAST), "d", "left_semi").mapInArrow(run, "d long, s array<long>, n long, g binary"), "sets")
     left = pairs.join(sets.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga")), "a")
     both = left.join(sets.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb")), "b").select("a", "b", "na", "nb", "ga", "gb")
-    pairs = saved(both.mapInArrow(may, "a long, b long"), "likely")
-    left = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
+    likely = saved(both.mapInArrow(may, "a long, b long"), "likely")
+    ends = {v: saved(likely.select(F.col(v).alias("d")).distinct(), "ends") for v in ("a", "b")}
+    held = {v: sets.select("d", "s").join(small(ends[v], MOST_BROADCAST), "d", "left_semi").toDF(v, f"s{v}") for v in ends}
+    both = likely.join(held["a"], "a").join(held["b"], "b")
     overlap = F.size(F.array_intersect("sa", "sb"))
-    return saved(both.where(enough(overlap, F.size("sa"), F.size("sb"), percent)).select("a", "b").distinct(), "links")
+    links = saved(both.where(enough(overlap, F.size("sa"), F.size("sb"), percent)).select("a", "b").distinct(), "links")
+    discard(ids, sets, likely, *ends.values())
+    return links
 
 
 def join_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS, most_matches: int = MOST_MATCHES) -> DataFrame:
@@ -282,9 +285,11 @@ def join_components(docs: DataFrame, *, n: int = 5, percent: int = 80, id_col: s
     # members of lists that still hold several components
     tagged = lists.drop("lead").join(small(first.withColumnRenamed("node", "x"), MOST_CLASSES), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
     tagged = saved(tagged, "tagged")
+    discard(lists)
     parts = tagged.groupBy("key", "c").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c")).alias("most")).where("parts > 1").select("key", F.col("most.c").alias("main"))
     members = saved(tagged.join(small(saved(mixed, "mixed"), MOST_CLASSES), "key"), "members")
+    discard(tagged)
     one = members.where("c <> main").select("key", *[F.col(v).alias(f"{v}1") for v in ("x", "n", "p", "c")])
     two = members.select("key", "main", *[F.col(v).alias(f"{v}2") for v in ("x", "n", "p", "c")])
     n1, n2 = F.col("n1"), F.col("n2")
