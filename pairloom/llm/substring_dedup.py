@@ -298,24 +298,34 @@ def combined(roots: DataFrame, width: int) -> DataFrame:
         low = (1 << 32) - 1
         for batch in batches:
             ws = batch.column(1)
-            ends = ws.offsets.to_numpy()
             key, ac, hb = (ws.values.field(k).to_numpy() for k in range(3))
-            all_of = (key.view(np.uint64), ac >> 32, ac & low, hb >> 32, hb & low)
-            for d, i, j in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
-                k, a, c, h, b = (v[i:j] for v in all_of)
-                step = max(1, (1 << 20) // max(1, j - i))
-                for at in range(0, j - i, step):
-                    u_a, u_c, u_h, u_b = (v[at : at + step, None] for v in (a, c, h, b))
-                    first, last = np.maximum(u_a, a), np.minimum(u_b, b)
-                    u, v = np.nonzero((u_h < h) & (first <= np.minimum(u_c, c)) & (np.maximum(u_c, c) <= last) & (last - first + 1 >= width))
-                    lo = np.maximum(first[u, v], np.maximum(c[u + at], c[v]) - width + 1)
-                    hi = np.minimum(last[u, v] - width + 1, np.minimum(c[u + at], c[v]))
-                    some = lo <= hi
-                    u, v, lo, hi = u[some] + at, v[some], lo[some], hi[some]
-                    mixed = k[u] * _FACTORS[0] ^ (k[v] * _FACTORS[1] >> np.uint64(7)) ^ k[v] * _FACTORS[2]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mixed.view(np.int64)), pa.array(np.full(len(u), d, np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["ck", "d", "lo", "hi"]
-                    )
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ws.offsets.to_numpy()))
+            place = row << 32 | ac & low
+            order = np.argsort(place, kind="stable")
+            place, k, a, c, h, b = place[order], key.view(np.uint64)[order], (ac >> 32)[order], (ac & low)[order], (hb >> 32)[order], (hb & low)[order]
+            d = batch.column(0).to_numpy()[row[order]]
+            # both roots lie in a passage of ``width`` tokens, so a window meets only those of its text whose roots follow less than that far behind
+            upto = np.searchsorted(place, place + width)
+            met = upto - np.arange(len(place)) - 1
+            total = np.concatenate([[0], np.cumsum(met)])
+            at = 0
+            while at < len(place):
+                end = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 20), "right")) - 1)
+                n = met[at:end]
+                u = np.repeat(np.arange(at, end), n)
+                v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
+                at = end
+                apart = h[u] != h[v]
+                u, v = u[apart], v[apart]
+                swap = h[u] > h[v]
+                u, v = np.where(swap, v, u), np.where(swap, u, v)
+                first, last = np.maximum(a[u], a[v]), np.minimum(b[u], b[v])
+                near, far = np.minimum(c[u], c[v]), np.maximum(c[u], c[v])
+                lo, hi = np.maximum(first, far - width + 1), np.minimum(last - width + 1, near)
+                some = (first <= near) & (far <= last) & (lo <= hi)
+                u, v, lo, hi = u[some], v[some], lo[some], hi[some]
+                mixed = k[u] * _FACTORS[0] ^ (k[v] * _FACTORS[1] >> np.uint64(7)) ^ k[v] * _FACTORS[2]
+                yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(d[u]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["ck", "d", "lo", "hi"])
 
     return roots.mapInArrow(run, "ck long, d long, lo int, hi int")
 

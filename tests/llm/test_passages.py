@@ -143,3 +143,49 @@ def test_passage_whose_start_also_stands_earlier():
     y = np.concatenate([x, some(700), x])  # both places count
     places = {k for *_, c, d in s.passages(x, y, 46, 80) for k in range(c, d)}
     assert places >= {*range(76), *range(776, 852)}
+
+
+def plain_windows(values, width):
+    """Nodes of the Cartesian tree, one by one; of equal minima the middle one is the root."""
+    out, todo = [], [(0, len(values) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a + 1 >= width:
+            c = min(range(a, b + 1), key=lambda k: (values[k], abs(k - a - (b - a) // 2), k))
+            out.append((a, c, b))
+            todo += [(a, c - 1), (c + 1, b)]
+    return out
+
+
+def batch_of(rows):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("ac", pa.int64()), ("hb", pa.int64())]))
+    lists = [[{"key": k, "ac": a << 32 | c, "hb": h << 32 | b} for k, h, a, c, b in ws] for _, ws in rows]
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(lists, kind)], names=["d", "ws"])
+
+
+def test_pairs_of_windows_against_all_pairs():
+    import numpy as np
+
+    from pairloom.llm import substring_dedup as s
+
+    class Rows:
+        def mapInArrow(self, run, kind):
+            return run
+
+    r, width = np.random.default_rng(6), 7
+    for _ in range(15):
+        rows = []
+        for d in range(int(r.integers(1, 5))):
+            n = int(r.integers(5, 150))
+            rows.append((d + 5, [(int(r.integers(-1 << 62, 1 << 62)), k, *w) for k in range(4) for w in plain_windows(r.integers(0, n, n).tolist(), width)]))
+        want = []
+        for d, ws in rows:
+            for _, h, a, c, b in ws:
+                for _, h2, a2, c2, b2 in ws:
+                    lo, hi = max(a, a2, max(c, c2) - width + 1), min(b, b2, min(c, c2) + width - 1) - width + 1
+                    if h < h2 and lo <= hi:
+                        want.append((d, lo, hi))
+        got = [tuple(x.values())[1:] for out in s.combined(Rows(), width)(iter([batch_of(rows)])) for x in out.to_pylist()]
+        assert sorted(got) == sorted(want)
