@@ -54,37 +54,46 @@ MOST_KNOWN = 100_000  # documents with their spans
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def compact_windows(values: np.ndarray, width: int, ties: bool) -> list[tuple[int, int, int]]:
-    """(a, c, b) of the Cartesian tree's nodes with b - a + 1 >= width; of equal minima the middle one is the root."""
-    out, todo = [], [(0, len(values) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a + 1 < width:
-            continue
-        part = values[a : b + 1]
-        c = int(part.argmin())
-        if ties:
-            same = np.flatnonzero(part == part[c])
-            c = int(same[np.abs(same - (b - a) // 2).argmin()])
-        c += a
-        out.append((a, c, b))
-        todo += [(a, c - 1), (c + 1, b)]
-    return out
+def _sliding(v: np.ndarray, width: int, best) -> np.ndarray:
+    """``best`` (minimum or maximum) of every ``width`` values in a row, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        v = best(v[:-step], v[step:])
+        have += step
+    return v
 
 
 def many_windows(h: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same nodes, (a, c, b), for many stretches of ``h`` at once, level by level; no stretch may hold a value twice."""
-    found = []
+    """The same nodes, (a, c, b), for many stretches of ``h`` at once, level by level; a stretch has ``width`` values at least, the next one
+    begins where it ends.
+
+    Roots of wide nodes are among the minima of some ``width`` values in a row, so minima are looked for among those only, about one value in ``width / 2``.
+    """
+    low = _sliding(h, width, np.minimum)
+    inside = np.ones(len(h), bool)
+    inside[(b[:, None] - np.arange(width - 1)).ravel()] = False  # starts whose values would reach into the next stretch
+    padded = np.zeros(len(h) + width - 1, h.dtype)
+    padded[width - 1 : width - 1 + len(low)] = np.where(inside[: len(low)], low, 0)
+    roots = np.flatnonzero(_sliding(padded, width, np.maximum) == h)
+    held, found = h[roots], []
     while True:
         some = b - a + 1 >= width
         a, b = a[some], b[some]
         if not len(a):
             break
-        size = b - a + 1
+        start = np.searchsorted(roots, a)
+        size = np.searchsorted(roots, b, "right") - start
         first = np.cumsum(size) - size
-        at = np.repeat(a - first, size) + np.arange(size.sum())
-        v = h[at]
-        c = at[np.flatnonzero(v == np.repeat(np.minimum.reduceat(v, first), size))]
+        at = np.repeat(start - first, size) + np.arange(size.sum())
+        v = held[at]
+        least = np.flatnonzero(v == np.repeat(np.minimum.reduceat(v, first), size))
+        c = roots[at[least]]
+        if len(c) > len(a):
+            of = np.searchsorted(first, least, "right") - 1
+            middle = (a + (b - a) // 2)[of]
+            far = np.abs(c - middle) << 1 | (c > middle)
+            c = c[far == np.minimum.reduceat(far, np.searchsorted(of, np.arange(len(a))))[of]]
         found.append((a, c, b))
         a, b = np.concatenate([a, c + 1]), np.concatenate([c - 1, b])
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
@@ -120,25 +129,23 @@ def windows(texts: DataFrame, shingle: int, width: int, hashes: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, inner, tied, plain = [], [], [], [], []
+            n, digests, inner, some_of = [], [], [], []
             sequences: list[np.ndarray] = []
             for row, (s, count) in enumerate(shingle_lists(batch.column(1).to_pylist(), shingle)):
                 n.append(count)
                 digests.append(hashlib.md5(s.tobytes()).digest())
                 again = 0
                 if len(s) >= width:
+                    some_of.append(row)
                     if len(np.unique(s)) < len(s):
-                        tied.append(row)
                         again = inner_repeats(s, width, shingle)
-                    else:
-                        plain.append(row)
                 inner.append(again)
                 sequences.append(s)
             found = []  # row, key, function, a, c, b
-            while plain:
+            while some_of:
                 held, some = 0, []
-                while plain and held < GROUP:
-                    some.append(plain.pop())
+                while some_of and held < GROUP:
+                    some.append(some_of.pop())
                     held += len(sequences[some[-1]])
                 tokens = np.concatenate([sequences[r] for r in some])
                 size = np.array([len(sequences[r]) for r in some])
@@ -148,11 +155,6 @@ def windows(texts: DataFrame, shingle: int, width: int, hashes: int) -> DataFram
                     a, c, b = many_windows(h, first, first + size - 1, width)
                     of = np.searchsorted(first, c, "right") - 1
                     found.append((np.array(some)[of], h[c] * np.uint64(hashes) + np.uint64(k), np.full(len(c), k), a - first[of], c - first[of], b - first[of]))
-            for row in tied:
-                for k in range(hashes):
-                    h = hashed(sequences[row], k)
-                    a, c, b = np.array(compact_windows(h, width, True)).T
-                    found.append((np.full(len(c), row), h[c] * np.uint64(hashes) + np.uint64(k), np.full(len(c), k), a, c, b))
             row, key, *places = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, t) for t in (int, np.uint64, int, int, int, int))
             order = np.argsort(row, kind="stable")
             columns = [pa.array(key[order].view(np.int64)), *(pa.array(v[order].astype(np.int32)) for v in places)]

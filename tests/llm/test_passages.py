@@ -189,3 +189,18 @@ def test_pairs_of_windows_against_all_pairs():
                         want.append((d, lo, hi))
         got = [tuple(x.values())[1:] for out in s.combined(Rows(), width)(iter([batch_of(rows)])) for x in out.to_pylist()]
         assert sorted(got) == sorted(want)
+
+
+def test_windows_of_many_texts_against_single_trees():
+    import numpy as np
+
+    from pairloom.llm import substring_dedup as s
+
+    r = np.random.default_rng(9)
+    for turn in range(60):
+        width = int(r.choice([1, 2, 7, 46]))
+        sizes = r.integers(width, width + int(r.integers(1, 200)), int(r.integers(1, 6)))
+        h = r.integers(0, int(r.choice([2, 30, 1 << 62])), sizes.sum(), dtype=np.uint64)
+        first = np.cumsum(sizes) - sizes
+        got = sorted(zip(*(v.tolist() for v in s.many_windows(h, first, first + sizes - 1, width)), strict=True))
+        assert got == sorted((a + f, c + f, b + f) for f, n in zip(first.tolist(), sizes.tolist(), strict=True) for a, c, b in plain_windows(h[f : f + n].tolist(), width))
