@@ -274,6 +274,7 @@ def fallback_label(ident: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """Distinct number tokens without list markers and span ids; commas, dollar and per cent signs removed."""
+    # Patterns of span ids, list markers and number tokens.
     bare = F.regexp_replace(F.regexp_replace(text, r"wh:\d+(?::b:\d+)?", " "), r"(?m)^\s*\d+\.\s+", " ")
     found = F.regexp_extract_all(bare, F.lit(r"(?<![\w.])((?:\$\s*)?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:%|[kKmMbB])?)(?![\w.])"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda v: F.lower(F.regexp_replace(v, r"[\s,$%]", ""))))

@@ -61,6 +61,7 @@ def merge_aliases(index: DataFrame, overrides: DataFrame) -> DataFrame:
 def expand_spans(spans: DataFrame, key: str, col: str) -> DataFrame:
     """The span and its fragments at commas, slashes, semicolons, "and" and "or": key, k, fragment, norm; first per norm."""
     text = F.trim(col)
+    # Separators of a span's fragments, a leading conjunction, blanks and full stops around a fragment.
     parts = F.transform(F.split(text, r"(?i)[,/;]|\s+\b(?:and|or)\b\s+", -1), lambda v: F.regexp_replace(F.regexp_replace(v, r"(?i)^(?:and|or)\s+", ""), r"^[ \t.]+|[ \t.]+$", ""))
     rows = spans.where(text != "").select(key, F.posexplode_outer(F.concat(F.array(text), F.filter(parts, lambda v: v != ""))).alias("k", "fragment"))
     rows = rows.withColumn("norm", F.coalesce(F.nullif(X.normalize_label(F.col("fragment")), F.lit("")), F.lower("fragment"))).where("norm <> ''")
@@ -94,8 +95,9 @@ def link_report(spans: DataFrame, key: str, col: str, index: DataFrame, similar=
 
 
 def link_or_scan(docs: DataFrame, key: str, col: str, spans: DataFrame, span_col: str, index: DataFrame, terms: DataFrame, similar=None) -> DataFrame:
-    """key, how, skill_ids: what a document's spans link to or, if nothing, all terms that a scan of its text finds."""
-    linked = link_report(spans, key, span_col, index, similar).where(~F.col("unlinked")).select(key, F.array_sort("skill_ids").alias("linked"))
+    """key, how, skill_ids: what a document's spans, however many, link to or, if nothing, all terms that a scan of its text finds."""
+    report = link_report(spans, key, span_col, index, similar).where(~F.col("unlinked")).dropDuplicates([key])  # all spans of a document have one list
+    linked = report.select(key, F.array_sort("skill_ids").alias("linked"))
     both = docs.select(key, col).join(linked, key, "left")
     found = scan_terms(both.where("linked is null"), key, col, terms).groupBy(key).agg(F.array_sort(F.collect_set("skill_id")).alias("found"))
     how = F.when(F.col("linked").isNotNull(), "linked").when(F.col("found").isNotNull(), "scanned").otherwise("none")

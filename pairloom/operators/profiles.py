@@ -159,6 +159,7 @@ def extract(rows: DataFrame, key: str, col: str, model, schema: T.StructType) ->
 def date_in_source(claim: Column, tokens: Column) -> Column:
     """The normalised claim, its first year, or all its parts stand among the source's tokens (parts split at dashes and at t and o)."""
     text = X.normalize_label(claim)
+    # Pattern of a year, separators of a range.
     year = F.regexp_extract(claim, r"\b((?:19|20)\d{2})\b", 1)
     parts = F.filter(F.split(text, r"\s*[–—\-to]+\s*", -1), lambda v: v != "")
     return F.array_contains(tokens, text) | ((year != "") & F.array_contains(tokens, year)) | F.forall(parts, lambda v: F.array_contains(tokens, v))

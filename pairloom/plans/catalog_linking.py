@@ -135,13 +135,14 @@ def j8(t):
     return op.scan_terms(t.documents, "doc_id", "text", t.v_terms)
 
 
-@query("x8_link_or_scan", f"""WITH n AS (SELECT doc_id, ' ' || {norm('text')} || ' ' AS t, {norm("split_part(text, ' ', 1)")} AS w FROM documents), l AS (SELECT doc_id, v.skill_id FROM n JOIN {{v_terms}} v ON v.term = w),
+@query("x8_link_or_scan", f"""WITH n AS (SELECT doc_id, text, ' ' || {norm('text')} || ' ' AS t FROM documents), w AS (SELECT DISTINCT doc_id, {norm('w')} AS w FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\\s,/;]+')) AS w FROM documents)),
+l AS (SELECT doc_id, string_agg(DISTINCT v.skill_id, ',' ORDER BY v.skill_id) AS ids FROM w JOIN {{v_terms}} v ON v.term = w.w GROUP BY doc_id),
 h AS (SELECT doc_id, list_sort(list(DISTINCT v.skill_id)) AS ids FROM n JOIN {{v_terms}} v ON contains(n.t, ' ' || v.term || ' ') GROUP BY doc_id)
-SELECT n.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'linked' WHEN h.doc_id IS NOT NULL THEN 'scanned' ELSE 'none' END AS how, coalesce(l.skill_id, array_to_string(h.ids, ','), '') AS skill_ids FROM n LEFT JOIN l USING (doc_id) LEFT JOIN h USING (doc_id)""")
+SELECT n.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'linked' WHEN h.doc_id IS NOT NULL THEN 'scanned' ELSE 'none' END AS how, coalesce(l.ids, array_to_string(h.ids, ','), '') AS skill_ids FROM n LEFT JOIN l USING (doc_id) LEFT JOIN h USING (doc_id)""")
 def x8(t):
-    first = t.documents.select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("span"))
+    each = t.documents.select("doc_id", F.explode_outer(F.array_distinct(F.split("text", r"[\s,/;]+", -1))).alias("span"))
     index = op.alias_index(t.v_terms.select("skill_id", F.lit(0).alias("ord"), F.array("term").alias("labels")))
-    return op.link_or_scan(t.documents, "doc_id", "text", first, "span", index, t.v_terms).withColumn("skill_ids", F.array_join("skill_ids", ","))
+    return op.link_or_scan(t.documents, "doc_id", "text", each, "span", index, t.v_terms).withColumn("skill_ids", F.array_join("skill_ids", ","))
 
 
 @query("j9_first_form", f"""SELECT doc_id, CASE WHEN contains(n, ' und ') THEN 'Und' WHEN contains(n, ' of the ') THEN 'of the' WHEN contains(n, ' que ') THEN 'QUE' END AS form FROM (SELECT doc_id, ' ' || {norm('text')} || ' ' AS n FROM documents)""")

@@ -183,3 +183,14 @@ def test_index_looks_at_few_pairs(spark):
     looked = met.agg(F.sum(F.size("u") * F.size("j")).alias("n")).first()["n"]
     survivors = matching.filter_pairs(jobs, users).count()
     assert survivors == 4000 * 80 and looked <= 2 * survivors
+
+
+def test_documents_with_several_spans_are_linked_once(spark):
+    from pairloom.operators import linking as op
+
+    docs = spark.createDataFrame([(1, "uses red tape and big data"), (2, "only big data"), (3, "nothing"), (4, None)], "id long, text string")
+    spans = spark.createDataFrame([(1, "Red"), (1, "tape"), (1, "other"), (2, "other"), (2, "more"), (3, None), (4, "")], "id long, span string")
+    index = spark.createDataFrame([("red", "s:1"), ("tape", "s:2")], "key string, skill_id string")
+    terms = spark.createDataFrame([("big data", "s:3"), ("red", "s:1")], "term string, skill_id string")
+    out = op.link_or_scan(docs, "id", "text", spans, "span", index, terms).collect()
+    assert sorted((r.id, r.how, tuple(r.skill_ids)) for r in out) == [(1, "linked", ("s:1", "s:2")), (2, "scanned", ("s:3",)), (3, "none", ()), (4, "none", ())]
