@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairloom.plans.catalog_linking import norm
 from pairloom.plans.catalog_matching import ALL_FILTERS
 from pairloom.plans.catalog_text import URL
+from pairloom.operators import matching
 from pairloom.plans.registry import query
 from pairloom.plans.runtime import fresh_path
 from pairloom.sources import boards
@@ -194,7 +195,7 @@ def t11(t):
     source, schema = streams.landed(t.v_jobs.drop("embedding"), "jobs")
     target = fresh_path(t.spark, "cycles")
     streams.stream_percolate(t.spark, source, schema, t.v_users, target, fresh_path(t.spark, "progress"))
-    return t.spark.read.parquet(target).groupBy("user_id").agg(F.count("*").alias("pairs"))
+    return matching.counts_of_classes(**streams.percolated(t.spark, target), keys=("cycle",))
 
 
 _USED = "(SELECT *, CASE WHEN value > 10 THEN k END AS prompt, CASE WHEN value > 10 AND k % 3 > 0 THEN k % 11 END AS completion, CASE WHEN value > 10 THEN CAST(round(value / 1000, 6) AS DECIMAL(20, 6)) END AS usd, CAST(round(value * 7, 3) AS DECIMAL(20, 3)) AS ms FROM {v_events})"
