@@ -17,6 +17,11 @@ def none() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row: an expression that a lambda names is evaluated anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 CODES = ("unknown_employer", "unknown_title", "unknown_date_range", "unknown_date_range", "fabricated_number", "out_of_set_skill", "forbidden_phrase")
 
 
@@ -37,20 +42,23 @@ def claimed_employers(employers: Column, claims: Column, text: Column) -> Column
 
 def unknown_employer(claimed: Column, roles: Column) -> Column:
     known = F.transform(F.filter(roles, lambda r: F.coalesce(r["employer"], F.lit("")) != ""), lambda r: employer_key(r["employer"]))
-    return F.exists(claimed, lambda v: ~F.array_contains(known, employer_key(v)))
+    return let(known, lambda names: F.exists(claimed, lambda v: ~F.array_contains(names, employer_key(v))))
 
 
 def unknown_title(titles: Column, claims: Column, roles: Column) -> Column:
     known = F.transform(F.filter(roles, lambda r: F.coalesce(r["title"], F.lit("")) != ""), lambda r: X.normalize_label(r["title"]))
-    return F.exists(F.concat(F.coalesce(titles, none()), _of(claims, "title")), lambda v: ~F.array_contains(known, X.normalize_label(v)))
+    return let(known, lambda names: F.exists(F.concat(F.coalesce(titles, none()), _of(claims, "title")), lambda v: ~F.array_contains(names, X.normalize_label(v))))
 
 
 def date_tokens(roles: Column) -> Column:
     """What a work history says of dates: starts, ends, their years, "present" for open ends, and whole ranges in three spellings."""
 
     def one(r: Column) -> Column:
-        start, end_raw = F.trim(F.coalesce(r["start"], F.lit(""))), F.trim(F.coalesce(r["end"], F.lit("")))
-        open_ = F.coalesce(r["is_current"], F.lit(False)) | (end_raw == "")
+        return let(F.struct(F.trim(F.coalesce(r["start"], F.lit(""))).alias("start"), F.trim(F.coalesce(r["end"], F.lit(""))).alias("end"), F.coalesce(r["is_current"], F.lit(False)).alias("now")), said)
+
+    def said(r: Column) -> Column:
+        start, end_raw = r["start"], r["end"]
+        open_ = r["now"] | (end_raw == "")
         end = F.when(open_, F.lit("present")).otherwise(end_raw)
         parts = F.array(start, end_raw, end)
         years = F.transform(parts, lambda v: F.regexp_extract(v, r"\b((?:19|20)\d{2})\b", 1))
@@ -61,7 +69,7 @@ def date_tokens(roles: Column) -> Column:
 
 
 def unknown_dates(ranges: Column, tokens: Column) -> Column:
-    return F.exists(F.coalesce(ranges, none()), lambda v: ~profiles.date_in_source(v, tokens))
+    return let(tokens, lambda known: F.exists(F.coalesce(ranges, none()), lambda v: ~profiles.date_in_source(v, known)))
 
 
 def failures(rows: DataFrame) -> DataFrame:
@@ -73,14 +81,15 @@ def failures(rows: DataFrame) -> DataFrame:
     history = F.array_join(F.transform("roles", lambda r: F.concat_ws("\n", r["employer"], r["title"], r["start"], r["end"], F.array_join(F.coalesce(r["bullets"], none()), "\n"))), "\n")
     norm = F.concat(F.lit(" "), X.normalize_label(F.coalesce("text", F.lit(""))), F.lit(" "))
     phrases = F.filter(F.transform(F.coalesce("forbidden", none()), X.normalize_label), lambda v: v != "")
-    tokens = date_tokens(F.col("roles"))
+    rows = rows.withColumn("dates_", let(date_tokens(F.col("roles")), lambda known: F.struct(unknown_dates(F.col("date_ranges"), known).alias("listed"), unknown_dates(_of(F.col("claims"), "date_range"), known).alias("claimed"))))
+    dates = F.col("dates_")
     checks = (
         unknown_employer(claimed_employers(F.col("employers"), F.col("claims"), F.col("text")), F.col("roles")), unknown_title(F.col("titles"), F.col("claims"), F.col("roles")),
-        unknown_dates(F.col("date_ranges"), tokens), unknown_dates(_of(F.col("claims"), "date_range"), tokens),
+        dates["listed"], dates["claimed"],
         F.size(F.array_except(X.numbers(F.coalesce("text", F.lit(""))), X.numbers(history))) > 0,
-        F.size(F.array_except(F.coalesce("skill_ids", none()), F.coalesce("user_skills", none()))) > 0, F.exists(phrases, lambda v: F.contains(norm, v)),
+        F.size(F.array_except(F.coalesce("skill_ids", none()), F.coalesce("user_skills", none()))) > 0, let(norm, lambda text: F.exists(phrases, lambda v: F.contains(text, v))),
     )
-    return rows.withColumn("codes", F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in zip(checks, CODES, strict=True)])))
+    return rows.withColumn("codes", F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in zip(checks, CODES, strict=True)]))).drop("dates_")
 
 
 def claimed_skills(rows: DataFrame, key: str, terms: DataFrame, index: DataFrame) -> DataFrame:

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 from pairloom.operators import claims as op
 from pairloom.operators import linking
 from pairloom.plans.registry import query
+from pairloom.plans.runtime import saved
 
 _ROLES = """(SELECT l_orderkey AS o, 'Firm ' || l_suppkey || CASE l_linenumber % 3 WHEN 0 THEN ' Inc.' WHEN 1 THEN ', LLC' ELSE '' END AS employer, 'firm ' || l_suppkey AS key, 'Title ' || l_linenumber AS title,
   strftime(l_shipdate, '%Y-%m') AS start, CASE WHEN l_returnflag <> 'N' THEN strftime(l_shipdate + INTERVAL 40 DAY, '%Y-%m') END AS "end", l_linenumber, l_partkey, l_suppkey FROM lineitem)"""
 _NEXT = "(SELECT o_orderkey AS o, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)"
 
 
-def _roles(t, name="roles"):
+def _roles(t, name="roles", more=()):
     firm = F.concat(F.lit("Firm "), F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") % 3 == 0, " Inc.").when(F.col("l_linenumber") % 3 == 1, ", LLC").otherwise(""))
     role = F.struct(
         F.col("l_linenumber").alias("nr"), firm.alias("employer"), F.concat(F.lit("Title "), F.col("l_linenumber").cast("string")).alias("title"), F.date_format("l_shipdate", "yyyy-MM").alias("start"),
         F.when(F.col("l_returnflag") != "N", F.date_format(F.date_add("l_shipdate", 40), "yyyy-MM")).alias("end"), (F.col("l_returnflag") == "N").alias("is_current"),
         F.array(F.concat(F.lit("made part "), F.col("l_partkey").cast("string"))).alias("bullets"),
     )
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(role)).alias(name))
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(role)).alias(name), *more)
 
 
 def _pairs(t):
@@ -50,7 +51,7 @@ def k1(t):
 def k3(t):
     said = F.coalesce(F.transform("next", lambda r: F.concat(r["start"], F.lit(" – "), F.coalesce(r["end"], F.lit("Present")))), op.none())
     tokens = op.date_tokens(F.col("roles"))
-    both = op.unknown_dates(said, tokens).cast("long") + op.unknown_dates(F.slice(said, 1, 1), tokens).cast("long")
+    both = op.let(tokens, lambda known: op.unknown_dates(said, known).cast("long") + op.unknown_dates(F.slice(said, 1, 1), known).cast("long"))
     return _pairs(t).select("doc", both.alias("failures"))
 
 
@@ -67,9 +68,8 @@ _TEMPTED = [p[0] for p in PLANTS] + ["none"]
 
 def _resumes(t):
     """One resume per order, made of its own roles and the name of its part with the smallest key; one in seven lacks a skill it names."""
-    first = t.lineitem.groupBy(F.col("l_orderkey").alias("doc")).agg(F.min("l_partkey").alias("p_partkey")).join(t.part.select("p_partkey", "p_name"), "p_partkey")
     words = F.split("p_name", " ")
-    rows = _roles(t).join(first, "doc").where(F.size(words) > 1)
+    rows = _roles(t, more=[F.min("l_partkey").alias("p_partkey")]).join(t.part.select("p_partkey", "p_name"), "p_partkey").where(F.size(words) > 1)
     lines = F.transform("roles", lambda r: F.concat(r["title"], F.lit(" with "), r["employer"], F.lit("\n- "), r["bullets"][0]))
     skills = F.transform(words, lambda w: F.concat(F.lit("skill:"), w))
     return rows.select(
@@ -83,7 +83,7 @@ def _resumes(t):
 
 def _checked(t):
     kind = "temptation string, p_text string, p_employers array<string>, p_titles array<string>, p_date_ranges array<string>, p_listed array<string>, p_claims array<struct<kind:string,text:string,skill_id:string>>"
-    planted = op.plant(_resumes(t), t.spark.createDataFrame(PLANTS, kind))
+    planted = saved(op.plant(_resumes(t), t.spark.createDataFrame(PLANTS, kind)), "resumes")  # read by the scan, for the spans and for the checks
     terms = t.v_taxonomy.select("skill_id", F.col("label").alias("term"))
     index = linking.alias_index(t.v_taxonomy.select("skill_id", "ord", F.array("label").alias("labels")))
     return op.failures(op.claimed_skills(planted, "doc", terms, index))
