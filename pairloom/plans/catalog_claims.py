@@ -55,11 +55,11 @@ def k3(t):
     return _pairs(t).select("doc", both.alias("failures"))
 
 
-#: temptation -> text, employers, titles, date ranges, skill ids, claims: none of it can stand in a history here
+#: temptation -> text, employers, titles, date ranges, skill ids, claims: none of it can stand in a history here (keys are whole numbers, so none is 987654.5)
 PLANTS = [
-    ("missing_skill", "Invented 987654 tools in Rust.", [], [], [], ["skill:rust"], [("skill", "Rust", "skill:rust")]),
+    ("missing_skill", "Invented 987654.5 tools in Rust.", [], [], [], ["skill:rust"], [("skill", "Rust", "skill:rust")]),
     ("adjacent_not_equivalent", "Shipped whole stacks of it.", [], [], [], [], [("skill", "Terraforming; other", "skill:terraforming")]),
-    ("year_scope_inflation", "Led 987650 people for 150000 years.", [], [], ["1801 – 1802"], [], [("date_range", "1803 – 1804", None)]),
+    ("year_scope_inflation", "Led 987650.5 people for 150000.5 years.", [], [], ["1801 – 1802"], [], [("date_range", "1803 – 1804", None)]),
     ("seniority_inflation", "Grand architect of the whole.", [], ["Grand Architect"], [], [], [("title", "Grand Architect", None)]),
     ("employer_title_drift", "Grand architect at Globex.", ["Globex Inc"], ["Grand Architect"], [], [], [("employer", "Globex", None)]),
 ]
