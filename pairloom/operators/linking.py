@@ -228,13 +228,13 @@ def hash_embed(docs: DataFrame, key: str, col: str, dim: int) -> DataFrame:
     docs = docs.select("k", "t", F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0)).alias("cs"))  # letters by position, for slices of constant cost
     grams = F.when(F.size("cs") >= 3, F.transform(F.sequence(F.lit(1), F.size("cs") - 2), lambda k: F.concat(F.lit("#"), F.array_join(F.slice("cs", k, 3), "")))).otherwise(F.array().cast("array<string>"))
     features = F.when(norm == "", F.array(F.lit(""))).otherwise(F.concat(words, grams))
-    each = docs.select("k", F.explode_outer(features).alias("f")).groupBy("k", "f").agg(F.count("*").alias("n"))
-    h = F.md5(F.encode("f", "UTF-8"))
-    cell = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).alias("cell")
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    cells = each.select("k", cell, (sign * F.col("n")).alias("v")).groupBy("k", "cell").agg(F.sum("v").alias("v"))
-    norms = cells.groupBy("k").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("z"))
-    return cells.join(norms, "k").select(F.col("k").alias(key), "cell", F.when(F.col("z") > 0, F.col("v") / F.col("z")).otherwise(0.0).alias("value"))
+    each = docs.select("k", F.explode_outer(features).alias("f")).select("k", F.md5(F.encode("f", "UTF-8")).alias("h"))
+    cell = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dim).alias("cell")
+    sign = F.when(F.conv(F.substring("h", 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    # features add up to cells where their text is read: at most ``dim`` rows of a document are shuffled
+    cells = each.select("k", cell, sign.alias("v")).groupBy("k", "cell").agg(F.sum("v").alias("v"))
+    z = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("k")))
+    return cells.withColumn("z", z).select(F.col("k").alias(key), "cell", F.when(F.col("z") > 0, F.col("v") / F.col("z")).otherwise(0.0).alias("value"))
 
 
 def ensure_vectors(skills: DataFrame, model: str) -> DataFrame:

@@ -30,3 +30,15 @@ def test_rerank_makes_no_group_per_user(spark, monkeypatch):
     monkeypatch.setattr(matching, "saved", lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, tag))
     matching.rerank(spark.createDataFrame([(1, 2, 0.5)], "user_id long, job_id long, score double"), None, lambda pdf: []).collect()
     assert plans and not any("FlatMapGroupsInPandas" in p for p in plans)
+
+
+def test_hash_embed_adds_features_up_once(spark):
+    from pairloom.operators import linking
+
+    out = linking.hash_embed(spark.createDataFrame([(1, "a b a b abc"), (2, ""), (3, None)], "id long, text string"), "id", "text", 16)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Join" not in plan
+    norms = {}
+    for r in out.collect():
+        norms[r.id] = norms.get(r.id, 0) + r.value**2
+    assert norms.keys() == {1, 2, 3} and all(abs(v - 1) < 1e-9 for v in norms.values())
