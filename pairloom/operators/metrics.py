@@ -74,16 +74,20 @@ def share(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.round(a / b, 4))
 
 
-def stage_recall(gold: DataFrame, passed: DataFrame, ranked: DataFrame, reranked: DataFrame, k: int) -> DataFrame:
+def _or_else(reranked: DataFrame, ranked: DataFrame, answered: DataFrame) -> DataFrame:
+    """A query without answer of the reranker keeps the order by vector."""
+    return reranked.unionByName(ranked.join(answered.select("q").distinct(), "q", "left_anti"))
+
+
+def stage_recall(sizes: DataFrame, ranked: DataFrame, reranked: DataFrame, answered: DataFrame, k: int) -> DataFrame:
     """Per query: relevant, kept by the filters, among the first ``k`` by vector and after reranking; and the three recalls.
-    gold, passed: q, d; ranked, reranked: q, d, rank. A query that the reranker gave nothing keeps the order by vector."""
-    one = F.lit(1)
-    missing = ranked.join(reranked.select("q").distinct(), "q", "left_anti")
-    reranked = reranked.select("q", "d", "rank").unionByName(missing.select("q", "d", "rank"))
-    rows = gold.select("q", "d").distinct().join(passed.select("q", "d", one.alias("p")).distinct(), ["q", "d"], "left")
-    rows = rows.join(ranked.where(F.col("rank") <= k).select("q", "d", one.alias("r")), ["q", "d"], "left")
-    rows = rows.join(reranked.where(F.col("rank") <= k).select("q", "d", one.alias("rr")), ["q", "d"], "left")
-    out = rows.groupBy("q").agg(F.count("*").alias("relevant"), *[F.count(c).alias(n) for c, n in (("p", "kept"), ("r", "found"), ("rr", "refound"))])
+    sizes: q, relevant, kept; ranked, reranked: q, d, rank of relevant items; answered: q of the queries that were reranked."""
+
+    def n(rows: DataFrame, name: str) -> DataFrame:
+        return rows.where(F.col("rank") <= k).groupBy("q").agg(F.count("*").alias(name))
+
+    out = sizes.join(n(ranked, "found"), "q", "left").join(n(_or_else(reranked, ranked, answered), "refound"), "q", "left")
+    out = out.select("q", "relevant", "kept", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("found", "refound")])
     return out.withColumns({f"{c}_recall": share(F.col(c), F.col("relevant")) for c in ("kept", "found", "refound")})
 
 
@@ -97,25 +101,18 @@ def recall_at_k(ranked: DataFrame, corpus: int, cutoffs: tuple[int, ...]) -> Dat
     return per.groupBy("k").agg(F.avg(F.col("n") / F.col("gold")).alias("recall"))
 
 
-def dropped_relevant(gold: DataFrame, passed: DataFrame) -> DataFrame:
-    """q, d of the relevant items that the filters dropped. gold, passed: q, d."""
-    return gold.select("q", "d").distinct().join(passed.select("q", "d").distinct(), ["q", "d"], "left_anti")
-
-
-def recall_curve(gold: DataFrame, ranked: DataFrame, reranked: DataFrame, corpus: int, cutoffs: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+def recall_curve(sizes: DataFrame, ranked: DataFrame, reranked: DataFrame, answered: DataFrame, corpus: int, cutoffs: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """q, k, vector, rerank: the shares of a query's relevant items among its first k by vector and after reranking, for every cut-off within the corpus.
 
-    gold: q, d; ranked, reranked: q, d, rank. A query that the reranker gave nothing keeps the order by vector. Every relevant item is looked up once for
-    both orders; cut-offs are counted side by side.
+    sizes: q, relevant; ranked, reranked: q, d, rank of relevant items, up to the last cut-off; answered: q of the queries that were reranked.
     """
     ks = [k for k in cutoffs if k <= max(corpus, 1)]
-    missing = ranked.join(reranked.select("q").distinct(), "q", "left_anti")
-    other = reranked.select("q", "d", "rank").unionByName(missing.select("q", "d", "rank"))
-    first = lambda df, c: df.where(F.col("rank") <= max(ks)).groupBy("q", "d").agg(F.min("rank").alias(c))
-    rows = gold.select("q", "d").distinct().join(first(ranked, "v"), ["q", "d"], "left").join(first(other, "r"), ["q", "d"], "left")
-    counts = [F.count(F.when(F.col(c) <= k, 1)).alias(f"{c}{k}") for k in ks for c in "vr"]
-    by = rows.groupBy("q").agg(F.count("*").alias("n"), *counts)
-    at = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), share(F.col(f"v{k}"), F.col("n")).alias("vector"), share(F.col(f"r{k}"), F.col("n")).alias("rerank")) for k in ks]))
+
+    def n(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("q").agg(*[F.count(F.when(F.col("rank") <= k, 1)).alias(f"{name}{k}") for k in ks])
+
+    by = sizes.join(n(ranked, "v"), "q", "left").join(n(_or_else(reranked, ranked, answered), "r"), "q", "left").na.fill(0)
+    at = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), *[share(F.col(f"{c}{k}"), F.col("relevant")).alias(x) for c, x in (("v", "vector"), ("r", "rerank"))]) for k in ks]))
     return by.select("q", at.alias("x")).select("q", "x.*")
 
 
