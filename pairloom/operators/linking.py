@@ -13,13 +13,14 @@ from pyspark.sql.functions import pandas_udf
 
 from pairloom.functions import match as M
 from pairloom.functions import text as X
-from pairloom.plans.runtime import ship
+from pairloom.plans.runtime import saved, ship
 
 # Short common words that are no terms of a scan.
 AMBIGUOUS = ("can", "lead", "go", "r", "c", "it", "ai")
 BLOCK = 1024  # vectors of a block
 FEW_TERMS = 16  # looked for in the text by column functions
 MOST_TERMS = 200_000  # of a trie
+MOST_KEYS = 500_000  # keys or spans that are broadcast
 
 
 def nfkc(col: Column, spark) -> Column:
@@ -58,20 +59,30 @@ def merge_aliases(index: DataFrame, overrides: DataFrame) -> DataFrame:
     return owned.groupBy("key").agg(F.min(F.struct("ord", "k", "skill_id")).alias("f")).select("key", F.col("f.skill_id").alias("skill_id"))
 
 
-def expand_spans(spans: DataFrame, key: str, col: str) -> DataFrame:
-    """The span and its fragments at commas, slashes, semicolons, "and" and "or": key, k, fragment, norm; first per norm."""
+def _fragments(spans: DataFrame, key: str, col: str) -> DataFrame:
+    """key, k, fragment, norm: the span and its fragments at commas, slashes, semicolons, "and" and "or"."""
     text = F.trim(col)
     # Separators of a span's fragments, a leading conjunction, blanks and full stops around a fragment.
     parts = F.transform(F.split(text, r"(?i)[,/;]|\s+\b(?:and|or)\b\s+", -1), lambda v: F.regexp_replace(F.regexp_replace(v, r"(?i)^(?:and|or)\s+", ""), r"^[ \t.]+|[ \t.]+$", ""))
     rows = spans.where(text != "").select(key, F.posexplode_outer(F.concat(F.array(text), F.filter(parts, lambda v: v != ""))).alias("k", "fragment"))
-    rows = rows.withColumn("norm", F.coalesce(F.nullif(X.normalize_label(F.col("fragment")), F.lit("")), F.lower("fragment"))).where("norm <> ''")
-    first = rows.groupBy(key, "norm").agg(F.min(F.struct("k", "fragment")).alias("f"))
+    return rows.withColumn("norm", F.coalesce(F.nullif(X.normalize_label(F.col("fragment")), F.lit("")), F.lower("fragment"))).where("norm <> ''")
+
+
+def expand_spans(spans: DataFrame, key: str, col: str) -> DataFrame:
+    """The span and its fragments: key, k, fragment, norm; first per norm."""
+    first = _fragments(spans, key, col).groupBy(key, "norm").agg(F.min(F.struct("k", "fragment")).alias("f"))
     return first.select(key, F.col("f.k").alias("k"), F.col("f.fragment").alias("fragment"), "norm")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Saved rows, with a broadcast hint if they are at most ``MOST_KEYS``: a norm that most spans have then lands in no single task. Beyond, the join shuffles."""
+    rows = saved(rows, "keys")
+    return F.broadcast(rows) if rows.count() <= MOST_KEYS else rows
+
+
 def link_exact(fragments: DataFrame, index: DataFrame) -> DataFrame:
     """Adds skill_id where the fragment's norm is a key."""
-    return fragments.join(index.select(F.col("key").alias("norm"), "skill_id"), "norm", "left")
+    return fragments.join(_few(index.select(F.col("key").alias("norm"), "skill_id")), "norm", "left")
 
 
 def link_similar(fragments: DataFrame, vectors: DataFrame, concepts: DataFrame, high: float, threshold: float, margin: float) -> DataFrame:
@@ -85,19 +96,23 @@ def link_similar(fragments: DataFrame, vectors: DataFrame, concepts: DataFrame,
 
 def link_report(spans: DataFrame, key: str, col: str, index: DataFrame, similar=None) -> DataFrame:
     """Per row: skill_ids in order of first success, and whether the span stayed unlinked. ``similar`` (fragments -> fragments with
-    more skill_ids) is the second tier, for fragments without a key of their own."""
-    linked = link_exact(expand_spans(spans, key, col), index)
+    more skill_ids) is the second tier, for fragments without a key of their own.
+
+    Only fragments that link are gathered per key; of those with one skill the first counts."""
+    linked = link_exact(_fragments(spans, key, col).select(key, "k", "norm"), index)
     linked = similar(linked) if similar else linked
-    first = linked.where("skill_id is not null").groupBy(key, "skill_id").agg(F.min("k").alias("k"))
-    ids = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "skill_id"))).alias("s"))
+    ids = linked.where("skill_id is not null").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("k", "skill_id"))).alias("s"))
     out = spans.select(key).join(ids, key, "left")
-    return out.select(key, F.coalesce(F.transform("s", lambda v: v["skill_id"]), F.array().cast("array<string>")).alias("skill_ids"), F.col("s").isNull().alias("unlinked"))
+    return out.select(key, F.coalesce(F.array_distinct(F.transform("s", lambda v: v["skill_id"])), F.array().cast("array<string>")).alias("skill_ids"), F.col("s").isNull().alias("unlinked"))
 
 
 def link_or_scan(docs: DataFrame, key: str, col: str, spans: DataFrame, span_col: str, index: DataFrame, terms: DataFrame, similar=None) -> DataFrame:
-    """key, how, skill_ids: what a document's spans, however many, link to or, if nothing, all terms that a scan of its text finds."""
-    report = link_report(spans, key, span_col, index, similar).where(~F.col("unlinked")).dropDuplicates([key])  # all spans of a document have one list
-    linked = report.select(key, F.array_sort("skill_ids").alias("linked"))
+    """key, how, skill_ids: what a document's spans, however many, link to or, if nothing, all terms that a scan of its text finds.
+
+    Each distinct span is linked once, and of the documents' spans only those that link are gathered."""
+    texts = spans.select(F.col(span_col).alias("of")).where("of is not null").distinct()
+    links = _few(link_report(texts, "of", "of", index, similar).where(~F.col("unlinked")).select("of", "skill_ids"))
+    linked = spans.join(links, F.col(span_col) == F.col("of")).groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("skill_ids")))).alias("linked"))
     both = docs.select(key, col).join(linked, key, "left")
     found = scan_terms(both.where("linked is null"), key, col, terms).groupBy(key).agg(F.array_sort(F.collect_set("skill_id")).alias("found"))
     how = F.when(F.col("linked").isNotNull(), "linked").when(F.col("found").isNotNull(), "scanned").otherwise("none")

@@ -194,3 +194,29 @@ def test_documents_with_several_spans_are_linked_once(spark):
     terms = spark.createDataFrame([("big data", "s:3"), ("red", "s:1")], "term string, skill_id string")
     out = op.link_or_scan(docs, "id", "text", spans, "span", index, terms).collect()
     assert sorted((r.id, r.how, tuple(r.skill_ids)) for r in out) == [(1, "linked", ("s:1", "s:2")), (2, "scanned", ("s:3",)), (3, "none", ()), (4, "none", ())]
+
+
+def test_a_span_is_linked_once_however_many_documents_hold_it(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pairloom.operators import linking as op
+
+    asked, plain = [], op.link_report
+    monkeypatch.setattr(op, "link_report", lambda spans, *a, **k: asked.append(spans.count()) or plain(spans, *a, **k))
+    docs = spark.range(300).select(F.col("id"), F.lit("big data").alias("text"))
+    spans = docs.select("id", F.explode(F.array(F.lit("Tape, red"), F.lit("red / other"), F.when(F.col("id") % 2 == 0, "tape"), F.lit(" "))).alias("span"))
+    index = spark.createDataFrame([("red", "s:1"), ("tape", "s:2")], "key string, skill_id string")
+    out = op.link_or_scan(docs, "id", "text", spans, "span", index, index.select(F.lit("big data").alias("term"), "skill_id")).collect()
+    assert asked == [4] and len(out) == 300 and all((r.how, r.skill_ids) == ("linked", ["s:1", "s:2"]) for r in out)
+
+
+def test_a_common_fragment_is_not_dealt_to_one_task(spark):
+    """The join with the keys must not shuffle fragments by their norm, and skills stay in the order of first success."""
+    from pairloom.operators import linking as op
+
+    spans = spark.createDataFrame([(1, "b, unknown thing and a, B"), (1, "a"), (2, "unknown thing"), (3, "")], "id long, span string")
+    index = spark.createDataFrame([("a", "s:a"), ("b", "s:b")], "key string, skill_id string")
+    out = op.link_report(spans, "id", "span", index)
+    assert sorted((r.id, tuple(r.skill_ids), r.unlinked) for r in out.collect()) == [(1, ("s:a", "s:b"), False), (1, ("s:a", "s:b"), False), (2, (), True), (3, (), True)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "norm" in line]
