@@ -169,7 +169,7 @@ def profile_doc(profiles: DataFrame, most_chars: int = 4 * 2048) -> DataFrame:
     """user_id, doc: header, then roles oldest first, within ``most_chars``: bullets of the oldest role go from the end, then
     the role, and the newest role's heading stays. profiles: user_id, header, roles (array of heading, bullets), oldest first.
 
-    Every line costs its length and a line end; lines are dropped in one fixed order, so those kept are a suffix of it.
+    Every line costs its length and a line end; lines are dropped in one fixed order, so those kept are a suffix of it. Where all fit, none is looked at twice.
     """
     n = F.size("roles")
 
@@ -191,8 +191,11 @@ def profile_doc(profiles: DataFrame, most_chars: int = 4 * 2048) -> DataFrame:
         return F.struct(F.when(ok, used).otherwise(acc["used"]).cast("long").alias("used"), ok.alias("open"), F.when(ok, out).otherwise(acc["out"]).alias("out"))
 
     kept = F.array_sort(F.aggregate(ranked, start, step)["out"])
-    body = F.array_join(F.transform(kept, lambda v: v["line"]), "\n")
-    return profiles.select("user_id", F.concat("header", F.lit("\n\nExperience:\n"), body, F.lit("\n")).alias("doc"))
+    every_line = F.flatten(F.transform("roles", lambda r: F.concat(F.array(r["heading"]), F.transform(r["bullets"], lambda b: F.concat(F.lit("- "), b)))))
+    rows = profiles.select("user_id", "header", "roles", every_line.alias("plain")).withColumn("whole", F.array_join("plain", "\n"))
+    fits = (F.size("plain") > 0) & ~F.exists("plain", lambda v: v.isNull()) & (F.length("whole") + 1 <= room)
+    body = F.when(fits, F.col("whole")).otherwise(F.array_join(F.transform(kept, lambda v: v["line"]), "\n"))
+    return rows.select("user_id", F.concat("header", F.lit("\n\nExperience:\n"), body, F.lit("\n")).alias("doc"))
 
 
 def flatten_history(roles: Column) -> Column:

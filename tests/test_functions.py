@@ -119,3 +119,26 @@ def test_segment_resume(spark):
     rows = {r.role: r for r in profiles.segment_resume(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()}
     assert (rows[1].title, rows[1].employer, rows[1].start, rows[1].end, rows[1].bullets) == ("- Cook", "Cafe", "01/2019", None, ["stirred"])
     assert (rows[2].title, rows[2].employer) == ("Chef", "Bistro") and len(rows) == 3  # the dated bullet reads like a heading
+
+
+def test_profile_text_at_the_edge_of_its_room(spark):
+    """The short way for texts that fit gives what dropping lines one by one gives, down to the last letter."""
+    from pairloom.operators import profiles
+
+    roles = [("A at B", ["x" * 5, "yy"]), ("C at D", ["z", "w" * 9])]
+
+    def plain(room):
+        order = [(k, j, line) for k in (1, 0) for j, line in enumerate([roles[k][0], *("- " + b for b in roles[k][1])])]
+        kept, used = [], 0
+        for n, (k, j, line) in enumerate(order):
+            used += len(line) + 1
+            if n and used > room:
+                break
+            kept.append((k, j, line))
+        return "\n".join(v[2] for v in sorted(kept))
+
+    df = spark.createDataFrame([(1, "H", roles), (2, "H", [])], "user_id long, header string, roles array<struct<heading:string,bullets:array<string>>>")
+    fixed = len("H" + "\n\nExperience:\n\n")
+    for room in (1, 20, 42, 43, 44, 45, 60):
+        got = {r.user_id: r.doc for r in profiles.profile_doc(df, fixed + room).collect()}
+        assert got == {1: f"H\n\nExperience:\n{plain(room)}\n", 2: "H\n\nExperience:\n\n"}
