@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from pairloom.functions import match as M
 from pairloom.functions import text as X
@@ -21,15 +22,19 @@ BLOCK = 1024  # vectors of a block
 FEW_TERMS = 16  # looked for in the text by column functions
 MOST_TERMS = 200_000  # of a trie
 MOST_KEYS = 500_000  # keys or spans that are broadcast
+TEXTS = 128  # folded at once
 
 
 def nfkc(col: Column, spark) -> Column:
-    """Compatibility-composed, case-folded text, in Arrow batches."""
+    """Compatibility-composed, case-folded text; ``TEXTS`` of an Arrow batch are strings of Python at once."""
+    import unicodedata
+
     ship(spark)
 
-    @pandas_udf("string")
-    def fold(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC").str.casefold()
+    @arrow_udf("string")
+    def fold(s: pa.Array) -> pa.Array:
+        parts = [pa.array([None if v is None else unicodedata.normalize("NFKC", v).casefold() for v in s.slice(at, TEXTS).to_pylist()], pa.string()) for at in range(0, len(s), TEXTS)]
+        return pa.concat_arrays(parts or [pa.array([], pa.string())])
 
     return fold(col)
 

@@ -11,6 +11,7 @@ from pairloom.functions import text as X
 from pairloom.plans.runtime import ship
 
 MOST_CHARS = 2000  # 500 estimated tokens
+TEXTS = 128  # that a model gets at once
 
 
 def job_doc(title: Column, seniority: Column, skills: Column, reqs: Column, low: Column, high: Column, most: int = MOST_CHARS) -> Column:
@@ -120,18 +121,23 @@ def greedy_match(items: DataFrame, threshold: float) -> DataFrame:
 
 
 def embed(rows: DataFrame, key: str, col: str, model, dim: int, most_chars: int = 8000) -> DataFrame:
-    """Plug-in: ``model(list of texts) -> list of vectors`` per batch; dimensions are checked, over-long texts flagged."""
+    """Plug-in: ``model(list of texts) -> list of vectors`` for up to ``TEXTS`` texts at once; dimensions are checked, over-long texts flagged."""
     ship(rows.sparkSession)
 
     def run(batches):
-        for pdf in batches:
-            vectors = [list(map(float, v)) for v in model(pdf["text"].fillna("").tolist())]
-            if any(len(v) != dim for v in vectors):
-                raise ValueError(f"the model's vectors don't have {dim} dimensions")
-            yield pd.DataFrame({"key": pdf["key"], "embedding": vectors, "too_long": pdf["text"].fillna("").str.len() > most_chars})
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                texts = [v or "" for v in some.column(1).to_pylist()]
+                vectors = [list(map(float, v)) for v in model(texts)]
+                if any(len(v) != dim for v in vectors):
+                    raise ValueError(f"the model's vectors don't have {dim} dimensions")
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(vectors, pa.list_(pa.float64())), pa.array([len(v) > most_chars for v in texts])], names=["key", "embedding", "too_long"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(F.col(key).alias("key"), F.col(col).alias("text")).mapInPandas(run, f"key {kind}, embedding array<double>, too_long boolean").withColumnRenamed("key", key)
+    return rows.select(F.col(key).alias("key"), F.col(col).alias("text")).mapInArrow(run, f"key {kind}, embedding array<double>, too_long boolean").withColumnRenamed("key", key)
 
 
 def extract(rows: DataFrame, key: str, col: str, model, schema: T.StructType) -> DataFrame:

@@ -121,6 +121,24 @@ def test_segment_resume(spark):
     assert (rows[2].title, rows[2].employer) == ("Chef", "Bistro") and len(rows) == 3  # the dated bullet reads like a heading
 
 
+def test_folding_and_embedding_go_through_a_batch_in_slices(spark):
+    """One batch of many texts was one list of Python strings before."""
+    from pyspark.sql import functions as F
+
+    from pairloom.operators import linking, profiles
+
+    rows = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("ẞﬁ Ⅷ "), "id")).alias("t"))
+    folded = rows.select("id", linking.nfkc(F.col("t"), spark).alias("t")).collect()
+    assert len(folded) == 1000 and all(r.t == (f"ssfi viii {r.id}" if r.id % 7 else None) for r in folded)
+
+    def model(texts):
+        assert len(texts) <= profiles.TEXTS < 1000
+        return [[len(x)] for x in texts]
+
+    got = profiles.embed(rows, "id", "t", model, 1, most_chars=7).collect()
+    assert len(got) == 1000 and all((r.embedding, r.too_long) == ([float(len(f"ẞﬁ Ⅷ {r.id}")) if r.id % 7 else 0.0], r.id % 7 > 0 and r.id > 99) for r in got)
+
+
 def test_profile_text_at_the_edge_of_its_room(spark):
     """The short way for texts that fit gives what dropping lines one by one gives, down to the last letter."""
     from pairloom.operators import profiles
