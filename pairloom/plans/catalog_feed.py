@@ -8,6 +8,7 @@ from pairloom.functions import match as M
 from pairloom.functions import text as X
 from pairloom.operators import feed as op
 from pairloom.plans.registry import query
+from pairloom.plans.runtime import saved
 
 _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, job_id ORDER BY cycle_at DESC, match_id DESC) AS rn FROM {v_matches}) WHERE rn = 1)"
 _RANK = "CASE label WHEN 'unqualified' THEN 0 WHEN 'minimally_qualified' THEN 1 WHEN 'overqualified' THEN 2 WHEN 'potentially_qualified' THEN 3 WHEN 'clearly_qualified' THEN 4 END"
@@ -96,8 +97,9 @@ def k7(t):
 
 @query("t4_cas_update", """SELECT match_id, coalesce(label, CASE WHEN match_id % 2 = 0 THEN 'overqualified' END) AS label, match_id % 2 = 0 AND label IS NULL AS applied FROM {v_matches}""")
 def t4(t):
-    delta = t.v_matches.where("match_id % 2 = 0").select("match_id", F.lit("overqualified").alias("label"))
-    return op.cas_update(t.v_matches, delta, "match_id", "label").select("match_id", "label", "applied")
+    matches = saved(t.v_matches.select("match_id", "label"), "matches")  # built once, so that no task sorts for both sides what they are made of
+    delta = matches.where("match_id % 2 = 0").select("match_id", F.lit("overqualified").alias("label"))
+    return op.cas_update(matches, delta, "match_id", "label").select("match_id", "label", "applied")
 
 
 @query("t5_idempotent_redelivery", """SELECT 'match' AS step, count(DISTINCT match_id) AS first, CAST(0 AS BIGINT) AS again FROM {v_matches} UNION ALL SELECT 'attempt', count(*), 0 FROM {v_generations}
@@ -106,15 +108,17 @@ def t5(t):
     def appended(target, rows, key):  # what a delivery adds to rows that are there
         return op.upsert(target, rows, key).join(target.select(*key), key, "left_anti")
 
-    def both(step, rows, key):
+    def both(step, rows, key):  # each delivery is written, as a store would, and the next one meets what is there
+        rows = saved(rows, step)
         first = appended(rows.limit(0), rows, key)
-        again = appended(op.upsert(rows.limit(0), rows, key), rows, key)
+        again = appended(saved(op.upsert(rows.limit(0), rows, key), step), rows, key)
         return first.agg(F.count("*").alias("first")).crossJoin(again.agg(F.count("*").alias("again"))).select(F.lit(step).alias("step"), "first", "again")
 
-    matches = t.v_matches.select("match_id", "user_id", "job_id", "score")
+    given = saved(t.v_matches.select("match_id", "user_id", "job_id", "score", "label"), "matches")
+    matches = given.drop("label")
     pages = op.last_of_batch(t.pages.where("url is not null").withColumn("url_hash", F.sha2("url", 256)), ["url_hash"], "page_id").select("url_hash", "page_id")
-    delta = t.v_matches.select("match_id", F.lit("overqualified").alias("label"))
-    once = op.cas_update(t.v_matches.select("match_id", "label"), delta, "match_id", "label")
+    delta = given.select("match_id", F.lit("overqualified").alias("label"))
+    once = saved(op.cas_update(given.select("match_id", "label"), delta, "match_id", "label"), "once")
     twice = op.cas_update(once.select("match_id", "label"), delta, "match_id", "label")
     done = once.agg(F.count(F.when(F.col("applied"), 1)).alias("first")).crossJoin(twice.agg(F.count(F.when(F.col("applied"), 1)).alias("again")))
     out = both("match", matches, ["match_id"]).unionByName(both("attempt", t.v_generations, ["match_id", "attempt"])).unionByName(both("url_hash", pages, ["url_hash"]))

@@ -42,3 +42,11 @@ def test_hash_embed_adds_features_up_once(spark):
     for r in out.collect():
         norms[r.id] = norms.get(r.id, 0) + r.value**2
     assert norms.keys() == {1, 2, 3} and all(abs(v - 1) < 1e-9 for v in norms.values())
+
+
+def test_write_backs_build_matches_once(spark, data):
+    """Both sides of a write-back read saved matches; before, every side joined and grouped line items in the same tasks."""
+    from pairloom.plans.catalog import QUERIES
+
+    for name in ("t4_cas_update", "t5_idempotent_redelivery"):
+        assert "l_orderkey" not in QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
