@@ -16,8 +16,12 @@ per function, instead of n squared passages.
    component already and have a span there. A passage of ``width`` tokens lacks at most m = width - need of them on the other side, so of its m + 1 pairs of tokens (p, p + need - 1)
    one has both tokens there, as far apart or (a word put in) one further. All these pairs in passages with the roots left over
    become sub-keys. Texts that only have a sentence in common share no sub-key; texts that share one nearly always match.
-   In rounds, the smallest documents of each sub-key (1, 4, 16, ... by hash) meet its members; members that match one of them
-   there, or are in one component with it by now, leave, until none is left. No sub-key is cut off, and two members of different
+   The smallest document of each sub-key meets its members; members that match it there, or are in one component with it by now,
+   leave. The sub-keys of those that stay are refined, for all their members: an edit inside a passage costs ``shingle`` - 1 tokens or
+   more, so of the m that may lack there is one stretch of m, and what is before and behind it is equal. A refined key is the sub-key, its first tokens and
+   its last ones, for some lengths of both of which one fits wherever the stretch is (see ``refined``). Copies with edits of their own
+   share sub-keys, but few refined ones. Leaders of refined keys (1, 4, 16, ... by hash) meet their members in rounds until none is left.
+   No key is cut off, and two members of different
    components that match no leader meet each other; so no link between components is left out. Inside a component a span can
    be missing where an edited passage is shared with another member than the first leader of its sub-keys.
 4. Verification: windows of the document and their counterparts in the leader stand if their Jaccard similarity (of
@@ -51,6 +55,7 @@ HASHES = 4
 GROUP = 1 << 17  # tokens after which a group of texts ends
 MOST_BROADCAST = 500_000  # ids
 MOST_KNOWN = 100_000  # documents with their spans
+SLOT = 7  # steps between the lengths of runs of a refined key
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -360,6 +365,10 @@ def together(pairs: DataFrame, width: int) -> DataFrame:
     return pairs.mapInArrow(run, "d long, lead long")
 
 
+def _pair(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return (one * _FACTORS[0] ^ (other * _FACTORS[1] >> np.uint64(7))) * _FACTORS[2] + other
+
+
 def sub_keys(roots: DataFrame, width: int, percent: int) -> DataFrame:
     """sk, d, p: pairs of tokens of which a shortest passage in one of the ranges shares one with any counterpart; ``roots``: d, rs
     (ranges of starts), t (tokens)."""
@@ -376,12 +385,63 @@ def sub_keys(roots: DataFrame, width: int, percent: int) -> DataFrame:
                 near = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
                 for apart in range(need - 1, need + 1):
                     p = near[near + apart < len(t)]
-                    sk = (t[p] * _FACTORS[0] ^ (t[p + apart] * _FACTORS[1] >> np.uint64(7))) * _FACTORS[2] + t[p + apart]
+                    sk = _pair(t[p], t[p + apart])
                     yield pa.RecordBatch.from_arrays([pa.array(sk.view(np.int64)), pa.array(np.full(len(p), d, np.int64)), pa.array(p.astype(np.int32))], names=["sk", "d", "p"])
 
     return roots.mapInArrow(run, "sk long, d long, p int")
 
 
+def runs_of(width: int, percent: int, shingle: int) -> list[tuple[int, int]]:
+    """Lengths (first, last): of two counterparts whose first and last tokens, need - 1 or need apart, are equal, both have one of them in common. None if
+    more than one edit fits into a passage."""
+    need = need_of(width, percent)
+    lack = width - need
+    both = need - lack  # equal before and behind the edit, together
+    if both < 2 or lack // max(shingle - 1, 1) > 1:
+        return []
+    step = min(SLOT, both - 1)
+    return [(a, max(both - (a + step - 1), 1)) for a in range(1, both, step)]
+
+
+def refined(rows: DataFrame, width: int, percent: int, shingle: int) -> DataFrame:
+    """sk, d, p, stays, counts: a sub-key with equal runs of tokens at both ends; ``rows``: d, rs (sub-keys: sk, p, stays), t (tokens). Where tokens repeat
+    between the ends, their order says nothing: such rows count under the sub-key itself, which all have as well."""
+    need, runs = need_of(width, percent), runs_of(width, percent, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = _FACTORS[0]
+        inverse = np.uint64(pow(int(f), -1, 1 << 64))
+        for batch in batches:
+            rs = batch.column(1)
+            ends = rs.offsets.to_numpy()
+            sk, at, stays = (rs.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for d, raw, i, j in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ends[:-1], ends[1:], strict=True):
+                t = np.frombuffer(raw, "<u4").astype(np.uint64)
+                total = np.concatenate([[np.uint64(0)], np.cumsum(t * np.cumprod(np.full(len(t), f)))])
+                back = np.cumprod(np.full(len(t), inverse))
+                places = np.argsort(t, kind="stable")
+                again, same = np.full(len(t), -1), np.flatnonzero(t[places[1:]] == t[places[:-1]])
+                again[places[same + 1]] = places[same]
+                again = np.maximum.accumulate(again)  # the last place up to here of a token that comes again up to here
+                order = np.lexsort((at[i:j], sk[i:j]))
+                key, place, left = sk[i:j][order].view(np.uint64), at[i:j][order].astype(np.int64), stays[i:j][order]
+                first = np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1])])
+                key, place, left = key[first], place[first], np.maximum.reduceat(left, np.flatnonzero(first))
+                out = []
+                for apart in range(need - 1, need + 1):
+                    some = np.flatnonzero(place + apart < len(t))
+                    some = some[_pair(t[place[some]], t[place[some] + apart]) == key[some]]
+                    p, k, end = place[some], key[some], place[some] + apart + 1
+                    for n, (a, b) in enumerate(runs):
+                        one, other = (total[p + a] - total[p]) * back[p], (total[end] - total[end - b]) * back[end - b]
+                        out.append(((k * _FACTORS[3] ^ _pair(one ^ (one >> np.uint64(29)), other ^ (other >> np.uint64(31)))) * _FACTORS[4] + np.uint64(n), p, left[some], np.ones(len(p), bool)))
+                    out.append((k, p, left[some], again[end - 1] >= p))
+                fine, p, left, counts = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(fine.view(np.int64)), pa.array(np.full(len(p), d, np.int64)), pa.array(p.astype(np.int32)), pa.array(left), pa.array(counts)], names=["sk", "d", "p", "stays", "counts"])
+
+    return rows.mapInArrow(run, "sk long, d long, p int, stays boolean, counts boolean")
+
+
 def _sides(found: DataFrame) -> DataFrame:
     """d, partner, s, e: the spans of both sides."""
     other = found.select(F.col("lead").alias("d"), F.col("d").alias("partner"), F.col("s2").alias("s"), F.col("e2").alias("e"))
@@ -472,7 +532,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, words: int = WOR
     lists = saved(opens(told(subs, known, at_p), "sk"), "lists")
     discard(subs)
 
-    active, buckets = lists, 1
+    fine = not runs_of(width, percent, shingle)  # several edits: the sub-keys stay as they are
+    active, buckets, condition = lists, 1, "same"
     while True:
         bucket = F.pmod(F.xxhash64("d"), F.lit(buckets)).alias("bucket")
         leaders = saved(active.groupBy("sk", bucket).agg(F.min("d").alias("lead")).drop("bucket"), "leaders")
@@ -481,23 +542,35 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, words: int = WOR
         of = leaders.select("sk", F.col("lead").alias("d"))
 
         def met_by_leaders(rows: DataFrame) -> DataFrame:
-            """Rows with each leader of their sub-key: in one component with it, or even (same) both covered there."""
+            """Rows with each leader of their key: in one component with it, or even (same) both covered there."""
             own = told(active.join(of, ["sk", "d"]), known, at_p).groupBy("sk", F.col("d").alias("lead")).agg(F.max("comp").alias("lcomp"), F.min("old").alias("lold"))
             return told(rows, known, at_p).join(own, "sk").withColumn("one", F.col("comp") == F.col("lcomp")).withColumn("same", F.col("one") & F.col("old") & F.col("lold"))
 
-        # a new leader meets all members of its sub-key, also those that left; after the first round only those of other components
-        pairs = met_by_leaders(lists).where("d <> lead").where(~F.col("same" if buckets == 1 else "one")).select(F.greatest("d", "lead").alias("d"), F.least("d", "lead").alias("lead")).distinct()
+        # a new leader meets all members of its key, also those that left; after the first round only those of other components
+        pairs = met_by_leaders(lists).where("d <> lead").where(~F.col(condition)).select(F.greatest("d", "lead").alias("d"), F.least("d", "lead").alias("lead")).distinct()
         pairs = saved(pairs.join(tested, ["d", "lead"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
-            found = found.unionByName(verified(pairs))
-            known = learn()
+            tested, more = tested.unionByName(pairs), verified(pairs)
+            if not more.isEmpty():
+                found = found.unionByName(more)
+                known = learn()
         stays = active.join(of, ["sk", "d"], "left_anti")
         met_now = met_by_leaders(stays)
         spans = _sides(found).withColumnRenamed("partner", "lead")
         leave = met_now.where("one").select("sk", "d", "p").unionByName(met_now.where("not one").join(spans, ["d", "lead"]).where("s <= p and p < e").select("sk", "d", "p"))
         active = saved(stays.join(leave.distinct(), ["sk", "d", "p"], "left_anti"), "active")
-        buckets *= 4
+        buckets, condition = buckets * 4, "one"
+        if not fine:
+            fine, buckets = True, 1
+            left = active.distinct().withColumn("stays", F.lit(True))
+            rows = lists.join(active.select("sk").distinct(), "sk", "left_semi").join(left, ["sk", "d", "p"], "left")
+            each = rows.groupBy("d").agg(F.collect_list(F.struct("sk", "p", F.coalesce("stays", F.lit(False)).alias("stays"))).alias("rs"))
+            split = saved(refined(each.join(read, "d").select("d", "rs", "t"), width, percent, shingle), "refined")
+            apart = told(split, known, at_p)
+            open_ones = apart.groupBy("sk").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("stays").alias("stays"), F.max("counts").alias("counts")).where("c1 < c2 and stays and counts").select("sk")
+            wide, lists = lists, saved(split.join(open_ones, "sk"), "lists")
+            discard(wide, split)
+            lists, active = lists.select("sk", "d", "p"), lists.where("stays").select("sk", "d", "p")
 
     # copies: linked with the text that stands for them, over their whole length
     linked = components(found.select(F.col("d").alias("a"), F.col("lead").alias("b")).unionByName(copies.select(F.col("d").alias("a"), F.col("rep").alias("b"))))

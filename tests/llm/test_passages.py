@@ -204,3 +204,38 @@ def test_windows_of_many_texts_against_single_trees():
         first = np.cumsum(sizes) - sizes
         got = sorted(zip(*(v.tolist() for v in s.many_windows(h, first, first + sizes - 1, width)), strict=True))
         assert got == sorted((a + f, c + f, b + f) for f, n in zip(first.tolist(), sizes.tolist(), strict=True) for a, c, b in plain_windows(h[f : f + n].tolist(), width))
+
+
+def test_refined_keys_meet_counterparts_only(spark):
+    """Passages with one edit share a refined key with their counterpart; copies with several edits of their own, which share sub-keys but don't match, hardly any."""
+    from pyspark.sql import functions as F
+
+    from pairloom.llm import substring_dedup as s
+    from pairloom.llm.ngram_join import shingle_lists
+
+    def refined(texts):
+        tokens = [(d, (next(iter(shingle_lists([" ".join(w).encode()], 5)))[0] >> 32).astype("<u4").tobytes()) for d, w in texts]
+        read = spark.createDataFrame([(d, bytearray(t)) for d, t in tokens], "d long, t binary")
+        whole = read.selectExpr("d", f"array(named_struct('lo', 0, 'hi', cast(length(t) / 4 as int) - {width})) rs", "t")
+        each = s.sub_keys(whole, width, 80)
+        rows = each.groupBy("d").agg(F.collect_list(F.struct("sk", "p", F.lit(True).alias("stays"))).alias("rs"))
+        return each, s.refined(rows.join(read, "d").select("d", "rs", "t"), width, 80, 5).where("counts")
+
+    def pairs(rows):
+        return {(x.a, x.b): x.n for x in rows.selectExpr("sk", "d a").join(rows.selectExpr("sk", "d b"), "sk").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
+
+    r, width = random.Random(21), 46
+    texts, at = [], 0
+    for kind, places in [(k, [p]) for k in ("insert", "delete", "change") for p in range(6, 45, 3)]:
+        one = words(r, 50 + (kind == "delete"))
+        two = edited(r, one, kind, places)
+        del two[places[0] : places[0] + (kind == "insert")]  # one word put in
+        texts += [(at, one), (at + 1, two)]
+        at += 2
+    each, fine = refined(texts)
+    assert {(k, k + 1) for k in range(0, at, 2)} <= set(pairs(each)) <= set(pairs(fine))
+    base = words(r, 50)
+    copies = [(k, edited(r, base, "change", sorted(r.sample(range(8, 42), 3)))) for k in range(60)]
+    each, fine = (sum(pairs(x).values()) for x in refined(copies))
+    assert each > 5000 and fine < each / 10
+    assert refined([(1, ["the"] * 60)])[1].count()  # repeats: the sub-key itself
