@@ -50,3 +50,18 @@ def test_write_backs_build_matches_once(spark, data):
 
     for name in ("t4_cas_update", "t5_idempotent_redelivery"):
         assert "l_orderkey" not in QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_keep_classes_only(spark, data):
+    """Rows that classes were made of are deleted before pairs are put out; before, a row per user and per job stayed on disk to the end."""
+    from pathlib import Path
+
+    from pairloom.plans.catalog import QUERIES
+    from pairloom.plans.runtime import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("slim-*"))
+    for name in ("v5_combined_score", "w4_top_per_user", "x2_jaccard", "x4_hard_requirements"):
+        out = QUERIES[name](spark, data)
+        assert not set(shared.glob("slim-*")) - before
+        assert out.count()
