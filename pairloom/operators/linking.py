@@ -23,6 +23,8 @@ FEW_TERMS = 16  # looked for in the text by column functions
 MOST_TERMS = 200_000  # of a trie
 MOST_KEYS = 500_000  # keys or spans that are broadcast
 TEXTS = 128  # folded at once
+LETTERS = 1 << 20  # of texts hashed at once
+FEATURES = 1 << 20  # whose cells a task keeps in mind
 
 
 def nfkc(col: Column, spark) -> Column:
@@ -241,18 +243,56 @@ def hash_embed(docs: DataFrame, key: str, col: str, dim: int) -> DataFrame:
 
     An empty text has the one feature "".
     """
-    norm = X.normalize_label(F.coalesce(F.col(col), F.lit("")))
-    docs = docs.select(F.col(key).alias("k"), norm.alias("t"))  # named first, so that the lambda below doesn't normalise anew each time
-    norm = F.col("t")
-    words = F.filter(F.split(norm, " "), lambda v: v != "")
-    docs = docs.select("k", "t", F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0)).alias("cs"))  # letters by position, for slices of constant cost
-    grams = F.when(F.size("cs") >= 3, F.transform(F.sequence(F.lit(1), F.size("cs") - 2), lambda k: F.concat(F.lit("#"), F.array_join(F.slice("cs", k, 3), "")))).otherwise(F.array().cast("array<string>"))
-    features = F.when(norm == "", F.array(F.lit(""))).otherwise(F.concat(words, grams))
-    each = docs.select("k", F.explode_outer(features).alias("f")).select("k", F.md5(F.encode("f", "UTF-8")).alias("h"))
-    cell = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dim).alias("cell")
-    sign = F.when(F.conv(F.substring("h", 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    ship(docs.sparkSession)
+    docs = docs.select(F.col(key).alias("k"), X.normalize_label(F.coalesce(F.col(col), F.lit(""))).alias("t"))
+
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        def hashed(feature: str) -> int:
+            """Twice the cell, and 1 more for a negative sign."""
+            h = hashlib.md5(feature.encode()).hexdigest()
+            return int(h[:8], 16) % dim * 2 + int(h[8], 16) % 2
+
+        known: dict[str, int] = {}
+
+        def hashed_all(features):
+            if len(known) > FEATURES:
+                known.clear()
+            return np.array([known[f] if f in known else known.setdefault(f, hashed(f)) for f in features], np.int64)
+
+        def slices(texts):  # of about LETTERS; a longer text is one of its own
+            begin = size = 0
+            for end, t in enumerate(texts):
+                if size and size + len(t) > LETTERS:
+                    yield begin, end
+                    begin, size = end, 0
+                size += len(t)
+            yield begin, len(texts)
+
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for begin, end in slices(texts) if texts else ():
+                some = texts[begin:end]
+                words = [[w for w in t.split(" ") if w] or ([""] if not t else []) for t in some]
+                rows, cells = [np.repeat(np.arange(len(some)), [len(w) for w in words])], [hashed_all([w for x in words for w in x])]
+                row = np.repeat(np.arange(len(some)), [len(t) for t in some])
+                letters = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).astype(np.int64)
+                whole = np.flatnonzero(row[2:] == row[:-2])  # three letters of one text
+                grams, which = np.unique(letters[whole] << 42 | letters[whole + 1] << 21 | letters[whole + 2], return_inverse=True)
+                mask = (1 << 21) - 1
+                each = hashed_all([f"#{chr(g >> 42)}{chr(g >> 21 & mask)}{chr(g & mask)}" for g in grams.tolist()])
+                rows, cells = np.concatenate([*rows, row[whole]]), np.concatenate([*cells, each[which]])
+                counts = np.bincount(rows * (2 * dim) + cells, minlength=len(some) * 2 * dim).reshape(-1, dim, 2)
+                at, cell = np.nonzero(counts.sum(2))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin + at)), pa.array(cell.astype(np.int64)), pa.array(counts[at, cell, 0] - counts[at, cell, 1])], names=["k", "cell", "v"])
+
     # features add up to cells where their text is read: at most ``dim`` rows of a document are shuffled
-    cells = each.select("k", cell, sign.alias("v")).groupBy("k", "cell").agg(F.sum("v").alias("v"))
+    schema = T.StructType([docs.schema["k"], T.StructField("cell", T.LongType()), T.StructField("v", T.LongType())])
+    cells = docs.mapInArrow(run, schema).groupBy("k", "cell").agg(F.sum("v").alias("v"))
     z = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("k")))
     return cells.withColumn("z", z).select(F.col("k").alias(key), "cell", F.when(F.col("z") > 0, F.col("v") / F.col("z")).otherwise(0.0).alias("value"))
 

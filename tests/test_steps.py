@@ -65,3 +65,28 @@ def test_pairs_keep_classes_only(spark, data):
         out = QUERIES[name](spark, data)
         assert not set(shared.glob("slim-*")) - before
         assert out.count()
+
+
+def test_hash_embed_of_texts_in_slices(spark, monkeypatch):
+    """Slices that end anywhere, letters beyond the basic plane, texts shorter than a trigram: the sums of plain loops, and no expression per letter."""
+    import hashlib
+    import random
+
+    from pairloom.operators import linking
+
+    monkeypatch.setattr(linking, "LETTERS", 7)
+    monkeypatch.setattr(linking, "FEATURES", 3)
+    r = random.Random(4)
+    texts = ["", "a", "ab", "abc", "𝒳𝒴z 𝒳𝒴z", "ab ab\tab", "é e", "  ", "!!"] + ["".join(r.choices("ab cdé𝒳+", k=r.randint(0, 30))) for _ in range(40)]
+    out = linking.hash_embed(spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(1, "abc")], "id long, text string"), "id", "text", 8)
+    assert "lambdafunction" not in out._jdf.queryExecution().analyzed().toString()
+    expected = {}
+    for k, t in [*enumerate(texts), (1, "abc")]:
+        t = " ".join("".join(c if c.isalnum() or c in "_+# " else " " for c in t.lower()).split())
+        for f in [w for w in t.split(" ") if w or not t] + [f"#{t[x:x + 3]}" for x in range(len(t) - 2)]:
+            h = hashlib.md5(f.encode()).hexdigest()
+            at = k, int(h[:8], 16) % 8
+            expected[at] = expected.get(at, 0) + (1 if int(h[8], 16) % 2 == 0 else -1)
+    sizes = {k: sum(v * v for (x, _), v in expected.items() if x == k) ** 0.5 for k, _ in expected}
+    got = {(x.id, x.cell): x.value for x in out.collect()}
+    assert got.keys() == expected.keys() and all(abs(got[at] - (v / sizes[at[0]] if v else 0)) < 1e-12 for at, v in expected.items())
